@@ -280,3 +280,26 @@ def _band_rows(bands: int, rows: int) -> Callable:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, bands)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))), pa.array(h.reshape(-1).view(np.int64))], ["rep", "band", "bucket"])
 
     return run
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document of each group: the one with the smallest id.
+
+    Of several rows with one id the least row stays. Rows with a null id are kept; so are
+    those without words.
+    """
+    found = near_duplicates(docs, percent, size)
+    gone = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    often = stage(docs.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__gone")).agg(F.count("*").alias("n")).filter("n > 1").select("__gone"), "often")
+    kept = _without(docs, gone)
+    if not often.limit(1).count():
+        return kept
+    again = kept.join(often, kept.doc_id == often["__gone"], "left_semi")
+    least = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return _without(kept, often).unionByName(least)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs.doc_id == ids["__gone"], "left_anti")

@@ -70,10 +70,9 @@ def plan_mixture(weighed: DataFrame, budget: int | None, target_entropy: float |
     raised = sources.withColumn("raised", F.pow(F.col("tokens") / F.lit(float(total or 1)), F.lit(t)))
     z = raised.agg(F.sum("raised")).first()[0] or 1.0
     quotas = raised.withColumn("weight", F.col("raised") / z).withColumn("quota", F.col("weight") * budget)
-    # a quota within a millionth of whole epochs is whole epochs
+    # a millionth of an epoch is rounding: it neither starts an epoch nor takes a document more
     near = F.floor(F.col("quota") / F.col("tokens") + 1e-6)
-    quotas = quotas.withColumn("epochs", near).withColumn("rest", F.greatest(F.col("quota") - near * F.col("tokens"), F.lit(0.0)))
-    quotas = quotas.withColumn("rest", F.when(F.col("rest") > 1e-6 * F.col("tokens"), F.col("rest")).otherwise(0.0))
+    quotas = quotas.withColumn("epochs", near).withColumn("rest", F.greatest(F.col("quota") - near * F.col("tokens") - 1e-6 * F.col("tokens"), F.lit(0.0)))
     quotas = stage(quotas.withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)).select("source", "weight", "quota", "epochs", "rest", "blocks"), "quotas")
 
     placed = weighed.join(quotas.filter("rest > 0").select("source", "epochs", "rest", "blocks"), "source").withColumn("u", permutation_value(seed, F.col("epochs"), F.col("doc_id")))

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segflow.llm import chat_format, minhash_dedup, packing, secret_scan, substring_dedup
+from segflow.llm import chat_format, line_rules, lm_score, minhash_dedup, mixing, packing, pq_dedup, quality_crf, secret_scan, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -29,6 +34,24 @@ def op4_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_into_pieces(_read(spark, sf_dir, "documents"), with_ids=False))
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_crf.score_documents(docs, quality_crf.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op7_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_line_rules(_read(spark, sf_dir, "documents"))
+
+
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", mixing.count_tokens(F.col("text")).alias("n_tokens"), "copies")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(_read(spark, sf_dir, "documents")))
 
@@ -38,12 +61,103 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_prefix_target_chat, op3_substring_dedup, op4_vector_best_fit, op9_secret_scan, op10_bayes_minhash)
+    f.__name__: f
+    for f in (
+        op1_pq_near_dedup,
+        op2_prefix_target_chat,
+        op3_substring_dedup,
+        op4_vector_best_fit,
+        op5_cross_entropy_difference,
+        op6_line_crf_quality,
+        op7_cross_document_lines,
+        op8_temperature_mixing,
+        op9_secret_scan,
+        op10_bayes_minhash,
+    )
 }
 
 _ESCAPED = "replace(replace({0}, '%', '%25'), '<|', '%3C|')"
 
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_pq_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), c AS (
+  SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT c.node, e.v FROM c JOIN e ON e.u = c.reach
+), m AS (
+  SELECT node, min(reach) AS component_id FROM c GROUP BY node
+), n AS (
+  SELECT u, count(*) AS n FROM e GROUP BY u
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON node = vec_id LEFT JOIN n ON u = vec_id""",
+    "op7_cross_document_lines": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), g AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+), r AS (
+  SELECT doc_id, count(DISTINCT x) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 5)) AS x FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1
+  ) GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, host, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(translate(text, {_SPACES}, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: translate(x, {_SPACES}, '') <> '') AS lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)
+), l AS (
+  SELECT doc_id, host, h, len(string_split(h, ' ')) AS n FROM (
+    SELECT doc_id, host, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '[ 	-
+]+', ' ', 'g')) AS h FROM b
+  ) WHERE h <> ''
+), a AS (
+  SELECT host, h FROM l JOIN (SELECT host, count(*) AS docs FROM b GROUP BY host) USING (host) GROUP BY host, h, docs
+  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.02 * docs
+), x AS (
+  SELECT doc_id, sum(n) AS gone FROM l JOIN a USING (host, h) GROUP BY doc_id
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(n_words - coalesce(gone, 0) AS BIGINT) AS words_left FROM b LEFT JOIN x USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, words_left,
+       NOT base_failed AND words_left >= 10 AND 100 * words_left >= 30 * n_words AS kept
+FROM f""",
+    "op8_temperature_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n FROM documents
+), s AS (
+  SELECT coalesce(source, '') AS s, sum(n) AS tokens FROM d WHERE n > 0 GROUP BY 1
+), p AS (
+  SELECT list(CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM s)) AS p FROM s
+), b AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS t, p FROM p
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN t ELSE lo END, CASE WHEN good THEN hi ELSE t END, (CASE WHEN good THEN t ELSE lo END + CASE WHEN good THEN hi ELSE t END) / 2, p
+  FROM (
+    SELECT *, len(p) = 1 OR ln(list_sum(list_transform(p, lambda x: pow(x, t)))) - list_sum(list_transform(p, lambda x: t * ln(x) * pow(x, t))) / list_sum(list_transform(p, lambda x: pow(x, t))) >= 0.95 * ln(len(p)) AS good FROM b
+  ) WHERE i < 60
+), e AS (
+  SELECT lo AS t FROM b WHERE i = 60
+), q AS (
+  SELECT s, tokens, pow(CAST(tokens AS DOUBLE) / (SELECT sum(tokens) FROM s), (SELECT t FROM e)) AS raised FROM s
+), w AS (
+  SELECT s, tokens, raised / (SELECT sum(raised) FROM q) * (SELECT sum(tokens) FROM s) AS quota FROM q
+), y AS (
+  SELECT s, tokens, CAST(floor(quota / tokens + 1e-6) AS BIGINT) AS epochs, greatest(quota - floor(quota / tokens + 1e-6) * tokens - 1e-6 * tokens, 0) AS rest FROM w
+), o AS (
+  SELECT d.*, epochs, rest, s,
+         CAST('0x' || substr(md5(concat_ws(':', '17', CAST(epochs AS VARCHAR), CAST(doc_id AS VARCHAR))), 1, 13) AS BIGINT) AS u
+  FROM d LEFT JOIN y ON coalesce(source, '') = s
+)
+SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens,
+       CASE WHEN n = 0 THEN 1 ELSE epochs + CAST(coalesce(sum(n) OVER (PARTITION BY s ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest AS BIGINT) END AS copies
+FROM o""",
     "op2_prefix_target_chat": f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
