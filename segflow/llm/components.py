@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,21 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             return new.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         edges = new
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def block_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index connected to each of n nodes by the links (a[i], b[i])."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while True:
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        if (new == root).all():
+            return root
+        root = new

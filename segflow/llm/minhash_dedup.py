@@ -11,8 +11,8 @@
 
 First each member of a band bucket is held against the bucket's smallest one, which joins
 most of a group in a number of pairs linear in its size. Then every pair of a bucket that is
-not yet connected is compared, in tiles, without leaving any out: links inside a component
-cannot change it.
+not yet connected is compared, without leaving any out, in tiles that hold the full sets:
+only links between components leave a tile, for links inside one cannot change it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.components import connected_components
+from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
 from segflow.llm.wordhash import U, binaries, mix, text_batches, windows_of, words_of
 
@@ -36,7 +36,7 @@ MISS = 1e-9
 #: Signature values compared before each decision.
 STEP = 24
 #: Members of a bucket that meet in one task.
-TILE = 512
+TILE = 256
 #: Leaves that are verified with one centre in one task.
 LEAVES = 32
 #: Ids (16 bytes each in memory) up to which a set of ids is broadcast.
@@ -152,23 +152,45 @@ def _stars(least: np.ndarray) -> Callable:
     return run
 
 
-def _tiles(least: np.ndarray) -> Callable:
-    """Pairs of one tile against one tile of the same bucket, in different components, that survive."""
+def _tiles(least: np.ndarray, percent: int) -> Callable:
+    """Links within one tile, or between two tiles, of a bucket: pairs in different components that no batch prunes, verified on their full sets.
+
+    Returns a link from each linked member to the least one that it is connected with here.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
         side = table.column("side").to_numpy()
         ids, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        own = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
+        del table
+        sizes = np.array([len(x) for x in own])
+        at = np.cumsum(sizes) - sizes
+        distinct, tokens = np.unique(np.concatenate(own), return_inverse=True)
+        del own
+        mark = np.zeros(len(distinct), bool)
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        us, vs = [], []
-        for i in first:  # one row against the other tile at a time: memory stays small
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in first.tolist():  # one set against the other tile at a time: memory stays small
             js = second[(comps[second] != comps[i]) & ((ids[second] > ids[i]) | (side[i] == 0))]
-            if len(js):
-                js = js[likely_pairs(sig, sig, np.full(len(js), i), js, least)]
-                us.append(np.full(len(js), ids[i]))
-                vs.append(ids[js])
-        none = np.zeros(0, np.int64)
-        return pa.table({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
+            js = js[likely_pairs(sig, sig, np.full(len(js), i), js, least)]
+            if not len(js):
+                continue
+            mine = tokens[at[i] : at[i] + sizes[i]]
+            mark[mine] = True
+            if len(js) < 16:
+                shared = np.array([mark[tokens[at[j] : at[j] + sizes[j]]].sum() for j in js.tolist()])
+            else:
+                shared = np.add.reduceat(mark[tokens].astype(np.int32), at)[js]
+            mark[mine] = False
+            js = js[100 * shared >= percent * (sizes[i] + sizes[js] - shared)]
+            left.append(np.full(len(js), i))
+            right.append(js)
+        a, b = np.concatenate(left), np.concatenate(right)
+        root = block_components(len(ids), a, b)
+        hung = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"u": ids[root[hung]], "v": ids[hung]})
 
     return run
 
@@ -189,20 +211,30 @@ def _verify(percent: int) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         rows = list(zip(table.column("leaf").to_pylist(), table.column("shingles").to_pylist()))
-        centre = np.frombuffer(next(x for leaf, x in rows if leaf is None), U)
+        centres = [np.frombuffer(x, U) for leaf, x in rows if leaf is None]  # several if rows with that id differ
         out = []
         for leaf, x in rows:
             if leaf is not None:
                 own = np.frombuffer(x, U)
-                shared = len(np.intersect1d(centre, own, assume_unique=True))
-                if 100 * shared >= percent * (len(centre) + len(own) - shared):
-                    out.append(leaf)
+                for centre in centres:
+                    shared = len(np.intersect1d(centre, own, assume_unique=True))
+                    if 100 * shared >= percent * (len(centre) + len(own) - shared):
+                        out.append(leaf)
+                        break
         u = table.column("u")[0].as_py()
         return pa.table({"u": pa.array([u] * len(out), pa.int64()), "v": pa.array(out, pa.int64())})
 
     return run
 
 
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Staged (rep, shingles) of the documents (rep, text) named by ``ids`` (id)."""
+    ids = stage(ids.distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)  # else texts are shuffled to the ids
+    return stage(docs.join(ids, docs.rep == ids.id, "left_semi").select("rep", "text").mapInArrow(_sets_of(size), "rep long, shingles binary"), "sets")
+
+
 def verify_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The distinct pairs (u, v) whose full shingle sets in ``docs`` (rep, text) reach the similarity.
 
@@ -211,10 +243,7 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
     pairs = stage(pairs.filter("u <> v").distinct(), "pairs")
     lots = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("n_lots")), "lots")
     dealt = pairs.join(lots, "u").select("u", "v", F.expr("cast(pmod(xxhash64(v), n_lots) as int)").alias("lot"))
-    ids = stage(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)  # else texts are shuffled to the ids
-    sets = stage(docs.join(ids, docs.rep == ids.id, "left_semi").select("rep", "text").mapInArrow(_sets_of(size), "rep long, shingles binary"), "sets")
+    sets = full_sets(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))), docs, size)
     leaves = dealt.join(sets, F.col("v") == F.col("rep")).select("u", "lot", F.col("v").alias("leaf"), "shingles")
     centres = lots.join(sets, F.col("u") == F.col("rep")).select("u", F.explode(F.expr("sequence(0, n_lots - 1)")).alias("lot"), F.lit(None).cast("long").alias("leaf"), "shingles")
     return leaves.unionByName(centres).groupBy("u", "lot").applyInArrow(_verify(percent), "u long, v long")
@@ -254,13 +283,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     placed = stage(placed, "placed")
     open_ = stage(placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "bucket", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles")), "open")
     rest = placed.join(open_, ["band", "bucket"]).select("band", "bucket", "rep", "component", "n_tiles", F.expr("cast(pmod(xxhash64(rep), n_tiles) as int)").alias("tile"))
-    rest = rest.join(sigs, "rep")
-    dealt = rest.select("band", "bucket", "rep", "component", "sig", "tile", F.explode(F.expr("sequence(0, n_tiles - 1)")).alias("met")).select(
-        "band", "bucket", F.least("tile", "met").alias("t1"), F.greatest("tile", "met").alias("t2"), F.expr("case when tile < met then 0 when tile > met then 1 else 2 end").alias("side"), "rep", "component", "sig"
+    rest = stage(rest, "rest")
+    rest = rest.join(sigs, "rep").join(full_sets(rest.select(F.col("rep").alias("id")), texts, size), "rep")
+    dealt = rest.select("band", "bucket", "rep", "component", "sig", "shingles", "tile", F.explode(F.expr("sequence(0, n_tiles - 1)")).alias("met")).select(
+        "band",
+        "bucket",
+        F.least("tile", "met").alias("t1"),
+        F.greatest("tile", "met").alias("t2"),
+        F.expr("case when tile < met then 0 when tile > met then 1 else 2 end").alias("side"),
+        "rep",
+        "component",
+        "sig",
+        "shingles",
     )
-    again = dealt.groupBy("band", "bucket", "t1", "t2").applyInArrow(_tiles(least), "u long, v long")
-    again = again.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = stage(verify_pairs(again, texts, size, percent), "links")
+    more = stage(dealt.groupBy("band", "bucket", "t1", "t2").applyInArrow(_tiles(least, percent), "u long, v long"), "links")
     if more.limit(1).count():
         comps = stage(connected_components(links.unionByName(more)), "components")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.components import connected_components
+from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
 
 #: Vectors that the quantisers are fitted on; vectors of a list, on average; lists at most.
@@ -129,24 +129,6 @@ def _visit(q: Quantiser, radius: float, deviations: float) -> Callable:
     return run
 
 
-def block_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index connected to each of n nodes by the links (a[i], b[i])."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while True:
-            up = new[new]
-            if (up == new).all():
-                break
-            new = up
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _match(q: Quantiser, threshold: float, radius: float) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
