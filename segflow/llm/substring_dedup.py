@@ -4,7 +4,8 @@ Every window of ``width`` consecutive words gets a Rabin-Karp hash. A task sends
 distinct hash of a batch once, for the smallest document that holds it there (its other
 holders in the batch are known to repeat it), packed by hash bucket. A bucket finds the
 smallest document of each hash in the whole corpus; the windows of the others are
-repeated. Overlapping repeated windows merge into maximal removal intervals.
+repeated, and are told to the batch that sent them, packed again. Overlapping repeated
+windows merge into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.wordhash import U, binaries, text_batches, windows_of, words_of
 
 #: Bytes of text whose windows share a bucket; it bounds the memory of a reducing task.
-BUCKET_BYTES = 4 << 20
-_PACKED = "bucket long, docs binary, counts binary, hashes binary, spans binary"
+BUCKET_BYTES = 8 << 20
+#: Bytes of text whose windows a task packs together.
+BATCH_BYTES = 8 << 20
+_PACKED = "bucket long, origin long, docs binary, counts binary, hashes binary, spans binary"
+_TOLD = "origin long, docs binary, counts binary, hashes binary, spans binary"
 _FOUND = "seg_id long, hashes binary, spans binary"
-_ARROW = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("spans", pa.binary())])
+_ARROW = pa.schema([("bucket", pa.int64()), ("origin", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("spans", pa.binary())])
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -52,9 +58,11 @@ def _runs(places: np.ndarray, width: int) -> np.ndarray:
 
 def _pack(width: int, n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, buf, offsets in text_batches(batch.column(1)):
+            for lo, hi, buf, offsets in text_batches(batch.column(1), BATCH_BYTES):
+                origin += 1
                 hashes, rows, places = _document_windows(*words_of(buf, offsets), width)
                 if not len(hashes):
                     continue
@@ -81,50 +89,90 @@ def _pack(width: int, n_buckets: int) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(bucket[run_at][cut].astype(np.int64)),
+                        pa.array(np.full(n, origin)),
                         binaries(distinct[owner[run_at]], ends),
                         binaries(run_len.astype(np.int32), ends),
                         binaries(sent, np.concatenate([run_at, [len(sent)]])[ends]),
-                        pa.nulls(n, pa.binary()),
+                        pa.array([b""] * n, pa.binary()),
                     ],
                     schema=_ARROW,
                 )
                 known = np.flatnonzero(late)
                 if len(known):
                     out: list[tuple] = []
-                    parts = np.split(known, np.flatnonzero(np.diff(rows[known])) + 1)
-                    for part in parts:
-                        doc = int(docs[rows[part[0]]])
-                        spans = _runs(places[part], width)
-                        # rows that share an id may differ in text: they take the hashes, too
-                        out.append((doc % n_buckets, np.int64(doc).tobytes(), b"", b"", spans.tobytes()) if (docs == doc).sum() == 1 else (doc % n_buckets, np.int64(doc).tobytes(), b"", hashes[part].tobytes(), None))
+                    for part in np.split(known, np.flatnonzero(np.diff(rows[known])) + 1):
+                        doc = docs[rows[part[0]]]
+                        # rows that share an id may differ in text: they take the hashes instead
+                        alone = (docs == doc).sum() == 1
+                        out.append((origin % n_buckets, origin, doc.tobytes(), b"", b"" if alone else hashes[part].tobytes(), _runs(places[part], width).tobytes() if alone else b""))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
     return run
 
 
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the (equally long) columns changes, with 0 and the end."""
+    n = len(columns[0])
+    change = np.zeros(max(n - 1, 0), bool)
+    for c in columns:
+        change |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [n]]) if n else np.zeros(1, np.int64)
+
+
 def _reduce(table: pa.Table) -> pa.Table:
-    ids, hashes, known = [], [], []
-    for docs, counts, part, spans in zip(*(table.column(i).to_pylist() for i in range(1, 5))):
+    """Of one bucket: for each origin, its documents' hashes that a smaller document holds, too."""
+    whole = table.filter(pa.compute.greater(pa.compute.binary_length(table.column("counts")), 0))
+    passed = table.filter(pa.compute.equal(pa.compute.binary_length(table.column("counts")), 0)).drop_columns(["bucket"])
+    names, ids, sizes, hashes = whole.column("origin").to_numpy(), [], [], []
+    for docs, counts, part in zip(*(whole.column(c).to_pylist() for c in ("docs", "counts", "hashes"))):
+        ids.append(np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int32)))
+        hashes.append(np.frombuffer(part, U))
+        sizes.append(len(ids[-1]))
+    if not ids:
+        return passed
+    doc, h = np.concatenate(ids), np.concatenate(hashes)
+    del ids, hashes
+    order = np.argsort(h)
+    at = _cuts(h[order])[:-1]
+    least = np.minimum.reduceat(doc[order], at)
+    late = np.empty(len(h), bool)
+    late[order] = doc[order] > np.repeat(least, np.diff(np.append(at, len(h))))
+    origin = np.repeat(names, sizes)[late]
+    doc, h = doc[late], h[late]
+    runs = _cuts(origin, doc)
+    if not len(doc):
+        return passed
+    ends = np.append(_cuts(origin[runs[:-1]])[:-1], len(runs) - 1)  # runs of one origin
+    told = pa.table(
+        {
+            "origin": origin[runs[ends[:-1]]],
+            "docs": binaries(doc[runs[:-1]], ends),
+            "counts": binaries(np.diff(runs).astype(np.int32), ends),
+            "hashes": binaries(h, runs[ends]),
+            "spans": pa.array([b""] * (len(ends) - 1), pa.binary()),
+        }
+    )
+    return pa.concat_tables([passed, told])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """Of one origin: all that is repeated in each of its documents."""
+    ids, hashes, spans, own = [], [], [], []
+    for docs, counts, part, span in zip(*(table.column(c).to_pylist() for c in ("docs", "counts", "hashes", "spans"))):
         d = np.frombuffer(docs, np.int64)
-        if counts:
-            ids.append(np.repeat(d, np.frombuffer(counts, np.int32)))
+        if span:
+            own.append(int(d[0]))
+            spans.append(span)
+        if part:
+            ids.append(np.repeat(d, np.frombuffer(counts, np.int32) if counts else len(part) // 8))
             hashes.append(np.frombuffer(part, U))
-        else:
-            known.append((int(d[0]), part or None, spans))
-    del table
-    out = [pa.table({"seg_id": pa.array([k[0] for k in known], pa.int64()), "hashes": pa.array([k[1] for k in known], pa.binary()), "spans": pa.array([k[2] for k in known], pa.binary())})]
+    out = [pa.table({"seg_id": pa.array(own, pa.int64()), "hashes": pa.array([b""] * len(own), pa.binary()), "spans": pa.array(spans, pa.binary())})]
     if ids:
         doc, h = np.concatenate(ids), np.concatenate(hashes)
-        del ids, hashes
-        order = np.argsort(h)
-        doc, h = doc[order], h[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        late = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-        doc, h = doc[late], h[late]
         order = np.argsort(doc, kind="stable")
         doc, h = doc[order], h[order]
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-        out.append(pa.table({"seg_id": pa.array(doc[at], pa.int64()), "hashes": binaries(h, np.concatenate([at, [len(h)]])), "spans": pa.nulls(len(at), pa.binary())}))
+        cuts = _cuts(doc)
+        out.append(pa.table({"seg_id": doc[cuts[:-1]], "hashes": binaries(h, cuts), "spans": pa.array([b""] * (len(cuts) - 1), pa.binary())}))
     return pa.concat_tables(out)
 
 
@@ -184,7 +232,8 @@ def remove_repeated_passages(docs: DataFrame, width: int = 50, with_text: bool =
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
     packed = d.filter("doc_id is not null and text is not null").mapInArrow(_pack(width, n_buckets), _PACKED)
-    found = packed.groupBy("bucket").applyInArrow(_reduce, _FOUND)
-    per_doc = found.groupBy("seg_id").agg(F.collect_list(F.coalesce("hashes", F.lit(b""))).alias("hashes"), F.collect_list(F.coalesce("spans", F.lit(b""))).alias("spans"))
+    told = packed.groupBy("bucket").applyInArrow(_reduce, _TOLD)
+    found = told.groupBy("origin").applyInArrow(_by_document, _FOUND)
+    per_doc = found.groupBy("seg_id").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("spans").alias("spans"))
     joined = d.join(per_doc, d.doc_id == per_doc.seg_id, "left").select("doc_id", "text", "hashes", "spans")
     return joined.mapInArrow(_rewrite(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept_text string")
