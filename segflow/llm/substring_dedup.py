@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from segflow.llm.wordhash import U, binaries, text_batches, windows_of, words_of
 
 #: Bytes of text whose windows share a bucket; it bounds the memory of a reducing task.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes of text whose windows a task packs together.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 _PACKED = "bucket long, origin long, docs binary, counts binary, hashes binary, spans binary"
 _TOLD = "origin long, docs binary, counts binary, hashes binary, spans binary"
 _FOUND = "seg_id long, hashes binary, spans binary"
