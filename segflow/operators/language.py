@@ -40,7 +40,8 @@ def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "id", colu
     floor = profiles.filter("gram = ''").select("lang", F.col("logp").alias("floor"))
     gain = F.broadcast(profiles.filter("gram <> ''").join(floor, "lang").select("lang", "gram", (F.col("logp") - F.col("floor")).alias("gain")))
     # log likelihood = trigrams * floor + gains of the known ones; a text's rows are summed in the task that explodes it
-    grams = t.filter(F.length("__t") >= 3).select(key, F.length(T.normalize_spaces(F.col("__t"))).alias("size"), F.explode(trigrams(F.col("__t"))).alias("gram"))
+    t = t.withColumn("size", F.length(T.normalize_spaces(F.col("__t"))))  # before the explode: once for each text
+    grams = t.filter(F.length("__t") >= 3).select(key, "size", F.explode(trigrams(F.col("__t"))).alias("gram"))
     gains = grams.join(gain, "gram").groupBy(key, "lang", "size").agg(F.sum("gain").alias("gain"))
     scored = gains.join(F.broadcast(floor), "lang").select(key, "lang", F.round(F.col("gain") + F.col("size") * F.col("floor"), 6).alias("score"))
     best = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), "lang")).alias("detected"))

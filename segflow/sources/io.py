@@ -33,7 +33,7 @@ def scan_media(spark: SparkSession, path: str, suffixes: tuple[str, ...] = param
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, doc): whole files."""
-    return spark.read.option("wholetext", "true").text(path).select(T.stem(F.col("_metadata.file_name")).alias("video_id"), F.col("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(T.stem(F.col("_metadata.file_name")).alias("video_id"), F.col("value").alias("doc"))
 
 
 def whisper_segments(docs: DataFrame) -> DataFrame:
