@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
-from segflow.llm.wordhash import U, binaries, mix, text_batches, windows_of, words_of
+from segflow.llm.wordhash import U, binaries, lean, mix, release, text_batches, windows_of, words_of
 
 BANDS, ROWS = 24, 5
 #: Chance to lose a true link in the Bayesian steps.
@@ -190,6 +190,9 @@ def _tiles(least: np.ndarray, percent: int) -> Callable:
         a, b = np.concatenate(left), np.concatenate(right)
         root = block_components(len(ids), a, b)
         hung = np.flatnonzero(root != np.arange(len(ids)))
+        if len(tokens) > 1 << 18:
+            del tokens, distinct
+            release()
         return pa.table({"u": ids[root[hung]], "v": ids[hung]})
 
     return run
@@ -232,7 +235,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     ids = stage(ids.distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)  # else texts are shuffled to the ids
-    return stage(docs.join(ids, docs.rep == ids.id, "left_semi").select("rep", "text").mapInArrow(_sets_of(size), "rep long, shingles binary"), "sets")
+    return stage(docs.join(ids, docs.rep == ids.id, "left_semi").select("rep", "text").mapInArrow(lean(_sets_of(size)), "rep long, shingles binary"), "sets")
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -260,12 +263,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     missed as a candidate with probability (1 - 0.85**5)**24 < 1e-6. Empty input: empty result.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(d.mapInArrow(_sign(size, bands, rows), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "signed")
+    signed = stage(d.mapInArrow(lean(_sign(size, bands, rows)), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "classes")
     # one signature for each class; the join is on the representative's own row
     reps = some.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep", "sig"])
-    banded = stage(reps.mapInArrow(_band_rows(bands, rows), "rep long, band int, bucket long"), "banded")
+    banded = stage(reps.mapInArrow(lean(_band_rows(bands, rows)), "rep long, band int, bucket long"), "banded")
     sigs = stage(reps, "sigs")
     buckets = stage(banded.groupBy("band", "bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count("*").alias("n")).filter("centre < other"), "buckets")
     members = stage(banded.join(buckets, ["band", "bucket"]).select("band", "bucket", "rep", "centre", "n"), "members")
@@ -274,7 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
 
     stars = stage(members.filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
     a, b = sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v"))
-    likely = stars.join(b, "v").join(a, "u").select("u", "sig_u", "v", "sig_v").mapInArrow(_stars(least), "u long, v long")
+    likely = stars.join(b, "v").join(a, "u").select("u", "sig_u", "v", "sig_v").mapInArrow(lean(_stars(least)), "u long, v long")
     links = stage(verify_pairs(likely, texts, size, percent), "links")
     comps = stage(connected_components(links), "components")
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.staging import stage
+from segflow.llm.wordhash import lean
 
 LENGTH, END_ID = 1024, 2
 #: Pieces packed together in one task.
@@ -113,7 +114,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str | None = None, length: int =
     end id). ``ids`` are little-endian uint32 (null unless ``with_ids``). A null id stays null.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_cut(tokenizer, length, end_id, with_ids), _PIECES)
+    return d.mapInArrow(lean(_cut(tokenizer, length, end_id, with_ids)), _PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.wordhash import U, _hash_words, mix, text_batches, words_of
+from segflow.llm.wordhash import U, _hash_words, lean, mix, text_batches, words_of
 
 #: Labelled documents that the field is fitted on, at most (the first by a hash of their id).
 TRAIN_DOCS = 4000
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout: bool = True, train_docs:
         given = given.filter(~is_held_out("label_id"))
     given = given.groupBy("label_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("label_id"), "label_id").limit(train_docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = d.join(F.broadcast(given), F.col("doc_id") == F.col("label_id")).select("quality", "text").mapInArrow(_collect, "quality int, bins binary, size binary").toArrow()
+    rows = d.join(F.broadcast(given), F.col("doc_id") == F.col("label_id")).select("quality", "text").mapInArrow(lean(_collect), "quality int, bins binary, size binary").toArrow()
     label = rows.column("quality").to_numpy()
     if not len(label):
         return LineField(np.zeros((3, N_FEATURES, N_BINS)), np.zeros((2, 2)))
@@ -248,7 +248,7 @@ def score_documents(docs: DataFrame, field: LineField) -> DataFrame:
     goes. A null id counts as not held out. Repeated rows are each scored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = d.mapInArrow(_score(field), "doc_id long, score double")
+    scored = d.mapInArrow(lean(_score(field)), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(is_held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -263,4 +263,4 @@ def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.5) -> Data
             (one,) = score(iter([pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("text"))], ["text"])]))
             yield batch.filter(pa.array(one.column(0).to_numpy() >= threshold))
 
-    return d.mapInArrow(run, d.schema)
+    return d.mapInArrow(lean(run), d.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segflow.llm.wordhash import lean
+
 # The textual kinds, in the order in which spans of one start are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # AKIA[A-Z0-9]+ of 20 characters or more: runs do not overlap
@@ -208,7 +210,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     do not overlap; those of different kinds may.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_scan_batches, "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
+    return d.mapInArrow(lean(_scan_batches), "doc_id long, spans array<struct<start: long, end: long, kind: string>>")
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -220,7 +222,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             texts = [None if x is None else redact(x, found, mark) if (found := scan(x)) else x for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, pa.field("text", pa.string()), pa.array(texts, pa.string()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.wordhash import U, binaries, text_batches, windows_of, words_of
+from segflow.llm.wordhash import U, binaries, lean, release, text_batches, windows_of, words_of
 
 #: Bytes of text whose windows share a bucket; it bounds the memory of a reducing task.
 BUCKET_BYTES = 6 << 20
@@ -152,6 +152,8 @@ def _reduce(table: pa.Table) -> pa.Table:
             "spans": pa.array([b""] * (len(ends) - 1), pa.binary()),
         }
     )
+    del order, late, origin, doc, h
+    release()
     return pa.concat_tables([passed, told])
 
 
@@ -231,9 +233,9 @@ def remove_repeated_passages(docs: DataFrame, width: int = 50, with_text: bool =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
-    packed = d.filter("doc_id is not null and text is not null").mapInArrow(_pack(width, n_buckets), _PACKED)
+    packed = d.filter("doc_id is not null and text is not null").mapInArrow(lean(_pack(width, n_buckets)), _PACKED)
     told = packed.groupBy("bucket").applyInArrow(_reduce, _TOLD)
     found = told.groupBy("origin").applyInArrow(_by_document, _FOUND)
     per_doc = found.groupBy("seg_id").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("spans").alias("spans"))
     joined = d.join(per_doc, d.doc_id == per_doc.seg_id, "left").select("doc_id", "text", "hashes", "spans")
-    return joined.mapInArrow(_rewrite(width, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept_text string")
+    return joined.mapInArrow(lean(_rewrite(width, with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept_text string")
