@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
+from segflow.llm.wordhash import lean
 
-#: Vectors that the quantisers are fitted on; vectors of a list, on average; lists at most.
+#: Vectors that the quantisers are fitted on; vectors of one label in a list, on average; lists at most.
 SAMPLE, PER_LIST, MAX_LISTS = 16_384, 256, 2048
 SUBSPACES, CODES = 8, 256
 #: Border distance within which a list is visited, in standard deviations of a random displacement.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.0
 #: Members and visitors that meet in one task.
 CHUNK = 1024
 
@@ -143,19 +144,22 @@ def _match(q: Quantiser, threshold: float, radius: float) -> Callable:
         if len(members) and len(visitors):
             codes = np.frombuffer(b"".join(table.column("code").take(pa.array(members)).to_pylist()), np.uint8).reshape(len(members), -1)
             error = table.column("error").to_numpy()[members]
-            space = np.arange(codes.shape[1])
-            for lo in range(0, len(visitors), 64):
-                asked = visitors[lo : lo + 64]
+            for lo in range(0, len(visitors), 128):
+                asked = visitors[lo : lo + 128]
                 tables = q.table(x[asked] - q.centres[cell])
-                for k, v in enumerate(asked.tolist()):
-                    bound = np.sqrt(tables[k][space, codes].sum(1)) - error
-                    js = members[bound <= radius + 1e-5]
-                    js = js[ids[js] != ids[v]]
-                    if side[v] == 2:  # a member as a visitor of its own list: each pair once
-                        js = js[ids[js] > ids[v]]
-                    js = js[x[js] @ x[v] >= threshold]
-                    left.append(np.full(len(js), v))
-                    right.append(js)
+                total = np.zeros((len(asked), len(members)))
+                for m in range(codes.shape[1]):
+                    total += tables[:, m, :].take(codes[:, m], axis=1)
+                near = np.sqrt(total) - error[None, :] <= radius + 1e-5
+                v, j = np.nonzero(near)
+                v, j = asked[v], members[j]
+                fit = (ids[j] != ids[v]) & ((side[v] != 2) | (ids[j] > ids[v]))  # a member visiting its own list meets each pair once
+                v, j = v[fit], j[fit]
+                for at in range(0, len(v), 1 << 16):
+                    p, r = v[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                    good = (x[p] * x[r]).sum(1) >= threshold
+                    left.append(p[good])
+                    right.append(r[good])
         a, b = np.concatenate(left), np.concatenate(right)
         np.add.at(count, a, 1)
         np.add.at(count, b, 1)
@@ -179,14 +183,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     whole = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("e", lambda c: c != 0)
     valid = v.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
     one = stage(valid.groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e"), "vectors")
-    n = one.count()
+    # vectors that a vector shares its label with, on average: lists are as many as these ask for
+    alike = one.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0
     sample = one.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("e").toPandas()["e"].tolist()
     empty = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not sample:
         return empty
     sizes, counts = np.unique([len(x) for x in sample], return_counts=True)
     dim = int(sizes[counts.argmax()])
-    fitted = fit(_unit(np.array([x for x in sample if len(x) == dim], np.float64)), max(1, min(MAX_LISTS, n // PER_LIST)))
+    fitted = fit(_unit(np.array([x for x in sample if len(x) == dim], np.float64)), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +199,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
             yield batch.set_column(1, "vector", pa.array([np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary()))
 
     packed = one.filter(F.size("e") == dim).select("vec_id", "e", "label").mapInArrow(to_bytes, "vec_id long, vector binary, label string")
-    visits = stage(packed.mapInArrow(_visit(fitted, radius, deviations), _VISITS), "visits")
+    visits = stage(packed.mapInArrow(lean(_visit(fitted, radius, deviations)), _VISITS), "visits")
     # chunks of members x chunks of visitors; members also visit their own list
     chunks = lambda k: F.greatest(F.lit(1), F.ceil(k / CHUNK)).cast("int")
     sizes_ = stage(visits.groupBy("label", "list").agg(chunks(F.sum((F.col("side") == 0).cast("int"))).alias("n_met"), chunks(F.count("*")).alias("n_own")), "sizes")
