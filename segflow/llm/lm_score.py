@@ -3,9 +3,14 @@
 Both are interpolated bigram models over words (hashes of lower-cased words), with the same
 order, smoothing and vocabulary, so that their per-token losses can be subtracted. Counts
 are made over every document in Spark. The vocabulary holds the words, and the models the
-bigrams, that make up at least one part in ``PARTS`` of the tokens of either corpus: by that
-rule they are at most 2 * PARTS each, whatever the input's size, and may be broadcast. All
-other words share one unknown word.
+bigrams, that occur ``LEAST`` times in either corpus, at every size of the input: the models
+grow with it. Words seen once share one unknown word; a bigram seen once is only the
+document that is scored.
+
+No task holds a model. Texts are cut into batches; a batch sends its distinct words and
+bigrams once, with their counts, packed by hash bucket. A bucket sums them over both corpora
+and tells each batch the counts of what it sent, in the order sent; with them the batch
+scores its documents. A frequent word or bigram is thus one entry for each batch.
 """
 
 from __future__ import annotations
@@ -15,14 +20,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.staging import stage
-from segflow.llm.wordhash import U, lean, mix, text_batches, words_of
+from segflow.llm.wordhash import U, binaries, lean, mix, release, text_batches, words_of
 
-#: Bounds vocabulary and bigrams: each at most 2 * PARTS entries of 24 bytes.
-PARTS = 250_000
+#: Occurrences in either corpus from which a word or bigram counts as seen, whatever the input's size.
+LEAST = 2
+#: Bytes of text whose n-grams are packed together, and whose n-grams share a bucket; they bound the memory of a task.
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
 #: Share of the bigram estimate where the previous word is known; pseudo-count of each vocabulary word.
 BIGRAM, PSEUDO = 0.7, 0.5
 UNKNOWN = U(0)
@@ -90,7 +98,7 @@ def _frequent(counted: DataFrame, parts: int) -> tuple[pa.Table, dict[str, int]]
     totals = counted.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first().asDict()
     often = F.lit(False)
     for k, n in totals.items():
-        often = often | (F.col(k) >= max(2.0, n / parts))
+        often = often | (F.col(k) >= max(float(LEAST), n / parts))
     return counted.filter(often).toArrow().sort_by("h"), totals
 
 
@@ -130,8 +138,8 @@ class NgramModels:
         return out[0], out[1]
 
 
-def fit_models(background: DataFrame, target: DataFrame, parts: int = PARTS) -> NgramModels:
-    """Both models from the whole texts of both corpora (column ``text``)."""
+def fit_models(background: DataFrame, target: DataFrame, parts: int) -> NgramModels:
+    """Both models from the whole texts of both corpora (column ``text``), cut to at most 2 * ``parts`` entries each: only what makes up one part in ``parts`` of a corpus."""
     text = lambda d: d.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     texts = {"target": text(target), "background": text(background)}
     words, totals = _frequent(_counts(texts, None), parts)
@@ -147,7 +155,7 @@ def score_documents(docs: DataFrame, models: NgramModels) -> DataFrame:
     doc_id and text are read. Null, empty or wordless text: 0 tokens and null losses.
     Repeated rows are each scored; a null id stays null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 4 * PARTS entries
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 4 * parts entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,8 +173,147 @@ def score_documents(docs: DataFrame, models: NgramModels) -> DataFrame:
     return d.mapInArrow(lean(run), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, parts: int = PARTS) -> DataFrame:
-    """score_documents with ``docs`` as the background. An empty target leaves its model uniform over the vocabulary."""
-    return score_documents(docs, fit_models(docs, target, parts))
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(origin, size, rows): the rows (doc_id, text) of each batch, packed."""
+    origin = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for lo, hi, buf, _ in text_batches(batch.column(1), BATCH_BYTES):
+            origin += 1
+            rows = batch.slice(lo, hi - lo)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([len(buf)], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["origin", "size", "rows"])
 
 
+def _unpacked(rows: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Ids, words and first words of a batch's rows."""
+    table = pa.ipc.open_stream(rows).read_all().combine_chunks()
+    text = table.column(1).combine_chunks()
+    text = text if isinstance(text, pa.Array) else text.chunk(0)
+    _, _, buf, offsets = next(text_batches(text, 1 << 62))
+    return table.column(0), *words_of(buf, offsets, lower=True)
+
+
+def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Ascending in the hash."""
+    return ((hashes >> U(32)) * U(n)) >> U(32)
+
+
+def _pack(is_target: bool, n_buckets: int) -> Callable:
+    """(bucket, kind, target, origin, hashes, counts): distinct words (kind 0) and bigrams (kind 1) of each batch, ascending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _, words, first = _unpacked(rows.as_py())
+                grams, has = _bigrams(words, first)
+                for kind, x in enumerate((words, grams[has])):
+                    h, n = np.unique(x, return_counts=True)
+                    bucket = _buckets(h, n_buckets)
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+                    k = len(cuts) - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, is_target)), pa.array(np.full(k, origin, np.int64)), binaries(h, cuts), binaries(n.astype(np.int32), cuts)],
+                        ["bucket", "kind", "target", "origin", "hashes", "counts"],
+                    )
+
+    return run
+
+
+_TOLD = "origin long, kind int, bucket long, in_target binary, in_background binary, n_words long, target long, background long, target_seen long, background_seen long"
+
+
+def _sum_bucket(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each batch of the background the counts (0: not seen) of what it sent; and a row with no origin, the bucket's words and tokens."""
+    bucket, out = table.column("bucket")[0].as_py(), []
+    stats = np.zeros(5, np.int64)
+    for kind in (0, 1):
+        own = table.filter(pa.compute.equal(table.column("kind"), kind))
+        if not len(own):
+            continue
+        parts = [np.frombuffer(x, U) for x in own.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in parts])
+        h, n = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int32) for x in own.column("counts").to_pylist()]).astype(np.int64)
+        target = own.column("target").to_numpy()
+        side = np.repeat(target, sizes)
+        values, place = np.unique(h, return_inverse=True)
+        sums = [np.bincount(place, n * mine, len(values)).astype(np.int64) for mine in (side, ~side)]
+        seen = (sums[0] >= LEAST) | (sums[1] >= LEAST)
+        if kind == 0:
+            stats[:] = [seen.sum(), sums[0].sum(), sums[1].sum(), sums[0][seen].sum(), sums[1][seen].sum()]
+        told = place[~side]
+        cuts = np.cumsum([0, *sizes[~target]])
+        k = len(cuts) - 1
+        none = pa.array(np.zeros(k, np.int64))
+        counts = [binaries(np.where(seen, x, 0)[told], cuts) for x in sums]
+        out.append(pa.Table.from_arrays([pa.array(own.column("origin").to_numpy()[~target]), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *[none] * 5], names=_NAMES))
+        del parts, h, n, side, values, place, sums, told
+        release()
+    empty = pa.array([b""], pa.binary())
+    out.append(pa.Table.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket]), empty, empty, *(pa.array([x]) for x in stats.tolist())], names=_NAMES))
+    return pa.concat_tables(out)
+
+
+_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
+
+
+def _score_batch(n_words: int, tokens: tuple[int, int], seen: tuple[int, int]) -> Callable:
+    """Scores of one batch's documents by the counts that the buckets told it."""
+
+    def run(batch: pa.Table, told: pa.Table) -> pa.Table:
+        told = told.sort_by("bucket")
+        counts = []
+        for kind in (0, 1):
+            own = told.filter(pa.compute.equal(told.column("kind"), kind))
+            counts.append([np.frombuffer(b"".join(own.column(c).to_pylist()), np.int64) for c in ("in_target", "in_background")])
+        out = []
+        for rows in batch.column("rows").to_pylist():  # one
+            ids, words, first = _unpacked(rows)
+            grams, has = _bigrams(words, first)
+            word = np.unique(words, return_inverse=True)[1]
+            pair = np.unique(grams[has], return_inverse=True)[1]
+            before = np.concatenate([[0], word[:-1]])[: len(word)].astype(np.int64)
+            known = counts[0][0] + counts[0][1] > 0
+            n, means = np.diff(first), []
+            for single, pairs, total, mass in zip(*counts, tokens, seen):
+                p = (np.where(known, single, total - mass) + PSEUDO) / (total + PSEUDO * (n_words + 1))
+                context = np.where(has, single[before], 0)
+                share = np.where(context > 0, BIGRAM, 0.0)
+                count = np.zeros(len(words))
+                count[has] = pairs[pair]
+                loss = -np.log(share * count / np.maximum(context, 1) + (1 - share) * p[word])
+                upto = np.concatenate([[0.0], np.cumsum(loss)])
+                means.append(pa.array((upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1), mask=n == 0))
+            out.append(pa.table({"doc_id": ids, "n_tokens": n.astype(np.int64), "target_loss": means[0], "background_loss": means[1], "difference": pa.compute.subtract(*means)}))
+        release()
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _whole_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string").alias("text")
+    cut = lambda d, label: stage(d.mapInArrow(lean(_batched), "origin long, size long, rows binary"), label)
+    background = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "background")
+    goal = cut(target.select(F.lit(0).cast("long").alias("doc_id"), text), "target")
+    size = background.unionByName(goal).agg(F.sum("size")).first()[0] or 0
+    n_buckets = max(1, -(-size // BUCKET_BYTES))
+    pack = lambda d, is_target: d.select("origin", "rows").mapInArrow(lean(_pack(is_target, n_buckets)), "bucket long, kind int, target boolean, origin long, hashes binary, counts binary")
+    told = stage(pack(background, False).unionByName(pack(goal, True)).groupBy("bucket").applyInArrow(_sum_bucket, _TOLD), "told")
+    stats = told.filter("origin is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _NAMES[5:])).first()
+    answers = told.filter("origin is not null").select("origin", "kind", "bucket", "in_target", "in_background")
+    run = _score_batch(stats[0], (stats[1], stats[2]), (stats[3], stats[4]))
+    return background.select("origin", "rows").groupBy("origin").cogroup(answers.groupBy("origin")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, parts: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference), as score_documents has them, with ``docs`` as the background.
+
+    Every word and bigram seen LEAST times in either corpus counts. Only a caller that gives
+    ``parts`` gets the models of fit_models, cut to a fixed size. An empty target leaves its
+    model uniform over the vocabulary.
+    """
+    if parts is not None:
+        return score_documents(docs, fit_models(docs, target, parts))
+    return _whole_difference(docs, target)

@@ -307,6 +307,25 @@ def test_losses_match_brute_force(spark):
     assert none.collect() == []
 
 
+def test_models_keep_what_is_seen_twice(spark, monkeypatch):
+    """Over 500,000 tokens, where a cut by share of the tokens would drop n-grams seen twice."""
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 1 << 18)  # many batches and buckets
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 18)
+    r = random.Random(10)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 40_000}" for _ in range(900))) for i in range(640)]
+    docs += [(700 + i, "rare words that only two documents hold") for i in range(2)] + [(900, None), (901, " "), (None, "w1 W2 once-only")]
+    target = ["w1 w2 w3 w1 w2 rare words", "w5 w1 w2 target only target only", None]
+    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, origin int").repartition(3)
+    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(frame, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
+    assert len(got) == len(docs)
+    for i, (n, t, b) in brute_losses(docs, target, math.inf).items():
+        assert got[i].n_tokens == n
+        if n:
+            assert (got[i].target_loss, got[i].background_loss, got[i].difference) == pytest.approx((t, b, t - b), abs=1e-9)
+        else:
+            assert got[i].target_loss is None and got[i].difference is None
+
+
 # classifier
 
 
