@@ -16,8 +16,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies. Rows that share an id count as copies; rows with a null id stay."""
-    return minhash_dedup.drop_near_duplicates(docs)
+    """One document of each group of near copies, of similarity 0.8 or more. Rows that share an id count as copies; rows with a null id stay."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def secret_scanning(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

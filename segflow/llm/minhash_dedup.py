@@ -30,7 +30,10 @@ from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
 from segflow.llm.wordhash import U, binaries, lean, mix, release, text_batches, windows_of, words_of
 
-BANDS, ROWS = 24, 5
+#: Signature values in a band.
+ROWS = 5
+#: Chance that a pair at the threshold shares no band.
+UNSEEN = 1e-6
 #: Chance to lose a true link in the Bayesian steps.
 MISS = 1e-9
 #: Signature values compared before each decision.
@@ -80,6 +83,12 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    """The least number of bands that miss a pair at the threshold with a chance of at most UNSEEN: 24 at 85 %, 35 at 80 %."""
+    alike = (percent / 100) ** rows
+    return 1 if alike >= 1 else math.ceil(math.log(UNSEEN) / math.log1p(-alike))
+
+
 def _sign(size: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,16 +261,18 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return leaves.unionByName(centres).groupBy("u", "lot").applyInArrow(_verify(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int | None = None, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; others are ignored).
 
     Texts are lower-cased (A-Z) and cut into words; two documents are linked when 100 * shared
     shingles >= percent * all shingles of both. component_id is the smallest doc_id reachable
     by links. Null, empty or wordless text: empty set, no links, its own component. Rows with
     a null id have a null component and are not kept. Repeated rows, and rows that share an
-    id, are one node; each row is returned. With the default bands a pair at the threshold is
-    missed as a candidate with probability (1 - 0.85**5)**24 < 1e-6. Empty input: empty result.
+    id, are one node; each row is returned. By default the bands follow from ``percent``, so
+    that a pair at the threshold is missed as a candidate with probability UNSEEN at most.
+    Empty input: empty result.
     """
+    bands = bands or bands_for(percent, rows)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stage(d.mapInArrow(lean(_sign(size, bands, rows)), "doc_id long, n_shingles long, f1 long, f2 long, sig binary"), "signed")
     some = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -321,7 +332,7 @@ def _band_rows(bands: int, rows: int) -> Callable:
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the one with the smallest id.
 
     Of several rows with one id the least row stays. Rows with a null id are kept; so are

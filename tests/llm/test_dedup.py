@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from segflow.llm import minhash_dedup, pq_dedup, substring_dedup
 from segflow.llm.components import connected_components
 
@@ -148,6 +149,22 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     assert minhash_dedup.likely_pairs(sig, sig, np.array([0]), np.array([0]), least)[0]
 
 
+def test_bands_follow_the_threshold():
+    assert (minhash_dedup.bands_for(85), minhash_dedup.bands_for(80), minhash_dedup.bands_for(100)) == (24, 35, 1)
+    assert all((1 - (p / 100) ** 5) ** minhash_dedup.bands_for(p) <= 1e-6 for p in (50, 70, 80, 85, 90, 99))
+
+
+def test_pipeline_stage_drops_copies_from_80_percent(spark, sf):
+    rows = []
+    for g in range(20):
+        own = [f"v{k}g{g}" for k in range(104)]  # 100 shingles; similarity of the others: 95/105, 91/109 (0.835), 87/113 (0.77)
+        others = [[*own[:52], "x", *own[53:]], [*own[:-9], *(f"z{k}" for k in range(9))], [*own[:40], *(f"y{k}" for k in range(9)), *own[49:]]]
+        rows += [(10 * g + k, " ".join(w)) for k, w in enumerate([own, *others])]
+    want = {i for i, (_, _, kept) in brute_near(rows, 80).items() if kept}
+    assert want == {10 * g + k for g in range(20) for k in (0, 3)}
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     r = random.Random(seed)
