@@ -1,7 +1,7 @@
 """Secrets in texts: plain patterns, then candidates confirmed by their structure.
 
 Base kinds are textual. The structural kinds are reported only after decoding: base64 and
-hex candidates must parse as a DER key (tags and nested lengths that fill their parents),
+hex candidates (base64 on one line or wrapped) must parse as a DER key (tags and nested lengths that fill their parents),
 an OpenSSH key (its magic, counts and length-prefixed strings that end with the buffer) or
 a signed token (a JSON header that names an algorithm, a JSON body, a signature of the
 length the algorithm asks for).
@@ -29,9 +29,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "openssh", "hexkey"]
 
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,60})-----((?:[A-Za-z0-9+/=\s]|\\+[nrt])*)-----END \1-----")  # line ends may be written as \n
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_.-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{38,}={0,2}(?![A-Za-z0-9+/_=-])")
+# Where a key may begin: not inside a word, but after any of "+/_-=", and after a line end written as \n.
+_B64_START = re.compile(r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))(?=M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+_B64_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_B64_BREAK = re.compile(r"[ \t]*(?:\r\n|\n|\r|\\+r\\+n|\\+[nr])[ \t]*(?=[A-Za-z0-9+/_-])")
+_B64_END = re.compile(r"(?:[ \t]*(?:\r?\n|(?:\\+r)?\\+n)[ \t]*(?==))?={1,2}|(?![A-Za-z0-9+/])")
+#: Bytes of the shortest key that is looked for in base64.
+_SHORTEST = 30
 _HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{2}|6[Ff]70656e7373682d6b65792d7631)(?:[0-9A-Fa-f]{2}){30,}(?![0-9A-Fa-f])")
 # Signature bytes that each algorithm asks for (None: any length over 0).
 _SIGNATURES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
@@ -69,6 +75,14 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def der_size(data: bytes) -> int | None:
+    """Bytes of the element that begins ``data``, by its header."""
+    if len(data) < 2 or data[1] < 0x80:
+        return 2 + data[1] if len(data) > 1 else None
+    n = data[1] & 0x7F
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 and len(data) >= 2 + n else None
+
+
 def is_der_key(data: bytes) -> bool:
     """A PKCS#1, SEC1, PKCS#8 (plain or encrypted) or SubjectPublicKeyInfo structure, whole."""
     top = der_items(data)
@@ -118,6 +132,13 @@ def is_openssh_key(data: bytes) -> bool:
     return bool(keys) and not keys[1] and is_ssh_public(keys[0][0]) and len(keys[0][1]) >= 32 and len(keys[0][1]) % 8 == 0
 
 
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the openssh-key-v1 private key that begins ``data``, by its lengths."""
+    head = _ssh_strings(data[len(_SSH_MAGIC) :], 3)
+    keys = _ssh_strings(head[1][4:], 2) if head else None
+    return len(data) - len(keys[1]) if keys else None
+
+
 def is_ssh_public(data: bytes) -> bool:
     """A public key blob: its type, then length-prefixed fields to the end."""
     first = _ssh_strings(data, 1)
@@ -148,6 +169,45 @@ def is_signed_token(header: str, body: str, signature: str) -> bool:
     return len(sig) == need if need else len(sig) >= 128
 
 
+def _joined(text: str, at: int, most: int) -> tuple[str, int]:
+    """The first ``most`` base64 characters from ``at`` on, or as many as follow each other, across line ends; and where they end."""
+    runs, left, end = [], most, at
+    while left and (run := _B64_RUN.match(text, at, at + left)):
+        runs.append(run[0])
+        left -= len(run[0])
+        end = run.end()
+        gap = _B64_BREAK.match(text, end)
+        if not gap:
+            break
+        at = gap.end()
+    return "".join(runs), end
+
+
+def base64_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys in base64, on one line or wrapped. A key's own lengths say where it ends; what follows must not go on with base64."""
+    done = 0
+    for m in _B64_START.finditer(text):
+        at = m.start()
+        if at < done:
+            continue
+        ssh = text[at] == "b"
+        body, _ = _joined(text, at, len(text) if ssh else 12)
+        head = unbase64(body[: len(body) - (len(body) % 4 == 1)]) or b""
+        size = openssh_size(head) if ssh else der_size(head)
+        if not size or not _SHORTEST <= size <= len(text):
+            continue
+        inner = 2 + (head[1] & 0x7F if head[1] >= 0x80 else 0)
+        if not ssh and head[inner : inner + 1] not in (b"\x02", b"\x30"):
+            continue  # no key begins so
+        need = -(-size * 4 // 3)
+        body, end = _joined(text, at, need)
+        after = _B64_END.match(text, end) if len(body) == need else None
+        data = unbase64(body) if after else None
+        if data and (is_openssh_key if ssh else is_der_key)(data):
+            done = after.end()
+            yield at, done, "openssh" if ssh else "der"
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, ordered by start and then by kind as KINDS lists them."""
     found: list[tuple[int, int, str]] = []
@@ -162,19 +222,11 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            data = unbase64(re.sub(r"\s", "", m[2]))
+            data = unbase64(re.sub(r"\s|\\+[nrt]", "", m[2]))
             if data and (is_der_key(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
                 taken.append(m.span())
-    for m in _B64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        data = unbase64(m[0])
-        if data:
-            if is_der_key(data):
-                found.append((m.start(), m.end(), "der"))
-            elif is_openssh_key(data):
-                found.append((m.start(), m.end(), "openssh"))
+    found += [x for x in base64_keys(text) if not any(a <= x[0] < b for a, b in taken)]
     for m in _HEXKEY.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data) or is_openssh_key(data):

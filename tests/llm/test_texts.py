@@ -137,6 +137,31 @@ def test_structural_secrets():
     assert kinds(base64.b64encode(ssh[:-3] + b"zzzz").decode()) == []
 
 
+def test_structural_secrets_in_their_usual_places():
+    key = base64.b64encode(pkcs8()).decode()
+    short = base64.b64encode(der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, bytes(range(32)))))).decode()
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    public = string(b"ssh-ed25519") + string(bytes(32))
+    ssh = base64.b64encode(b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(public) + string(bytes(136))).decode()
+    wrap = lambda x, end, n=64: end.join(x[i : i + n] for i in range(0, len(x), n))
+    assert short.startswith("MC4CAQAwBQYDK2Vw")
+
+    def found(text):
+        return [(text[a:b], k) for a, b, k in secret_scan.scan(text)]
+
+    for k, kind in ((key, "der"), (short, "der"), (ssh, "openssh")):
+        for before in ("PRIVATE_KEY=", "a/", "x_", "x-", "MA/", "MIIB-", "=", '{"k":"a\\n', "+"):
+            assert found(f"{before}{k} end") == [(k, kind)], before
+        for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+            for n in (20, 64):
+                assert found(f"key:\n{wrap(k, end, n)}\nand more") == [(wrap(k, end, n), kind)], (end, n)
+            pem = f"-----BEGIN PRIVATE KEY-----{end}{wrap(k, end)}{end}-----END PRIVATE KEY-----"
+            assert found('{"key": "' + pem + '"}') == [(pem, "pem")]
+        assert found(f"x{k} end") == [] and found(f"{k.rstrip(chr(61))}Ab end") == [] and found(f"{wrap(k, chr(10))[:-9]}\n") == []
+        assert secret_scan.redact(f"K={k};", secret_scan.scan(f"K={k};")) == "K=[SECRET];"
+    assert found("MAKE MAPS\nMIDDLE MONEY/MAIN-MAIL_MINE\nMIIEvQ then\nmore words") == []
+
+
 def brute_base(text):
     out = []
     for m in re.finditer(r"""(?a)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
