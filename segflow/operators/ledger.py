@@ -61,10 +61,13 @@ def set_entries(ledger: DataFrame, updates: DataFrame, column: str) -> DataFrame
 
 
 def batch_outcome(results: DataFrame) -> DataFrame:
-    """(n_videos, n_failed, failed): one row; ``results``: video_id, error (null: success). ``failed`` lists at most 1000 ids, least first."""
-    bad = results.filter("error is not null").orderBy("video_id").limit(1000).agg(F.sort_array(F.collect_list("video_id")).alias("failed"))
-    n = results.agg(F.count("*").cast("long").alias("n_videos"), F.count("error").cast("long").alias("n_failed"))
-    return n.crossJoin(bad)  # one row each
+    """(n_videos, n_failed): one row; ``results``: video_id, error (null: success)."""
+    return results.agg(F.count("*").cast("long").alias("n_videos"), F.count("error").cast("long").alias("n_failed"))
+
+
+def failed_videos(results: DataFrame) -> DataFrame:
+    """(video_id, error): a row for every failure."""
+    return results.filter("error is not null").select("video_id", "error")
 
 
 def case_grid(spark) -> DataFrame:

@@ -621,7 +621,8 @@ def f5_unfinished_media(spark, d):
 @query(f"WITH {S.F7} SELECT count(*) AS n_videos, count(*) FILTER (secs % 50 = 7) AS n_failed, (SELECT string_agg(video_id, ',' ORDER BY video_id) FROM (SELECT video_id FROM media WHERE secs % 50 = 7 ORDER BY video_id LIMIT 1000)) AS failed FROM media")
 def a9_batch_outcome(spark, d):
     results = X.media(spark, d).withColumn("error", F.when(F.col("video_id").cast("long") % 50 == 7, F.lit("decode")))
-    return ledger.batch_outcome(results).withColumn("failed", F.when(F.size("failed") > 0, F.array_join("failed", ",")))
+    failed = ledger.failed_videos(results).agg(F.sort_array(F.collect_list("video_id")).alias("failed"))  # all, in one value: the form of the SQL
+    return ledger.batch_outcome(results).crossJoin(failed).withColumn("failed", F.when(F.size("failed") > 0, F.array_join("failed", ",")))
 
 
 _CASES = """

@@ -221,6 +221,13 @@ def test_ledger_entries(spark):
     assert {r.video_id: r.steps for r in ledger.set_entries(docs, new, "steps").collect()} == {"1": {"a": "x", "b": "z", "c": "w"}, "2": {"q": "r"}}
 
 
+def test_every_failure_is_listed(spark):
+    results = spark.range(3000).select(F.col("id").cast("string").alias("video_id"), F.when(F.col("id") % 2 == 0, F.lit("decode")).alias("error"))
+    assert [tuple(r) for r in ledger.batch_outcome(results).collect()] == [(3000, 1500)]
+    assert sorted((int(r.video_id), r.error) for r in ledger.failed_videos(results).collect()) == [(i, "decode") for i in range(0, 3000, 2)]
+    assert ledger.failed_videos(results.limit(0)).collect() == []
+
+
 def test_case_grid(spark):
     rows = ledger.case_grid(spark).orderBy("case_no").collect()
     assert len(rows) == 12 and rows[0].case_id == "asr-vibevoice__audio-separated__tts-omnivoice" and rows[11].case_id == "asr-whisper__audio-rawaudio__tts-irodori"
