@@ -8,8 +8,6 @@ documents, attention cost), the one that scores best is taken. Full pieces fill
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,83 +17,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.staging import stage
-from segflow.llm.wordhash import lean
+from segflow.llm.tokens import encoder
+from segflow.llm.wordhash import binaries, lean, text_batches
 
 LENGTH, END_ID = 1024, 2
 #: Pieces packed together in one task.
 LOT = 4096
-#: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 300_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-class _Encoder:
-    """Ids of texts by the tokenizer at ``path``, as little-endian uint32 bytes.
-
-    The tokenizer cuts a text into pre-tokens that it encodes one by one. For texts of
-    Latin letters the cut is repeated here with ``re``, and the tokenizer is asked once for
-    each distinct pre-token; other texts go to it whole. Ids are equal either way.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        top = 0x250
-        cls = lambda kind: "".join(re.escape(chr(c)) for c in range(top) if unicodedata.category(chr(c))[0] == kind)
-        letters, digits, space = cls("L"), cls("N"), r"\t-\r \x85\xa0"
-        self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+").findall
-        self.plain = re.compile(rf"[\0-{chr(top - 1)}]*").fullmatch
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        if not self.plain(text):
-            return self._ask([text])[0]
-        parts = self.cut(text)
-        new = list(set(parts).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = list(set(parts))
-            self.known.update(zip(new, self._ask(new)))
-        return b"".join(map(self.known.__getitem__, parts))
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-_encoders: dict[str, _Encoder] = {}
-
-
-def _encoder(path: str) -> _Encoder:
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
-
-
 def _cut(tokenizer: str | None, length: int, end_id: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoder(tokenizer or default_tokenizer())
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer or default_tokenizer())
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                at, size = 0, n % length or min(n, length)
-                k = 0
-                while at < n:
-                    part = ids[4 * at : 4 * (at + size)]
-                    for c, x in zip(out, (doc, k, at, size, zlib.crc32(part), part if with_ids else None)):
-                        c.append(x)
-                    at, k, size = at + size, k + 1, length
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+            docs = batch.column(0)
+            for lo, hi, buf, offsets in text_batches(batch.column(1)):
+                ids, first = encode(buf, offsets)
+                # the end id goes behind each text
+                closed = np.full(len(ids) + hi - lo, end_id, "<u4")
+                closed[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), np.diff(first))] = ids
+                n = np.diff(first) + 1
+                pieces = -(-n // length)
+                row = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                short = (n - 1) % length + 1
+                size = np.where(piece == 0, short[row], length)
+                start = np.where(piece == 0, 0, short[row] + (piece - 1) * length)
+                cuts = np.append(np.cumsum(size) - size, len(closed))
+                whole = memoryview(closed).cast("B")
+                crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        docs.slice(lo, hi - lo).take(pa.array(row)),
+                        pa.array(piece.astype(np.int32)),
+                        pa.array(start.astype(np.int64)),
+                        pa.array(size.astype(np.int64)),
+                        pa.array(crc, pa.int64()),
+                        binaries(closed, cuts) if with_ids else pa.nulls(len(row), pa.binary()),
+                    ],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
+                )
 
     return run
 
@@ -110,8 +72,10 @@ def default_tokenizer() -> str:
 def cut_into_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, ids): the pieces of each document's ids and ``end_id``.
 
-    ``docs`` needs doc_id and text; others are ignored. Null text is empty (one piece: the
-    end id). ``ids`` are little-endian uint32 (null unless ``with_ids``). A null id stays null.
+    ``docs`` needs doc_id and text; others are ignored. ``tokenizer``: a file that the
+    tokenizers library reads; its added tokens count as such where a text holds them. Null text
+    is empty (one piece: the end id). ``ids`` are little-endian uint32 (null unless
+    ``with_ids``). A null id stays null; rows that share an id are each cut.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(lean(_cut(tokenizer, length, end_id, with_ids)), _PIECES)
@@ -162,10 +126,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple
 
 def _pack_lot(capacity: tuple[int, int, int], weights: tuple[float, float, float], rule: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         bins, offsets = best_fit(table.column("length").to_numpy(), capacity, weights, rule)
         lot = table.column("lot")[0].as_py()
-        return table.drop_columns(["lot"]).append_column("sequence_id", pa.array(lot * (1 << 32) + bins)).append_column("offset", pa.array(offsets))
+        return table.drop_columns(["lot", "row"]).append_column("sequence_id", pa.array(lot * (1 << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return run
 
@@ -178,26 +142,28 @@ def pack(
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
     rule: str = "norm",
     lot: int = LOT,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """``pieces`` (doc_id, piece, start, length, ids_crc32, with ``with_ids`` also ids) with sequence_id and offset.
 
     Capacities of a sequence: ``length`` tokens, ``max_docs`` pieces (default: length) and
     ``max_cost``, the sum of squared lengths (default: length squared). With these defaults
     only tokens bind, so sequences are as few as best fit can make them; the other two
     still steer the choice of the bin. Lots hold about ``lot`` pieces whatever the input's
-    size, so what a lot leaves unfilled (its last bin or two) is a fixed share.
+    size, so what a lot leaves unfilled (its last bin or two) is a fixed share. Rows are dealt
+    to lots one by one, so neither a repeated nor a null id gathers in one of them.
     """
-    p = stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    p = stage(pieces.select(*names, F.monotonically_increasing_id().alias("row")), "pieces")
     n_lots = max(1, -(-p.count() // lot))
-    dealt = p.withColumn("lot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_lots)))
+    dealt = p.withColumn("lot", F.pmod(F.xxhash64("row"), F.lit(n_lots)))
     capacity = (length, max_docs or length, max_cost or length * length)
-    return dealt.groupBy("lot").applyInArrow(_pack_lot(capacity, weights, rule), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = "doc_id long, piece int, start long, length long, ids_crc32 long, " + ("ids binary, " if with_ids else "") + "sequence_id long, offset long"
+    return dealt.groupBy("lot").applyInArrow(_pack_lot(capacity, weights, rule), out)
 
 
-def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids, doc_ids): the packed sequences with their ids in order."""
-    # ids join their places by piece; the checksum tells rows that share an id apart
-    joined = packed.join(pieces.select("doc_id", "piece", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "ids_crc32"]), ["doc_id", "piece", "ids_crc32"])
-    parts = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("parts"))
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, length, ids, doc_ids): the sequences of ``packed`` (with ids), their pieces in order."""
+    parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("parts"))
     ids = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
     return parts.select("sequence_id", F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), ids.alias("ids"), F.transform("parts", lambda x: x["doc_id"]).alias("doc_ids"))

@@ -6,10 +6,10 @@ from collections import Counter, defaultdict
 import numpy as np
 
 import corpus_pipeline
-from segflow.llm import packing, quality_crf, secret_scan
+from segflow.llm import quality_crf, secret_scan
 from segflow.llm.staging import clear_staged, stage
 from tests.llm.test_dedup import brute_near
-from tests.llm.test_texts import brute_base
+from tests.llm.test_texts import brute_base, fresh_tokenizer
 
 
 def test_every_stage(spark, sf):
@@ -45,7 +45,7 @@ def test_every_stage(spark, sf):
     total = lambda d: sum(len((r.text or "").split()) for r in d.collect())
     assert abs(total(mixed) - total(clean)) <= 20 * max(len((r.text or "").split()) for r in clean.collect())
 
-    encode = packing._Encoder(packing.default_tokenizer())
+    tokenizer, _ = fresh_tokenizer()
     rows = steps["best_fit_packing"](spark, mixed, sf).collect()
     pieces, bins = Counter(), defaultdict(list)
     for r in rows:
@@ -53,7 +53,7 @@ def test_every_stage(spark, sf):
         bins[r.sequence_id].append((r.offset, r.length))
     wanted = Counter()
     for r in mixed.collect():
-        ids = np.append(np.frombuffer(encode(r.text or ""), "<u4"), np.uint32(2)).astype("<u4")
+        ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
         at, size, k = 0, len(ids) % 1024 or min(1024, len(ids)), 0
         while at < len(ids):
             wanted[r.doc_id, k, at, size, zlib.crc32(ids[at : at + size].tobytes())] += 1

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segflow.llm import chat_format, line_rules, lm_score, mixing, packing, quality_crf, secret_scan
+from segflow.llm import chat_format, line_rules, lm_score, mixing, packing, quality_crf, secret_scan, tokens
 
 DOCS = "doc_id long, text string, source string"
 
@@ -52,22 +52,50 @@ def test_chat_round_trip(spark):
 # packing
 
 
-def test_encoder_agrees_with_the_tokenizer():
-    encode = packing._Encoder(packing.default_tokenizer())
+def fresh_tokenizer(name="byte_bpe_50k.json"):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name)), public_tokenizers.path(name)
+
+
+def encoded(encoder, texts):
+    """Ids of each text by the batch encoder."""
+    raw = [t.encode() for t in texts]
+    ids, first = encoder(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+
+
+def test_encoder_agrees_with_the_tokenizer(monkeypatch):
+    tokenizer, path = fresh_tokenizer()
     r = random.Random(1)
-    alphabet = ["a", "B", "é", "'s", "'ll", " ", "  ", "\n", "\t", "1", "23", "!", "...", "\x1c", "\x85", "\xa0", "ſ", "<|endoftext|>", "中", "　", "🙂", "_", "²", "ª"]
-    texts = ["", *("".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(1500))]
-    texts += ["".join(chr(r.randrange(0x250)) for _ in range(80)) for _ in range(1500)]
-    whole = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(encode(t), "<u4").tolist() for t in texts] == [e.ids for e in whole]
+    alphabet = ["a", "B", "é", "'s", "'ll", "'", "'re", "'v", "'m'd", " ", "  ", "\n", "\t", "1", "23", "!", "...", "\x1c", "\x85", "\xa0", "ſ", "<|endoftext|>", "中", "　", "🙂", "_", "²", "ª", "“", "’s", "—", "\u0301", "\u2028", "\u200b", "٣"]
+    texts = ["", *("".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(2500))]
+    texts += ["".join(chr(r.randrange(0x250)) for _ in range(80)) for _ in range(1000)]
+    texts += ["".join(chr(r.choice([r.randrange(0xD800), r.randrange(0xE000, 0x20000), r.randrange(0x2100), 32])) for _ in range(60)) for _ in range(500)]
+    texts += ["x" * 5000, " " * 3000, "ab " * 4000, "'s'", "'", "'s", "\n'll", "a <|endoftext|> b", "<|endoftext|>", "“Don’t,” he said — it’s “fine”… 'twas"]
+    r.shuffle(texts)
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    encoder = tokens.BatchEncoder(path)
+    assert encoder.ranked is not None and encoded(encoder, texts) == want
+    assert encoded(encoder, texts[:900]) == want[:900] and encoded(encoder, []) == [] and encoded(encoder, ["", ""]) == [[], []]
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)  # forgets all the time
+    assert sum((encoded(encoder, texts[i : i + 100]) for i in range(0, 1000, 100)), []) == want[:1000]
+
+
+def test_encoder_takes_other_tokenizers():
+    tokenizer, path = fresh_tokenizer("word_bpe_49k.json")
+    texts = ["Some WORDS, don't you  think?", "", "naïve café 123", "<|startoftext|> a\n\nb"]
+    assert encoded(tokens.BatchEncoder(path), texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing_is_whole_and_tight(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "hot " * 5000)], "doc_id long, text string"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "hot " * 5000), (10**6 + 3, "a <|endoftext|> “b”")], "doc_id long, text string"))
     pieces = packing.cut_into_pieces(docs)
-    packed = packing.pack(pieces)
+    packed = packing.pack(pieces, with_ids=True)
     ids = {}
-    tokenizer = packing._Encoder(packing.default_tokenizer()).tokenizer
+    tokenizer, _ = fresh_tokenizer()
     for r in docs.collect():
         ids[r.doc_id] = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
     seen, bins = defaultdict(list), defaultdict(list)
@@ -87,11 +115,47 @@ def test_packing_is_whole_and_tight(spark, sf):
         assert at <= 1024
     total = sum(map(len, ids.values()))
     assert len(bins) <= math.ceil(total / 1024) * 1.03 + 2
-    rebuilt = packing.sequences(packed, pieces).collect()
+    rebuilt = packing.sequences(packed).collect()
     assert sum(r.length for r in rebuilt) == total and all(len(r.ids) == 4 * r.length for r in rebuilt)
+    assert Counter(i for r in rebuilt for i in np.frombuffer(r.ids, "<u4").tolist()) == Counter(i for x in ids.values() for i in x)
     assert packing.pack(packing.cut_into_pieces(docs.limit(0))).collect() == []
 
 
+def brute_best_fit(lengths, capacity, weights, rule):
+    """Bins (longest piece first) by the definition: of those with room, the one of least score, the oldest of equals."""
+    room, out = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        fits = [b for b, r in enumerate(room) if all(x >= y for x, y in zip(r, need))]
+        if rule == "norm":
+            score = lambda b: sum((w * ((x - y) / c)) ** 2 for x, y, c, w in zip(room[b], need, capacity, weights))
+        else:
+            score = lambda b: sum(w * ((x / c) * (y / c)) for x, y, c, w in zip(room[b], need, capacity, weights))
+        if fits:
+            at = min(fits, key=lambda b: (score(b), b))
+        else:
+            at = len(room)
+            room.append(list(capacity))
+        room[at] = [x - y for x, y in zip(room[at], need)]
+        out[i] = at
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(100, 100, 10_000), (100, 4, 10_000), (128, 6, 4000)])
+def test_best_fit_matches_brute_force(rule, capacity):
+    for seed in range(4):
+        lengths = np.random.default_rng(seed).integers(1, 64, 300)
+        bins, _ = packing.best_fit(lengths, capacity, (1.0, 0.25, 0.25), rule)
+        assert bins.tolist() == brute_best_fit(lengths.tolist(), capacity, (1.0, 0.25, 0.25), rule)
+
+
+def test_null_ids_are_dealt_to_all_lots(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "1 as row", "2 as lot")
+    packed = packing.pack(packing.cut_into_pieces(docs), lot=300).selectExpr("shiftright(sequence_id, 32) as lot").groupBy("lot").count().collect()
+    assert len(packed) == 10 and max(r["count"] for r in packed) < 500
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_capacity_holds(rule):
     lengths = np.random.default_rng(2).integers(1, 100, 500)
