@@ -26,7 +26,7 @@ def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents"), with_text=False)
+    found = substring_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents"), with_text=False, stored=True)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

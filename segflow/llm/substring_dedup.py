@@ -5,7 +5,8 @@ distinct hash of a batch once, for the smallest document that holds it there (it
 holders in the batch are known to repeat it), packed by hash bucket. A bucket finds the
 smallest document of each hash in the whole corpus; the windows of the others are
 repeated, and are told to the batch that sent them, packed again. Overlapping repeated
-windows merge into maximal removal intervals.
+windows merge into maximal removal intervals. Intervals found within a batch are word places
+of one text, so they carry that text's fingerprint: another text under the same id ignores them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segflow.llm.staging import stage
 from segflow.llm.wordhash import U, binaries, lean, release, text_batches, windows_of, words_of
 
 #: Bytes of text whose windows share a bucket; it bounds the memory of a reducing task.
@@ -60,7 +62,7 @@ def _pack(width: int, n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         origin = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
             for lo, hi, buf, offsets in text_batches(batch.column(1), BATCH_BYTES):
                 origin += 1
                 hashes, rows, places = _document_windows(*words_of(buf, offsets), width)
@@ -101,10 +103,9 @@ def _pack(width: int, n_buckets: int) -> Callable:
                 if len(known):
                     out: list[tuple] = []
                     for part in np.split(known, np.flatnonzero(np.diff(rows[known])) + 1):
-                        doc = docs[rows[part[0]]]
-                        # rows that share an id may differ in text: they take the hashes instead
-                        alone = (docs == doc).sum() == 1
-                        out.append((origin % n_buckets, origin, doc.tobytes(), b"", b"" if alone else hashes[part].tobytes(), _runs(places[part], width).tobytes() if alone else b""))
+                        row = rows[part[0]]
+                        spans = np.append(marks[lo + row], _runs(places[part], width))
+                        out.append((origin % n_buckets, origin, docs[row].tobytes(), b"", b"", spans.tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
     return run
@@ -178,10 +179,11 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _removed(words: list[bytes], text: bytes, hashes: list[bytes | None], spans: list[bytes | None], width: int) -> np.ndarray:
-    """[start, end) intervals of words to remove."""
+def _removed(words: list[bytes], text: bytes, mark: int, hashes: list[bytes | None], spans: list[bytes | None], width: int) -> np.ndarray:
+    """[start, end) intervals of words to remove; ``spans`` of texts with another fingerprint than ``mark`` do not count."""
     cover = np.zeros(len(words) + 1, np.int32)
-    pairs = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in spans if x]
+    told = [np.frombuffer(x, np.int64) for x in spans if x]
+    pairs = [x[1:].reshape(-1, 2) for x in told if x[0] == mark]
     found = [np.frombuffer(x, U) for x in hashes if x]
     if found:
         buf = np.frombuffer(text, np.uint8)
@@ -198,11 +200,11 @@ def _rewrite(width: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            ids, texts, hashes, spans = (batch.column(i) for i in range(4))
+            ids, texts, marks, hashes, spans = (batch.column(i) for i in range(5))
             for i in range(len(batch)):
                 text = (texts[i].as_py() or "").encode()
                 words = text.split()
-                cut = _removed(words, text, hashes[i].as_py(), spans[i].as_py(), width) if hashes[i].is_valid else np.zeros((0, 2), int)
+                cut = _removed(words, text, marks[i].as_py(), hashes[i].as_py(), spans[i].as_py(), width) if hashes[i].is_valid else np.zeros((0, 2), int)
                 kept = words
                 if len(cut):
                     keep = np.ones(len(words), bool)
@@ -219,7 +221,7 @@ def _rewrite(width: int, with_text: bool) -> Callable:
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 50, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 50, with_text: bool = True, bucket_bytes: int = BUCKET_BYTES, stored: bool = False) -> DataFrame:
     """Drop every word inside a window of ``width`` words that also starts in a document with a smaller id.
 
     ``docs`` needs ``doc_id`` (long) and ``text``; other columns are ignored, whatever their
@@ -227,15 +229,19 @@ def remove_repeated_passages(docs: DataFrame, width: int = 50, with_text: bool =
     end) word intervals) and kept_text (kept words joined by one space; null unless
     ``with_text``). Windows are judged on the input. Null or empty text has no words. A row
     with a null id is returned whole and is compared with nothing. Rows that share an id
-    count as one document: they never remove each other. Texts under ``width`` words have no
-    window. Empty input gives an empty result.
+    count as one document, wherever they lie: they never remove each other. Texts under
+    ``width`` words have no window. Empty input gives an empty result. What a batch leaves out
+    because another row of it tells it must be the same when a lost task runs again, so the
+    input is staged first, unless it is ``stored`` already (a plain scan of files).
     """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    d = d if stored else stage(d, "texts")
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-size // bucket_bytes))
     packed = d.filter("doc_id is not null and text is not null").mapInArrow(lean(_pack(width, n_buckets)), _PACKED)
     told = packed.groupBy("bucket").applyInArrow(_reduce, _TOLD)
     found = told.groupBy("origin").applyInArrow(_by_document, _FOUND)
     per_doc = found.groupBy("seg_id").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("spans").alias("spans"))
-    joined = d.join(per_doc, d.doc_id == per_doc.seg_id, "left").select("doc_id", "text", "hashes", "spans")
+    joined = d.join(per_doc, d.doc_id == per_doc.seg_id, "left").select("doc_id", "text", "mark", "hashes", "spans")
     return joined.mapInArrow(lean(_rewrite(width, with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<long>>, kept_text string")
