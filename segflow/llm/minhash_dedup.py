@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     shingles >= percent * all shingles of both. component_id is the smallest doc_id reachable
     by links. Null, empty or wordless text: empty set, no links, its own component. Rows with
     a null id have a null component and are not kept. Repeated rows, and rows that share an
-    id, are one node; each row is returned. By default the bands follow from ``percent``, so
+    id, are one node, with the links of all their texts; each row is returned, with its own
+    n_shingles. By default the bands follow from ``percent``, so
     that a pair at the threshold is missed as a candidate with probability UNSEEN at most.
     Empty input: empty result.
     """
@@ -289,7 +290,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     stars = stage(members.filter("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct(), "stars")
     a, b = sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v"))
     likely = stars.join(b, "v").join(a, "u").select("u", "sig_u", "v", "sig_v").mapInArrow(lean(_stars(least)), "u long, v long")
-    links = stage(verify_pairs(likely, texts, size, percent), "links")
+    # an id whose rows differ is one node: it is linked with the representative of each of its classes
+    differ = stage(signed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("a"), F.max("f1").alias("b"), F.min("f2").alias("c"), F.max("f2").alias("d")).filter("a <> b or c <> d").select("doc_id"), "differ")
+    own = some.join(differ, "doc_id", "left_semi").select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).filter("u <> v")
+    links = stage(verify_pairs(likely, texts, size, percent).unionByName(own), "links")
     comps = stage(connected_components(links), "components")
 
     # what is left: buckets whose members lie in several components
@@ -314,9 +318,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     if more.limit(1).count():
         comps = stage(connected_components(links.unionByName(more)), "components")
 
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    named = stage(named, "named")
-    out = signed.join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stage(classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "named")
+    full = signed.filter("n_shingles > 0").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", "component_id")
+    # a row without words is linked with nothing, but may share its id with one that has some
+    empty = signed.filter("n_shingles = 0").join(comps, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = full.unionByName(empty)
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
@@ -335,8 +341,8 @@ def _band_rows(bands: int, rows: int) -> Callable:
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each group: the one with the smallest id.
 
-    Of several rows with one id the least row stays. Rows with a null id are kept; so are
-    those without words.
+    Of several rows with one id one stays: that of the least text (null first), of equal texts
+    any. Rows with a null id are kept; so are those without words. Columns may have any type.
     """
     found = near_duplicates(docs, percent, size)
     gone = stage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
@@ -345,7 +351,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> D
     if not often.limit(1).count():
         return kept
     again = kept.join(often, kept.doc_id == often["__gone"], "left_semi")
-    least = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__row")).select("__row.*")
     return _without(kept, often).unionByName(least)
 
 

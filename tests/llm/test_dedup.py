@@ -11,6 +11,7 @@ import pytest
 import corpus_pipeline
 from segflow.llm import minhash_dedup, pq_dedup, substring_dedup
 from segflow.llm.components import connected_components
+from segflow.llm.wordhash import SEGMENT
 
 SCHEMA = "doc_id long, text string"
 
@@ -65,36 +66,65 @@ def test_passages_match_brute_force(spark, seed, bucket):
 def test_passages_awkward_rows(spark):
     long = " ".join(f"x{k}" for k in range(3000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long), (5, long), (6, "y " + long), (None, long), (7, "one two")]
-    frame = spark.createDataFrame([(*r, "h", 1) for r in rows], SCHEMA + ", hashes string, bucket int").coalesce(1)
+    frame = spark.createDataFrame([(*r, "h", 1) for r in rows], SCHEMA + ", hashes string, bucket int").repartition(3)
     got = substring_dedup.remove_repeated_passages(frame).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed) for r in got) == Counter([(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 3000, 0), (5, 3000, 3000), (5, 3000, 3000), (6, 3001, 3000), (None, 3000, 0), (7, 2, 0)])
     assert substring_dedup.remove_repeated_passages(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_rows_with_one_id_do_not_remove_each_other(spark):
-    text = " ".join(f"x{k}" for k in range(60))
-    got = substring_dedup.remove_repeated_passages(spark.createDataFrame([(2, text), (2, text + " z"), (9, "q " + text)], SCHEMA).coalesce(1)).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == [(2, 0), (2, 0), (9, 60)]
+def in_partitions(spark, parts):
+    """One partition for each list of rows, in that order."""
+    rows = [(k, *r) for k, part in enumerate(parts) for r in part]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "part int, " + SCHEMA).repartitionByRange(len(parts), "part").sortWithinPartitions("part", "doc_id").drop("part")
+
+
+@pytest.mark.parametrize("other", [[f"y{k}" for k in range(55)], [f"y{k}" for k in range(200)]])
+def test_rows_with_one_id_in_different_batches(spark, other):
+    """A row that repeats a passage, and under the same id, elsewhere, a text that has nothing to do with it."""
+    passage = [f"x{k}" for k in range(60)]
+    first, again, alien = " ".join(passage), " ".join(["q"] * 100 + passage + ["z"]), " ".join(other)
+    for parts in ([[(1, first), (2, again)], [(2, alien)], [(9, alien)]], [[(2, alien), (2, again), (1, first)], [(9, first + " " + alien)], [(2, again)]]):
+        rows = [r for p in parts for r in p]
+        got = substring_dedup.remove_repeated_passages(in_partitions(spark, parts)).collect()
+        assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == brute_removed(rows, 50)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_with_repeated_ids_match_brute_force(spark, seed):
+    rows = [(i % 25, t) for i, t in passages(seed, 80)]
+    random.Random(seed).shuffle(rows)
+    got = substring_dedup.remove_repeated_passages(in_partitions(spark, [rows[k::3] for k in range(3)]), width=6, bucket_bytes=400).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == brute_removed(rows, 6)
+
+
+def test_passages_in_texts_of_several_segments(spark):
+    """Texts over the bytes that are hashed at once."""
+    long = " ".join(f"word{k}" for k in range(400_000))
+    assert len(long) > 2 * SEGMENT
+    rows = [(1, long), (2, "new " + long[: len(long) // 2] + " end"), (3, "other words")]
+    got = substring_dedup.remove_repeated_passages(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got) == brute_removed(rows, 50)
 
 
 def brute_near(rows, percent):
-    sets = {}
+    """For each row: its id, set size, least id reachable by links of any text under an id, and whether that is its own."""
+    sets = []
     for i, t in rows:
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    parent = {i: i for i in sets}
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())))
+    parent = {i: i for i, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, a in sets.items():
-        for j, b in sets.items():
-            if i < j and a and b and 100 * len(a & b) >= percent * len(a | b):
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
-    return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    return Counter((i, len(s), find(i), find(i) == i) for i, s in sets)
 
 
 def near_copies(seed):
@@ -117,7 +147,23 @@ def near_copies(seed):
 def test_near_copies_match_brute_force(spark, seed):
     rows = near_copies(seed)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 85)
+    assert Counter(map(tuple, got)) == brute_near(rows, 85)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ids_with_several_texts_are_one_node(spark, seed):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, None), (11, c), (5, ""), (12, None), (20, c), (20, "one two")]
+    if seed:
+        rows += [(i % 40 + 100, t) for i, t in near_copies(7)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert Counter(map(tuple, got)) == brute_near(rows, 85)
+
+
+def test_near_copies_with_columns_that_have_no_order(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", {"k": 1}), (1, "a b c d e f", {"k": 2}), (2, "A b c d e f", {}), (3, "x", None)], SCHEMA + ", extra map<string,int>")
+    left = minhash_dedup.drop_near_duplicates(frame)
+    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
 
 
 def test_near_copies_in_small_tiles(spark, monkeypatch):
@@ -125,7 +171,7 @@ def test_near_copies_in_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LEAVES", 3)
     rows = near_copies(5)
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, 85)
+    assert Counter(map(tuple, got)) == brute_near(rows, 85)
 
 
 def test_near_copies_awkward_rows(spark):
@@ -160,7 +206,7 @@ def test_pipeline_stage_drops_copies_from_80_percent(spark, sf):
         own = [f"v{k}g{g}" for k in range(104)]  # 100 shingles; similarity of the others: 95/105, 91/109 (0.835), 87/113 (0.77)
         others = [[*own[:52], "x", *own[53:]], [*own[:-9], *(f"z{k}" for k in range(9))], [*own[:40], *(f"y{k}" for k in range(9)), *own[49:]]]
         rows += [(10 * g + k, " ".join(w)) for k, w in enumerate([own, *others])]
-    want = {i for i, (_, _, kept) in brute_near(rows, 80).items() if kept}
+    want = {i for i, _, _, kept in brute_near(rows, 80) if kept}
     assert want == {10 * g + k for g in range(20) for k in (0, 3)}
     assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()} == want
 
