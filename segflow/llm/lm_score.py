@@ -1,11 +1,15 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both are interpolated bigram models over words (hashes of lower-cased words), with the same
-order, smoothing and vocabulary, so that their per-token losses can be subtracted. Counts
-are made over every document in Spark. The vocabulary holds the words, and the models the
-bigrams, that occur ``LEAST`` times in either corpus, at every size of the input: the models
-grow with it. Words seen once share one unknown word; a bigram seen once is only the
-document that is scored.
+Both are interpolated bigram models over words (hashes of lower-cased words) with the same
+order, smoothing and vocabulary, the words of either corpus, so that their per-token losses
+can be subtracted. Every word and bigram of every text counts: the models grow with the
+input. Where the scored documents are themselves the background, a document is scored by the
+background without it (its own counts are taken off), so that it does not vouch for itself.
+
+    p(w) = (n(w) + PSEUDO) / (N + PSEUDO * (V + 1))            one more for all unseen words
+    p(w | v) = BIGRAM * n(v, w) / n(v, *) + (1 - BIGRAM) * p(w)   where v has successors, else p(w)
+
+Each sums to 1 over the vocabulary and the unseen word, for every v.
 
 No task holds a model. Texts are cut into batches; a batch sends its distinct words and
 bigrams once, with their counts, packed by hash bucket. A bucket sums them over both corpora
@@ -27,152 +31,22 @@ from pyspark.sql import functions as F
 from segflow.llm.staging import stage
 from segflow.llm.wordhash import U, binaries, lean, mix, release, text_batches, words_of
 
-#: Occurrences in either corpus from which a word or bigram counts as seen, whatever the input's size.
-LEAST = 2
 #: Bytes of text whose n-grams are packed together, and whose n-grams share a bucket; they bound the memory of a task.
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
-#: Share of the bigram estimate where the previous word is known; pseudo-count of each vocabulary word.
+#: Share of the bigram estimate where the previous word has successors; pseudo-count of each vocabulary word.
 BIGRAM, PSEUDO = 0.7, 0.5
-UNKNOWN = U(0)
-_COUNTED = "h long, n long"
-#: Distinct n-grams that a task holds before it hands them on.
-HELD = 400_000
-
-
-def _known(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Words outside the (sorted) vocabulary become UNKNOWN."""
-    if not len(vocabulary):
-        return np.zeros_like(words)
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == words, words, UNKNOWN)
+#: What the texts of a batch are: part of a corpus, or only to be scored.
+TARGET, BACKGROUND, ASKING = range(3)
 
 
 def _bigrams(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word with the word before it in its row, and whether there is one."""
     has = np.ones(len(words), bool)
     has[first[:-1][first[:-1] < first[1:]]] = False
-    before = np.concatenate([[UNKNOWN], words[:-1]])[: len(words)].astype(U)
+    before = np.concatenate([np.zeros(1, U), words[:-1]])[: len(words)].astype(U)
     return mix(mix(before + U(1)) + words), has
 
 
-def _count(vocabulary: np.ndarray | None) -> Callable:
-    """Counts of words, or of bigrams of a vocabulary, summed within the task."""
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        h, n = (np.concatenate(x) for x in zip(*parts))
-        values, inverse = np.unique(h, return_inverse=True)
-        return values, np.bincount(inverse, n, len(values)).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].view(np.int64)), pa.array(x[1])], ["h", "n"])
-        for batch in batches:
-            for _, _, buf, offsets in text_batches(batch.column(0)):
-                words, first = words_of(buf, offsets, lower=True)
-                if vocabulary is not None:
-                    words = _known(words, vocabulary)
-                    grams, has = _bigrams(words, first)
-                    has[1:] &= (words[1:] != UNKNOWN) & (words[:-1] != UNKNOWN)
-                    words = grams[has]
-                held.append(np.unique(words, return_counts=True))
-                if sum(len(x[0]) for x in held) > HELD:
-                    held = [merged(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        yield out(held[0])
-                        held = []
-        if held:
-            yield out(merged(held))
-
-    return run
-
-
-def _counts(texts: dict[str, DataFrame], vocabulary: np.ndarray | None) -> DataFrame:
-    """(h, target, background)"""
-    each = [t.mapInArrow(lean(_count(vocabulary)), _COUNTED).select("h", *(F.col("n").alias(k) if k == name else F.lit(0).cast("long").alias(k) for k in texts)) for name, t in texts.items()]
-    return each[0].unionByName(each[1]).groupBy("h").agg(*(F.sum(k).alias(k) for k in texts))
-
-
-def _frequent(counted: DataFrame, parts: int) -> tuple[pa.Table, dict[str, int]]:
-    """The entries that make up one part in ``parts`` of either corpus (and occur twice), and the corpora's tokens."""
-    counted = stage(counted, "counts")
-    totals = counted.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("target"), F.coalesce(F.sum("background"), F.lit(0)).alias("background")).first().asDict()
-    often = F.lit(False)
-    for k, n in totals.items():
-        often = often | (F.col(k) >= max(float(LEAST), n / parts))
-    return counted.filter(often).toArrow().sort_by("h"), totals
-
-
-class NgramModels:
-    """Log probabilities of both models for the same vocabulary."""
-
-    def __init__(self, words: pa.Table, word_totals: dict[str, int], pairs: pa.Table):
-        keys = lambda t: t.column("h").to_numpy().view(U)
-        order = np.argsort(keys(words))
-        self.vocabulary = keys(words)[order]
-        size = len(order) + 1
-        self.single, self.context = [], []
-        for k in ("target", "background"):
-            n = words.column(k).to_numpy()[order].astype(float)
-            unknown = max(word_totals[k] - n.sum(), 0.0)
-            total = word_totals[k] + PSEUDO * size
-            self.single.append(np.concatenate([(n + PSEUDO) / total, [(unknown + PSEUDO) / total]]))
-            self.context.append(np.concatenate([n, [0.0]]))
-        by = np.argsort(keys(pairs))
-        self.pairs = keys(pairs)[by]
-        self.pair_counts = [np.concatenate([pairs.column(k).to_numpy()[by].astype(float), [0.0]]) for k in ("target", "background")]
-
-    def losses(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each token under the target and the background model."""
-        find = lambda keys, x: np.where(keys[at] == x, at, len(keys)) if len(keys) and (at := np.minimum(np.searchsorted(keys, x), len(keys) - 1)) is not None else np.full(len(x), len(keys))
-        place = find(self.vocabulary, words)
-        known = np.where(place < len(self.vocabulary), words, UNKNOWN)
-        grams, has = _bigrams(known, first)
-        pair = find(self.pairs, grams)
-        before = np.concatenate([[len(self.vocabulary)], place[:-1]])[: len(words)].astype(np.int64)
-        out = []
-        for single, context, counts in zip(self.single, self.context, self.pair_counts):
-            p = single[place]
-            seen = has & (context[before] > 0)
-            share = np.where(seen, BIGRAM, 0.0)
-            out.append(-np.log(share * counts[pair] / np.maximum(context[before], 1) + (1 - share) * p))
-        return out[0], out[1]
-
-
-def fit_models(background: DataFrame, target: DataFrame, parts: int) -> NgramModels:
-    """Both models from the whole texts of both corpora (column ``text``), cut to at most 2 * ``parts`` entries each: only what makes up one part in ``parts`` of a corpus."""
-    text = lambda d: d.select(F.col("text").cast("string").alias("text")).filter("text is not null")
-    texts = {"target": text(target), "background": text(background)}
-    words, totals = _frequent(_counts(texts, None), parts)
-    vocabulary = np.sort(words.column("h").to_numpy().view(U))
-    pairs, _ = _frequent(_counts(texts, vocabulary), parts)
-    return NgramModels(words, totals, pairs)
-
-
-def score_documents(docs: DataFrame, models: NgramModels) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference): mean losses per token in nats.
-
-    ``difference`` is target minus background: the lower, the more like the target. Only
-    doc_id and text are read. Null, empty or wordless text: 0 tokens and null losses.
-    Repeated rows are each scored; a null id stays null.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # at most 4 * parts entries
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offsets in text_batches(batch.column(1)):
-                words, first = words_of(buf, offsets, lower=True)
-                n = np.diff(first)
-                means = []
-                for loss in shared.value.losses(words, first):
-                    total = np.concatenate([[0.0], np.cumsum(loss)])
-                    means.append(pa.array((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), mask=n == 0))
-                gap = pa.compute.subtract(*means)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *means, gap], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(lean(run), "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(origin, size, rows): the rows (doc_id, text) of each batch, packed."""
     origin = TaskContext.get().partitionId() << 32
@@ -200,90 +74,118 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(n)) >> U(32)
 
 
-def _pack(is_target: bool, n_buckets: int) -> Callable:
-    """(bucket, kind, target, origin, hashes, counts): distinct words (kind 0) and bigrams (kind 1) of each batch, ascending."""
+def _pack(corpus: int, n_buckets: int) -> Callable:
+    """(bucket, kind, corpus, origin, hashes, counts, ends): distinct words (kind 0) and bigrams (kind 1) of each batch, ascending.
+
+    ``ends``: how many of a word's occurrences nothing follows. Both are 0 in texts that only ask.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for origin, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, words, first = _unpacked(rows.as_py())
                 grams, has = _bigrams(words, first)
+                last = np.zeros(len(words), bool)
+                last[first[1:][first[:-1] < first[1:]] - 1] = True
                 for kind, x in enumerate((words, grams[has])):
-                    h, n = np.unique(x, return_counts=True)
+                    h, place, n = np.unique(x, return_inverse=True, return_counts=True)
+                    ends = np.bincount(place[last], minlength=len(h)) if kind == 0 else np.zeros(0, np.int64)
+                    if corpus == ASKING:
+                        n, ends = np.zeros_like(n), np.zeros_like(ends)
                     bucket = _buckets(h, n_buckets)
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
                     k = len(cuts) - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, is_target)), pa.array(np.full(k, origin, np.int64)), binaries(h, cuts), binaries(n.astype(np.int32), cuts)],
-                        ["bucket", "kind", "target", "origin", "hashes", "counts"],
+                        [
+                            pa.array(bucket[cuts[:-1]].astype(np.int64)),
+                            pa.array(np.full(k, kind, np.int32)),
+                            pa.array(np.full(k, corpus, np.int32)),
+                            pa.array(np.full(k, origin, np.int64)),
+                            binaries(h, cuts),
+                            binaries(n.astype(np.int32), cuts),
+                            binaries(ends.astype(np.int32), cuts if kind == 0 else np.zeros(k + 1, np.int64)),
+                        ],
+                        ["bucket", "kind", "corpus", "origin", "hashes", "counts", "ends"],
                     )
 
     return run
 
 
-_TOLD = "origin long, kind int, bucket long, in_target binary, in_background binary, n_words long, target long, background long, target_seen long, background_seen long"
-
-
-def _sum_bucket(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each batch of the background the counts (0: not seen) of what it sent; and a row with no origin, the bucket's words and tokens."""
-    bucket, out = table.column("bucket")[0].as_py(), []
-    stats = np.zeros(5, np.int64)
-    for kind in (0, 1):
-        own = table.filter(pa.compute.equal(table.column("kind"), kind))
-        if not len(own):
-            continue
-        parts = [np.frombuffer(x, U) for x in own.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in parts])
-        h, n = np.concatenate(parts), np.concatenate([np.frombuffer(x, np.int32) for x in own.column("counts").to_pylist()]).astype(np.int64)
-        target = own.column("target").to_numpy()
-        side = np.repeat(target, sizes)
-        values, place = np.unique(h, return_inverse=True)
-        sums = [np.bincount(place, n * mine, len(values)).astype(np.int64) for mine in (side, ~side)]
-        seen = (sums[0] >= LEAST) | (sums[1] >= LEAST)
-        if kind == 0:
-            stats[:] = [seen.sum(), sums[0].sum(), sums[1].sum(), sums[0][seen].sum(), sums[1][seen].sum()]
-        told = place[~side]
-        cuts = np.cumsum([0, *sizes[~target]])
-        k = len(cuts) - 1
-        none = pa.array(np.zeros(k, np.int64))
-        counts = [binaries(np.where(seen, x, 0)[told], cuts) for x in sums]
-        out.append(pa.Table.from_arrays([pa.array(own.column("origin").to_numpy()[~target]), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *[none] * 5], names=_NAMES))
-        del parts, h, n, side, values, place, sums, told
-        release()
-    empty = pa.array([b""], pa.binary())
-    out.append(pa.Table.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket]), empty, empty, *(pa.array([x]) for x in stats.tolist())], names=_NAMES))
-    return pa.concat_tables(out)
+_SENT = "bucket long, kind int, corpus int, origin long, hashes binary, counts binary, ends binary"
+#: Counts in either corpus and, of words, how many of them have a successor; a row without origin holds the bucket's words and tokens.
+_TOLD = "origin long, kind int, bucket long, in_target binary, in_background binary, before_target binary, before_background binary, n_words long, target long, background long"
+_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
 
 
-_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
+def _sum_bucket(asking: int) -> Callable:
+    """Of one bucket: for each batch of ``asking`` the counts of what it sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, out = table.column("bucket")[0].as_py(), []
+        stats = np.zeros(3, np.int64)
+        for kind in (0, 1):
+            own = table.filter(pa.compute.equal(table.column("kind"), kind))
+            if not len(own):
+                continue
+            read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in own.column(c).to_pylist()])
+            sizes = pa.compute.binary_length(own.column("hashes")).to_numpy() // 8
+            n, corpus = read("counts", np.int32).astype(np.float64), own.column("corpus").to_numpy()
+            side = np.repeat(corpus, sizes)
+            values, place = np.unique(read("hashes", U), return_inverse=True)
+            add = lambda x, of: np.bincount(place, x * (side == of), len(values)).astype(np.int64)
+            sums = [add(n, TARGET), add(n, BACKGROUND)]
+            if kind == 0:
+                stats[:] = [((sums[0] > 0) | (sums[1] > 0)).sum(), sums[0].sum(), sums[1].sum()]
+                n -= read("ends", np.int32)
+                sums += [add(n, TARGET), add(n, BACKGROUND)]
+            told = place[side == asking]
+            cuts = np.cumsum([0, *sizes[corpus == asking]])
+            k = len(cuts) - 1
+            none = [pa.array(np.zeros(k, np.int64))] * 3
+            counts = [binaries(x[told], cuts) for x in sums] + [pa.array([b""] * k, pa.binary())] * (4 - len(sums))
+            out.append(pa.Table.from_arrays([pa.array(own.column("origin").to_numpy()[corpus == asking]), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *none], names=_NAMES))
+            del n, side, values, place, sums, told
+            release()
+        empty = [pa.array([b""], pa.binary())] * 4
+        out.append(pa.Table.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket]), *empty, *(pa.array([x]) for x in stats.tolist())], names=_NAMES))
+        return pa.concat_tables(out)
 
+    return run
 
-def _score_batch(n_words: int, tokens: tuple[int, int], seen: tuple[int, int]) -> Callable:
-    """Scores of one batch's documents by the counts that the buckets told it."""
+
+def _own(rows: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """For each place, how often its row holds its item."""
+    key = rows * (int(items.max(initial=0)) + 1) + items
+    _, place, n = np.unique(key, return_inverse=True, return_counts=True)
+    return n[place]
+
+
+def _score_batch(n_words: int, tokens: tuple[int, int], itself: bool) -> Callable:
+    """Scores of one batch's documents by the counts that the buckets told it; ``itself``: they are part of the background."""
 
     def run(batch: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("bucket")
-        counts = []
-        for kind in (0, 1):
-            own = told.filter(pa.compute.equal(told.column("kind"), kind))
-            counts.append([np.frombuffer(b"".join(own.column(c).to_pylist()), np.int64) for c in ("in_target", "in_background")])
+        read = lambda kind, c: np.frombuffer(b"".join(told.filter(pa.compute.equal(told.column("kind"), kind)).column(c).to_pylist()), np.int64)
         out = []
-        for rows in batch.column("rows").to_pylist():  # one
-            ids, words, first = _unpacked(rows)
+        for packed in batch.column("rows").to_pylist():  # one
+            ids, words, first = _unpacked(packed)
+            n = np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
             grams, has = _bigrams(words, first)
             word = np.unique(words, return_inverse=True)[1]
             pair = np.unique(grams[has], return_inverse=True)[1]
-            before = np.concatenate([[0], word[:-1]])[: len(word)].astype(np.int64)
-            known = counts[0][0] + counts[0][1] > 0
-            n, means = np.diff(first), []
-            for single, pairs, total, mass in zip(*counts, tokens, seen):
-                p = (np.where(known, single, total - mass) + PSEUDO) / (total + PSEUDO * (n_words + 1))
-                context = np.where(has, single[before], 0)
+            before = word[np.flatnonzero(has) - 1]
+            means = []
+            for k, corpus in enumerate(("target", "background")):
+                off = itself and k == BACKGROUND
+                single = read(0, f"in_{corpus}")[word] - (_own(row, word) if off else 0)
+                total = tokens[k] - (n[row] if off else 0)
+                p = (single + PSEUDO) / (total + PSEUDO * (n_words + 1))
+                context = read(0, f"before_{corpus}")[before] - (_own(row[has], before) if off else 0)
+                count = read(1, f"in_{corpus}")[pair] - (_own(row[has], pair) if off else 0)
                 share = np.where(context > 0, BIGRAM, 0.0)
-                count = np.zeros(len(words))
-                count[has] = pairs[pair]
-                loss = -np.log(share * count / np.maximum(context, 1) + (1 - share) * p[word])
-                upto = np.concatenate([[0.0], np.cumsum(loss)])
+                p[has] = share * count / np.maximum(context, 1) + (1 - share) * p[has]
+                upto = np.concatenate([[0.0], np.cumsum(-np.log(p))])
                 means.append(pa.array((upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1), mask=n == 0))
             out.append(pa.table({"doc_id": ids, "n_tokens": n.astype(np.int64), "target_loss": means[0], "background_loss": means[1], "difference": pa.compute.subtract(*means)}))
         release()
@@ -292,28 +194,31 @@ def _score_batch(n_words: int, tokens: tuple[int, int], seen: tuple[int, int]) -
     return run
 
 
-def _whole_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference): mean losses per token in nats.
+
+    ``difference`` is target minus background: the lower, the more like the target. ``docs``
+    needs doc_id and text, ``target`` and ``background`` text; others are ignored. Without
+    ``background`` each document is scored by all the other rows of ``docs``; a repeated row
+    counts as another document. Null, empty or wordless text: 0 tokens and null losses. A null
+    id stays null. An empty corpus leaves its model uniform over the vocabulary.
+    """
     text = F.col("text").cast("string").alias("text")
+    none = F.lit(0).cast("long").alias("doc_id")
     cut = lambda d, label: stage(d.mapInArrow(lean(_batched), "origin long, size long, rows binary"), label)
-    background = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "background")
-    goal = cut(target.select(F.lit(0).cast("long").alias("doc_id"), text), "target")
-    size = background.unionByName(goal).agg(F.sum("size")).first()[0] or 0
+    asking = ASKING if background is not None else BACKGROUND
+    parts = {asking: cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "scored"), TARGET: cut(target.select(none, text), "target")}
+    if background is not None:
+        parts[BACKGROUND] = cut(background.select(none, text), "background")
+    sent = size = None
+    for d in parts.values():
+        size = (size or 0) + (d.agg(F.sum("size")).first()[0] or 0)
     n_buckets = max(1, -(-size // BUCKET_BYTES))
-    pack = lambda d, is_target: d.select("origin", "rows").mapInArrow(lean(_pack(is_target, n_buckets)), "bucket long, kind int, target boolean, origin long, hashes binary, counts binary")
-    told = stage(pack(background, False).unionByName(pack(goal, True)).groupBy("bucket").applyInArrow(_sum_bucket, _TOLD), "told")
-    stats = told.filter("origin is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _NAMES[5:])).first()
-    answers = told.filter("origin is not null").select("origin", "kind", "bucket", "in_target", "in_background")
-    run = _score_batch(stats[0], (stats[1], stats[2]), (stats[3], stats[4]))
-    return background.select("origin", "rows").groupBy("origin").cogroup(answers.groupBy("origin")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference), as score_documents has them, with ``docs`` as the background.
-
-    Every word and bigram seen LEAST times in either corpus counts. Only a caller that gives
-    ``parts`` gets the models of fit_models, cut to a fixed size. An empty target leaves its
-    model uniform over the vocabulary.
-    """
-    if parts is not None:
-        return score_documents(docs, fit_models(docs, target, parts))
-    return _whole_difference(docs, target)
+    for corpus, d in parts.items():
+        own = d.select("origin", "rows").mapInArrow(lean(_pack(corpus, n_buckets)), _SENT)
+        sent = own if sent is None else sent.unionByName(own)
+    told = stage(sent.groupBy("bucket").applyInArrow(_sum_bucket(asking), _TOLD), "told")
+    stats = told.filter("origin is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "target", "background"))).first()
+    answers = told.filter("origin is not null").drop("n_words", "target", "background")
+    run = _score_batch(stats[0], (stats[1], stats[2]), background is None)
+    return parts[asking].select("origin", "rows").groupBy("origin").cogroup(answers.groupBy("origin")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")

@@ -349,70 +349,82 @@ def test_repetition_limit(spark):
 # language models
 
 
-def brute_losses(docs, target, parts):
-    low = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    texts = {"t": [low(t) for t in target], "b": [low(t) for _, t in docs]}
-    uni = {k: Counter(w for d in v for w in d) for k, v in texts.items()}
-    n = {k: sum(c.values()) for k, c in uni.items()}
-    vocab = {w for k in uni for w, c in uni[k].items() if c >= max(2, n[k] / parts)}
-    bi = {k: Counter((a, b) for d in v for a, b in zip(d, d[1:]) if a in vocab and b in vocab) for k, v in texts.items()}
-    m = {k: sum(c.values()) for k, c in bi.items()}
-    pairs = {p for k in bi for p, c in bi[k].items() if c >= max(2, m[k] / parts)}
-    out = {}
-    for i, t in docs:
-        w = low(t)
-        mean = {}
-        for k in ("t", "b"):
-            total = n[k] + 0.5 * (len(vocab) + 1)
-            unknown = n[k] - sum(uni[k][x] for x in vocab)
-            s = 0.0
-            for j, x in enumerate(w):
-                p = ((uni[k][x] if x in vocab else unknown) + 0.5) / total
-                if j and w[j - 1] in vocab and uni[k][w[j - 1]] > 0:
-                    pair = (w[j - 1], x)
-                    p = 0.7 * (bi[k][pair] if pair in pairs else 0) / uni[k][w[j - 1]] + 0.3 * p
-                s -= math.log(p)
-            mean[k] = s / len(w) if w else None
-        out[i] = (len(w), mean["t"], mean["b"])
-    return out
-
-
-def test_losses_match_brute_force(spark):
-    r = random.Random(9)
+def lower_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute_loss(text, corpus, vocabulary):
+    """Mean loss of a text by a model of the texts of a corpus, each a list of words."""
+    uni = Counter(w for d in corpus for w in d)
+    pairs = Counter(p for d in corpus for p in zip(d, d[1:]))
+    follow = Counter(a for d in corpus for a in d[:-1])
+    total = 0.0
+    for j, x in enumerate(text):
+        p = (uni[x] + 0.5) / (sum(uni.values()) + 0.5 * (len(vocabulary) + 1))
+        if j and follow[text[j - 1]]:
+            p = 0.7 * pairs[text[j - 1], x] / follow[text[j - 1]] + 0.3 * p
+        total -= math.log(p)
+    return total / len(text)
+
+
+def small_corpora(seed):
+    r = random.Random(seed)
     vocab = [f"w{k}" for k in range(30)]
     text = lambda: " ".join(r.choice(vocab[: r.randint(1, 30)]) for _ in range(r.randint(0, 50)))
-    docs = [(i, text()) for i in range(120)] + [(900, None), (901, ""), (902, "UNSEEN w1 W2")]
-    target = [" ".join(r.choice(vocab[:8]) for _ in range(40)) for _ in range(20)] + [None]
-    frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, h int").repartition(3)
-    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(frame, spark.createDataFrame([(t,) for t in target], "text string"), parts=200).collect()}
-    for i, (n, t, b) in brute_losses(docs, target, 200).items():
-        assert got[i].n_tokens == n
-        if n:
-            assert got[i].target_loss == pytest.approx(t, abs=1e-9) and got[i].background_loss == pytest.approx(b, abs=1e-9)
-            assert got[i].difference == pytest.approx(t - b, abs=1e-9)
-        else:
-            assert got[i].target_loss is None and got[i].difference is None
-    none = lm_score.cross_entropy_difference(frame.limit(0), frame.limit(0).select("text"))
-    assert none.collect() == []
-
-
-def test_models_keep_what_is_seen_twice(spark, monkeypatch):
-    """Over 500,000 tokens, where a cut by share of the tokens would drop n-grams seen twice."""
-    monkeypatch.setattr(lm_score, "BATCH_BYTES", 1 << 18)  # many batches and buckets
-    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 18)
-    r = random.Random(10)
-    docs = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 40_000}" for _ in range(900))) for i in range(640)]
-    docs += [(700 + i, "rare words that only two documents hold") for i in range(2)] + [(900, None), (901, " "), (None, "w1 W2 once-only")]
-    target = ["w1 w2 w3 w1 w2 rare words", "w5 w1 w2 target only target only", None]
+    docs = [(i, text()) for i in range(60)] + [(900, None), (901, " "), (902, "UNSEEN w1 W2"), (None, "w1 w2 once-only"), (3, "w1 w2 w3")]
+    docs += [(950 + i, "rare words that only two documents hold") for i in range(2)]
+    return docs, [" ".join(r.choice(vocab[:8]) for _ in range(40)) for _ in range(10)] + [None, "rare target only"]
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_losses_match_brute_force(spark, monkeypatch, apart):
+    monkeypatch.setattr(lm_score, "BATCH_BYTES", 1 << 9)  # many batches and buckets
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 9)
+    docs, target = small_corpora(9)
+    other = [t for _, t in small_corpora(10)[0]]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, origin int").repartition(3)
-    got = {x.doc_id: x for x in lm_score.cross_entropy_difference(frame, spark.createDataFrame([(t,) for t in target], "text string")).collect()}
-    assert len(got) == len(docs)
-    for i, (n, t, b) in brute_losses(docs, target, math.inf).items():
-        assert got[i].n_tokens == n
-        if n:
-            assert (got[i].target_loss, got[i].background_loss, got[i].difference) == pytest.approx((t, b, t - b), abs=1e-9)
-        else:
-            assert got[i].target_loss is None and got[i].difference is None
+    as_texts = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    got = lm_score.cross_entropy_difference(frame, as_texts(target), as_texts(other) if apart else None).collect()
+    own = [lower_words(t) for _, t in docs]
+    goal, base = [lower_words(t) for t in target], [lower_words(t) for t in other] if apart else own
+    vocabulary = {w for d in goal + base for w in d}
+    want = []
+    for k, (i, _) in enumerate(docs):
+        rest = base if apart else own[:k] + own[k + 1 :]
+        want.append((-1 if i is None else i, len(own[k]), *((brute_loss(own[k], goal, vocabulary), brute_loss(own[k], rest, vocabulary)) if own[k] else (None, None))))
+    key = lambda x: (x[0], x[1])
+    have = sorted(((-1 if x.doc_id is None else x.doc_id, x.n_tokens, x.target_loss, x.background_loss) for x in got), key=key)
+    assert len(have) == len(want)
+    for h, w in zip(have, sorted(want, key=key)):
+        assert h[:2] == w[:2] and (h[2:] == w[2:] if w[2] is None else h[2:] == pytest.approx(w[2:], abs=1e-9))
+    assert all(x.difference is None if x.target_loss is None else x.difference == pytest.approx(x.target_loss - x.background_loss) for x in got)
+
+
+def test_model_probabilities_sum_to_one(spark):
+    docs, target = small_corpora(11)
+    vocabulary = sorted({w for t in [*(t for _, t in docs), *target] for w in lower_words(t)})
+    contexts = ["w1", "w7", "rare", "only", "hold", "once-only", "never-seen"]
+    asked = [(k, c, None) for k, c in enumerate(contexts)] + [(k, c, w) for k, c in enumerate(contexts) for w in [*vocabulary, "another-unseen"]]
+    frame = spark.createDataFrame([(j, c if w is None else f"{c} {w}") for j, (_, c, w) in enumerate(asked)], "doc_id long, text string")
+    corpus = lambda x: spark.createDataFrame([(t,) for t in x], "text string")
+    for row in (corpus([t for _, t in docs]), corpus(["w1 w2", None])):
+        got = {x.doc_id: x for x in lm_score.cross_entropy_difference(frame, corpus(target), row).collect()}
+        known = len({w for t in [*(r.text for r in row.collect()), *target] for w in lower_words(t)})
+        for loss in ("target_loss", "background_loss"):
+            alone = {k: got[j][loss] for j, (k, _, w) in enumerate(asked) if w is None}
+            total, seen = Counter(), Counter()
+            for j, (k, _, w) in enumerate(asked):
+                if w is not None and (w == "another-unseen" or w in {x for t in [*(r.text for r in row.collect()), *target] for x in lower_words(t)}):
+                    total[k] += math.exp(alone[k] - 2 * got[j][loss])
+                    seen[k] += 1
+            assert all(n == known + 1 for n in seen.values()) and all(x == pytest.approx(1, abs=1e-9) for x in total.values())
+
+
+def test_losses_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string")
+    assert lm_score.cross_entropy_difference(none, none.select("text")).collect() == []
+    assert all(x.target_loss == pytest.approx(math.log(4)) for x in lm_score.cross_entropy_difference(some, none.select("text")).collect())  # uniform over three words and the unseen one
 
 
 # classifier
