@@ -117,8 +117,8 @@ WITH d AS (
 ]+', ' ', 'g')) AS h FROM b
   ) WHERE h <> ''
 ), a AS (
-  SELECT host, h FROM l JOIN (SELECT host, count(*) AS docs FROM b GROUP BY host) USING (host) GROUP BY host, h, docs
-  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > 0.02 * docs
+  SELECT host, h FROM l JOIN (SELECT host, count(DISTINCT doc_id) AS docs FROM b GROUP BY host) USING (host) GROUP BY host, h, docs
+  HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > least(0.02 * docs, 1000)
 ), x AS (
   SELECT doc_id, sum(n) AS gone FROM l JOIN a USING (host, h) GROUP BY doc_id
 ), f AS (
