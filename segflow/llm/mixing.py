@@ -31,6 +31,9 @@ def count_tokens(text: Column) -> Column:
 
 def _exponent(sources: DataFrame, total: int, budget: int, target_entropy: float | None, max_repetition: float | None) -> float:
     """The exponent in [0, 1]; sources: (source, tokens)."""
+    if max_repetition is not None and budget > max_repetition * total * (1 + 1e-9):
+        # at exponent 1 every source is repeated alike; no other exponent repeats the most repeated one less
+        raise ValueError(f"a budget of {budget} tokens from {total} repeats a source {budget / total:.6g} times at least, over the limit of {max_repetition}")
     p = F.col("tokens") / F.lit(float(total))
     lo, hi = 0.0, 1.0
     for _ in range(_PASSES):
@@ -77,16 +80,23 @@ def plan_mixture(weighed: DataFrame, budget: int | None, target_entropy: float |
 
     placed = weighed.join(quotas.filter("rest > 0").select("source", "epochs", "rest", "blocks"), "source").withColumn("u", permutation_value(seed, F.col("epochs"), F.col("doc_id")))
     placed = placed.withColumn("block", (F.col("u") / F.lit(_SPAN) * F.col("blocks")).cast("long"))
-    sums = stage(placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest")), "blocks")
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # the last block that starts below the rest holds the end of the prefix
-    ends = stage(sums.withColumn("before", before).filter("before < rest").groupBy("source").agg(F.max_by(F.struct("block", "before"), "block").alias("x")).select("source", "x.block", "x.before"), "ends")
-    inside = placed.join(ends, ["source", "block"]).groupBy("source", "u").agg(F.sum("n_tokens").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    upto = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cuts = inside.withColumn("upto", F.col("before") + upto).filter("upto < rest").groupBy("source").agg(F.max("u").alias("cut"))
+    sums = stage(placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens"), F.first("rest").alias("rest")).withColumn("span", F.floor(F.col("block") / BLOCK_DOCS)), "blocks")
+    # the end of the prefix: its span of blocks, its block, its document, each sought in the one before, so that no window holds more than some thousands of rows
+    spans = sums.groupBy("source", "span").agg(F.sum("tokens").alias("tokens"), F.first("rest").alias("rest"), F.lit(0).cast("long").alias("before"))
+    ends = stage(_last_below(spans, "span"), "spans")
+    ends = stage(_last_below(sums.join(ends, ["source", "span"]), "block"), "ends")
+    inside = placed.join(ends, ["source", "block"]).groupBy("source", "u").agg(F.sum("n_tokens").alias("tokens"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    cuts = _last_below(inside, "u").select("source", F.col("u").alias("cut"))
     return stage(quotas.join(cuts, "source", "left").select("source", "weight", "quota", "epochs", F.coalesce("cut", F.lit(-1)).alias("cut")), "plan")
 
 
+def _last_below(rows: DataFrame, key: str) -> DataFrame:
+    """(source, key, before): of each source the last row, by ``key``, whose prefix (``before`` and the tokens of the rows before it) is below ``rest``, and that prefix."""
+    upto = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = rows.withColumn("upto", F.col("before") + upto).filter("upto < rest")
+    return below.groupBy("source").agg(F.max_by(F.struct(F.col(key), F.col("upto").alias("before")), F.col(key)).alias("x")).select("source", "x.*")
+
+
 def permutation_value(seed: int, epoch: Column, doc_id: Column) -> Column:
     """A pseudo-random integer below 2**52 from the epoch and the document."""
     key = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -102,7 +112,8 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
 
     Needs doc_id, text and source; all columns are kept (an input column ``copies`` is
     replaced). Give one of ``target_entropy`` (share of the greatest entropy, log of the
-    number of sources) and ``max_repetition`` (tokens of the mixture per token of a source).
+    number of sources) and ``max_repetition`` (tokens of the mixture per token of a source; a
+    budget that no weights could keep within it is a ValueError).
     ``budget``: tokens of the mixture, by default those of the input. With a mixture already
     past the target the exponent is 1, and every copy count is 1. A source misses its quota by
     less than one document. Null source: the source ''. Rows without words (null or empty
