@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -83,6 +82,42 @@ def der_size(data: bytes) -> int | None:
     return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 and len(data) >= 2 + n else None
 
 
+def is_pkcs1(parts: list[tuple[int, bytes]]) -> bool:
+    """Version, then modulus, exponents, primes and their kin; a multi-prime key has one more element."""
+    tags = [t for t, _ in parts]
+    whole = tags[:9] == [0x02] * 9 and tags[9:] in ([], [0x02], [0x30])
+    return whole and parts[0][1] in (b"\0", b"\1") and len(parts[1][1]) >= 32
+
+
+def is_sec1(parts: list[tuple[int, bytes]]) -> bool:
+    """Version 1, the number, then at most the curve and the public key."""
+    tags = [t for t, _ in parts]
+    return tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and parts[0][1] == b"\1" and len(parts[1][1]) in (28, 32, 48, 66)
+
+
+# Object identifiers of key algorithms, by the form of the private key.
+_RSA = (bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a864886f70d01010a"))
+_EC = bytes.fromhex("2a8648ce3d0201")
+_DSA_DH = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))
+_CURVES = {b"\x2b\x65\x6e": 32, b"\x2b\x65\x6f": 56, b"\x2b\x65\x70": 32, b"\x2b\x65\x71": 57}
+
+
+def is_private_part(algorithm: bytes, content: bytes) -> bool:
+    """Whether the octets of a PKCS#8 key are what its algorithm asks for; of an unknown one, one whole element."""
+    items = der_items(content)
+    if not items or len(items) != 1:
+        return False
+    tag, body = items[0]
+    if algorithm in _RSA or algorithm == _EC:
+        parts = der_items(body) if tag == 0x30 else None
+        return bool(parts) and (is_sec1 if algorithm == _EC else is_pkcs1)(parts)
+    if algorithm in _CURVES:
+        return tag == 0x04 and len(body) == _CURVES[algorithm]
+    if algorithm in _DSA_DH:
+        return tag == 0x02 and len(body) >= 16
+    return len(body) >= 16
+
+
 def is_der_key(data: bytes) -> bool:
     """A PKCS#1, SEC1, PKCS#8 (plain or encrypted) or SubjectPublicKeyInfo structure, whole."""
     top = der_items(data)
@@ -94,12 +129,12 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in parts]
     if tags[0] == 0x02:
         version = parts[0][1]
-        if tags == [0x02] * len(tags) and len(tags) in (9, 10) and version in (b"\0", b"\1"):
-            return len(parts[1][1]) >= 32  # PKCS#1: modulus, exponents, primes
+        if tags == [0x02] * len(tags):
+            return is_pkcs1(parts)
         if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 and version in (b"\0", b"\1"):
             inner = der_items(parts[1][1])  # PKCS#8: algorithm, then the key
-            return bool(inner) and inner[0][0] == 0x06 and len(parts[2][1]) >= 16
-        return version == b"\1" and tags[1] == 0x04 and len(parts[1][1]) in (28, 32, 48, 66)  # SEC1
+            return bool(inner) and inner[0][0] == 0x06 and is_private_part(inner[0][1], parts[2][1])
+        return is_sec1(parts)
     if tags[0] == 0x30 and len(tags) == 2:
         inner = der_items(parts[0][1])
         if not inner or inner[0][0] != 0x06:
@@ -283,7 +318,3 @@ def digest(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

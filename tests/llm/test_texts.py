@@ -176,8 +176,24 @@ def der(tag, body):
     return bytes([tag]) + size + body
 
 
-def pkcs8():
-    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, bytes(range(64))))
+def pkcs8(content=None):
+    if content is None:
+        numbers = [b"\0", b"\0" + bytes(range(128, 192)), b"\1\0\1", bytes(range(1, 65)), *[b"\0" + bytes(range(160, 192))] * 5]
+        content = der(0x30, b"".join(der(2, x) for x in numbers))
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, content))
+
+
+def test_pkcs8_content_is_parsed():
+    def key(oid, content):
+        return secret_scan.is_der_key(der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex(oid))) + der(4, content)))
+
+    rsa, ec, ed = "2a864886f70d010101", "2a8648ce3d0201", "2b6570"
+    assert secret_scan.is_der_key(pkcs8()) and not secret_scan.is_der_key(pkcs8(bytes(range(64))))
+    sec1 = der(0x30, der(2, b"\1") + der(4, bytes(32)) + der(0xA1, der(3, bytes(66))))
+    assert key(ec, sec1) and not key(rsa, sec1) and not key(ec, sec1[:-1]) and not key(ec, der(4, bytes(32)))
+    assert key(ed, der(4, bytes(32))) and not key(ed, der(4, bytes(31))) and not key(ed, bytes(34))
+    assert key("2a8648ce380401", der(2, bytes(range(1, 33)))) and not key("2a8648ce380401", der(4, bytes(32)))
+    assert key("2b0601", der(4, bytes(40))) and not key("2b0601", bytes(range(200, 240)))
 
 
 def b64url(x):
@@ -258,14 +274,15 @@ def test_secrets_match_brute_force(spark, sf):
 # rules
 
 
-def brute_rules(rows, max_docs=20, share=0.02):
-    hosts, holders = Counter(), defaultdict(set)
+def brute_rules(rows, max_docs=20, share=0.02, most=1000):
+    hosts, holders = defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
-    for k, (_, t, s) in enumerate(rows):
-        hosts[s or ""] += 1
+    for k, (i, t, s) in enumerate(rows):
+        doc = ("row", k) if i is None else i
+        hosts[s or ""].add(doc)
         for x in (t or "").split("\n"):
             if norm(x):
-                holders[s or "", norm(x)].add(k)
+                holders[s or "", norm(x)].add(doc)
     out = Counter()
     for _, (i, t, s) in enumerate(rows):
         t = t or ""
@@ -274,7 +291,7 @@ def brute_rules(rows, max_docs=20, share=0.02):
         inside = {j for k in range(len(w) - 4) if grams[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
         lines = [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")]
         failed = len(w) < 10 or 100 * len(inside) > 20 * len(w)
-        gone = sum(len(norm(x).split(" ")) for x in lines if len(h := holders[s or "", norm(x)]) > max_docs and len(h) > share * hosts[s or ""])
+        gone = sum(len(norm(x).split(" ")) for x in lines if len(h := holders[s or "", norm(x)]) > max_docs and len(h) > min(share * len(hosts[s or ""]), most))
         left = len(w) - gone
         out[i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(inside), failed, left, not failed and left >= 10 and 100 * left >= 30 * len(w)] += 1
     return out
@@ -294,9 +311,17 @@ def test_rules_match_brute_force(spark):
     frame = spark.createDataFrame([(*x, 0, 0) for x in rows], DOCS + ", items int, row int").repartition(3)
     got = Counter(tuple(x) for x in line_rules.apply_line_rules(frame).collect())
     assert got == brute_rules(rows)
+    low = Counter(tuple(x) for x in line_rules.apply_line_rules(frame, max_docs=5, max_share=0.9, most_docs=30).collect())
+    assert low == brute_rules(rows, 5, 0.9, 30) != got
     assert line_rules.apply_line_rules(frame.limit(0)).collect() == []
 
 
+def test_copies_under_one_id_are_one_document(spark):
+    rows = [(7, "some line of ten words that is here and there\nand one more line of its own to read", "h")] * 21 + [(None, "a null id is a document of its own as the rules say so", "h")] * 21
+    got = Counter(tuple(x) for x in line_rules.apply_line_rules(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_rules(rows) and {(x[0], x[-1]) for x in got} == {(7, True), (None, False)}
+
+
 def test_frequent_lines_are_removed(spark):
     rows = [(i, f"own {i}\nBoiler  plate\nmore {i}", "h") for i in range(30)] + [(99, None, None)]
     got = {r.doc_id: r.text for r in line_rules.remove_frequent_lines(spark.createDataFrame(rows, DOCS)).collect()}
@@ -344,6 +369,22 @@ def test_repetition_limit(spark):
     assert {r.source: (r.n, r.m) for r in got} == {"small": (300, 3), "big": (700, 1)}
     with pytest.raises(ValueError):
         mixing.mix(spark.createDataFrame(rows, DOCS), target_entropy=None)
+    with pytest.raises(ValueError, match="5 times at least"):
+        mixing.mix(spark.createDataFrame(rows, DOCS), budget=50_000, target_entropy=None, max_repetition=2.0)
+
+
+def test_prefix_is_found_through_spans_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 4)  # spans of 4 blocks of 4 documents
+    r = random.Random(12)
+    rows = [(i, "w " * r.randint(1, 30), "a" if i % 5 else "b") for i in range(900)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS), target_entropy=0.9).collect()
+    value = lambda i, epoch: int(hashlib.md5(f"17:{epoch}:{i}".encode()).hexdigest()[:13], 16)
+    for s in "ab":
+        own = [(x.doc_id, len(x.text.split()), x.copies) for x in got if x.source == s]
+        epochs = min(c for _, _, c in own)
+        order = sorted(own, key=lambda x: value(x[0], epochs))
+        more = [c > epochs for _, _, c in order]
+        assert any(more) and more == sorted(more, reverse=True)  # a prefix of the permutation
 
 
 # language models
