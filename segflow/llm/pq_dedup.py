@@ -7,6 +7,7 @@ across a border by no more than a few standard deviations of a random displaceme
 length. In a list, an asymmetric table lookup gives the distance from the visitor to each
 member's reconstruction; the member's own quantisation error turns it into a lower bound, so
 no true neighbour is dropped there. Survivors are ranked by exact cosine in double precision.
+Vectors of different dimensions are never alike; each dimension has quantisers of its own.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import stage
 from segflow.llm.wordhash import lean
 
-#: Vectors that the quantisers are fitted on; vectors of one label in a list, on average; lists at most.
+#: Vectors that the quantisers are fitted on, about (shared among the dimensions, with CODES of each at least); vectors of one label in a list, on average; lists at most.
 SAMPLE, PER_LIST, MAX_LISTS = 16_384, 256, 2048
 SUBSPACES, CODES = 8, 256
 #: Border distance within which a list is visited, in standard deviations of a random displacement.
@@ -32,7 +33,7 @@ DEVIATIONS = 4.0
 #: Members and visitors that meet in one task.
 CHUNK = 1024
 
-_VISITS = "label string, list int, side int, vec_id long, vector binary, code binary, error float"
+_VISITS = "label string, dim int, list int, side int, vec_id long, vector binary, code binary, error float"
 
 
 @dataclass
@@ -89,50 +90,54 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _visit(q: Quantiser, radius: float, deviations: float) -> Callable:
-    border = min(radius, deviations * radius / math.sqrt(q.centres.shape[1]))
-    gaps = np.sqrt(squared(q.centres, q.centres))
+def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float) -> Callable:
+    gaps = {dim: np.sqrt(squared(q.centres, q.centres)) for dim, q in fitted.items()}
+
+    def visits(part: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+        q, border = fitted[dim], min(radius, deviations * radius / math.sqrt(dim))
+        x = _unit(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(len(part), dim))
+        home, d = q.nearest(x)
+        codes, error = q.encode(x - q.centres[home])
+        own = d[np.arange(len(x)), home]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            drift = (d - own[:, None]) / (2 * gaps[dim][home])
+        near = np.where(np.isfinite(drift), drift <= border, d <= own[:, None])
+        near &= np.arange(len(q.centres))[None, :] <= home[:, None]
+        near[np.arange(len(x)), home] = False
+        who, where = np.nonzero(near)
+        rows = np.concatenate([np.arange(len(x)), who])
+        side = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(who), np.int32)])
+        n = len(x)
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column(2).take(take),
+                pa.array(np.full(len(rows), dim, np.int32)),
+                pa.array(np.concatenate([home, where]).astype(np.int32)),
+                pa.array(side),
+                part.column(0).take(take),
+                part.column(1).take(take),
+                pa.array([codes[i].tobytes() if k < n else None for k, i in enumerate(rows.tolist())], pa.binary()),
+                pa.array(np.where(side == 0, error[rows], 0).astype(np.float32)),
+            ],
+            ["label", "dim", "list", "side", "vec_id", "vector", "code", "error"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 2048):
                 part = batch.slice(lo, 2048)
-                if not len(part):
-                    continue
-                raw = part.column(1).to_pylist()
-                x = _unit(np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1))
-                home, d = q.nearest(x)
-                codes, error = q.encode(x - q.centres[home])
-                own = d[np.arange(len(x)), home]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    drift = (d - own[:, None]) / (2 * gaps[home])
-                near = np.where(np.isfinite(drift), drift <= border, d <= own[:, None])
-                near &= np.arange(len(q.centres))[None, :] <= home[:, None]
-                near[np.arange(len(x)), home] = False
-                who, where = np.nonzero(near)
-                rows = np.concatenate([np.arange(len(x)), who])
-                side = np.concatenate([np.zeros(len(x), np.int32), np.ones(len(who), np.int32)])
-                n = len(x)
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(2).take(take),
-                        pa.array(np.concatenate([home, where]).astype(np.int32)),
-                        pa.array(side),
-                        part.column(0).take(take),
-                        part.column(1).take(take),
-                        pa.array([codes[i].tobytes() if k < n else None for k, i in enumerate(rows.tolist())], pa.binary()),
-                        pa.array(np.where(side == 0, error[rows], 0).astype(np.float32)),
-                    ],
-                    ["label", "list", "side", "vec_id", "vector", "code", "error"],
-                )
+                dims = part.column(3).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    yield visits(part.filter(pa.array(dims == dim)), dim)
 
     return run
 
 
-def _match(q: Quantiser, threshold: float, radius: float) -> Callable:
+def _match(fitted: dict[int, Quantiser], threshold: float, radius: float) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
+        q = fitted[table.column("dim")[0].as_py()]
         ids = table.column("vec_id").to_numpy()
         side = table.column("side").to_numpy()
         x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
@@ -174,42 +179,48 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
     Vectors are compared within equal labels. A vector that is null or zero, holds null or
-    non-finite components, has a null label or id, or another dimension than most of the
-    sample, links with nothing. Rows that share a vec_id count as one vector: the first by
+    non-finite components, or has a null label or id, links with nothing; nor do vectors of
+    different dimensions. Rows that share a vec_id count as one vector: the first by
     label and components stands for it, and each row is returned. A null id has a null
     component and is not kept. Empty input: empty result.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     whole = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("e", lambda c: c != 0)
     valid = v.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
-    one = stage(valid.groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e"), "vectors")
-    # vectors that a vector shares its label with, on average: lists are as many as these ask for
-    alike = one.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 0
-    sample = one.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("e").toPandas()["e"].tolist()
+    one = stage(valid.groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e", F.size("x.e").alias("dim")), "vectors")
     empty = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if not sample:
+    # for each dimension, the vectors that a vector shares its label with, on average: lists are as many as these ask for
+    sizes = one.groupBy("dim", "label").agg(F.count("*").cast("double").alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("alike")).collect()
+    if not sizes:
         return empty
-    sizes, counts = np.unique([len(x) for x in sample], return_counts=True)
-    dim = int(sizes[counts.argmax()])
-    fitted = fit(_unit(np.array([x for x in sample if len(x) == dim], np.float64)), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
+    # a share of each dimension's vectors by a hash of their ids, so that about as many as asked for come to the driver
+    most = max(CODES, SAMPLE // len(sizes))
+    taken = F.lit(False)
+    for dim, n, _ in sizes:
+        taken = taken | ((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))))
+    sample = one.filter(taken).select("dim", "e").toPandas()
+    fitted = {}
+    for dim, _, alike in sizes:
+        own = np.array(sample["e"][sample["dim"] == dim].tolist(), np.float64).reshape(-1, dim)
+        fitted[dim] = fit(_unit(own), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.set_column(1, "vector", pa.array([np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary()))
 
-    packed = one.filter(F.size("e") == dim).select("vec_id", "e", "label").mapInArrow(to_bytes, "vec_id long, vector binary, label string")
+    packed = one.select("vec_id", "e", "label", "dim").mapInArrow(to_bytes, "vec_id long, vector binary, label string, dim int")
     visits = stage(packed.mapInArrow(lean(_visit(fitted, radius, deviations)), _VISITS), "visits")
     # chunks of members x chunks of visitors; members also visit their own list
     chunks = lambda k: F.greatest(F.lit(1), F.ceil(k / CHUNK)).cast("int")
-    sizes_ = stage(visits.groupBy("label", "list").agg(chunks(F.sum((F.col("side") == 0).cast("int"))).alias("n_met"), chunks(F.count("*")).alias("n_own")), "sizes")
-    placed = visits.join(sizes_, ["label", "list"])
+    sizes_ = stage(visits.groupBy("label", "dim", "list").agg(chunks(F.sum((F.col("side") == 0).cast("int"))).alias("n_met"), chunks(F.count("*")).alias("n_own")), "sizes")
+    placed = visits.join(sizes_, ["label", "dim", "list"])
     dealt = lambda n: F.expr(f"cast(pmod(xxhash64(vec_id), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     fields = ["vec_id", "vector", "code", "error"]
-    as_member = placed.filter("side = 0").select("label", "list", dealt("n_met").alias("met"), every("n_own").alias("own"), F.lit(0).alias("side"), *fields)
-    as_visitor = placed.select("label", "list", every("n_met").alias("met"), dealt("n_own").alias("own"), F.when(F.col("side") == 0, 2).otherwise(1).alias("side"), *fields)
-    found = stage(as_member.unionByName(as_visitor).groupBy("label", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius), "vec_id long, n long, root long"), "matches")
+    as_member = placed.filter("side = 0").select("label", "dim", "list", dealt("n_met").alias("met"), every("n_own").alias("own"), F.lit(0).alias("side"), *fields)
+    as_visitor = placed.select("label", "dim", "list", every("n_met").alias("met"), dealt("n_own").alias("own"), F.when(F.col("side") == 0, 2).otherwise(1).alias("side"), *fields)
+    found = stage(as_member.unionByName(as_visitor).groupBy("label", "dim", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius), "vec_id long, n long, root long"), "matches")
     counts_ = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     out = v.select("vec_id").join(counts_, "vec_id", "left").join(comps, F.col("vec_id") == F.col("node"), "left")

@@ -261,6 +261,8 @@ def test_vectors_match_brute_force(spark, monkeypatch):
         for _ in range(int(r.integers(1, 12)) if g else 60):
             rows.append([int(len(rows) * 13 % 1009), [float(x) for x in base + r.normal(size=16) * r.choice([0.1, 0.3])], int(g % 3)])
     rows += [[5001, None, 1], [5002, [0.0] * 16, 1], [5003, [None] * 16, 1], [5004, [float("nan")] * 16, 1], [5005, [float("inf")] * 16, 1], [5006, rows[0][1], None], [5007, [], 1], [5008, [3.0 * x for x in rows[0][1]], rows[0][2]]]
+    for dim in (3, 2, 1):  # other dimensions in the same table
+        rows += [[6000 + 100 * dim + k, [float(x) for x in r.normal(size=dim)], k % 2] for k in range(25)]
     frame = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, label int, side int")
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in pq_dedup.near_duplicate_vectors(frame).collect()}
     assert got == brute_vectors(rows, 0.93)
@@ -269,9 +271,9 @@ def test_vectors_match_brute_force(spark, monkeypatch):
 def test_vectors_awkward_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert pq_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
-    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 1), (4, [3.0, 0.0, 0.0], 1)]
     got = Counter(tuple(r) for r in pq_dedup.near_duplicate_vectors(spark.createDataFrame(rows, schema)).collect())
-    assert got == Counter([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (3, 0, 3, True)])
+    assert got == Counter([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False), (3, 1, 3, True), (4, 1, 3, False)])
     bad = pq_dedup.near_duplicate_vectors(spark.createDataFrame([(4, None, 1)], schema)).collect()
     assert [tuple(r) for r in bad] == [(4, 0, 4, True)]
 
