@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from segflow.llm import minhash_dedup, mixing, packing, quality_crf, secret_scan
 from segflow.llm.staging import stage
 
+#: Documents of a packed sequence, at most.
+MAX_DOCS = 16
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field finds good; those that it rejects go."""
@@ -32,8 +35,8 @@ def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and places."""
-    return packing.pack(packing.cut_into_pieces(docs, with_ids=False))
+    """The packed training sequences: the pieces of all documents with their token ids, sequences and places (packing.sequences joins them)."""
+    return packing.pack(packing.cut_into_pieces(docs), max_docs=MAX_DOCS, with_ids=True)
 
 
 STAGES = [
