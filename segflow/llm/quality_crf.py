@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.wordhash import U, _hash_words, lean, mix, text_batches, words_of
+from segflow.llm.wordhash import ROWS, U, _hash_words, lean, mix, release, text_batches, words_of
 
 #: Labelled documents that the field is fitted on, at most (the first by a hash of their id).
 TRAIN_DOCS = 4000
@@ -226,17 +226,19 @@ def is_held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
+def _scores(field: LineField, texts: pa.Array) -> np.ndarray:
+    out = [np.zeros(0)]
+    for _, _, buf, offsets in text_batches(texts):
+        bins, size, first = line_bins(buf, offsets)
+        p, _, _ = forward_backward(field.scores(bins, first), first, field.moves)
+        out.append(field.document(weigh(p, size, first)))
+    return np.concatenate(out)
+
+
 def _score(field: LineField) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.names.index("text")
-            out = [np.zeros(0)]
-            for _, _, buf, offsets in text_batches(batch.column(at)):
-                bins, size, first = line_bins(buf, offsets)
-                p, _, _ = forward_backward(field.scores(bins, first), first, field.moves)
-                out.append(field.document(weigh(p, size, first)))
-            rest = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(np.concatenate(out))], [*(batch.schema.names[i] for i in rest), "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(field, batch.column(1)))], ["doc_id", "score"])
 
     return run
 
@@ -253,14 +255,11 @@ def score_documents(docs: DataFrame, field: LineField) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, field: LineField, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
-    columns = [F.col(c) if c != "text" else F.col("text").cast("string").alias("text") for c in docs.columns]
-    d = docs.select(*columns)
+    """The rows of ``docs``, all columns, whose score reaches the threshold. Only the text leaves the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _score(field)
-        for batch in batches:
-            (one,) = score(iter([pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("text"))], ["text"])]))
-            yield batch.filter(pa.array(one.column(0).to_numpy() >= threshold))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            yield pa.array(np.concatenate([np.zeros(0), *(_scores(field, column.slice(i, ROWS)) for i in range(0, len(column), ROWS))]))
+            release()
 
-    return d.mapInArrow(lean(run), d.schema)
+    return docs.filter(F.arrow_udf(run, "double")(F.col("text").cast("string")) >= threshold)

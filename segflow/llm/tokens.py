@@ -21,7 +21,7 @@ import tiktoken
 from segflow.llm.wordhash import U, _hash_words
 
 #: Pre-tokens whose ids a worker remembers (some 40 bytes each), and bytes of the longest one; longer ones are asked for each time.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 LETTER, DIGIT, SIGN, SPACE, UNASKED = range(5)
 # The endings that the pre-tokenizer cuts off behind an apostrophe.
 _ENDINGS_1, _ENDINGS_2 = b"stmd", (b"re", b"ve", b"ll")

@@ -16,7 +16,7 @@ import pyarrow as pa
 U = np.uint64
 BASE_BYTE, BASE_WORD = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes hashed at once; it bounds the memory of a task, not what is hashed.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
