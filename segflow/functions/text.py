@@ -5,6 +5,8 @@ White space is Unicode white space plus U+001C-U+001F. Null texts count as empty
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from segflow import params
 from segflow.functions.languages import NAME_OF_CODE, CODE_OF_NAME
 
 _WS = r"[\s\x1c-\x1f]"
+# The same characters one by one.
+_WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_CUT = rf"(?U)(?<=[.!?]){_WS}+"
 
 
@@ -19,8 +23,13 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text_or_empty(c), rf"(?U)\A{_WS}+|{_WS}+\z", "")
+    return F.btrim(text_or_empty(c), F.lit(_WS_CHARS))
 
 
 def normalize_spaces(c: Column) -> Column:
@@ -91,33 +100,29 @@ def time_weight(c: Column, least: int = params.MIN_WEIGHT) -> Column:
 
 
 def has_consecutive_repeats(items: Column, n: int) -> Column:
-    """Whether some element of an array occurs n times or more in a row."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(False).alias("hit"))
-
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["last"].eqNullSafe(x), a["run"] + 1).otherwise(1)
-        return F.struct(x.alias("last"), run.alias("run"), (a["hit"] | (run >= n)).alias("hit"))
-
-    return F.aggregate(items, start, step)["hit"]
+    """Whether some element of an array (bound once: it is used often) occurs n times or more in a row."""
+    same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get(items, i).eqNullSafe(F.get(items, i + k)))
+    return F.when(F.size(items) >= n, F.lit(n < 2) | F.exists(F.sequence(F.lit(0), F.size(items) - n), same)).otherwise(F.lit(False))
 
 
 def is_glitch(c: Column, n: int = params.OUTPUT_REPEATS) -> Column:
     """A phrase of two characters or more that comes n times in a row."""
-    phrases = F.transform(F.split(strip(c), rf"(?U)[。、！？!?,.\s\x1c-\x1f]+"), strip)
-    return has_consecutive_repeats(F.filter(phrases, lambda x: F.length(x) >= 2), n)
+    phrases = F.filter(F.split(strip(c), rf"(?U)[。、！？!?,.\s\x1c-\x1f]+"), lambda x: F.length(x) >= 2)  # no phrase holds white space
+    return let(phrases, lambda p: has_consecutive_repeats(p, n))
 
 
 def sentences(c: Column) -> Column:
     """Non-blank sentences, stripped: cut at white space after . ! or ?"""
-    return F.filter(F.transform(F.split(strip(c), SENTENCE_CUT), strip), lambda x: x != "")
+    return F.filter(F.split(strip(c), SENTENCE_CUT), lambda x: x != "")
 
 
 def is_repetitive_input(c: Column, n: int = params.INPUT_REPEATS) -> Column:
     """Blank, or the same quoted phrase (or, without quotes, sentence) n times in a row."""
-    t = strip(c)
-    quoted = F.regexp_extract_all(t, F.lit('"([^"]+)"'), 1)
-    phrases = F.when(F.size(quoted) > 0, quoted).otherwise(sentences(c))
-    return (t == "") | F.coalesce((F.size(phrases) > 2) & has_consecutive_repeats(F.transform(phrases, lambda x: F.lower(strip(x))), n), F.lit(False))
+    quoted = lambda t: F.regexp_extract_all(t, F.lit('"([^"]+)"'), F.lit(1))
+    lower = lambda p: F.transform(p, lambda x: F.lower(strip(x)))
+    again = lambda p: (F.size(p) > 2) & let(F.when(F.size(p) >= n, lower(p)).otherwise(F.array().cast("array<string>")), lambda q: has_consecutive_repeats(q, n))
+    judged = lambda t: (t == "") | let(let(F.when(t.contains('"'), quoted(t)).otherwise(F.array().cast("array<string>")), lambda q: F.when(F.size(q) > 0, q).otherwise(sentences(t))), again)
+    return let(strip(c), judged)
 
 
 def is_error_placeholder(c: Column) -> Column:

@@ -2,31 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segflow.functions import text as T
 
+#: Rows whose trigrams a task holds at once.
+ROWS = 512
+
+
+def _padded(text: str) -> str:
+    """White space collapsed (the characters that T.strip knows), and a space at either end: what trigrams are taken from."""
+    return f" {' '.join(text.split())} "
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each trigram of each text as one integer (21 bits a character), and its text's place."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = np.array([len(x) for x in texts], np.int64)
+    if len(points) < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = points[:-2] << np.uint64(42) | points[1:-1] << np.uint64(21) | points[2:]
+    row = np.repeat(np.arange(len(texts)), n)
+    inside = row[:-2] == row[2:]
+    return keys[inside], row[:-2][inside]
+
+
+def _gram(key: int) -> str:
+    return "".join(chr(key >> k & 0x1FFFFF) for k in (42, 21, 0))
+
 
-def trigrams(c: Column) -> Column:
-    """Character trigrams of a text in lower case, with white space collapsed and a space at either end."""
-    t = F.concat(F.lit(" "), F.lower(T.normalize_spaces(c)), F.lit(" "))
-    # characters once, then triples by place: substring() would walk the text from its start each time
-    chars = F.array(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)))
-    cut = lambda x: F.when(F.size(x) >= 3, F.transform(F.sequence(F.lit(0), F.size(x) - 3), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2))))
-    return F.get(F.transform(chars, cut), F.lit(0))
+def _key(gram: str) -> int:
+    return sum(ord(c) << k for c, k in zip(gram, (42, 21, 0)))
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) from (lang, text in lower case), summed over some rows at a time."""
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS):
+            langs, texts = (batch.column(i).slice(lo, ROWS).to_pylist() for i in (0, 1))
+            keys, row = _trigrams([*map(_padded, texts)])
+            names, at = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+            lang, gram, n = [], [], []
+            for k, name in enumerate(names.tolist()):
+                own, count = np.unique(keys[at[row] == k], return_counts=True)
+                lang += [name] * len(own)
+                gram += map(_gram, own.tolist())
+                n += count.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
 def train_profiles(labelled: DataFrame, most: int = 400) -> DataFrame:
     """(lang, gram, logp) from (text, lang): the ``most`` frequent trigrams of each language, with a floor row (gram '').
 
-    At most ``most`` + 1 rows for each language, so the profiles may be broadcast.
+    At most ``most`` + 1 rows for each language, so the profiles are small.
     """
-    from pyspark.sql.window import Window
-
-    grams = labelled.filter(F.col("lang").isNotNull() & ~T.is_blank(F.col("text"))).select(T.normalize_lang_code(F.col("lang")).alias("lang"), F.explode(trigrams(F.col("text"))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    # ranks only what could be among the most frequent: each language's counts are cut by a running top
+    texts = labelled.filter(F.col("lang").isNotNull() & ~T.is_blank(F.col("text"))).select(T.normalize_lang_code(F.col("lang")).alias("lang"), F.lower("text").alias("text"))
+    counts = texts.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= most)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = top.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * most)).alias("logp"))
@@ -34,18 +71,49 @@ def train_profiles(labelled: DataFrame, most: int = 400) -> DataFrame:
     return kept.unionByName(floor)
 
 
+def detected_language(c: Column, profiles: DataFrame) -> Column:
+    """The language whose trigram profile makes the text likeliest (ties: the first by name); '' under 3 characters or without a known trigram.
+
+    The profiles, some hundred rows for each language, come to the driver and go with the
+    function; a text is scored in its own row, without a shuffle.
+    """
+    rows = profiles.collect()
+    floors = {r.lang: r.logp for r in rows if not r.gram}
+    langs = sorted(floors)
+    grams = sorted({_key(r.gram) for r in rows if r.gram})
+    keys, place = np.array(grams, np.uint64), {g: k for k, g in enumerate(grams)}
+    gain, known = np.zeros((len(langs), len(grams))), np.zeros((len(langs), len(grams)), bool)
+    for r in rows:
+        if r.gram:
+            gain[langs.index(r.lang), place[_key(r.gram)]] = r.logp - floors[r.lang]
+            known[langs.index(r.lang), place[_key(r.gram)]] = True
+
+    def scored(texts: list[str | None]) -> list[str]:
+        full = ["" if x is None else _padded(x) for x in texts]
+        found, row = _trigrams(full)
+        if not len(keys) or not len(found):
+            return [""] * len(texts)
+        size = np.bincount(row, minlength=len(full))
+        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+        hit = keys[at] == found
+        at, row = at[hit], row[hit]
+        score = np.full((len(langs), len(full)), -np.inf)
+        for k, lang in enumerate(langs):
+            seen = np.bincount(row, known[k][at], len(full)) > 0
+            score[k][seen] = np.round(np.bincount(row, gain[k][at], len(full)) + size * floors[lang], 6)[seen]
+        best, some = score.argmax(0), np.isfinite(score).any(0)
+        return [langs[b] if s and x is not None else "" for b, s, x in zip(best.tolist(), some.tolist(), texts)]
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([x for i in range(0, len(column), ROWS) for x in scored(column.slice(i, ROWS).to_pylist())], pa.string())
+
+    return F.arrow_udf(run, "string")(F.when(F.length(T.strip(c)) >= 3, F.lower(c)))
+
+
 def detect_language(texts: DataFrame, profiles: DataFrame, key: str = "id", column: str = "text") -> DataFrame:
-    """(key, detected): the language whose trigram profile makes the text likeliest; '' under 3 characters. key must be unique."""
-    t = texts.select(key, T.strip(F.col(column)).alias("__t"))
-    floor = profiles.filter("gram = ''").select("lang", F.col("logp").alias("floor"))
-    gain = F.broadcast(profiles.filter("gram <> ''").join(floor, "lang").select("lang", "gram", (F.col("logp") - F.col("floor")).alias("gain")))
-    # log likelihood = trigrams * floor + gains of the known ones; a text's rows are summed in the task that explodes it
-    t = t.withColumn("size", F.length(T.normalize_spaces(F.col("__t"))))  # before the explode: once for each text
-    grams = t.filter(F.length("__t") >= 3).select(key, "size", F.explode(trigrams(F.col("__t"))).alias("gram"))
-    gains = grams.join(gain, "gram").groupBy(key, "lang", "size").agg(F.sum("gain").alias("gain"))
-    scored = gains.join(F.broadcast(floor), "lang").select(key, "lang", F.round(F.col("gain") + F.col("size") * F.col("floor"), 6).alias("score"))
-    best = scored.groupBy(key).agg(F.min_by("lang", F.struct(-F.col("score"), "lang")).alias("detected"))
-    return t.select(key).join(best, key, "left").select(key, F.coalesce("detected", F.lit("")).alias("detected"))
+    """(key, detected) for each row."""
+    return texts.select(key, detected_language(F.col(column), profiles).alias("detected"))
 
 
 def language_counts(detected: DataFrame) -> DataFrame:
