@@ -15,9 +15,12 @@ from pyspark.sql.window import Window
 
 from segflow import params
 from segflow.functions import text as T
+from segflow.sources.shared import stage
 
 COLUMNS = ["video_id", "idx", "start", "end", "text_src", "speaker_id", "detected_lang"]
 _ORDER = ("idx", "start", "end", "text_src")
+#: Segments that a fold goes over before it puts by what it found.
+PIECE = 256
 
 
 def drop_blank(segments: DataFrame) -> DataFrame:
@@ -43,7 +46,8 @@ def _fold(segments: DataFrame, clean: Callable[[Column], Column], gap: float, jo
 
     A gap over ``gap`` or another speaker always starts a new group, whatever the group
     holds; so ``lag`` cuts a video into islands first, and the fold runs over each island's
-    array with numbers only in its state.
+    array with numbers only in its state. It runs in pieces that hand on the state, so that
+    appending to what it returns does not copy the whole of a long island at each step.
     """
     s = segments.select(
         "video_id",
@@ -76,7 +80,16 @@ def _fold(segments: DataFrame, clean: Callable[[Column], Column], gap: float, jo
             F.concat(a["out"], F.array(gid)).alias("out"),
         )
 
-    folded = islands.select("video_id", "island", "items", F.aggregate("items", start, step)["out"].alias("gids"))
+    fields = ("gid", "start", "end", "n", "stop", "count")
+    none = F.array().cast("array<int>")
+    first = F.struct(*(start[f].alias(f) for f in fields), F.array().cast("array<array<int>>").alias("outs"))
+
+    def whole_piece(a: Column, piece: Column) -> Column:
+        state = F.struct(*(a[f].alias(f) for f in fields), none.alias("out"))
+        return T.let(F.aggregate(piece, state, step), lambda b: F.struct(*(b[f].alias(f) for f in fields), F.concat(a["outs"], F.array(b["out"])).alias("outs")))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / PIECE).cast("int")), lambda i: F.slice("items", i * PIECE + 1, PIECE))
+    folded = islands.select("video_id", "island", "items", F.flatten(F.aggregate(pieces, first, whole_piece)["outs"]).alias("gids"))
     each = folded.select("video_id", "island", F.explode(F.arrays_zip("items", "gids")).alias("x")).select("video_id", "island", "x.gids", "x.items.*")
     lang = F.min_by("detected_lang", F.when(F.col("detected_lang") != "", F.col("pos")))
     merged = each.groupBy("video_id", "island", "gids").agg(
@@ -162,10 +175,10 @@ def shape(segments: DataFrame) -> DataFrame:
 
 
 def stage_funnel(segments: DataFrame) -> DataFrame:
-    """(video_id, stage, n): rows after each step of ``shape``."""
-    merged = merge_segments(segments)
-    chunked = chunk_segments(merged)
-    split = split_sentences(chunked)
+    """(video_id, stage, n): rows after each step of ``shape``; each step is staged, so that none runs twice."""
+    merged = stage(merge_segments(segments), "merged")
+    chunked = stage(chunk_segments(merged), "chunked")
+    split = stage(split_sentences(chunked), "split")
     stages = {"raw": segments, "merged": merged, "chunked": chunked, "split": split, "units": merge_sentence_units(split)}
     out = None
     for name, d in stages.items():

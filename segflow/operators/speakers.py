@@ -11,16 +11,33 @@ from segflow.functions import text as T
 from segflow.operators.shape import with_segno
 
 
+#: Seconds of a bin of time, in which segments meet turns.
+BIN_SEC = 60.0
+
+
+def overlapping(a: DataFrame, b: DataFrame, bin_sec: float = BIN_SEC) -> DataFrame:
+    """Pairs of rows of one video whose intervals share time: the columns of both, without b's video_id.
+
+    ``a`` has a0, a1 and ``b`` has b0, b1. Both sides go to the bins of time that they touch, so
+    that a pair meets by video and bin, not each row with all others of its video; of the bins
+    that a pair shares the first one counts.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / bin_sec)
+    spread = lambda d, lo, hi: d.filter(F.col(hi) > F.col(lo)).withColumn("__bin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
+    left, right = spread(a, "a0", "a1"), spread(b, "b0", "b1").withColumnRenamed("video_id", "__video").withColumnRenamed("__bin", "__other")
+    met = left.join(right, (F.col("video_id") == F.col("__video")) & (F.col("__bin") == F.col("__other")))
+    met = met.filter((F.least("a1", "b1") > F.greatest("a0", "b0")) & (F.col("__bin") == F.greatest(bin_of("a0"), bin_of("b0"))))
+    return met.drop("__bin", "__other", "__video")
+
+
 def overlap_totals(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """(video_id, idx, speaker, overlap, first_turn): positive overlaps summed for each speaker.
 
-    An interval join within a video. ``overlap`` is rounded to a microsecond, so that ties do
-    not depend on the order of additions.
+    ``overlap`` is rounded to a microsecond, so that ties do not depend on the order of additions.
     """
-    s = segments.select("video_id", "idx", "start", "end")
-    t = turns.select("video_id", "turn_no", F.col("start").alias("t0"), F.col("end").alias("t1"), "speaker")
-    shared = F.least("end", "t1") - F.greatest("start", "t0")
-    met = s.join(t, (s.video_id == t.video_id) & (F.least(s.end, t.t1) > F.greatest(s.start, t.t0))).select(s.video_id, "idx", "speaker", "turn_no", shared.alias("shared"))
+    s = segments.select("video_id", "idx", F.col("start").alias("a0"), F.col("end").alias("a1"))
+    t = turns.select("video_id", "turn_no", F.col("start").alias("b0"), F.col("end").alias("b1"), "speaker")
+    met = overlapping(s, t).select("video_id", "idx", "speaker", "turn_no", (F.least("a1", "b1") - F.greatest("a0", "b0")).alias("shared"))
     return met.groupBy("video_id", "idx", "speaker").agg(F.round(F.sum("shared"), 6).alias("overlap"), F.min("turn_no").alias("first_turn"))
 
 
@@ -77,8 +94,8 @@ def prompt_texts(refs: DataFrame, segments: DataFrame) -> DataFrame:
     """
     s = segments.select("video_id", "idx", "start", "end", T.normalize_spaces(F.col("text_src")).alias("said"))
     key = ["video_id", "speaker_id"]
-    over = refs.join(s, (refs.video_id == s.video_id) & (F.least(refs.ref_end, s.end) > F.greatest(refs.ref_start, s.start)))
-    over = over.select(refs.video_id, "speaker_id", s.start, "idx", "said").groupBy(*key)
+    over = overlapping(refs.select(*key, F.col("ref_start").alias("a0"), F.col("ref_end").alias("a1")), s.select("video_id", "idx", F.col("start").alias("b0"), F.col("end").alias("b1"), "said"))
+    over = over.select(*key, F.col("b0").alias("start"), "idx", "said").groupBy(*key)
     joined = over.agg(F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("start", "idx", "said"))), lambda x: x["said"]), lambda x: x != ""), " ").alias("joined"))
     rest = refs.join(joined, key, "left_anti").select(*key, ((F.col("ref_start") + F.col("ref_end")) / 2).alias("mid"))
     near = rest.join(s, "video_id").groupBy(*key).agg(F.min_by("said", F.struct(F.round(F.abs((F.col("start") + F.col("end")) / 2 - F.col("mid")), 9), "idx")).alias("near"))

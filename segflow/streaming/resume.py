@@ -25,9 +25,10 @@ def run_available(
     """Processes the files that came to ``inbox`` since the last run, then stops.
 
     ``process`` turns the rows of new or changed videos into results with video_id;
-    ``media_of`` gives (video_id, path, size, mtime) of a batch. A batch overwrites the
-    partitions of its videos and then adds them to the ledger, so a batch that is repeated
-    after a crash leaves the same tables.
+    ``media_of`` gives (video_id, path, size, mtime) of a batch, one row for each video. A batch
+    writes its results to a folder of its own and then adds its videos to the ledger, so a
+    batch that is repeated after a crash leaves the same tables. read_results reads them. The
+    ledger's updated_at counts batches, as milliseconds (JSON keeps no less).
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -39,10 +40,10 @@ def run_available(
             state = ledger.changed_inputs(media, known)
             todo = state.filter("state <> 'resume'").select("video_id")
             result = process(rows.join(todo, "video_id", "left_semi"))
-            result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(out)
+            result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
             done = ledger.open_ledger(media, known).join(todo, "video_id", "left_semi")
             steps = F.map_concat(F.map_filter("steps", lambda k, v: k != "asr_done"), F.create_map(F.lit("asr_done"), F.lit("true")))
-            io.write_ledger(done.withColumn("steps", steps).withColumn("updated_at", F.timestamp_micros(F.lit(batch_id + 1))), ledger_path)
+            io.write_ledger(done.withColumn("steps", steps).withColumn("updated_at", F.timestamp_millis(F.lit(batch_id + 1))), ledger_path)
         finally:
             rows.unpersist()
 
@@ -50,6 +51,13 @@ def run_available(
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_results(spark: SparkSession, out: str, schema: str, ledger_path: str) -> DataFrame:
+    """The results (``schema``, with video_id) of the batch that processed each video last, as the ledger has it."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(out)
+    newest = _ledger(spark, ledger_path).select("video_id", (F.unix_millis("updated_at") - 1).alias("batch"))
+    return rows.join(newest, ["video_id", "batch"], "left_semi").drop("batch")
+
+
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
