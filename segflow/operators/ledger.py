@@ -65,6 +65,15 @@ def batch_outcome(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").cast("long").alias("n_videos"), F.count("error").cast("long").alias("n_failed"))
 
 
+def video_errors(*found: DataFrame) -> DataFrame:
+    """(video_id, error): one error for each video that has any, of tables with both columns (error null: none)."""
+    every = None
+    for d in found:
+        own = d.filter("error is not null").select(F.col("video_id").cast("string").alias("video_id"), "error")
+        every = own if every is None else every.unionByName(own)
+    return every.groupBy("video_id").agg(F.min("error").alias("error"))
+
+
 def failed_videos(results: DataFrame) -> DataFrame:
     """(video_id, error): a row for every failure."""
     return results.filter("error is not null").select("video_id", "error")

@@ -17,9 +17,14 @@ def pending_synthesis(segments: DataFrame, outputs: DataFrame) -> DataFrame:
     ``outputs``: video_id, segno, file_exists, duration_sec, in_meta. An output is usable if its
     file exists and is known from metadata or has a positive duration.
     """
-    usable = outputs.filter(F.col("file_exists") & (F.col("in_meta") | (F.coalesce("duration_sec", F.lit(0.0)) > 0)))
     eligible = segments.filter(timing.tts_eligible(F.col("start"), F.col("end"), F.col("text_tgt")))
-    return eligible.join(usable.select("video_id", "segno"), ["video_id", "segno"], "left_anti")
+    return eligible.join(usable_outputs(outputs), ["video_id", "segno"], "left_anti")
+
+
+def usable_outputs(outputs: DataFrame) -> DataFrame:
+    """(video_id, segno) of the outputs that need not be made again."""
+    usable = F.col("file_exists") & (F.col("in_meta") | (F.coalesce("duration_sec", F.lit(0.0)) > 0))
+    return outputs.filter(usable).select("video_id", "segno")
 
 
 def synthesis_plan(segments: DataFrame, by_segment: DataFrame, by_speaker: DataFrame, engine: str = "omnivoice", target: str = "ja") -> DataFrame:
@@ -60,9 +65,19 @@ def reconcile(plan: DataFrame, results: DataFrame, retries: int = params.QUALITY
     return r.groupBy("video_id", "segno").agg(best.alias("x")).select("video_id", "segno", "x.*").filter("duration_sec > 0")
 
 
-def synthesis_progress(segments: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(video_id, total, done_count, failed): skipped, made and failed segments all count as done."""
-    a = accepted.select("video_id", "segno", F.lit(1).alias("made"))
-    s = segments.withColumn("want", timing.tts_eligible(F.col("start"), F.col("end"), F.col("text_tgt"))).join(a, ["video_id", "segno"], "left")
-    failed = F.sum((F.col("want") & F.col("made").isNull()).cast("long"))
-    return s.groupBy("video_id").agg(F.count("*").cast("long").alias("total"), F.count("*").cast("long").alias("done_count"), failed.alias("failed"))
+def synthesis_progress(segments: DataFrame, outputs: DataFrame, plan: DataFrame, results: DataFrame, accepted: DataFrame) -> DataFrame:
+    """(video_id, total, done_count, failed) of a run that may still go on.
+
+    Done are segments that need no clip or have no reference (not in ``plan``), those whose
+    earlier output is reused, those with an accepted clip, and failed ones: planned, tried
+    (in ``results``), and without an accepted clip. What is planned but not tried is not done.
+    """
+    key = ["video_id", "segno"]
+    mark = lambda d, name: d.select(*key).distinct().withColumn(name, F.lit(True))
+    s = segments.select(*key)
+    for d, name in ((usable_outputs(outputs), "reused"), (plan, "planned"), (results, "tried"), (accepted, "made")):
+        s = s.join(mark(d, name), key, "left")
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    asked = yes("planned") & ~yes("reused") & ~yes("made")
+    count = lambda c: F.sum(c.cast("long"))
+    return s.groupBy("video_id").agg(F.count("*").cast("long").alias("total"), count(~(asked & ~yes("tried"))).alias("done_count"), count(asked & yes("tried")).alias("failed"))

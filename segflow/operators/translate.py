@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from segflow import params
 from segflow.functions import text as T
+from segflow.operators import language
 from segflow.operators.shape import with_segno
+from segflow.sources.shared import stage
 
-#: (texts: DataFrame with text, source, target, engine) -> the same with ``out``
+#: (texts: DataFrame with text, source, target, engine) -> the same with ``out`` and, where a call may fail, ``error`` (null: none)
 Translator = Callable[[DataFrame], DataFrame]
 
 
@@ -40,35 +42,53 @@ def split_long_text(texts: DataFrame, key: list[str], column: str = "text_src",
     return t.withColumn("long", F.length("__t") > most).select(*key, "long", F.posexplode(parts).alias("part_no", "part"))
 
 
-def translate_segments(segments: DataFrame, translator: Translator, target: str = "ja") -> DataFrame:
-    """Segments (video_id, segno, text_src, text_tgt, detected_lang) with pending texts translated.
+def source_language(segments: DataFrame, videos: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Segments with ``source``: their own detected_lang, else the video's (video_id, video_lang), else that of the text by ``profiles``, else 'en'."""
+    named = lambda c: F.when(T.text_or_empty(c) != "", c)
+    choices = [named(F.col("detected_lang"))]
+    if videos is not None:
+        segments = segments.join(videos.select("video_id", F.col("video_lang").alias("__video_lang")), "video_id", "left")
+        choices.append(named(F.col("__video_lang")))
+    if profiles is not None:
+        # only texts that no label tells are detected
+        unknown = F.coalesce(*choices).isNull()
+        choices.append(named(language.detected_language(F.when(unknown, F.col("text_src")), profiles)))
+    return segments.withColumn("source", F.coalesce(*choices, F.lit("en"))).drop("__video_lang")
+
+
+def translate_segments(segments: DataFrame, translator: Translator, target: str = "ja", videos: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Segments (video_id, segno, text_src, text_tgt, detected_lang) with pending texts translated, and ``error``.
 
     Only texts that need it reach ``translator``, each distinct text once, dealt by engine so
     that a worker loads one model; it gets (text, source, target, engine) and adds ``out``.
-    Repetitive inputs and glitches become marks. Long texts are translated by sentence.
+    Repetitive inputs and glitches become marks. Long texts are translated by sentence. The
+    source language is that of source_language. Where a call failed, the segment keeps its
+    text_tgt and has the ``error`` (null elsewhere), for ledger.video_errors; others go on.
     """
-    pending = segments.filter(needs_translation(F.col("text_tgt")))
-    done = segments.filter(~needs_translation(F.col("text_tgt")))
     key = ["video_id", "segno"]
-    source = F.coalesce(F.when(T.text_or_empty(F.col("detected_lang")) != "", F.col("detected_lang")), F.lit("en"))
-    langs = pending.select(*key, source.alias("source"))
-    whole = T.is_repetitive_input(F.col("text_src"))
-    parts = split_long_text(pending.filter(~whole), key).join(langs, key)
-    asked = parts.filter(~T.is_repetitive_input(F.col("part"))).select(F.col("part").alias("text"), "source", F.lit(target).alias("target")).distinct()
-    asked = asked.withColumn("engine", T.select_engine(F.col("source"), F.col("target")))
-    answers = translator(asked).select(F.col("text").alias("part"), "source", T.strip(F.col("out")).alias("out"))
-    told = parts.join(answers, ["part", "source"], "left")
-    one = F.when(T.is_repetitive_input(F.col("part")), F.lit(params.REPETITIVE_PART_MARK)).when(T.is_glitch(F.col("out")), F.lit(params.ERROR_MARK)).otherwise(T.text_or_empty(F.col("out")))
-    told = told.withColumn("one", one).groupBy(*key).agg(F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "one"))), lambda x: x["one"]), lambda x: x != ""), " ").alias("joined"))
-    made = pending.join(told, key, "left")
-    blank = T.is_blank(F.col("text_src"))
+    need = needs_translation(F.col("text_tgt"))
+    pending = stage(source_language(segments.filter(need), videos, profiles).withColumn("__again", T.is_repetitive_input(F.col("text_src"))), "pending")
+    parts = split_long_text(pending.filter(~F.col("__again")), key).join(pending.select(*key, "source"), key)
+    # joined by a hash first: texts may be long
+    parts = stage(parts.withColumn("at", F.xxhash64("part", "source")).withColumn("again", T.is_repetitive_input(F.col("part"))), "parts")
+    asked = parts.filter(~F.col("again")).select("at", F.col("part").alias("text"), "source", F.lit(target).alias("target")).distinct()
+    asked = asked.drop("at").withColumn("engine", T.select_engine(F.col("source"), F.col("target")))
+    told = translator(asked)
+    error = F.col("error") if "error" in told.columns else F.lit(None).cast("string")
+    answers = told.select(F.xxhash64("text", "source").alias("at"), F.col("text").alias("part"), "source", T.strip(F.col("out")).alias("out"), error.alias("error"))
+    made = parts.join(answers, ["at", "part", "source"], "left")
+    one = F.when(F.col("again"), F.lit(params.REPETITIVE_PART_MARK)).when(T.is_glitch(F.col("out")), F.lit(params.ERROR_MARK)).otherwise(T.text_or_empty(F.col("out")))
+    joined = F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("part_no", "one"))), lambda x: x["one"]), lambda x: x != ""), " ")
+    made = pending.join(made.withColumn("one", one).groupBy(*key).agg(joined.alias("joined"), F.min("error").alias("error")), key, "left")
     new = (
-        F.when(blank, F.lit(""))
-        .when(T.is_repetitive_input(F.col("text_src")), F.lit(params.REPETITIVE_INPUT_MARK))
+        F.when(F.col("error").isNotNull(), F.col("text_tgt"))
+        .when(T.is_blank(F.col("text_src")), F.lit(""))
+        .when(F.col("__again"), F.lit(params.REPETITIVE_INPUT_MARK))
         .when(T.is_glitch(F.col("joined")), F.lit(params.ERROR_MARK))
         .otherwise(T.text_or_empty(F.col("joined")))
     )
-    return done.unionByName(made.withColumn("text_tgt", new).drop("joined"))
+    done = segments.filter(~need).withColumn("error", F.lit(None).cast("string"))
+    return done.unionByName(made.withColumn("text_tgt", new).drop("joined", "source", "__again"))
 
 
 def column_translator(body: Callable[[Column], Column]) -> Translator:
@@ -79,8 +99,8 @@ def column_translator(body: Callable[[Column], Column]) -> Translator:
 def model_translator(load: Callable[[str], Callable[[str, str, str], str]], retries: int = params.TRANSLATE_RETRIES, backoff_sec: float = params.TRANSLATE_BACKOFF_SEC, partitions: int | None = None) -> Translator:
     """A translator around models: ``load(engine)`` gives (text, source, target) -> text, once for each task and engine.
 
-    A call that fails is tried again after a growing wait; the last failure fails the task,
-    which Spark then repeats elsewhere.
+    A call that fails is tried again after a growing wait; the last failure becomes the text's
+    ``error``. A model that does not load fails the task, which Spark then repeats elsewhere.
     """
 
     def run(batches):
@@ -88,24 +108,27 @@ def model_translator(load: Callable[[str], Callable[[str, str, str], str]], retr
 
         models: dict[str, Callable] = {}
         for pdf in batches:
-            out = []
+            out, errors = [], []
             for text, source, target, engine in zip(pdf["text"], pdf["source"], pdf["target"], pdf["engine"]):
                 if engine not in models:
                     models.clear()  # one model at a time fits in memory
                     models[engine] = load(engine)
+                said = error = None
                 for attempt in range(1, retries + 1):
                     try:
-                        out.append(models[engine](text, source, target))
+                        said, error = models[engine](text, source, target), None
                         break
-                    except Exception:
-                        if attempt == retries:
-                            raise
-                        time.sleep(backoff_sec * attempt)
-            yield pdf.assign(out=out)
+                    except Exception as e:  # one text must not stop the others
+                        error = f"{type(e).__name__}: {e}"
+                        if attempt < retries:
+                            time.sleep(backoff_sec * attempt)
+                out.append(said)
+                errors.append(error)
+            yield pdf.assign(out=out, error=errors)
 
     def translator(asked: DataFrame) -> DataFrame:
         columns = ["engine", F.pmod(F.xxhash64("text"), F.lit(64))]
         dealt = (asked.repartition(partitions, *columns) if partitions else asked.repartition(*columns)).sortWithinPartitions("engine")
-        return dealt.select("text", "source", "target", "engine").mapInPandas(run, "text string, source string, target string, engine string, out string")
+        return dealt.select("text", "source", "target", "engine").mapInPandas(run, "text string, source string, target string, engine string, out string, error string")
 
     return translator

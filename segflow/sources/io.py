@@ -2,6 +2,7 @@
 
 Readers take explicit schemas, coerce types and skip rows that are not objects. JSON
 documents are one file for each video; its name without suffix is the video_id.
+Numbers may be quoted.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from segflow import params
 from segflow.functions import text as T
 from segflow.operators import ledger
 
-_WHISPER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: bigint, `to`: bigint>, text: string>>"
-_SEGMENT = "idx int, start double, end double, text_src string, text_tgt string, text_en string, text_ja string, speaker_id string, detected_lang string"
-_META = "segno int, flac_path string, duration_sec double"
+_WHISPER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: string, `to`: string>, text: string>>"
+# Numbers are read as text: they may be quoted, or whole ones written as 3.0.
+_SEGMENT = "idx string, start string, end string, text_src string, text_tgt string, text_en string, text_ja string, speaker_id string, detected_lang string"
+_META = "segno string, flac_path string, duration_sec string"
 TURNS = "video_id string, start double, end double, speaker string, turn_no int"
 
 
@@ -31,6 +33,15 @@ def scan_media(spark: SparkSession, path: str, suffixes: tuple[str, ...] = param
     return files.filter(suffix.isin(*suffixes)).select(T.stem(F.col("path")).alias("video_id"), "path", "size", "mtime").orderBy("path")
 
 
+def _number(c: Column) -> Column:
+    return c.try_cast("double")
+
+
+def _whole(c: Column, kind: str) -> Column:
+    """A whole number, cut off towards zero."""
+    return _number(c).try_cast(kind)
+
+
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, doc): whole files."""
     return spark.read.text(path, wholetext=True).select(T.stem(F.col("_metadata.file_name")).alias("video_id"), F.col("value").alias("doc"))
@@ -41,7 +52,7 @@ def whisper_segments(docs: DataFrame) -> DataFrame:
     d = docs.select("video_id", F.from_json("doc", _WHISPER).alias("d"))
     lang = F.when(T.text_or_empty(F.col("d.result.language")) != "", T.lang_name_to_code(F.col("d.result.language"))).otherwise(F.lit(""))
     rows = d.select("video_id", lang.alias("detected_lang"), F.posexplode("d.transcription").alias("pos", "x"))
-    at = lambda k: F.coalesce(F.col("x.offsets")[k], F.lit(0)) / 1000.0
+    at = lambda k: F.coalesce(_whole(F.col("x.offsets")[k], "long"), F.lit(0)) / 1000.0
     kept = rows.select("video_id", "pos", at("from").alias("start"), at("to").alias("end"), T.strip(F.col("x.text")).alias("text_src"), "detected_lang").filter("text_src <> '' and end > start")
     idx = (F.row_number().over(Window.partitionBy("video_id").orderBy("pos")) - 1).cast("int")
     return kept.select("video_id", idx.alias("idx"), "start", "end", "text_src", F.lit("").alias("text_tgt"), F.lit("").alias("speaker_id"), "detected_lang")
@@ -62,10 +73,19 @@ def read_diarized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, kept.select("video_id", F.col("idx").alias("turn_no"), "start", "end", "speaker")
 
 
+def _listed(doc: Column) -> Column:
+    """The items of a JSON array, as text; null if the document is none."""
+    return F.when(F.ltrim(doc).startswith("["), F.from_json(doc, "array<string>"))
+
+
+def document_errors(docs: DataFrame) -> DataFrame:
+    """(video_id, error) of the documents that hold no array: they give no rows, and fail their own video only."""
+    return docs.filter(_listed(F.col("doc")).isNull()).select("video_id", F.lit("not a list").alias("error"))
+
+
 def _items(docs: DataFrame) -> DataFrame:
-    """(video_id, pos, item): the objects of each document's array, as JSON text; a document that is no array is an error."""
-    listed = F.when(F.ltrim("doc").startswith("["), F.from_json("doc", "array<string>")).otherwise(F.raise_error(F.concat(F.lit("not a list: "), "video_id")))
-    return docs.select("video_id", F.posexplode(listed).alias("pos", "item")).filter(F.ltrim("item").startswith("{"))
+    """(video_id, pos, item): the objects of each document's array, as JSON text."""
+    return docs.select("video_id", F.posexplode(_listed(F.col("doc"))).alias("pos", "item")).filter(F.ltrim("item").startswith("{"))
 
 
 def stored_segments(docs: DataFrame) -> DataFrame:
@@ -74,9 +94,9 @@ def stored_segments(docs: DataFrame) -> DataFrame:
     first = lambda *names: F.coalesce(*(F.nullif(F.col(f"x.{n}"), F.lit("")) for n in names), F.lit(""))
     return r.select(
         "video_id",
-        F.coalesce("x.idx", "pos").alias("idx"),
-        F.coalesce("x.start", F.lit(0.0)).alias("start"),
-        F.coalesce("x.end", F.lit(0.0)).alias("end"),
+        F.coalesce(_whole(F.col("x.idx"), "int"), "pos").alias("idx"),
+        F.coalesce(_number(F.col("x.start")), F.lit(0.0)).alias("start"),
+        F.coalesce(_number(F.col("x.end")), F.lit(0.0)).alias("end"),
         first("text_src", "text_en").alias("text_src"),
         first("text_tgt", "text_ja").alias("text_tgt"),
         first("speaker_id").alias("speaker_id"),
@@ -122,7 +142,8 @@ def valid_tts_meta(rows: DataFrame) -> DataFrame:
 
 
 def read_tts_meta(spark: SparkSession, path: str) -> DataFrame:
-    return valid_tts_meta(_items(_documents(spark, path)).select("video_id", "pos", F.from_json("item", _META).alias("x")).select("video_id", "pos", "x.*"))
+    rows = _items(_documents(spark, path)).select("video_id", "pos", F.from_json("item", _META).alias("x"))
+    return valid_tts_meta(rows.select("video_id", "pos", _whole(F.col("x.segno"), "int").alias("segno"), "x.flac_path", _number(F.col("x.duration_sec")).alias("duration_sec")))
 
 
 def write_tts_meta(meta: DataFrame, path: str) -> None:
@@ -163,7 +184,3 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def write_ledger(documents: DataFrame, path: str, mode: str = "append") -> None:
     """Adds documents; the newest of each video counts when read."""
     documents.select("video_id", "version", "video", "steps", "artifacts", "updated_at").write.mode(mode).json(path)
-
-
-def media_stem(path: Column) -> Column:
-    return T.stem(path)
