@@ -39,9 +39,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(c.select("video_id", idx.alias("idx"), F.col("role").alias("speaker_id"), "text_src"))
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: F1 with blank texts, empty and reversed intervals, overlaps and distances of exactly the limits."""
+    s, k = segments(spark, sf_dir), F.col("idx")
+    before = F.lag("end").over(Window.partitionBy("video_id").orderBy("idx"))
+    start = F.when(k % 7 == 2, F.col("start") - 1.5).when((k % 19 == 6) & before.isNotNull(), before + 0.85).when((k % 19 == 11) & before.isNotNull(), before + 0.15).otherwise(F.col("start"))
+    s = s.withColumn("from", start)
+    end = F.when(k % 17 == 3, F.col("from")).when(k % 17 == 8, F.col("from") - 0.2).when(k % 11 == 1, F.col("from") + 0.35).when(k % 11 == 5, F.col("from") + 0.7).otherwise(F.greatest(F.col("from"), F.col("end")))
+    text = F.when(k % 13 == 4, F.lit("")).when(k % 13 == 9, F.lit(" \u3000")).otherwise(F.col("text_src"))
+    return s.withColumn("end", end).withColumn("start", F.col("from")).withColumn("text_src", text).drop("from")
+
+
+def turns(spark: SparkSession, sf_dir: str, base=segments) -> DataFrame:
     """shifted speaker turns, with gaps, and videos without any."""
-    s = segments(spark, sf_dir).filter("idx % 5 <> 3 and video_id % 10 <> 7 and not (video_id % 10 = 3 and idx < 2)")
+    s = base(spark, sf_dir).filter("idx % 5 <> 3 and video_id % 10 <> 7 and not (video_id % 10 = 3 and idx < 2)")
     return s.select("video_id", F.col("idx").alias("turn_no"), (F.col("start") - 0.3).alias("start"), (F.col("end") - 0.2).alias("end"), F.col("speaker_id").alias("speaker"))
 
 
@@ -51,15 +62,15 @@ def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(d.select("video_id", "idx", F.concat(F.lit("S"), F.pmod(F.floor(F.col("idx") / 25), F.lit(3)).cast("string")).alias("speaker_id"), "text_src"))
 
 
-def tts_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tts_meta(spark: SparkSession, sf_dir: str, base=segments) -> DataFrame:
     """durations of synthesised clips, missing for every fourth segment."""
-    s = with_segno(segments(spark, sf_dir)).filter("segno % 4 <> 0")
+    s = with_segno(base(spark, sf_dir)).filter("segno % 4 <> 0")
     dur = (500 + F.pmod(F.col("segno") * 137 + F.col("video_id") * 11, F.lit(4000))) / 1000.0
     return s.select("video_id", "segno", F.format_string("seg_%05d.flac", "segno").alias("flac_path"), dur.alias("duration_sec"))
 
 
-def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).groupBy("video_id").agg(F.max("end").alias("m")).select("video_id", (F.col("m") + F.col("video_id") % 4 * 0.07).alias("video_dur"))
+def durations(spark: SparkSession, sf_dir: str, base=segments) -> DataFrame:
+    return base(spark, sf_dir).groupBy("video_id").agg(F.max("end").alias("m")).select("video_id", (F.col("m") + F.col("video_id") % 4 * 0.07).alias("video_dur"))
 
 
 def translated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-WS = r"[\x20\x09-\x0D]+"
+WS = r"[\x20\x09-\x0D\x{3000}]+"
 
 
 def strip(c: str) -> str:
@@ -72,6 +72,19 @@ media AS (SELECT CAST(conv_id AS VARCHAR) AS video_id, 'in/v' || conv_id || '.mp
 led AS (SELECT video_id, CASE WHEN secs % 3 = 1 THEN size + 1 ELSE size END AS size, secs FROM media WHERE secs % 3 <> 0)"""
 
 
+def edges(sql: str) -> str:
+    """The same over F8: f1 is then made from f0."""
+    return sql.replace(F1, F1.replace("\nf1 AS", "\nf0 AS") + F8)
+
+
+F8 = """,
+f0_lag AS (SELECT *, lag("end") OVER (PARTITION BY video_id ORDER BY idx) AS b FROM f0),
+f0_from AS (SELECT *, CASE WHEN idx % 7 = 2 THEN start - CAST(1.5 AS DOUBLE) WHEN idx % 19 = 6 AND b IS NOT NULL THEN b + CAST(0.85 AS DOUBLE) WHEN idx % 19 = 11 AND b IS NOT NULL THEN b + CAST(0.15 AS DOUBLE) ELSE start END AS a FROM f0_lag),
+f1 AS (SELECT video_id, idx, a AS start,
+              CASE WHEN idx % 17 = 3 THEN a WHEN idx % 17 = 8 THEN a - CAST(0.2 AS DOUBLE) WHEN idx % 11 = 1 THEN a + CAST(0.35 AS DOUBLE) WHEN idx % 11 = 5 THEN a + CAST(0.7 AS DOUBLE) ELSE greatest(a, "end") END AS "end",
+              CASE WHEN idx % 13 = 4 THEN '' WHEN idx % 13 = 9 THEN ' ' || chr(12288) ELSE text_src END AS text_src, text_tgt, speaker_id, detected_lang FROM f0_from)"""
+
+
 def fold(name: str, source: str, joins: str, clean: str | None = None) -> str:
     """Greedy groups of ``source``; ``joins`` reads the state g (bs, be, n, cnt, stop) and the row s."""
     text = clean or strip("text_src")

@@ -2,8 +2,6 @@
 
 import json
 
-import pytest
-
 from segflow.operators import ledger
 from segflow.plans import queries
 from segflow.sources import io
@@ -20,7 +18,7 @@ def test_media_scan(spark, tmp_path):
 
 
 def test_whisper_files(spark, tmp_path):
-    doc = {"result": {"language": "german"}, "transcription": [{"offsets": {"from": 0, "to": 1500}, "text": " Hallo "}, {"offsets": {"from": 5, "to": 5}, "text": "x"}, {"offsets": {"from": 1500, "to": 2000}, "text": " "}, {"offsets": {"from": 2000, "to": 2500}, "text": "du"}]}
+    doc = {"result": {"language": "german"}, "transcription": [{"offsets": {"from": 0, "to": 1500}, "text": " Hallo "}, {"offsets": {"from": 5, "to": 5}, "text": "x"}, {"offsets": {"from": 1500, "to": 2000}, "text": " "}, {"offsets": {"from": "2000", "to": 2500.0}, "text": "du"}]}
     (tmp_path / "v1.json").write_text(json.dumps(doc, indent=1))
     got = [(r.video_id, r.idx, r.start, r.end, r.text_src, r.detected_lang) for r in io.read_whisper_json(spark, str(tmp_path)).orderBy("idx").collect()]
     assert got == [("v1", 0, 0.0, 1.5, "Hallo", "de"), ("v1", 1, 2.0, 2.5, "du", "de")]
@@ -31,8 +29,10 @@ def test_stored_segments(spark, tmp_path):
     got = [(r.idx, r.start, r.end, r.text_src, r.text_tgt, r.speaker_id, r.detected_lang) for r in io.read_segments(spark, str(tmp_path)).orderBy("start").collect()]
     assert got == [(2, 0.0, 0.0, "b", "c", "", ""), (5, 1.0, 2.5, "a", "", "S", "")]
     (tmp_path / "bad.json").write_text("{}")
-    with pytest.raises(Exception, match="not a list"):
-        io.read_segments(spark, str(tmp_path)).collect()
+    (tmp_path / "quoted.json").write_text(json.dumps([{"idx": "7", "start": "1.5", "end": 2, "text_src": "q"}, {"idx": 3.0, "start": None, "end": "x", "text_src": "r"}]))
+    got = {r.text_src: (r.video_id, r.idx, r.start, r.end) for r in io.read_segments(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("v", 5, 1.0, 2.5), "b": ("v", 2, 0.0, 0.0), "q": ("quoted", 7, 1.5, 2.0), "r": ("quoted", 3, 0.0, 0.0)}
+    assert [tuple(r) for r in io.document_errors(io._documents(spark, str(tmp_path))).collect()] == [("bad", "not a list")]
 
 
 def test_srt(spark, tmp_path):
