@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.staging import stage
-from segflow.llm.wordhash import U, binaries, lean, mix, release, text_batches, words_of
+from segflow.llm.wordhash import U, lean, mix, release, text_batches, words_of
 
 #: Bytes of text whose n-grams are packed together, and whose n-grams share a bucket; they bound the memory of a task.
-BATCH_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+BATCH_BYTES, BUCKET_BYTES = 3 << 20, 4 << 20
 #: Share of the bigram estimate where the previous word has successors; pseudo-count of each vocabulary word.
 BIGRAM, PSEUDO = 0.7, 0.5
 #: What the texts of a batch are: part of a corpus, or only to be scored.
@@ -74,6 +74,19 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(n)) >> U(32)
 
 
+def _planes(values: np.ndarray, rising: bool = False) -> bytes:
+    """Values byte by byte, lowest bytes first, as differences if they rise: the upper planes are then zeros, which a shuffle's compression takes away."""
+    if rising:
+        values = np.diff(values, prepend=values[:1] * 0)
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def _values(planes: bytes, dtype: type, rising: bool = False) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    out = np.frombuffer(planes, np.uint8).reshape(width, -1).T.copy().view(dtype).reshape(-1)
+    return np.cumsum(out, dtype=dtype) if rising else out
+
+
 def _pack(corpus: int, n_buckets: int) -> Callable:
     """(bucket, kind, corpus, origin, hashes, counts, ends): distinct words (kind 0) and bigrams (kind 1) of each batch, ascending.
 
@@ -101,9 +114,9 @@ def _pack(corpus: int, n_buckets: int) -> Callable:
                             pa.array(np.full(k, kind, np.int32)),
                             pa.array(np.full(k, corpus, np.int32)),
                             pa.array(np.full(k, origin, np.int64)),
-                            binaries(h, cuts),
-                            binaries(n.astype(np.int32), cuts),
-                            binaries(ends.astype(np.int32), cuts if kind == 0 else np.zeros(k + 1, np.int64)),
+                            pa.array([_planes(h[a:b], True) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                            pa.array([_planes(n[a:b].astype(np.int32)) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+                            pa.array([_planes(ends[a:b].astype(np.int32)) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
                         ],
                         ["bucket", "kind", "corpus", "origin", "hashes", "counts", "ends"],
                     )
@@ -127,11 +140,11 @@ def _sum_bucket(asking: int) -> Callable:
             own = table.filter(pa.compute.equal(table.column("kind"), kind))
             if not len(own):
                 continue
-            read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in own.column(c).to_pylist()])
+            read = lambda c, t, rising=False: np.concatenate([_values(x, t, rising) for x in own.column(c).to_pylist()])
             sizes = pa.compute.binary_length(own.column("hashes")).to_numpy() // 8
             n, corpus = read("counts", np.int32).astype(np.float64), own.column("corpus").to_numpy()
             side = np.repeat(corpus, sizes)
-            values, place = np.unique(read("hashes", U), return_inverse=True)
+            values, place = np.unique(read("hashes", U, True), return_inverse=True)
             add = lambda x, of: np.bincount(place, x * (side == of), len(values)).astype(np.int64)
             sums = [add(n, TARGET), add(n, BACKGROUND)]
             if kind == 0:
@@ -142,7 +155,7 @@ def _sum_bucket(asking: int) -> Callable:
             cuts = np.cumsum([0, *sizes[corpus == asking]])
             k = len(cuts) - 1
             none = [pa.array(np.zeros(k, np.int64))] * 3
-            counts = [binaries(x[told], cuts) for x in sums] + [pa.array([b""] * k, pa.binary())] * (4 - len(sums))
+            counts = [pa.array([_planes(x[told[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in sums] + [pa.array([b""] * k, pa.binary())] * (4 - len(sums))
             out.append(pa.Table.from_arrays([pa.array(own.column("origin").to_numpy()[corpus == asking]), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *none], names=_NAMES))
             del n, side, values, place, sums, told
             release()
@@ -165,7 +178,9 @@ def _score_batch(n_words: int, tokens: tuple[int, int], itself: bool) -> Callabl
 
     def run(batch: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("bucket")
-        read = lambda kind, c: np.frombuffer(b"".join(told.filter(pa.compute.equal(told.column("kind"), kind)).column(c).to_pylist()), np.int64)
+        of = [told.filter(pa.compute.equal(told.column("kind"), kind)) for kind in (0, 1)]
+        del told
+        read = lambda kind, c: np.concatenate([np.zeros(0, np.int64), *(_values(x, np.int64) for x in of[kind].column(c).to_pylist())])
         out = []
         for packed in batch.column("rows").to_pylist():  # one
             ids, words, first = _unpacked(packed)
@@ -174,21 +189,28 @@ def _score_batch(n_words: int, tokens: tuple[int, int], itself: bool) -> Callabl
             grams, has = _bigrams(words, first)
             word = np.unique(words, return_inverse=True)[1]
             pair = np.unique(grams[has], return_inverse=True)[1]
+            del words, grams
             before = word[np.flatnonzero(has) - 1]
             means = []
             for k, corpus in enumerate(("target", "background")):
                 off = itself and k == BACKGROUND
-                single = read(0, f"in_{corpus}")[word] - (_own(row, word) if off else 0)
-                total = tokens[k] - (n[row] if off else 0)
-                p = (single + PSEUDO) / (total + PSEUDO * (n_words + 1))
-                context = read(0, f"before_{corpus}")[before] - (_own(row[has], before) if off else 0)
-                count = read(1, f"in_{corpus}")[pair] - (_own(row[has], pair) if off else 0)
+                p = read(0, f"in_{corpus}")[word] + PSEUDO
+                total = np.full(len(n), tokens[k], np.int64)
+                if off:
+                    p -= _own(row, word)
+                    total -= n
+                p /= (total + PSEUDO * (n_words + 1))[row]
+                context, count = read(0, f"before_{corpus}")[before], read(1, f"in_{corpus}")[pair]
+                if off:
+                    context -= _own(row[has], before)
+                    count -= _own(row[has], pair)
                 share = np.where(context > 0, BIGRAM, 0.0)
                 p[has] = share * count / np.maximum(context, 1) + (1 - share) * p[has]
                 upto = np.concatenate([[0.0], np.cumsum(-np.log(p))])
                 means.append(pa.array((upto[first[1:]] - upto[first[:-1]]) / np.maximum(n, 1), mask=n == 0))
+                del p, context, count, share, upto
+                release()
             out.append(pa.table({"doc_id": ids, "n_tokens": n.astype(np.int64), "target_loss": means[0], "background_loss": means[1], "difference": pa.compute.subtract(*means)}))
-        release()
         return pa.concat_tables(out)
 
     return run
