@@ -8,6 +8,8 @@ length. In a list, an asymmetric table lookup gives the distance from the visito
 member's reconstruction; the member's own quantisation error turns it into a lower bound, so
 no true neighbour is dropped there. Survivors are ranked by exact cosine in double precision.
 Vectors of different dimensions are never alike; each dimension has quantisers of its own.
+Equal vectors of one label form a class first: one of them is compared, and counts as many
+times as the class has members, so a hot group of copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ DEVIATIONS = 4.0
 #: Members and visitors that meet in one task.
 CHUNK = 1024
 
-_VISITS = "label string, dim int, list int, side int, vec_id long, vector binary, code binary, error float"
+_VISITS = "label string, dim int, list int, side int, vec_id long, copies long, vector binary, code binary, error float"
 
 
 @dataclass
@@ -116,11 +118,12 @@ def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float) -> Ca
                 pa.array(np.concatenate([home, where]).astype(np.int32)),
                 pa.array(side),
                 part.column(0).take(take),
+                part.column(4).take(take),
                 part.column(1).take(take),
                 pa.array([codes[i].tobytes() if k < n else None for k, i in enumerate(rows.tolist())], pa.binary()),
                 pa.array(np.where(side == 0, error[rows], 0).astype(np.float32)),
             ],
-            ["label", "dim", "list", "side", "vec_id", "vector", "code", "error"],
+            ["label", "dim", "list", "side", "vec_id", "copies", "vector", "code", "error"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +142,7 @@ def _match(fitted: dict[int, Quantiser], threshold: float, radius: float) -> Cal
         table = table.sort_by("vec_id")
         q = fitted[table.column("dim")[0].as_py()]
         ids = table.column("vec_id").to_numpy()
+        copies = table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
         x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
         members = np.flatnonzero(side == 0)
@@ -166,8 +170,8 @@ def _match(fitted: dict[int, Quantiser], threshold: float, radius: float) -> Cal
                     left.append(p[good])
                     right.append(r[good])
         a, b = np.concatenate(left), np.concatenate(right)
-        np.add.at(count, a, 1)
-        np.add.at(count, b, 1)
+        np.add.at(count, a, copies[b])
+        np.add.at(count, b, copies[a])
         root = block_components(len(ids), a, b)
         got = np.flatnonzero(count)
         return pa.table({"vec_id": ids[got], "n": count[got], "root": ids[root[got]]})
@@ -187,7 +191,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     whole = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("e", lambda c: c != 0)
     valid = v.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
-    one = stage(valid.groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e", F.size("x.e").alias("dim")), "vectors")
+    every_id = stage(valid.groupBy("vec_id").agg(F.min(F.struct("label", "e")).alias("x")).select("vec_id", "x.label", "x.e"), "vectors")
+    # a class of equal vectors is compared once, as its least id, and counts as often as it has members
+    one = stage(every_id.groupBy("label", "e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).withColumn("dim", F.size("e")), "classes")
     empty = v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     # for each dimension, the vectors that a vector shares its label with, on average: lists are as many as these ask for
     sizes = one.groupBy("dim", "label").agg(F.count("*").cast("double").alias("n")).groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("alike")).collect()
@@ -209,7 +215,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
         for batch in batches:
             yield batch.set_column(1, "vector", pa.array([np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary()))
 
-    packed = one.select("vec_id", "e", "label", "dim").mapInArrow(to_bytes, "vec_id long, vector binary, label string, dim int")
+    packed = one.select("vec_id", "e", "label", "dim", "copies").mapInArrow(to_bytes, "vec_id long, vector binary, label string, dim int, copies long")
     visits = stage(packed.mapInArrow(lean(_visit(fitted, radius, deviations)), _VISITS), "visits")
     # chunks of members x chunks of visitors; members also visit their own list
     chunks = lambda k: F.greatest(F.lit(1), F.ceil(k / CHUNK)).cast("int")
@@ -217,12 +223,18 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     placed = visits.join(sizes_, ["label", "dim", "list"])
     dealt = lambda n: F.expr(f"cast(pmod(xxhash64(vec_id), {n}) as int)")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    fields = ["vec_id", "vector", "code", "error"]
+    fields = ["vec_id", "copies", "vector", "code", "error"]
     as_member = placed.filter("side = 0").select("label", "dim", "list", dealt("n_met").alias("met"), every("n_own").alias("own"), F.lit(0).alias("side"), *fields)
     as_visitor = placed.select("label", "dim", "list", every("n_met").alias("met"), dealt("n_own").alias("own"), F.when(F.col("side") == 0, 2).otherwise(1).alias("side"), *fields)
     found = stage(as_member.unionByName(as_visitor).groupBy("label", "dim", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius), "vec_id long, n long, root long"), "matches")
-    counts_ = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    counts_ = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    out = v.select("vec_id").join(counts_, "vec_id", "left").join(comps, F.col("vec_id") == F.col("node"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    # what each class found, and its members; staged, so that the rows of a hot class may be split
+    many = one.filter("copies > 1").select("label", "e", F.col("vec_id").alias("first"), "copies")
+    members = stage(every_id.join(many, ["label", "e"]).select("vec_id", "first", "copies"), "members")
+    linked = stage(comps.join(counts_, F.col("node") == F.col("vec_id")).select(F.col("node").alias("first"), "component", "n"), "linked")
+    rows = stage(v.select("vec_id").join(members, "vec_id", "left").withColumn("first", F.coalesce("first", "vec_id")), "rows")
+    out = rows.join(linked, "first", "left")
+    component = F.coalesce("component", "first")
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

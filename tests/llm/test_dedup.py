@@ -268,6 +268,22 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert got == brute_vectors(rows, 0.93)
 
 
+def test_equal_vectors_count_as_often_as_they_occur(spark, monkeypatch):
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 8)
+    r = np.random.default_rng(5)
+    bases = [[float(x) for x in r.normal(size=8)] for _ in range(6)]
+    rows = []
+    for b, base in enumerate(bases):
+        for k in range((150, 40, 1, 2, 3, 0)[b]):
+            rows.append([len(rows) * 7 % 1009, base, k % 2])
+        rows += [[len(rows) * 7 % 1009 + 2000 + k, [x + 0.05 * float(r.normal()) for x in base], k % 2] for k in range(4)]
+    rows += [[3000, [0.0, 1.0], 0], [3001, [-0.0, 1.0], 0], [3002, [0.0, 2.0], 0], [3003, [0.0, 1.0], 1]]  # signed zeros are equal
+    rows += [[10, bases[1], 1]] if all(x[0] != 10 for x in rows) else []
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(5)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in pq_dedup.near_duplicate_vectors(frame).collect()}
+    assert got == brute_vectors(rows, 0.93)
+
+
 def test_vectors_awkward_tables(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert pq_dedup.near_duplicate_vectors(spark.createDataFrame([], schema)).collect() == []
