@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.staging import stage
+from segflow.llm.staging import discard, stage
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``links`` has long columns u and v; direction, repeats and loops (nodes linked with
     themselves only are left out) do not matter; rows with a null end are ignored. Large-star
     and small-star steps alternate until the links are stars around component minima, in
-    O(log^2) rounds; each round is staged in the shared folder. Only a count of changes
+    O(log^2) rounds; each round is staged in the shared folder and replaces the one before. Only a count of changes
     reaches the driver.
     """
     spark = links.sparkSession
@@ -39,6 +39,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = _hang(large, low).unionByName(low.select("u", F.col("m").alias("v")))
         new = stage(small.filter("u > v").distinct(), "small")
+        discard(edges, least, large, low)
         more = new.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
         # stars around minima: no node hangs on two others, and no centre hangs on a third
         if not more and not new.select(F.col("v").alias("c")).distinct().join(new.select("u"), F.col("c") == F.col("u"), "left_semi").limit(1).count():

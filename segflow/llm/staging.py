@@ -31,12 +31,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/segflow-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned and that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.staged_at)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete every table staged by this application; call it when its results are written."""
-    path = f"{shared_root(spark)}/segflow-{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    _delete(spark, f"{shared_root(spark)}/segflow-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
