@@ -590,6 +590,17 @@ def _whisper_docs(spark, d):
     return docs.select("video_id", F.to_json(body).alias("doc"))
 
 
+@query("SELECT conv_id % 16 AS folder, CAST(33 * count(*) AS BIGINT) AS size FROM conversations GROUP BY 1")
+def s1_scan_media(spark, d):
+    """Bytes of media below each folder: a line of 33 for each turn, in files of two kinds, of which only one is media."""
+    path = shared_path(spark, "media")
+    lines = X.read(spark, d, "conversations").select((F.col("conv_id") % 16).alias("folder"), F.md5(F.coalesce("text", F.lit(""))).alias("line"))
+    lines.write.partitionBy("folder").option("extension", "mkv").csv(f"{path}/in")
+    lines.write.partitionBy("folder").text(f"{path}/in/notes")
+    media = io.scan_media(spark, path).withColumn("folder", F.regexp_extract("path", r"/folder=(-?\d+)/", 1).try_cast("long"))
+    return media.groupBy("folder").agg(F.sum("size").alias("size"))
+
+
 @query(
     f"""WITH {S.F1} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS idx, {S.rounded('start')}, round("end", 6) AS "end", {S.strip('text_src')} AS text_src,
 CASE video_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'kl' ELSE '' END AS detected_lang FROM f1 WHERE idx % 9 <> 4 AND idx % 11 <> 5"""

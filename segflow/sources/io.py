@@ -128,8 +128,11 @@ def to_srt(segments: DataFrame) -> DataFrame:
     return segments.select("video_id").distinct().join(texts, "video_id", "left").select("video_id", F.concat(F.coalesce("t", F.lit("")), F.lit("\n")).alias("srt_text"))
 
 
-def write_srt(segments: DataFrame, path: str) -> None:
-    """One folder of text for each video."""
+def write_srt(segments: DataFrame, path: str, buckets: int = 0) -> None:
+    """One folder of text for each video; with ``buckets``, rows (video_id, srt_text) in that many folders, for more videos than a file system can list."""
+    if buckets:
+        to_srt(segments).withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return
     # the text writer ends each record with a line feed of its own
     to_srt(segments).select("video_id", F.regexp_replace("srt_text", r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy("video_id").text(path)
 

@@ -43,6 +43,8 @@ def test_srt(spark, tmp_path):
     io.write_srt(s, str(tmp_path / "srt"))
     (part,) = (tmp_path / "srt" / "video_id=v").glob("*.txt")
     assert part.read_text() == want
+    io.write_srt(s, str(tmp_path / "cues"), buckets=3)
+    assert {r.video_id: r.srt_text for r in spark.read.parquet(str(tmp_path / "cues")).collect()} == {"v": want, "w": "\n"}
     io.write_segments(s, str(tmp_path / "seg"), partition_by=("video_id",))
     assert spark.read.parquet(str(tmp_path / "seg")).count() == 4
 
