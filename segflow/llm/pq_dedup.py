@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.components import block_components, connected_components
-from segflow.llm.staging import stage
+from segflow.llm.staging import discard, stage
 from segflow.llm.wordhash import lean
 
 #: Vectors that the quantisers are fitted on, about (shared among the dimensions, with CODES of each at least); vectors of one label in a list, on average; lists at most.
@@ -227,12 +227,14 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     as_member = placed.filter("side = 0").select("label", "dim", "list", dealt("n_met").alias("met"), every("n_own").alias("own"), F.lit(0).alias("side"), *fields)
     as_visitor = placed.select("label", "dim", "list", every("n_met").alias("met"), dealt("n_own").alias("own"), F.when(F.col("side") == 0, 2).otherwise(1).alias("side"), *fields)
     found = stage(as_member.unionByName(as_visitor).groupBy("label", "dim", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius), "vec_id long, n long, root long"), "matches")
+    discard(visits, sizes_)
     counts_ = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
     # what each class found, and its members; staged, so that the rows of a hot class may be split
     many = one.filter("copies > 1").select("label", "e", F.col("vec_id").alias("first"), "copies")
     members = stage(every_id.join(many, ["label", "e"]).select("vec_id", "first", "copies"), "members")
     linked = stage(comps.join(counts_, F.col("node") == F.col("vec_id")).select(F.col("node").alias("first"), "component", "n"), "linked")
+    discard(every_id, one, found)
     rows = stage(v.select("vec_id").join(members, "vec_id", "left").withColumn("first", F.coalesce("first", "vec_id")), "rows")
     out = rows.join(linked, "first", "left")
     component = F.coalesce("component", "first")
