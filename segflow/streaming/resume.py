@@ -26,9 +26,10 @@ def run_available(
 
     ``process`` turns the rows of new or changed videos into results with video_id;
     ``media_of`` gives (video_id, path, size, mtime) of a batch, one row for each video. A batch
-    writes its results to a folder of its own and then adds its videos to the ledger, so a
-    batch that is repeated after a crash leaves the same tables. read_results reads them. The
-    ledger's updated_at counts batches, as milliseconds (JSON keeps no less).
+    writes its results to a folder of its own and then adds its videos to the ledger. A batch
+    that is repeated after a crash sees the ledger as it was before it, so it leaves the same
+    results; read_results reads them. The ledger's updated_at counts batches, as milliseconds
+    (JSON keeps no less).
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -36,7 +37,7 @@ def run_available(
         rows = rows.persist()
         try:
             media = media_of(rows)
-            known = _ledger(session, ledger_path)
+            known = _ledger(session, ledger_path, batch_id)  # without what this batch wrote before a crash
             state = ledger.changed_inputs(media, known)
             todo = state.filter("state <> 'resume'").select("video_id")
             result = process(rows.join(todo, "video_id", "left_semi"))
@@ -58,9 +59,13 @@ def read_results(spark: SparkSession, out: str, schema: str, ledger_path: str) -
     return rows.join(newest, ["video_id", "batch"], "left_semi").drop("batch")
 
 
-def _ledger(spark: SparkSession, path: str) -> DataFrame:
+def _ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest document of each video, of batches earlier than ``before`` if given; none if there is no ledger yet."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return io.read_ledger(spark, path)
-    return spark.createDataFrame([], ledger.SCHEMA)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], ledger.SCHEMA)
+    documents = spark.read.schema(ledger.SCHEMA).json(path)
+    if before is not None:
+        documents = documents.filter(F.unix_millis("updated_at") <= before)
+    return ledger.latest(documents)

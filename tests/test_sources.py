@@ -5,6 +5,7 @@ import json
 from segflow.operators import ledger
 from segflow.plans import queries
 from segflow.sources import io
+from segflow.streaming import resume
 
 
 def test_media_scan(spark, tmp_path):
@@ -71,3 +72,30 @@ def test_ledger_round_trip(spark, sf, tmp_path):
 def test_resumed_runs(spark, sf):
     rows = queries.t1_resumed_runs(spark, sf).collect()
     assert len(rows) == len({r.video_id for r in rows}) and {r.asr_done for r in rows} == {"true"}
+
+
+def test_a_batch_repeated_after_a_crash_leaves_the_same_tables(spark, tmp_path):
+    at = {name: str(tmp_path / name) for name in ("in", "out", "book", "check")}
+    schema = "video_id string, path string, size bigint, mtime timestamp, text string"
+
+    def run():
+        resume.run_available(spark, at["in"], schema, at["out"], at["book"], at["check"], lambda rows: rows.groupBy("video_id").count(), lambda rows: rows.select("video_id", "path", "size", "mtime").distinct())
+
+    def state():
+        results = resume.read_results(spark, at["out"], "video_id string, count bigint", at["book"])
+        return sorted(map(tuple, results.collect())), sorted(map(str, io.read_ledger(spark, at["book"]).collect()))
+
+    def arrive(*rows):
+        spark.createDataFrame([(v, f"{v}.mp4", size, None, text) for v, size, text in rows], schema).coalesce(1).write.mode("append").parquet(at["in"])
+
+    arrive(("a", 1, "x"), ("a", 1, "y"), ("b", 1, "z"))
+    run()
+    arrive(("a", 2, "x"), ("c", 1, "y"))
+    run()
+    done = state()
+    assert done[0] == [("a", 1), ("b", 1), ("c", 1)]
+    # the last batch wrote results and ledger, but the stream did not come to note that it ended
+    for name in ("1", ".1.crc"):
+        (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert state() == done
