@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import chat_format, line_rules, lm_score, minhash_dedup, mixing, packing, pq_dedup, quality_crf, secret_scan, substring_dedup
+from segflow.llm import chat_format, conversation_trie, hard_negatives, line_rules, lm_score, minhash_dedup, mixing, packing, pq_dedup, quality_crf, secret_scan, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,14 @@ def op10_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_temperature_mixing,
         op9_secret_scan,
         op10_bayes_minhash,
+        op11_conversation_trie,
+        op12_hard_negatives,
     )
 }
 
@@ -194,6 +204,46 @@ WITH d AS (
   FROM d LEFT JOIN r USING (doc_id)
 )
 SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
+    "op11_conversation_trie": """
+WITH o AS (
+  SELECT conv_id, length(coalesce(text, '')) AS chars, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g, chars) AS pos FROM o
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, pos, g, chars FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 WHERE pos <= h
+  UNION ALL SELECT conv_id, pos, g, chars FROM c JOIN t USING (conv_id) WHERE pos > h
+), m AS (
+  SELECT conv_id, 0 AS depth, '' AS node, 0 AS chars FROM c
+  UNION ALL SELECT conv_id, row_number() OVER w, string_agg(g, '') OVER w, chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved, CASE WHEN depth > 0 THEN node[1 : 32 * (depth - 1)] END AS up FROM m GROUP BY node, depth
+), k AS (
+  SELECT up, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up
+), s AS (
+  SELECT node[1 : 32 * d] AS node, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT n.*, n_children, unnest(range(0, depth + 1)) AS d FROM n LEFT JOIN k ON k.up = n.node) GROUP BY 1
+), e AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, depth) AS node FROM m GROUP BY conv_id) GROUP BY node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.up LEFT JOIN k ON k.up = n.node JOIN s ON s.node = n.node LEFT JOIN e ON e.node = n.node""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS alike, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+), p AS (
+  SELECT anchor_id, id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+QUALIFY rank <= 5 WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)""",
     "op10_bayes_minhash": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
