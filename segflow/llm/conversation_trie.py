@@ -78,7 +78,7 @@ def _located(pending: DataFrame, trie: DataFrame, longest: int) -> DataFrame:
     handles = trie.select("handle", F.col("node").alias("hit"), F.col("top").alias("hit_top"), F.col("ext").alias("hit_ext"))
     at = pending.withColumn("low", F.lit(0)).withColumn("high", F.col("n"))
     open_ = F.col("low") < F.col("high")
-    for _ in range(max(1, longest).bit_length() + 1):
+    for _ in range(longest.bit_length()):  # each step leaves a depth divisible by a smaller power of two
         f = F.when(open_, two_fattest(F.col("low"), F.col("high")))
         at = at.withColumn("f", f).withColumn("asked", F.get("hashes", F.col("f")))
         at = at.join(handles, F.col("asked") == F.col("handle"), "left")

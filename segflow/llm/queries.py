@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import chat_format, conversation_trie, hard_negatives, line_rules, lm_score, minhash_dedup, mixing, packing, pq_dedup, quality_crf, secret_scan, substring_dedup
+from segflow.llm import chat_format, conversation_trie, hard_negatives, license_scan, line_rules, lm_score, minhash_dedup, mixing, packing, pq_dedup, quality_crf, secret_scan, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.find_licenses(_read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bayes_minhash,
         op11_conversation_trie,
         op12_hard_negatives,
+        op13_license_scan,
     )
 }
 
@@ -243,7 +248,7 @@ WITH v AS (
 )
 SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
-QUALIFY rank <= 5 WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)""",
+WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) QUALIFY rank <= 5""",
     "op10_bayes_minhash": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
