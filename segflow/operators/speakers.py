@@ -8,28 +8,10 @@ from pyspark.sql.window import Window
 
 from segflow import params
 from segflow.functions import text as T
+from segflow.operators.intervals import overlapping
 from segflow.operators.shape import with_segno
 
 
-#: Seconds of a bin of time, in which segments meet turns.
-BIN_SEC = 60.0
-
-
-def overlapping(a: DataFrame, b: DataFrame, bin_sec: float = BIN_SEC) -> DataFrame:
-    """Pairs of rows of one video whose intervals share time: the columns of both, without b's video_id.
-
-    ``a`` has a0, a1 and ``b`` has b0, b1. Both sides go to the bins of time that they touch, so
-    that a pair meets by video and bin, not each row with all others of its video; of the bins
-    that a pair shares the first one counts.
-    """
-    bin_of = lambda c: F.floor(F.col(c) / bin_sec)
-    spread = lambda d, lo, hi: d.filter(F.col(hi) > F.col(lo)).withColumn("__bin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
-    left, right = spread(a, "a0", "a1"), spread(b, "b0", "b1").withColumnRenamed("video_id", "__video").withColumnRenamed("__bin", "__other")
-    met = left.join(right, (F.col("video_id") == F.col("__video")) & (F.col("__bin") == F.col("__other")))
-    met = met.filter((F.least("a1", "b1") > F.greatest("a0", "b0")) & (F.col("__bin") == F.greatest(bin_of("a0"), bin_of("b0"))))
-    return met.drop("__bin", "__other", "__video")
-
-
 def overlap_totals(segments: DataFrame, turns: DataFrame) -> DataFrame:
     """(video_id, idx, speaker, overlap, first_turn): positive overlaps summed for each speaker.
 
@@ -75,13 +57,13 @@ def best_references(turns: DataFrame, min_sec: float = params.REF_MIN_SEC, max_s
     """(video_id, speaker_id, ref_start, ref_end): each speaker's best clip.
 
     Turns of ``min_sec`` or more are scored by their distance from ``target_sec``; without any
-    the longest counts, if it lasts a second. Ties: the earlier turn.
+    the longest counts, if it lasts a second. Ties: the earlier turn. Turns whose length is NaN do not count.
     """
     dur = F.round(F.col("end") - F.col("start"), 9)
     long_enough = dur >= min_sec
     score = F.when(long_enough, F.round(F.abs(F.least(dur, F.lit(max_sec)) - target_sec), 9)).otherwise(-dur)
     pick = F.min_by(F.struct("start", "end", long_enough.alias("cut"), dur.alias("dur")), F.struct((~long_enough).cast("int"), score, "turn_no"))
-    best = turns.groupBy("video_id", F.col("speaker").alias("speaker_id")).agg(pick.alias("x")).filter(F.col("x.cut") | (F.col("x.dur") >= params.REF_FALLBACK_SEC))
+    best = turns.filter(~F.isnan(F.col("end") - F.col("start"))).groupBy("video_id", F.col("speaker").alias("speaker_id")).agg(pick.alias("x")).filter(F.col("x.cut") | (F.col("x.dur") >= params.REF_FALLBACK_SEC))
     end = F.when(F.col("x.cut") & (F.col("x.dur") > max_sec), F.col("x.start") + max_sec).otherwise(F.col("x.end"))
     return best.select("video_id", "speaker_id", F.col("x.start").alias("ref_start"), end.alias("ref_end"))
 

@@ -50,6 +50,13 @@ def edge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("end", end).withColumn("start", F.col("from")).withColumn("text_src", text).drop("from")
 
 
+def wild_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 with ends an hour late, infinite, NaN, and of the size of epoch seconds and milliseconds."""
+    k = F.col("idx") + F.col("video_id")
+    end = F.when(k % 23 == 5, F.col("end") + 3600).when(k % 29 == 7, float("inf")).when(k % 31 == 9, float("nan")).when(k % 37 == 11, 1.7e9).when(k % 41 == 13, 1.7e12).otherwise(F.col("end"))
+    return segments(spark, sf_dir).withColumn("end", end)
+
+
 def turns(spark: SparkSession, sf_dir: str, base=segments) -> DataFrame:
     """shifted speaker turns, with gaps, and videos without any."""
     s = base(spark, sf_dir).filter("idx % 5 <> 3 and video_id % 10 <> 7 and not (video_id % 10 = 3 and idx < 2)")

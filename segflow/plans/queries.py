@@ -129,7 +129,7 @@ def a6_turns_by_speaker(spark, d):
 
 
 _BEST = """
-cand AS (SELECT *, round("end" - start, 9) AS dur FROM f2),
+cand AS (SELECT * FROM (SELECT *, round("end" - start, 9) AS dur FROM f2) WHERE NOT isnan(dur)),
 pick AS (SELECT video_id, speaker AS speaker_id, arg_min(row(start, "end", dur), row(CASE WHEN dur >= 3 THEN 0 ELSE 1 END, CASE WHEN dur >= 3 THEN round(abs(least(dur, 15) - 8), 9) ELSE -dur END, turn_no)) AS x FROM cand GROUP BY 1, 2),
 refs AS (SELECT video_id, speaker_id, x[1] AS ref_start, CASE WHEN x[3] > 15 THEN x[1] + 15 ELSE x[2] END AS ref_end FROM pick WHERE x[3] >= 1)"""
 
@@ -141,7 +141,7 @@ def w7_best_references(spark, d):
 
 _PROMPT = f"""
 said AS (SELECT video_id, idx, start, "end", {S.spaces('text_src')} AS said FROM f1),
-lap AS (SELECT r.video_id, r.speaker_id, string_agg(said, ' ' ORDER BY s.start, idx) FILTER (said <> '') AS joined FROM refs r JOIN said s ON r.video_id = s.video_id AND least(ref_end, "end") > greatest(ref_start, start) GROUP BY 1, 2),
+lap AS (SELECT r.video_id, r.speaker_id, string_agg(said, ' ' ORDER BY s.start, idx) FILTER (said <> '') AS joined FROM refs r JOIN said s ON r.video_id = s.video_id AND least(ref_end, "end") > greatest(ref_start, start) AND NOT isnan(s."end") GROUP BY 1, 2),
 nea AS (SELECT r.video_id, r.speaker_id, arg_min(said, row(round(abs((start + "end") / 2 - (ref_start + ref_end) / 2), 9), idx)) AS near FROM refs r JOIN said s ON r.video_id = s.video_id GROUP BY 1, 2),
 voice AS (SELECT refs.*, coalesce(joined, near, '') AS prompt_text FROM refs LEFT JOIN lap USING (video_id, speaker_id) LEFT JOIN nea USING (video_id, speaker_id))"""
 
@@ -297,6 +297,26 @@ def w5_edge_parts(spark, d):
     return _edge_parts(spark, d, True)
 
 
+# intervals of any length (F9)
+
+
+@query(S.wild(ORACLE_SQL["j1_assign_speakers"]))
+def j1_assign_wild_speakers(spark, d):
+    out = speakers.assign_speakers(X.wild_segments(spark, d), X.turns(spark, d, X.wild_segments))
+    return out.select("video_id", F.col("idx").cast("long").alias("idx"), "speaker_id")
+
+
+@query(S.wild(f"WITH {S.F2}, {S.OVERLAP} SELECT video_id, idx, speaker, isinf(overlap) AS endless, first_turn FROM ov"))
+def a4_wild_overlaps(spark, d):
+    out = speakers.overlap_totals(X.wild_segments(spark, d), X.turns(spark, d, X.wild_segments))
+    return out.select("video_id", F.col("idx").cast("long").alias("idx"), "speaker", (F.col("overlap") == float("inf")).alias("endless"), F.col("first_turn").cast("long").alias("first_turn"))
+
+
+@query(S.wild(ORACLE_SQL["m5_speaker_refs"]))
+def m5_wild_refs(spark, d):
+    return _r(speakers.speaker_refs(X.turns(spark, d, X.wild_segments), X.wild_segments(spark, d)), "ref_start", "ref_end")
+
+
 # languages
 
 

@@ -85,6 +85,16 @@ f1 AS (SELECT video_id, idx, a AS start,
               CASE WHEN idx % 13 = 4 THEN '' WHEN idx % 13 = 9 THEN ' ' || chr(12288) ELSE text_src END AS text_src, text_tgt, speaker_id, detected_lang FROM f0_from)"""
 
 
+def wild(sql: str) -> str:
+    """The same over F9: f1 is then made from f0."""
+    return sql.replace(F1, F1.replace("\nf1 AS", "\nf0 AS") + F9)
+
+
+F9 = """,
+f1 AS (SELECT * REPLACE (CASE WHEN (idx + video_id) % 23 = 5 THEN "end" + 3600 WHEN (idx + video_id) % 29 = 7 THEN CAST('inf' AS DOUBLE) WHEN (idx + video_id) % 31 = 9 THEN CAST('nan' AS DOUBLE)
+                              WHEN (idx + video_id) % 37 = 11 THEN CAST(1700000000 AS DOUBLE) WHEN (idx + video_id) % 41 = 13 THEN CAST(1700000000000 AS DOUBLE) ELSE "end" END AS "end") FROM f0)"""
+
+
 def fold(name: str, source: str, joins: str, clean: str | None = None) -> str:
     """Greedy groups of ``source``; ``joins`` reads the state g (bs, be, n, cnt, stop) and the row s."""
     text = clean or strip("text_src")
@@ -121,9 +131,11 @@ e1_f AS (SELECT *, CASE WHEN n = 1 THEN start ELSE greatest(start, least(start +
 e1 AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx, k) - 1 AS idx, a AS start, CASE WHEN n = 1 THEN "end" ELSE greatest(a, least(b, "end")) END AS "end", {spaces('t')} AS text_src, speaker_id, detected_lang FROM e1_f)"""
 G3 = fold("g3", "e1", f"g.cnt < 2 AND {_GAP} <= 1.20 AND g.n + 1 + s.len <= 300", spaces("text_src"))
 
-OVERLAP = """
+_NUMBERS = "NOT isnan(s.start) AND NOT isnan(s.\"end\")"
+
+OVERLAP = f"""
 ov AS (SELECT s.video_id, s.idx, t.speaker, round(sum(least(s."end", t."end") - greatest(s.start, t.start)), 6) AS overlap, min(turn_no) AS first_turn
-       FROM f1 s JOIN f2 t ON s.video_id = t.video_id AND least(s."end", t."end") > greatest(s.start, t.start) GROUP BY 1, 2, 3)"""
+       FROM f1 s JOIN f2 t ON s.video_id = t.video_id AND least(s."end", t."end") > greatest(s.start, t.start) AND {_NUMBERS} AND NOT isnan(t.start) AND NOT isnan(t."end") GROUP BY 1, 2, 3)"""
 
 ACCEPTED = """
 acc0 AS (SELECT video_id, segno, vd, least(greatest(0, start), vd) AS start, least(greatest(greatest(0, start), "end"), vd) AS "end" FROM n1 JOIN (SELECT video_id, greatest(0, video_dur) AS vd FROM dur) USING (video_id)),
