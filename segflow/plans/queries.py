@@ -13,7 +13,7 @@ from segflow.functions import timing
 from segflow.operators import language, ledger, shape, speakers, synth, timeline, translate
 from segflow.plans import fixtures as X
 from segflow.plans import sql as S
-from segflow.sources import io
+from segflow.sources import io, keyed
 from segflow.sources.shared import shared_path, stage
 from segflow.streaming import resume
 
@@ -671,6 +671,16 @@ def s5_write_segments(spark, d):
     return _r(spark.read.parquet(path).withColumn("idx", F.col("idx").cast("long")), "start", "end")
 
 
+@query(f"WITH {S.F1} SELECT CAST(video_id AS VARCHAR) AS video_id, idx, {S.rounded('start')}, round(\"end\", 6) AS \"end\", text_src, text_tgt, speaker_id, detected_lang FROM f1")
+def s5_segment_documents(spark, d):
+    """Written as a document for each video, the second third of the videos as an update, and read by the reader of S4."""
+    path, s = shared_path(spark, "segments"), X.segments(spark, d)
+    late = F.col("video_id") % 3 == 1
+    io.write_segments(s.withColumn("text_src", F.when(late, F.lit("early")).otherwise(F.col("text_src"))), path, "json")
+    io.write_segments(s.filter(late), path, "json", update=True)
+    return _r(io.read_segments(spark, path).withColumn("idx", F.col("idx").cast("long")), "start", "end")
+
+
 _STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
 
 
@@ -682,6 +692,20 @@ def s6_srt(spark, d):
     return io.to_srt(X.segments(spark, d))
 
 
+@query(ORACLE_SQL["s6_srt"].replace("SELECT video_id, string_agg", "SELECT CAST(video_id AS VARCHAR) AS video_id, string_agg"))
+def s6_srt_files(spark, d):
+    path = shared_path(spark, "srt")
+    io.write_srt(X.segments(spark, d), path)
+    return keyed.read_documents(spark, path).withColumnRenamed("doc", "srt_text")
+
+
+@query(f"WITH {S.F4} SELECT CAST(video_id AS VARCHAR) AS video_id, segno, flac_path, {S.rounded('duration_sec')} FROM f4")
+def s7_tts_meta_files(spark, d):
+    path = shared_path(spark, "meta")
+    io.write_tts_meta(X.tts_meta(spark, d), path)
+    return _r(io.read_tts_meta(spark, path).withColumn("segno", F.col("segno").cast("long")), "duration_sec")
+
+
 @query(f"WITH {S.F4} SELECT video_id, segno, CASE WHEN segno % 6 = 1 THEN 'new_' ELSE '' END || flac_path AS flac_path, {S.rounded('duration_sec')} FROM f4 WHERE segno % 10 <> 3")
 def s7_tts_meta(spark, d):
     m = X.tts_meta(spark, d)
@@ -742,6 +766,48 @@ def a9_batch_outcome(spark, d):
     return ledger.failed_videos(results).crossJoin(F.broadcast(ledger.batch_outcome(results)))  # one row
 
 
+_FAULTS = (
+    (0, "not JSON"),
+    (1, "not an object"),
+    (2, "unexpected types"),
+    (3, "unexpected types"),
+    (4, "an entry that is no object"),
+    (5, "no segments"),
+    (6, "not JSON"),
+    (7, "empty file"),
+    (8, "an offset that is no number"),
+)
+
+
+@query(
+    f"""WITH {S.F1}, v AS (SELECT DISTINCT video_id AS v FROM f1),
+e AS (SELECT CAST(v AS VARCHAR) AS video_id, CASE v % 13 {' '.join(f"WHEN {k} THEN '{e}'" for k, e in _FAULTS)} END AS w, CASE v % 7 WHEN 2 THEN 'not a list' WHEN 4 THEN 'not JSON' END AS s FROM v)
+SELECT video_id, least(coalesce(w, s), coalesce(s, w)) AS error, (SELECT count(*) FROM e) AS n_videos, (SELECT count(*) FROM e WHERE coalesce(w, s) IS NOT NULL) AS n_failed FROM e WHERE coalesce(w, s) IS NOT NULL"""
+)
+def a9_unreadable_files(spark, d):
+    """Recogniser and segment documents in files, many of them broken: the failed videos with their errors, beside the counts."""
+    heard, kept = shared_path(spark, "heard"), shared_path(spark, "kept")
+    docs, k = _whisper_docs(spark, d), F.col("video_id") % 13
+    broken = {
+        0: F.expr("substr(doc, 1, length(doc) - 5)"),
+        1: F.concat(F.lit("["), "doc", F.lit("]")),
+        2: F.lit('{"transcription": "x"}'),
+        3: F.lit('{"transcription": ["x"]}'),
+        4: F.lit('{"transcription": [null]}'),
+        5: F.lit('{"transcription": []}'),
+        6: F.concat("doc", F.lit(" {}")),
+        7: F.lit(" "),
+        8: F.lit('{"transcription": [{"offsets": {"from": "soon", "to": 9}, "text": "a"}]}'),
+    }
+    chunk = F.coalesce(*(F.when(k == n, c) for n, c in broken.items()), F.col("doc"))
+    keyed.write_documents(docs.select("video_id", chunk.alias("chunk")), heard, ".json", "", "", "", [])
+    stored = docs.select("video_id", F.when(F.col("video_id") % 7 == 2, F.lit("{}")).when(F.col("video_id") % 7 == 4, F.lit('[{"idx": 1},')).otherwise(F.lit("[]")).alias("chunk"))
+    keyed.write_documents(stored, kept, ".json", "", "", "", [])
+    errors = ledger.video_errors(io.whisper_errors(keyed.read_documents(spark, heard)), io.document_errors(keyed.read_documents(spark, kept)))
+    results = keyed.read_documents(spark, heard).select("video_id").join(errors, "video_id", "left")
+    return ledger.failed_videos(results).crossJoin(F.broadcast(ledger.batch_outcome(results)))  # one row
+
+
 _CASES = """
 cases AS (SELECT (a.i * 2 + b.i) * 3 + c.i AS case_no, 'asr-' || a.v || '__audio-' || b.v || '__tts-' || c.v AS case_id
   FROM (VALUES (0, 'vibevoice'), (1, 'whisper')) a(i, v), (VALUES (0, 'separated'), (1, 'rawaudio')) b(i, v), (VALUES (0, 'omnivoice'), (1, 'voxcpm2'), (2, 'irodori')) c(i, v))"""

@@ -1,8 +1,9 @@
 """Readers and writers of transcripts, turns, clip metadata and media listings.
 
 Readers take explicit schemas, coerce types and skip rows that are not objects. JSON
-documents are one file for each video; its name without suffix is the video_id.
-Numbers may be quoted.
+documents are one file for each video, in folders of any kind or as ``keyed`` writes them; a
+name without suffix is the video_id. Numbers may be quoted. A document that cannot be read
+gives no rows but an error, (video_id, error), by the ``_errors`` function of its kind.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql.window import Window
 from segflow import params
 from segflow.functions import text as T
 from segflow.operators import ledger
+from segflow.sources import keyed
 
-_WHISPER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: string, `to`: string>, text: string>>"
+_WHISPER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: string, `to`: string>, text: string>>, _corrupt_record string"
 # Numbers are read as text: they may be quoted, or whole ones written as 3.0.
 _SEGMENT = "idx string, start string, end string, text_src string, text_tgt string, text_en string, text_ja string, speaker_id string, detected_lang string"
 _META = "segno string, flac_path string, duration_sec string"
@@ -42,24 +44,50 @@ def _whole(c: Column, kind: str) -> Column:
     return _number(c).try_cast(kind)
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """(video_id, doc): whole files."""
-    return spark.read.text(path, wholetext=True).select(T.stem(F.col("_metadata.file_name")).alias("video_id"), F.col("value").alias("doc"))
+def _malformed(doc: Column, root: str) -> Column:
+    """Why a text is no JSON document with that root ('{' or '['); null: it is one."""
+    one = F.coalesce(F.json_array_length(F.concat(F.lit("["), doc, F.lit("]"))) == 1, F.lit(False))
+    kind = {"{": "not an object", "[": "not a list"}[root]
+    start = F.regexp_extract(doc, r"^\s*(.)", 1)
+    return F.when(F.coalesce(doc, F.lit("")).rlike(r"\A\s*\z"), F.lit("empty file")).when(~one, F.lit("not JSON")).when(start != root, F.lit(kind))
 
 
-def whisper_segments(docs: DataFrame) -> DataFrame:
-    """Segments from (video_id, doc): recogniser output as JSON text. Milliseconds become seconds; blank texts and empty intervals go; idx counts what is kept."""
-    d = docs.select("video_id", F.from_json("doc", _WHISPER).alias("d"))
+def _whisper_parsed(docs: DataFrame) -> DataFrame:
+    """docs with ``d``, the parsed document, and ``error`` (null: none)."""
+    parsed = docs.select("video_id", "doc", F.from_json("doc", _WHISPER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("d"))
+    entries = F.col("d.transcription")
+    bad = lambda k: lambda x: x["offsets"][k].isNotNull() & _number(x["offsets"][k]).isNull()
+    error = F.coalesce(_malformed(F.col("doc"), "{"), F.when(F.col("d._corrupt_record").isNotNull(), F.lit("unexpected types")))
+    inner = F.when(F.exists(entries, lambda x: x.isNull()), F.lit("an entry that is no object")).when(F.exists(entries, bad("from")) | F.exists(entries, bad("to")), F.lit("an offset that is no number"))
+    return parsed.select("video_id", "d", F.coalesce(error, inner).alias("error"))
+
+
+def _whisper_rows(docs: DataFrame) -> DataFrame:
+    """(video_id, pos, start, end, text_src, detected_lang): what is kept of documents without error."""
+    d = _whisper_parsed(docs).filter("error is null")
     lang = F.when(T.text_or_empty(F.col("d.result.language")) != "", T.lang_name_to_code(F.col("d.result.language"))).otherwise(F.lit(""))
     rows = d.select("video_id", lang.alias("detected_lang"), F.posexplode("d.transcription").alias("pos", "x"))
     at = lambda k: F.coalesce(_whole(F.col("x.offsets")[k], "long"), F.lit(0)) / 1000.0
-    kept = rows.select("video_id", "pos", at("from").alias("start"), at("to").alias("end"), T.strip(F.col("x.text")).alias("text_src"), "detected_lang").filter("text_src <> '' and end > start")
+    return rows.select("video_id", "pos", at("from").alias("start"), at("to").alias("end"), T.strip(F.col("x.text")).alias("text_src"), "detected_lang").filter("text_src <> '' and end > start")
+
+
+def whisper_segments(docs: DataFrame) -> DataFrame:
+    """Segments from (video_id, doc): recogniser output as JSON text. Milliseconds become seconds; blank texts and empty intervals go; idx counts what is kept."""
     idx = (F.row_number().over(Window.partitionBy("video_id").orderBy("pos")) - 1).cast("int")
-    return kept.select("video_id", idx.alias("idx"), "start", "end", "text_src", F.lit("").alias("text_tgt"), F.lit("").alias("speaker_id"), "detected_lang")
+    return _whisper_rows(docs).select("video_id", idx.alias("idx"), "start", "end", "text_src", F.lit("").alias("text_tgt"), F.lit("").alias("speaker_id"), "detected_lang")
+
+
+def whisper_errors(docs: DataFrame) -> DataFrame:
+    """(video_id, error) of the recogniser documents that are malformed, or of which no segment is kept."""
+    d = _whisper_parsed(docs)
+    at = lambda x, k: F.coalesce(_whole(x["offsets"][k], "long"), F.lit(0))
+    kept = F.exists("d.transcription", lambda x: (T.strip(x["text"]) != "") & (at(x, "to") > at(x, "from")))
+    error = F.coalesce("error", F.when(~F.coalesce(kept, F.lit(False)), F.lit("no segments")))
+    return d.select("video_id", error.alias("error")).filter("error is not null")
 
 
 def read_whisper_json(spark: SparkSession, path: str) -> DataFrame:
-    return whisper_segments(_documents(spark, path))
+    return whisper_segments(keyed.read_documents(spark, path))
 
 
 def read_diarized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,14 +101,14 @@ def read_diarized(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, kept.select("video_id", F.col("idx").alias("turn_no"), "start", "end", "speaker")
 
 
-def _listed(doc: Column) -> Column:
-    """The items of a JSON array, as text; null if the document is none."""
-    return F.when(F.ltrim(doc).startswith("["), F.from_json(doc, "array<string>"))
+def document_errors(docs: DataFrame) -> DataFrame:
+    """(video_id, error) of the documents that are no array of JSON, as stored segments and clip metadata are: they give no rows, and fail their own video only."""
+    return docs.select("video_id", _malformed(F.col("doc"), "[").alias("error")).filter("error is not null")
 
 
-def document_errors(docs: DataFrame) -> DataFrame:
-    """(video_id, error) of the documents that hold no array: they give no rows, and fail their own video only."""
-    return docs.filter(_listed(F.col("doc")).isNull()).select("video_id", F.lit("not a list").alias("error"))
+def _listed(doc: Column) -> Column:
+    """The items of a JSON array, as text; null if the document is none."""
+    return F.when(_malformed(doc, "[").isNull(), F.from_json(doc, "array<string>"))
 
 
 def _items(docs: DataFrame) -> DataFrame:
@@ -105,12 +133,21 @@ def stored_segments(docs: DataFrame) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return stored_segments(_documents(spark, path))
+    return stored_segments(keyed.read_documents(spark, path))
+
 
+def write_segments(segments: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), folders: int = keyed.FOLDERS, update: bool = False) -> None:
+    """All seven fields by video; the commit never shows half a table.
 
-def write_segments(segments: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
-    """All seven fields by video; the commit protocol never shows half a table."""
-    out = segments.select("video_id", "idx", "start", "end", "text_src", "text_tgt", "speaker_id", "detected_lang")
+    ``fmt`` "json": a document for each video in hashed folders, which read_segments reads;
+    with ``update``, documents of other videos stay. Else a table in that format.
+    """
+    fields = ["idx", "start", "end", "text_src", "text_tgt", "speaker_id", "detected_lang"]
+    out = segments.select("video_id", *fields)
+    if fmt == "json":
+        item = F.to_json(F.struct(*fields))
+        keyed.write_documents(out.select("video_id", "idx", "start", "end", item.alias("chunk")), path, ".json", "[\n", ",\n", "\n]\n", ["idx", "start", "end"], folders, update)
+        return
     out.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(path)
 
 
@@ -128,13 +165,11 @@ def to_srt(segments: DataFrame) -> DataFrame:
     return segments.select("video_id").distinct().join(texts, "video_id", "left").select("video_id", F.concat(F.coalesce("t", F.lit("")), F.lit("\n")).alias("srt_text"))
 
 
-def write_srt(segments: DataFrame, path: str, buckets: int = 0) -> None:
-    """One folder of text for each video; with ``buckets``, rows (video_id, srt_text) in that many folders, for more videos than a file system can list."""
-    if buckets:
-        to_srt(segments).withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("bucket").parquet(path)
-        return
-    # the text writer ends each record with a line feed of its own
-    to_srt(segments).select("video_id", F.regexp_replace("srt_text", r"\n\z", "").alias("value")).write.mode("overwrite").partitionBy("video_id").text(path)
+def write_srt(segments: DataFrame, path: str, folders: int = keyed.FOLDERS, update: bool = False) -> None:
+    """A subtitle file for each video in hashed folders; its text is that of to_srt, but streamed cue by cue."""
+    videos = segments.select("video_id").distinct().select("video_id", F.lit(0).alias("cue_no"), F.lit(None).cast("string").alias("chunk"))
+    cues = srt_cues(segments).withColumnRenamed("cue", "chunk")
+    keyed.write_documents(videos.unionByName(cues), path, ".srt", "", "\n\n", "\n", ["cue_no"], folders, update)
 
 
 def valid_tts_meta(rows: DataFrame) -> DataFrame:
@@ -145,12 +180,14 @@ def valid_tts_meta(rows: DataFrame) -> DataFrame:
 
 
 def read_tts_meta(spark: SparkSession, path: str) -> DataFrame:
-    rows = _items(_documents(spark, path)).select("video_id", "pos", F.from_json("item", _META).alias("x"))
+    rows = _items(keyed.read_documents(spark, path)).select("video_id", "pos", F.from_json("item", _META).alias("x"))
     return valid_tts_meta(rows.select("video_id", "pos", _whole(F.col("x.segno"), "int").alias("segno"), "x.flac_path", _number(F.col("x.duration_sec")).alias("duration_sec")))
 
 
-def write_tts_meta(meta: DataFrame, path: str) -> None:
-    meta.repartition("video_id").sortWithinPartitions("video_id", "segno").write.mode("overwrite").json(path)
+def write_tts_meta(meta: DataFrame, path: str, folders: int = keyed.FOLDERS, update: bool = False) -> None:
+    """A document for each video, by segno, in hashed folders; read_tts_meta reads it."""
+    item = F.to_json(F.struct("segno", "flac_path", "duration_sec"))
+    keyed.write_documents(meta.select("video_id", "segno", item.alias("chunk")), path, ".json", "[\n", ",\n", "\n]\n", ["segno"], folders, update)
 
 
 def upsert_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,10 +1,14 @@
 """Readers and writers on files, and resumed runs."""
 
 import json
+import math
+
+import pytest
+from pyspark.errors import PySparkException
 
 from segflow.operators import ledger
 from segflow.plans import queries
-from segflow.sources import io
+from segflow.sources import io, keyed
 from segflow.streaming import resume
 
 
@@ -33,7 +37,7 @@ def test_stored_segments(spark, tmp_path):
     (tmp_path / "quoted.json").write_text(json.dumps([{"idx": "7", "start": "1.5", "end": 2, "text_src": "q"}, {"idx": 3.0, "start": None, "end": "x", "text_src": "r"}]))
     got = {r.text_src: (r.video_id, r.idx, r.start, r.end) for r in io.read_segments(spark, str(tmp_path)).collect()}
     assert got == {"a": ("v", 5, 1.0, 2.5), "b": ("v", 2, 0.0, 0.0), "q": ("quoted", 7, 1.5, 2.0), "r": ("quoted", 3, 0.0, 0.0)}
-    assert [tuple(r) for r in io.document_errors(io._documents(spark, str(tmp_path))).collect()] == [("bad", "not a list")]
+    assert [tuple(r) for r in io.document_errors(keyed.read_documents(spark, str(tmp_path))).collect()] == [("bad", "not a list")]
 
 
 def test_srt(spark, tmp_path):
@@ -42,10 +46,7 @@ def test_srt(spark, tmp_path):
     want = "1\n00:00:00,000 --> 00:00:01,000\nhi you\n\n2\n00:00:03,000 --> 00:00:03,000\nx\n"
     assert {r.video_id: r.srt_text for r in io.to_srt(s).collect()} == {"v": want, "w": "\n"}
     io.write_srt(s, str(tmp_path / "srt"))
-    (part,) = (tmp_path / "srt" / "video_id=v").glob("*.txt")
-    assert part.read_text() == want
-    io.write_srt(s, str(tmp_path / "cues"), buckets=3)
-    assert {r.video_id: r.srt_text for r in spark.read.parquet(str(tmp_path / "cues")).collect()} == {"v": want, "w": "\n"}
+    assert {p.stem: p.read_text() for p in (tmp_path / "srt").glob("*/*/*.srt")} == {"v": want, "w": "\n"}
     io.write_segments(s, str(tmp_path / "seg"), partition_by=("video_id",))
     assert spark.read.parquet(str(tmp_path / "seg")).count() == 4
 
@@ -56,7 +57,7 @@ def test_tts_meta_files(spark, tmp_path):
     meta = io.read_tts_meta(spark, str(tmp_path))
     assert [tuple(r) for r in meta.collect()] == [("v", 2, "c", 2.0)]
     io.write_tts_meta(meta, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    assert [tuple(r) for r in io.read_tts_meta(spark, str(tmp_path / "out")).collect()] == [("v", 2, "c", 2.0)]
 
 
 def test_ledger_round_trip(spark, sf, tmp_path):
@@ -99,3 +100,89 @@ def test_a_batch_repeated_after_a_crash_leaves_the_same_tables(spark, tmp_path):
         (tmp_path / "check" / "commits" / name).unlink(missing_ok=True)
     run()
     assert state() == done
+
+
+SEGMENTS = "video_id string, idx int, start double, end double, text_src string, text_tgt string, speaker_id string, detected_lang string"
+
+
+def test_segments_come_back_from_their_files(spark, tmp_path):
+    ids = ["a", "b/c", "d e", "é+%", "x.y", "a%20b", "..", "current-1", "_h", ".h"]
+    rows = [(v, i, i * 1.5, math.inf if i == 2 else i * 1.5 + 0.1 + 0.2, f'say "{v}"\n{i} \\ 🙂', "", "S", "") for v in ids for i in (0, 1, 2, 10)]
+    s = spark.createDataFrame(rows, SEGMENTS).repartition(3)
+    path = str(tmp_path / "seg")
+    io.write_segments(s, path, "json", folders=4)
+    back = lambda: sorted(map(tuple, io.read_segments(spark, path).select(*s.columns).collect()))
+    assert back() == sorted(rows)
+    assert len(list((tmp_path / "seg").glob("run-*/*"))) <= 4
+    io.write_segments(s.filter("video_id = 'b/c' and idx < 2"), path, "json", folders=4, update=True)
+    rows = [r for r in rows if r[0] != "b/c" or r[1] < 2]
+    assert back() == sorted(rows)
+    assert json.loads(next((tmp_path / "seg").glob("run-*/*/d%20e.json")).read_text())[1]["idx"] == 1
+    keyed.compact_documents(spark, path, ".json", folders=4)
+    assert back() == sorted(rows) and len(list((tmp_path / "seg").glob("run-*"))) == 1
+    io.write_segments(s.limit(0), path, "json")
+    assert back() == []
+
+
+def test_many_videos_make_few_folders(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("cast(id as string) video_id", "cast(id as string) chunk")
+    keyed.write_documents(rows, str(tmp_path / "t"), ".txt", "", "", "", [], folders=16)
+    assert len(list((tmp_path / "t").glob("run-*/*"))) == 16 and len(list((tmp_path / "t").glob("run-*/*/*.txt"))) == 3000
+    assert keyed.read_documents(spark, str(tmp_path / "t")).filter("video_id = doc").count() == 3000
+
+
+def test_a_write_that_fails_leaves_the_table_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([("a", "1"), ("b", "2")], "video_id string, chunk string")
+    keyed.write_documents(good, path, ".txt", "", "", "", [])
+    bad = good.selectExpr("video_id", "if(video_id = 'b', raise_error('boom'), 'x') chunk")
+    for rows in (bad, spark.createDataFrame([(None, "1"), ("c", "3")], "video_id string, chunk string")):
+        with pytest.raises(PySparkException):
+            keyed.write_documents(rows, path, ".txt", "", "", "", [])
+        assert sorted(map(tuple, keyed.read_documents(spark, path).collect())) == [("a", "1"), ("b", "2")]
+        assert len(list((tmp_path / "t").glob("run-*"))) == 1
+
+
+def test_attempts_that_do_not_commit_are_not_seen(tmp_path):
+    """A lost executor leaves an attempt behind; its task is run again elsewhere."""
+    options = {"path": str(tmp_path), "run": "run-" + "0" * 32, "suffix": ".txt", "head": "", "between": "", "tail": "", "update": "false"}
+    w = keyed.KeyedWriter(options)
+    for attempt, text in (("lost", "half"), ("good", "whole")):
+        folder = tmp_path / options["run"] / f".attempt-{attempt}" / "0001"
+        folder.mkdir(parents=True)
+        (folder / "a.txt").write_text(text)
+    w.commit([keyed.Moved(f"{options['run']}/.attempt-good", ["0001"]), None])
+    assert [p.read_text() for p in tmp_path.rglob("a.txt")] == ["whole"]
+
+
+def test_broken_recogniser_files(spark, tmp_path):
+    good = {"transcription": [{"offsets": {"from": 0, "to": 1500}, "text": "a"}]}
+    docs = {
+        "good": json.dumps(good, indent=2) + "\n",
+        "extra": json.dumps(good | {"more": [1]}),
+        "cut": json.dumps(good)[:-3],
+        "tail": json.dumps(good) + " x",
+        "two": json.dumps(good) + "," + json.dumps(good),
+        "list": json.dumps([good]),
+        "text": '"{}"',
+        "blank": "  \n",
+        "number": json.dumps({"transcription": 3}),
+        "object": json.dumps({"transcription": {"a": 1}}),
+        "words": json.dumps({"transcription": ["{a}"]}),
+        "null": json.dumps({"transcription": None}),
+        "none": json.dumps({"transcription": [None]}),
+        "offsets": json.dumps({"transcription": [{"offsets": [1, 2], "text": "a"}]}),
+        "junk": json.dumps({"transcription": [{"offsets": {"from": "x", "to": 2}, "text": "a"}]}),
+        "silent": json.dumps({"transcription": [{"offsets": {"from": 5, "to": 5}, "text": "a"}]}),
+        "empty": "{}",
+    }
+    table = spark.createDataFrame(list(docs.items()), "video_id string, doc string")
+    errors = {r.video_id: r.error for r in io.whisper_errors(table).collect()}
+    assert errors == {
+        "cut": "not JSON", "tail": "not JSON", "two": "not JSON", "list": "not an object", "text": "not an object", "blank": "empty file",
+        "number": "unexpected types", "object": "unexpected types", "words": "unexpected types", "null": "no segments", "none": "an entry that is no object",
+        "offsets": "unexpected types", "junk": "an offset that is no number", "silent": "no segments", "empty": "no segments",
+    }
+    assert {r.video_id for r in io.whisper_segments(table).collect()} == {"good", "extra"}
+    failed = ledger.video_errors(io.whisper_errors(table), io.document_errors(table.filter("video_id = 'good'")))
+    assert {r.video_id: r.error for r in failed.collect()} == errors | {"good": "not a list"}
