@@ -2,9 +2,9 @@
 
 A coarse quantiser (k-means on a bounded sample) assigns each unit vector to a list; its
 residual is coded per subspace. A vector visits its own list and those lower-numbered lists
-whose Voronoi border it is close to: a neighbour within the threshold's radius has drifted
-across a border by no more than a few standard deviations of a random displacement of that
-length. In a list, an asymmetric table lookup gives the distance from the visitor to each
+whose Voronoi border is within the threshold's radius: a neighbour in another list lies beyond
+that border, so no probe that could find a link is left out, whatever the vectors' geometry.
+In a list, an asymmetric table lookup gives the distance from the visitor to each
 member's reconstruction; the member's own quantisation error turns it into a lower bound, so
 no true neighbour is dropped there. Survivors are ranked by exact cosine in double precision.
 Vectors of different dimensions are never alike; each dimension has quantisers of its own.
@@ -27,11 +27,9 @@ from segflow.llm.components import block_components, connected_components
 from segflow.llm.staging import discard, stage
 from segflow.llm.wordhash import lean
 
-#: Vectors that the quantisers are fitted on, about (shared among the dimensions, with CODES of each at least); vectors of one label in a list, on average; lists at most.
+#: Vectors that the quantisers are fitted on, about (shared among the dimensions); vectors of one label in a list, on average; lists at most.
 SAMPLE, PER_LIST, MAX_LISTS = 16_384, 256, 2048
 SUBSPACES, CODES = 8, 256
-#: Border distance within which a list is visited, in standard deviations of a random displacement.
-DEVIATIONS = 4.0
 #: Members and visitors that meet in one task.
 CHUNK = 1024
 
@@ -92,11 +90,11 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float) -> Callable:
+def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float | None) -> Callable:
     gaps = {dim: np.sqrt(squared(q.centres, q.centres)) for dim, q in fitted.items()}
 
     def visits(part: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-        q, border = fitted[dim], min(radius, deviations * radius / math.sqrt(dim))
+        q, border = fitted[dim], 1e-9 + (radius if deviations is None else min(radius, deviations * radius / math.sqrt(dim)))
         x = _unit(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(len(part), dim))
         home, d = q.nearest(x)
         codes, error = q.encode(x - q.centres[home])
@@ -179,7 +177,7 @@ def _match(fitted: dict[int, Quantiser], threshold: float, radius: float) -> Cal
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviations: float = DEVIATIONS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviations: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding, label; others are ignored).
 
     Vectors are compared within equal labels. A vector that is null or zero, holds null or
@@ -187,6 +185,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     different dimensions. Rows that share a vec_id count as one vector: the first by
     label and components stands for it, and each row is returned. A null id has a null
     component and is not kept. Empty input: empty result.
+
+    No link is lost. ``deviations`` trades that for fewer probes: lists are then visited only if
+    their border is within so many standard deviations of a random displacement of the
+    radius's length, which misses links of vectors that vary in few directions.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("string").alias("label"))
     whole = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("e", lambda c: c != 0)
@@ -200,7 +202,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     if not sizes:
         return empty
     # a share of each dimension's vectors by a hash of their ids, so that about as many as asked for come to the driver
-    most = max(CODES, SAMPLE // len(sizes))
+    most = max(1, SAMPLE // len(sizes))
     taken = F.lit(False)
     for dim, n, _ in sizes:
         taken = taken | ((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))))
@@ -208,7 +210,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     fitted = {}
     for dim, _, alike in sizes:
         own = np.array(sample["e"][sample["dim"] == dim].tolist(), np.float64).reshape(-1, dim)
-        fitted[dim] = fit(_unit(own), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
+        fitted[dim] = fit(_unit(own) if len(own) else np.zeros((1, dim)), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -298,3 +298,29 @@ def test_vector_recall_on_the_table(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in pq_dedup.near_duplicate_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()}
     assert got == brute_vectors(rows, 0.93)
+
+
+@pytest.mark.parametrize("per_list", [75, 8])  # 20 and 187 lists
+@pytest.mark.parametrize("kind", ["subspace", "spectrum"])
+def test_no_link_is_lost_where_vectors_vary_in_few_directions(spark, monkeypatch, kind, per_list):
+    monkeypatch.setattr(pq_dedup, "PER_LIST", per_list)
+    r = np.random.default_rng(7)
+    if kind == "subspace":
+        x = r.normal(size=(1500, 6)) @ r.normal(size=(6, 64))
+    else:
+        x = r.normal(size=(1500, 64)) / np.arange(1, 65)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.93
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicate_vectors(frame).collect()}
+    assert got == {i: int(n) - 1 for i, n in enumerate(links.sum(1))}
+    assert sum(got.values()) > 1500
+
+
+def test_many_dimensions_send_few_vectors_to_the_driver(spark, monkeypatch):
+    """Quantisers of rare dimensions make do with one vector or none; links are all found."""
+    monkeypatch.setattr(pq_dedup, "SAMPLE", 20)
+    rows = [(2 * d + k, [1.0] * d if k else [2.0] * d, 1) for d in range(1, 41) for k in (0, 1)]
+    rows = rows + [(1000 + i, [1.0, 0.1 * i], 1) for i in range(3)]
+    got = {r.vec_id: r.n_links for r in pq_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[2 * d] == got[2 * d + 1] == 1 for d in range(1, 41) if d != 2) and got[1000] >= 2
