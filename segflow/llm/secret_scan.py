@@ -13,6 +13,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,24 +53,47 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of the elements that fill ``data``; None if a length does not fit or is not minimal."""
-    out, i = [], 0
-    while i < len(data):
-        if i + 2 > len(data):
+class Decoded:
+    """The bytes that base64 text stands for from one of its characters on, decoded only where they are looked at."""
+
+    def __init__(self, text: str, at: int, size: int | None = None) -> None:
+        self.text, self.at = text, at
+        self.size = (len(text) - at) * 3 // 4 if size is None else size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        lo, hi, _ = part.indices(self.size)
+        first = lo // 3
+        piece = self.text[self.at + 4 * first : self.at + 4 * -(-hi // 3)] if hi > lo else ""
+        piece = piece[: len(piece) - (len(piece) % 4 == 1)]
+        return base64.b64decode(piece + "=" * (-len(piece) % 4))[lo - 3 * first : hi - 3 * first]
+
+
+#: Elements of one parent that are looked at: no key has more.
+_ITEMS = 16
+
+
+def der_items(data: bytes | Decoded, lo: int = 0, hi: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of the contents of the elements that fill ``data`` from lo to hi; None if a length does not fit or is not minimal, or they are over _ITEMS. Only headers are read."""
+    out, i, hi = [], lo, len(data) if hi is None else hi
+    while i < hi:
+        head = data[i : min(i + 6, hi)]
+        if len(head) < 2 or len(out) == _ITEMS:
             return None
-        tag, size, i = data[i], data[i + 1], i + 2
+        tag, size, i = head[0], head[1], i + 2
         if size >= 0x80:
             n = size & 0x7F
-            if not 1 <= n <= 4 or i + n > len(data):
+            if not 1 <= n <= 4 or len(head) < 2 + n:
                 return None
-            size = int.from_bytes(data[i : i + n], "big")
-            if size < 0x80 or data[i] == 0:
+            size = int.from_bytes(head[2 : 2 + n], "big")
+            if size < 0x80 or head[2] == 0:
                 return None
             i += n
-        if i + size > len(data):
+        if i + size > hi:
             return None
-        out.append((tag, data[i : i + size]))
+        out.append((tag, i, i + size))
         i += size
     return out
 
@@ -82,17 +106,29 @@ def der_size(data: bytes) -> int | None:
     return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 and len(data) >= 2 + n else None
 
 
-def is_pkcs1(parts: list[tuple[int, bytes]]) -> bool:
+_Items = list[tuple[int, int, int]]
+
+
+def _short(data: bytes | Decoded, item: tuple[int, int, int]) -> bytes:
+    """A content of a few bytes; of longer ones the beginning, which equals no short one."""
+    return data[item[1] : min(item[2], item[1] + 32)]
+
+
+def _length(item: tuple[int, int, int]) -> int:
+    return item[2] - item[1]
+
+
+def is_pkcs1(data: bytes | Decoded, parts: _Items) -> bool:
     """Version, then modulus, exponents, primes and their kin; a multi-prime key has one more element."""
-    tags = [t for t, _ in parts]
+    tags = [x[0] for x in parts]
     whole = tags[:9] == [0x02] * 9 and tags[9:] in ([], [0x02], [0x30])
-    return whole and parts[0][1] in (b"\0", b"\1") and len(parts[1][1]) >= 32
+    return whole and _short(data, parts[0]) in (b"\0", b"\1") and _length(parts[1]) >= 32
 
 
-def is_sec1(parts: list[tuple[int, bytes]]) -> bool:
+def is_sec1(data: bytes | Decoded, parts: _Items) -> bool:
     """Version 1, the number, then at most the curve and the public key."""
-    tags = [t for t, _ in parts]
-    return tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and parts[0][1] == b"\1" and len(parts[1][1]) in (28, 32, 48, 66)
+    tags = [x[0] for x in parts]
+    return tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1} and _short(data, parts[0]) == b"\1" and _length(parts[1]) in (28, 32, 48, 66)
 
 
 # Object identifiers of key algorithms, by the form of the private key.
@@ -102,89 +138,97 @@ _DSA_DH = (bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a864886f70d010301"))
 _CURVES = {b"\x2b\x65\x6e": 32, b"\x2b\x65\x6f": 56, b"\x2b\x65\x70": 32, b"\x2b\x65\x71": 57}
 
 
-def is_private_part(algorithm: bytes, content: bytes) -> bool:
+def is_private_part(data: bytes | Decoded, algorithm: bytes, part: tuple[int, int, int]) -> bool:
     """Whether the octets of a PKCS#8 key are what its algorithm asks for; of an unknown one, one whole element."""
-    items = der_items(content)
+    items = der_items(data, part[1], part[2])
     if not items or len(items) != 1:
         return False
-    tag, body = items[0]
+    body = items[0]
     if algorithm in _RSA or algorithm == _EC:
-        parts = der_items(body) if tag == 0x30 else None
-        return bool(parts) and (is_sec1 if algorithm == _EC else is_pkcs1)(parts)
+        parts = der_items(data, body[1], body[2]) if body[0] == 0x30 else None
+        return bool(parts) and (is_sec1 if algorithm == _EC else is_pkcs1)(data, parts)
     if algorithm in _CURVES:
-        return tag == 0x04 and len(body) == _CURVES[algorithm]
+        return body[0] == 0x04 and _length(body) == _CURVES[algorithm]
     if algorithm in _DSA_DH:
-        return tag == 0x02 and len(body) >= 16
-    return len(body) >= 16
+        return body[0] == 0x02 and _length(body) >= 16
+    return _length(body) >= 16
 
 
-def is_der_key(data: bytes) -> bool:
+def is_der_key(data: bytes | Decoded) -> bool:
     """A PKCS#1, SEC1, PKCS#8 (plain or encrypted) or SubjectPublicKeyInfo structure, whole."""
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    parts = der_items(top[0][1])
+    parts = der_items(data, top[0][1], top[0][2])
     if not parts or len(parts) < 2:
         return False
-    tags = [t for t, _ in parts]
+    tags = [x[0] for x in parts]
     if tags[0] == 0x02:
-        version = parts[0][1]
         if tags == [0x02] * len(tags):
-            return is_pkcs1(parts)
-        if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 and version in (b"\0", b"\1"):
-            inner = der_items(parts[1][1])  # PKCS#8: algorithm, then the key
-            return bool(inner) and inner[0][0] == 0x06 and is_private_part(inner[0][1], parts[2][1])
-        return is_sec1(parts)
+            return is_pkcs1(data, parts)
+        if len(tags) >= 3 and tags[1] == 0x30 and tags[2] == 0x04 and _short(data, parts[0]) in (b"\0", b"\1"):
+            inner = der_items(data, parts[1][1], parts[1][2])  # PKCS#8: algorithm, then the key
+            return bool(inner) and inner[0][0] == 0x06 and is_private_part(data, _short(data, inner[0]), parts[2])
+        return is_sec1(data, parts)
     if tags[0] == 0x30 and len(tags) == 2:
-        inner = der_items(parts[0][1])
+        inner = der_items(data, parts[0][1], parts[0][2])
         if not inner or inner[0][0] != 0x06:
             return False
         if tags[1] == 0x03:  # SubjectPublicKeyInfo: no unused bits
-            return len(parts[1][1]) >= 33 and parts[1][1][0] == 0
-        return tags[1] == 0x04 and len(inner) == 2 and len(parts[1][1]) >= 16  # encrypted PKCS#8
+            return _length(parts[1]) >= 33 and data[parts[1][1] : parts[1][1] + 1] == b"\0"
+        return tags[1] == 0x04 and len(inner) == 2 and _length(parts[1]) >= 16  # encrypted PKCS#8
     return False
 
 
-def _ssh_strings(data: bytes, n: int) -> tuple[list[bytes], bytes] | None:
+def _ssh_strings(data: bytes | Decoded, at: int, n: int) -> list[tuple[int, int]] | None:
+    """(start, end) of n length-prefixed strings from ``at`` on."""
     out = []
     for _ in range(n):
-        size = int.from_bytes(data[:4], "big")
-        if len(data) < 4 or len(data) < 4 + size:
+        head = data[at : at + 4]
+        end = at + 4 + int.from_bytes(head, "big")
+        if len(head) < 4 or end > len(data):
             return None
-        out.append(data[4 : 4 + size])
-        data = data[4 + size :]
-    return out, data
+        out.append((at + 4, end))
+        at = end
+    return out
+
+
+def _openssh_parts(data: bytes | Decoded) -> tuple[int, tuple[int, int], tuple[int, int]] | None:
+    """Number of keys, the public and the private part of an openssh-key-v1 private key that begins ``data``."""
+    head = _ssh_strings(data, len(_SSH_MAGIC), 3)
+    if not head or len(data) < head[2][1] + 4:
+        return None
+    keys = _ssh_strings(data, head[2][1] + 4, 2)
+    return (int.from_bytes(data[head[2][1] : head[2][1] + 4], "big"), *keys) if keys else None
 
 
-def is_openssh_key(data: bytes) -> bool:
+def is_openssh_key(data: bytes | Decoded) -> bool:
     """An openssh-key-v1 private key, whole: cipher, kdf, options, one public and one private part."""
-    if not data.startswith(_SSH_MAGIC):
+    parts = _openssh_parts(data) if data[: len(_SSH_MAGIC)] == _SSH_MAGIC else None
+    if not parts or parts[0] != 1 or parts[2][1] != len(data):
         return False
-    head = _ssh_strings(data[len(_SSH_MAGIC) :], 3)
-    if not head or len(head[1]) < 4 or int.from_bytes(head[1][:4], "big") != 1:
-        return False
-    keys = _ssh_strings(head[1][4:], 2)
-    return bool(keys) and not keys[1] and is_ssh_public(keys[0][0]) and len(keys[0][1]) >= 32 and len(keys[0][1]) % 8 == 0
+    size = parts[2][1] - parts[2][0]
+    return is_ssh_public(data, *parts[1]) and size >= 32 and size % 8 == 0
 
 
-def openssh_size(data: bytes) -> int | None:
+def openssh_size(data: bytes | Decoded) -> int | None:
     """Bytes of the openssh-key-v1 private key that begins ``data``, by its lengths."""
-    head = _ssh_strings(data[len(_SSH_MAGIC) :], 3)
-    keys = _ssh_strings(head[1][4:], 2) if head else None
-    return len(data) - len(keys[1]) if keys else None
+    parts = _openssh_parts(data)
+    return parts[2][1] if parts else None
 
 
-def is_ssh_public(data: bytes) -> bool:
-    """A public key blob: its type, then length-prefixed fields to the end."""
-    first = _ssh_strings(data, 1)
-    if not first or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", first[0][0]):
+def is_ssh_public(data: bytes | Decoded, lo: int = 0, hi: int | None = None) -> bool:
+    """A public key blob: its type, then length-prefixed fields to the end, _ITEMS at most."""
+    hi = len(data) if hi is None else hi
+    first = _ssh_strings(data, lo, 1)
+    if not first or first[0][1] > hi or first[0][1] - first[0][0] > 66 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", data[first[0][0] : first[0][1]]):
         return False
-    rest, n = first[1], 0
-    while rest:
-        field = _ssh_strings(rest, 1)
-        if not field:
+    at, n = first[0][1], 0
+    while at < hi:
+        field = _ssh_strings(data, at, 1)
+        if not field or field[0][1] > hi or n == _ITEMS:
             return False
-        rest, n = field[1], n + 1
+        at, n = field[0][1], n + 1
     return n >= 1
 
 
@@ -204,41 +248,55 @@ def is_signed_token(header: str, body: str, signature: str) -> bool:
     return len(sig) == need if need else len(sig) >= 128
 
 
-def _joined(text: str, at: int, most: int) -> tuple[str, int]:
-    """The first ``most`` base64 characters from ``at`` on, or as many as follow each other, across line ends; and where they end."""
-    runs, left, end = [], most, at
-    while left and (run := _B64_RUN.match(text, at, at + left)):
-        runs.append(run[0])
-        left -= len(run[0])
-        end = run.end()
-        gap = _B64_BREAK.match(text, end)
-        if not gap:
-            break
-        at = gap.end()
-    return "".join(runs), end
+class _Region:
+    """Base64 characters from ``at`` on that follow each other across line ends, joined once for all keys that may begin in them."""
+
+    def __init__(self, text: str, at: int) -> None:
+        runs, self.starts, self.joins, n = [], [], [], 0
+        while run := _B64_RUN.match(text, at):
+            runs.append(run[0])
+            self.starts.append(at)
+            self.joins.append(n)
+            n += len(run[0])
+            self.end = run.end()
+            gap = _B64_BREAK.match(text, self.end)
+            if not gap:
+                break
+            at = gap.end()
+        self.joined = "".join(runs).replace("-", "+").replace("_", "/")
+
+    def index(self, at: int) -> int:
+        """Place among the joined characters of the one at ``at`` in the text."""
+        k = bisect_right(self.starts, at) - 1
+        return self.joins[k] + at - self.starts[k]
+
+    def after(self, n: int) -> int:
+        """Where in the text the first n joined characters end."""
+        k = bisect_left(self.joins, n) - 1
+        return self.starts[k] + n - self.joins[k]
 
 
 def base64_keys(text: str) -> Iterator[tuple[int, int, str]]:
-    """Keys in base64, on one line or wrapped. A key's own lengths say where it ends; what follows must not go on with base64."""
-    done = 0
+    """Keys in base64, on one line or wrapped. A key's own lengths say where it ends; what follows must not go on with base64.
+
+    Only headers and lengths are decoded, so a text full of beginnings of keys takes time in
+    proportion to its length.
+    """
+    done, region = 0, None
     for m in _B64_START.finditer(text):
         at = m.start()
         if at < done:
             continue
-        ssh = text[at] == "b"
-        body, _ = _joined(text, at, len(text) if ssh else 12)
-        head = unbase64(body[: len(body) - (len(body) % 4 == 1)]) or b""
-        size = openssh_size(head) if ssh else der_size(head)
-        if not size or not _SHORTEST <= size <= len(text):
+        if region is None or at >= region.end:
+            region = _Region(text, at)
+        ssh, i = text[at] == "b", region.index(at)
+        data = Decoded(region.joined, i)
+        size = openssh_size(data) if ssh else der_size(data[:9])
+        if not size or not _SHORTEST <= size <= len(data):
             continue
-        inner = 2 + (head[1] & 0x7F if head[1] >= 0x80 else 0)
-        if not ssh and head[inner : inner + 1] not in (b"\x02", b"\x30"):
-            continue  # no key begins so
-        need = -(-size * 4 // 3)
-        body, end = _joined(text, at, need)
-        after = _B64_END.match(text, end) if len(body) == need else None
-        data = unbase64(body) if after else None
-        if data and (is_openssh_key if ssh else is_der_key)(data):
+        end = region.after(i + -(-size * 4 // 3))
+        after = _B64_END.match(text, end)
+        if after and (is_openssh_key if ssh else is_der_key)(Decoded(region.joined, i, size)):
             done = after.end()
             yield at, done, "openssh" if ssh else "der"
 
@@ -261,7 +319,8 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             if data and (is_der_key(data) or is_openssh_key(data)):
                 found.append((m.start(), m.end(), "pem"))
                 taken.append(m.span())
-    found += [x for x in base64_keys(text) if not any(a <= x[0] < b for a, b in taken)]
+    starts = [a for a, _ in taken]
+    found += [x for x in base64_keys(text) if not ((k := bisect_right(starts, x[0])) and x[0] < taken[k - 1][1])]
     for m in _HEXKEY.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data) or is_openssh_key(data):

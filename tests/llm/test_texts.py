@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -516,3 +517,24 @@ def test_classifier_awkward_rows(spark):
     kept = quality_crf.keep_good(docs, field)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {i for i in range(40) if i % 2}
     assert quality_crf.train(docs, labels.limit(0)).weights.sum() == 0
+
+
+@pytest.mark.parametrize("unit", ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmU\n", "b3BlbnNzaC1rZXktdjEA\n", "MIIEpAIBAAKCAQEA/", "MIIEpAIBAAKCAQEA\n", "MIL/pAIBAAKC+", "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.aa ", "-----BEGIN A KEY-----\nMIIE\n"])
+def test_beginnings_of_keys_take_linear_time(unit):
+    def took(size):
+        text = unit * (size // len(unit))
+        began = time.perf_counter()
+        assert all(k not in ("der", "openssh", "jwt", "pem") for _, _, k in secret_scan.scan(text))
+        return time.perf_counter() - began
+
+    short, long = took(250_000), took(1_000_000)
+    assert long < 10 * short + 0.3 and long < 10
+
+
+def test_lazy_decoding_equals_whole_decoding():
+    data = bytes(range(256)) * 3
+    for n in (767, 768, 766):
+        text = base64.b64encode(data[:n]).decode().rstrip("=")
+        lazy = secret_scan.Decoded("xy" + text, 2)
+        assert len(lazy) == n
+        assert all(lazy[a:b] == data[:n][a:b] for a in (0, 1, 2, 3, 100, n - 2, n) for b in (0, 1, 5, 101, n, n + 9))
