@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow import params
@@ -52,6 +52,19 @@ def open_ledger(media: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
+def finished(media: DataFrame, step: str, at: Column) -> DataFrame:
+    """A fresh document with ``step`` done for each video of media (video_id, path, size, mtime)."""
+    entries = STEPS | {step: "true"}
+    return media.select(
+        "video_id",
+        F.lit(VERSION).alias("version"),
+        F.struct("path", "size", "mtime").alias("video"),
+        F.create_map(*(F.lit(x) for kv in entries.items() for x in kv)).alias("steps"),
+        F.create_map().cast("map<string,string>").alias("artifacts"),
+        at.alias("updated_at"),
+    )
+
+
 def set_entries(ledger: DataFrame, updates: DataFrame, column: str) -> DataFrame:
     """``column`` (steps or artifacts) with the entries of ``updates`` (video_id, entries: map) set; new values win."""
     u = updates.select("video_id", F.col("entries").alias("__new"))

@@ -13,7 +13,7 @@ from segflow.functions import timing
 from segflow.operators import language, ledger, shape, speakers, synth, timeline, translate
 from segflow.plans import fixtures as X
 from segflow.plans import sql as S
-from segflow.sources import io, keyed
+from segflow.sources import io, keyed, ledger_log
 from segflow.sources.shared import shared_path, stage
 from segflow.streaming import resume
 
@@ -752,6 +752,18 @@ def s10_ledger(spark, d):
     return docs.select("video_id", F.try_element_at("steps", F.lit("asr_done")).alias("asr_done"), F.try_element_at("steps", F.lit("mux_done")).alias("mux_done"), F.try_element_at("artifacts", F.lit("segments")).alias("segments"))
 
 
+@query(f"WITH {S.F7} SELECT video_id, path || '#' || CASE WHEN secs % 5 = 0 THEN 4 ELSE secs % 5 END AS path, 'true' AS asr_done FROM media")
+def s10_ledger_log(spark, d):
+    """Five parts, a fifth of the videos in each of them and the others in one; a snapshot is made after the third."""
+    path, m, n = shared_path(spark, "ledger"), X.media(spark, d), F.col("video_id").cast("long") % 5
+    for k in range(5):
+        part = m.filter((n == k) | (n == 0)).withColumn("path", F.concat("path", F.lit(f"#{k}")))
+        ledger_log.write_part(ledger.finished(part, "asr_done", F.timestamp_millis(F.lit(k))), path)
+        if k == 2:
+            ledger_log.compact(spark, path)
+    return io.read_ledger(spark, path).select("video_id", "video.path", F.try_element_at("steps", F.lit("asr_done")).alias("asr_done"))
+
+
 @query(f"WITH {S.F7} SELECT video_id, path FROM media WHERE secs % 4 <> 1")
 def f5_unfinished_media(spark, d):
     m = X.media(spark, d)
@@ -837,7 +849,7 @@ def t1_resumed_runs(spark, d):
         again = m.filter(f"cast(video_id as long) % 2 = {k} or cast(video_id as long) % 30 = 0")
         new = m.filter(f"{k} = 1 and cast(video_id as long) % 10 = 4").withColumn("size", F.col("size") + 1)
         again.unionByName(new).write.mode("append").parquet(inbox)
-        resume.run_available(spark, inbox, schema, out, book, check, process, lambda rows: rows.distinct())
+        resume.run_available(spark, inbox, schema, out, book, check, process)
     done = io.read_ledger(spark, book).select("video_id", F.try_element_at("steps", F.lit("asr_done")).alias("asr_done"))
     result = resume.read_results(spark, out, "n bigint, video_id string", book)
     return done.join(result, "video_id").select("video_id", "asr_done", "n")

@@ -14,8 +14,7 @@ from pyspark.sql.window import Window
 
 from segflow import params
 from segflow.functions import text as T
-from segflow.operators import ledger
-from segflow.sources import keyed
+from segflow.sources import keyed, ledger_log
 
 _WHISPER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: string, `to`: string>, text: string>>, _corrupt_record string"
 # Numbers are read as text: they may be quoted, or whole ones written as 3.0.
@@ -218,9 +217,11 @@ def turn_counts(turns: DataFrame) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return ledger.latest(spark.read.schema(ledger.SCHEMA).json(path))
+    """The newest document of each video."""
+    return ledger_log.read(spark, path)
 
 
-def write_ledger(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """Adds documents; the newest of each video counts when read."""
-    documents.select("video_id", "version", "video", "steps", "artifacts", "updated_at").write.mode(mode).json(path)
+def write_ledger(documents: DataFrame, path: str) -> None:
+    """Adds documents; the newest of each video counts when read. Now and then ``ledger_log.compact`` makes few files of many."""
+    ledger_log.write_part(documents, path)
+    ledger_log.compact(documents.sparkSession, path, ledger_log.COMPACT_AFTER)

@@ -2,13 +2,15 @@
 
 import json
 import math
+import shutil
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from segflow.operators import ledger
 from segflow.plans import queries
-from segflow.sources import io, keyed
+from segflow.sources import io, keyed, ledger_log
 from segflow.streaming import resume
 
 
@@ -80,7 +82,7 @@ def test_a_batch_repeated_after_a_crash_leaves_the_same_tables(spark, tmp_path):
     schema = "video_id string, path string, size bigint, mtime timestamp, text string"
 
     def run():
-        resume.run_available(spark, at["in"], schema, at["out"], at["book"], at["check"], lambda rows: rows.groupBy("video_id").count(), lambda rows: rows.select("video_id", "path", "size", "mtime").distinct())
+        resume.run_available(spark, at["in"], schema, at["out"], at["book"], at["check"], lambda rows: rows.groupBy("video_id").count())
 
     def state():
         results = resume.read_results(spark, at["out"], "video_id string, count bigint", at["book"])
@@ -186,3 +188,59 @@ def test_broken_recogniser_files(spark, tmp_path):
     assert {r.video_id for r in io.whisper_segments(table).collect()} == {"good", "extra"}
     failed = ledger.video_errors(io.whisper_errors(table), io.document_errors(table.filter("video_id = 'good'")))
     assert {r.video_id: r.error for r in failed.collect()} == errors | {"good": "not a list"}
+
+
+def documents(spark, rows):
+    media = spark.createDataFrame([(v, path, 1, None) for v, path, _ in rows], "video_id string, path string, size bigint, mtime timestamp")
+    return ledger.finished(media, "asr_done", F.timestamp_millis(F.lit(rows[0][2])))
+
+
+def test_a_ledger_of_many_writes_stays_few_files(spark, tmp_path):
+    path = str(tmp_path / "book")
+    want = {}
+    for k in range(9):
+        rows = [(f"v{i}", f"{i}-{k}", k) for i in range(k % 4, 6)]
+        ledger_log.write_part(documents(spark, rows), path)
+        ledger_log.compact(spark, path, after=2, buckets=2)
+        want |= {v: p for v, p, _ in rows}
+        assert {r.video_id: r.video.path for r in ledger_log.read(spark, path).collect()} == want
+        base, parts = ledger_log._tables(spark, path)
+        assert len(parts) <= 2 and len(list((tmp_path / "book" / "snapshots").glob("*/part-*"))) <= 2
+    assert ledger_log.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_a_compaction_that_stops_half_way_changes_nothing(spark, tmp_path):
+    """Snapshots that were not renamed are not seen; parts that were not deleted yet do not count again."""
+    path = tmp_path / "book"
+    for k in range(3):
+        ledger_log.write_part(documents(spark, [("a", f"a{k}", 5), (f"b{k}", "b", 5)]), str(path))
+    read = lambda: {r.video_id: r.video.path for r in ledger_log.read(spark, str(path)).collect()}
+    want = {"a": "a2", "b0": "b", "b1": "b", "b2": "b"}  # of equal times the later part counts
+    assert read() == want
+    documents(spark, [("a", "half", 9)]).write.parquet(str(path / ".made-x"))
+    shutil.copytree(path / "parts", tmp_path / "kept")
+    ledger_log.compact(spark, str(path))
+    assert read() == want
+    shutil.rmtree(path / "parts")
+    shutil.copytree(tmp_path / "kept", path / "parts")
+    assert read() == want
+    ledger_log.write_part(documents(spark, [("a", "late", 5)]), str(path))
+    assert read() == want | {"a": "late"}
+
+
+def test_a_run_knows_its_videos_without_the_ledger(spark, tmp_path):
+    at = {name: str(tmp_path / name) for name in ("in put", "out", "book", "check")}
+    schema = "video_id string, path string, size bigint, mtime timestamp, text string"
+
+    def run(*rows):
+        spark.createDataFrame([(v, f"{v}.mp4", size, None, text) for v, size, text in rows], schema).coalesce(1).write.mode("append").parquet(at["in put"])
+        resume.run_available(spark, at["in put"], schema, at["out"], at["book"], at["check"], lambda rows: rows.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("texts")))
+        batch = max(int(p.name.removeprefix("batch=")) for p in (tmp_path / "out").glob("batch=*"))
+        return sorted(map(tuple, spark.read.parquet(f"{at['out']}/batch={batch}").collect()))
+
+    assert run(("a", 1, "x"), ("a", 1, "y"), ("b", 1, "z"), (None, 1, "lost")) == [("a", "xy"), ("b", "z")]
+    shutil.rmtree(at["book"])
+    assert run(("a", 1, "x"), ("b", 2, "w"), ("c", 1, "v")) == [("b", "w"), ("c", "v")]
+    # two states of a video at once: the newest counts
+    assert run(("d", 3, "old"), ("d", 5, "new"), ("d", 5, "er"), ("c", 1, "v")) == [("d", "ernew")]
+    assert run(("d", 5, "again"), ("d", 3, "older")) == [("d", "older")]
