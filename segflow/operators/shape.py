@@ -1,16 +1,21 @@
 """Order-dependent grouping of segments: merging, chunking, sentence splitting, units.
 
 All take and return segments: video_id, idx, start, end, text_src, speaker_id,
-detected_lang. Order within a video is that of idx (ties: start, end, text). Work is keyed
-by video, so one exchange serves a whole chain of these operators.
+detected_lang. Order within a video is that of idx (ties: start, end, text). Greedy groups
+depend on all that came before, so a video's rows stream by in order, in one task; an exchange
+deals them by video.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from segflow import params
@@ -19,8 +24,8 @@ from segflow.sources.shared import stage
 
 COLUMNS = ["video_id", "idx", "start", "end", "text_src", "speaker_id", "detected_lang"]
 _ORDER = ("idx", "start", "end", "text_src")
-#: Segments that a fold goes over before it puts by what it found.
-PIECE = 256
+#: Groups that leave a task at once.
+ROWS = 4096
 
 
 def drop_blank(segments: DataFrame) -> DataFrame:
@@ -41,66 +46,110 @@ def with_segno(segments: DataFrame) -> DataFrame:
     return segments.withColumn("segno", F.row_number().over(Window.partitionBy("video_id").orderBy(*(c for c in _ORDER if c in segments.columns))).cast("int"))
 
 
-def _fold(segments: DataFrame, clean: Callable[[Column], Column], gap: float, joins: Callable[[Column, Column], Column]) -> DataFrame:
-    """Greedy groups: a segment joins the current group if ``joins(state, segment)`` holds.
+@dataclass
+class _Group:
+    """A group so far: its times, characters, whether its last text ends a sentence, and what it is made of."""
 
-    A gap over ``gap`` or another speaker always starts a new group, whatever the group
-    holds; so ``lag`` cuts a video into islands first, and the fold runs over each island's
-    array with numbers only in its state. It runs in pieces that hand on the state, so that
-    appending to what it returns does not copy the whole of a long island at each step.
+    start: float | None
+    end: float | None
+    n: int
+    stop: bool
+    speaker: str
+    lang: str
+    texts: list[str]
+    count: int = 1
+
+
+#: Whether the group takes in the next segment (a group of one).
+_Rule = Callable[[_Group, _Group], bool]
+
+
+def _within(later: float | None, earlier: float | None, limit: float) -> bool:
+    """later - earlier <= limit; false where a time is missing or no number."""
+    return later is not None and earlier is not None and later - earlier <= limit
+
+
+def _grouped(rows: Iterator[tuple[object, _Group]], joins: _Rule) -> Iterator[tuple[object, _Group]]:
+    """Greedy groups of the rows of each video, which come in order: a row joins the current group of its speaker if ``joins`` holds."""
+    video, g = None, None
+    for key, x in rows:
+        if g is not None and key == video and g.speaker == x.speaker and joins(g, x):
+            g.end, g.n, g.stop, g.lang, g.count = x.end, g.n + 1 + x.n, x.stop, g.lang or x.lang, g.count + 1
+            g.texts += x.texts
+            continue
+        if g is not None:
+            yield video, _closed(g)
+        video, g = key, x
+    if g is not None:
+        yield video, _closed(g)
+
+
+def _closed(g: _Group) -> _Group:
+    g.texts, g.count = [" ".join(g.texts)], 1
+    return g
+
+
+def _folding(rules: list[_Rule], kind: pa.DataType) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, _Group]]:
+        for batch in batches:
+            for video, start, end, text, speaker, lang, n, stop in zip(*(c.to_pylist() for c in batch.columns)):
+                yield video, _Group(start, end, n, stop, speaker, lang, [text])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = rows(batches)
+        for joins in rules:
+            stream = _grouped(stream, joins)
+        kinds = [kind, pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.string()]
+        batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], COLUMNS)
+        out = []
+        for _, of_video in groupby(stream, key=lambda x: x[0]):
+            for idx, (video, g) in enumerate(of_video):
+                out.append((video, idx, g.start, g.end, g.texts[0], g.speaker, g.lang))
+                if len(out) == ROWS:
+                    yield batch_of(out)
+                    out = []
+        if out:
+            yield batch_of(out)
+
+    return run
+
+
+def _folded(segments: DataFrame, clean: Callable[[Column], Column], rules: list[_Rule], order: tuple[str, ...] = _ORDER) -> DataFrame:
+    """Segments grouped by the rules one after the other, in one pass over each video's rows in order.
+
+    One exchange deals the rows by video and sorts them; then they stream by, and only the group
+    at hand is kept, so neither a video nor an island of it is ever held as a whole.
     """
     s = segments.select(
         "video_id",
-        "idx",
         F.col("start").cast("double").alias("start"),
         F.col("end").cast("double").alias("end"),
         clean(F.col("text_src")).alias("text_src"),
         T.text_or_empty(F.col("speaker_id")).alias("speaker_id"),
         T.text_or_empty(F.col("detected_lang")).alias("detected_lang"),
+        *(F.col(c) for c in order if c not in ("start", "end", "text_src")),
     ).filter("text_src <> ''")
-    w = Window.partitionBy("video_id").orderBy(*_ORDER)
-    far = F.coalesce((F.greatest(F.lit(0.0), F.col("start") - F.lag("end").over(w)) > gap) | (F.col("speaker_id") != F.lag("speaker_id").over(w)), F.lit(False))
-    s = s.withColumn("pos", F.row_number().over(w)).withColumn("island", F.sum(far.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("pos", "start", "end", F.length("text_src").alias("n"), T.ends_sentence(F.col("text_src")).alias("stop"), "text_src", "speaker_id", "detected_lang")
-    islands = s.groupBy("video_id", "island").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(
-        F.lit(-1).alias("gid"), F.lit(0.0).cast("double").alias("start"), F.lit(0.0).cast("double").alias("end"), F.lit(0).alias("n"), F.lit(False).alias("stop"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("out")
-    )
+    dealt = s.repartition("video_id").sortWithinPartitions("video_id", *order)
+    rows = dealt.select("video_id", "start", "end", "text_src", "speaker_id", "detected_lang", F.length("text_src").alias("n"), T.ends_sentence(F.col("text_src")).alias("stop"))
+    video_type = segments.schema["video_id"].dataType
+    schema = f"video_id {video_type.simpleString()}, idx int, start double, end double, text_src string, speaker_id string, detected_lang string"
+    return rows.mapInArrow(_folding(rules, to_arrow_type(video_type)), schema)
+
+
+def _merge_rule(max_sec: float, max_chars: int, gap: float, very_short: float) -> _Rule:
+    def joins(g: _Group, x: _Group) -> bool:
+        short = _within(g.end, g.start, very_short) or _within(x.end, x.start, very_short)
+        return _within(x.start, g.end, gap) and _within(x.end, g.start, max_sec) and g.n + 1 + x.n <= max_chars and (short or not g.stop)
+
+    return joins
 
-    def step(a: Column, x: Column) -> Column:
-        ok = (a["gid"] >= 0) & joins(a, x)
-        gid = F.when(ok, a["gid"]).otherwise(a["gid"] + 1)
-        return F.struct(
-            gid.alias("gid"),
-            F.when(ok, a["start"]).otherwise(x["start"]).alias("start"),
-            x["end"].alias("end"),
-            F.when(ok, a["n"] + 1 + x["n"]).otherwise(x["n"]).alias("n"),
-            x["stop"].alias("stop"),
-            F.when(ok, a["count"] + 1).otherwise(1).alias("count"),
-            F.concat(a["out"], F.array(gid)).alias("out"),
-        )
-
-    fields = ("gid", "start", "end", "n", "stop", "count")
-    none = F.array().cast("array<int>")
-    first = F.struct(*(start[f].alias(f) for f in fields), F.array().cast("array<array<int>>").alias("outs"))
-
-    def whole_piece(a: Column, piece: Column) -> Column:
-        state = F.struct(*(a[f].alias(f) for f in fields), none.alias("out"))
-        return T.let(F.aggregate(piece, state, step), lambda b: F.struct(*(b[f].alias(f) for f in fields), F.concat(a["outs"], F.array(b["out"])).alias("outs")))
-
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / PIECE).cast("int")), lambda i: F.slice("items", i * PIECE + 1, PIECE))
-    folded = islands.select("video_id", "island", "items", F.flatten(F.aggregate(pieces, first, whole_piece)["outs"]).alias("gids"))
-    each = folded.select("video_id", "island", F.explode(F.arrays_zip("items", "gids")).alias("x")).select("video_id", "island", "x.gids", "x.items.*")
-    lang = F.min_by("detected_lang", F.when(F.col("detected_lang") != "", F.col("pos")))
-    merged = each.groupBy("video_id", "island", "gids").agg(
-        F.min("pos").alias("pos"),
-        F.min_by("start", "pos").alias("start"),
-        F.max_by("end", "pos").alias("end"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text_src"))), lambda x: x["text_src"]), " ").alias("text_src"),
-        F.first("speaker_id").alias("speaker_id"),
-        F.coalesce(lang, F.lit("")).alias("detected_lang"),
-    )
-    return merged.withColumn("idx", (F.row_number().over(Window.partitionBy("video_id").orderBy("pos")) - 1).cast("int")).select(*COLUMNS)
+
+def _chunk_rule(max_sec: float, max_chars: int, gap: float) -> _Rule:
+    return lambda g, x: _within(x.start, g.end, gap) and _within(x.end, g.start, max_sec) and g.n + 1 + x.n <= max_chars
+
+
+def _unit_rule(max_sentences: int, max_chars: int, gap: float) -> _Rule:
+    return lambda g, x: g.count < max_sentences and _within(x.start, g.end, gap) and g.n + 1 + x.n <= max_chars
 
 
 def merge_segments(
@@ -111,30 +160,17 @@ def merge_segments(
     very_short: float = params.MERGE_VERY_SHORT_SEC,
 ) -> DataFrame:
     """Merge fragments of one speaker until a sentence ends; very short ones merge anyway."""
-
-    def joins(a: Column, x: Column) -> Column:
-        short = (T.duration(a["start"], a["end"]) <= very_short) | (T.duration(x["start"], x["end"]) <= very_short)
-        return (F.greatest(F.lit(0.0), x["start"] - a["end"]) <= gap) & (F.greatest(F.lit(0.0), x["end"] - a["start"]) <= max_sec) & (a["n"] + 1 + x["n"] <= max_chars) & (short | ~a["stop"])
-
-    return _fold(segments, T.strip, gap, joins)
+    return _folded(segments, T.strip, [_merge_rule(max_sec, max_chars, gap, very_short)])
 
 
 def chunk_segments(segments: DataFrame, max_sec: float = params.CHUNK_MAX_SEC, max_chars: int = params.CHUNK_MAX_CHARS, gap: float = params.CHUNK_GAP_SEC) -> DataFrame:
     """Chunks of one speaker for sentence splitting."""
-
-    def joins(a: Column, x: Column) -> Column:
-        return (F.greatest(F.lit(0.0), x["start"] - a["end"]) <= gap) & (F.greatest(F.lit(0.0), x["end"] - a["start"]) <= max_sec) & (a["n"] + 1 + x["n"] <= max_chars)
-
-    return _fold(segments, T.strip, gap, joins)
+    return _folded(segments, T.strip, [_chunk_rule(max_sec, max_chars, gap)])
 
 
 def merge_sentence_units(segments: DataFrame, max_sentences: int = params.UNIT_MAX_SENTENCES, max_chars: int = params.UNIT_MAX_CHARS, gap: float = params.UNIT_GAP_SEC) -> DataFrame:
     """Translation units of a few sentences; texts are space-normalised."""
-
-    def joins(a: Column, x: Column) -> Column:
-        return (a["count"] < max_sentences) & (F.greatest(F.lit(0.0), x["start"] - a["end"]) <= gap) & (a["n"] + 1 + x["n"] <= max_chars)
-
-    return _fold(segments, T.normalize_spaces, gap, joins)
+    return _folded(segments, T.normalize_spaces, [_unit_rule(max_sentences, max_chars, gap)])
 
 
 def split_sentences(segments: DataFrame, splitter: Callable[[Column], Column] = T.sentences) -> DataFrame:
@@ -143,6 +179,11 @@ def split_sentences(segments: DataFrame, splitter: Callable[[Column], Column] =
     ``splitter`` maps a text to its sentences (array<string>); a pandas_udf works, too. A
     segment of one sentence or of no duration stays one row.
     """
+    return renumber(_sentences(segments, splitter).withColumn("idx", F.lit(0)), "old", "k").select(*COLUMNS)
+
+
+def _sentences(segments: DataFrame, splitter: Callable[[Column], Column] = T.sentences) -> DataFrame:
+    """The rows of split_sentences with ``old`` and ``k``, their order in a video, in place of idx."""
     s = segments.select("video_id", "idx", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text_src", "speaker_id", "detected_lang")
     s = drop_blank(s).withColumn("parts", splitter(F.col("text_src")))
     one = (F.size("parts") <= 1) | (T.duration(F.col("start"), F.col("end")) <= 0)
@@ -156,7 +197,7 @@ def split_sentences(segments: DataFrame, splitter: Callable[[Column], Column] =
     begin = F.when(F.col("n") == 1, F.col("start")).otherwise(clamp(F.col("start"), at(F.col("k"))))
     raw_end = F.when(F.col("k") == F.col("n") - 1, F.col("end")).otherwise(at(F.col("k") + 1))
     timed = each.select("video_id", "idx", "k", "n", "end", begin.alias("begin"), raw_end.alias("raw_end"), "sentence", "speaker_id", "detected_lang")
-    out = timed.select(
+    return timed.select(
         "video_id",
         F.col("idx").alias("old"),
         "k",
@@ -166,12 +207,15 @@ def split_sentences(segments: DataFrame, splitter: Callable[[Column], Column] =
         "speaker_id",
         "detected_lang",
     )
-    return renumber(out.withColumn("idx", F.lit(0)), "old", "k").select(*COLUMNS)
 
 
 def shape(segments: DataFrame) -> DataFrame:
     """Merge, chunk, split and unite: recogniser fragments to translation units."""
-    return merge_sentence_units(split_sentences(chunk_segments(merge_segments(segments))))
+    merge = _merge_rule(params.MERGE_MAX_SEC, params.MERGE_MAX_CHARS, params.MERGE_GAP_SEC, params.MERGE_VERY_SHORT_SEC)
+    chunk = _chunk_rule(params.CHUNK_MAX_SEC, params.CHUNK_MAX_CHARS, params.CHUNK_GAP_SEC)
+    unite = _unit_rule(params.UNIT_MAX_SENTENCES, params.UNIT_MAX_CHARS, params.UNIT_GAP_SEC)
+    # merging and chunking are one pass; sentences need not be numbered to be put in order
+    return _folded(_sentences(_folded(segments, T.strip, [merge, chunk])), T.normalize_spaces, [unite], ("old", "k"))
 
 
 def stage_funnel(segments: DataFrame) -> DataFrame:

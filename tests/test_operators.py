@@ -104,7 +104,22 @@ def test_a_long_video_meets_by_bins_of_time(spark):
     assert speakers.assign_speakers(segs, turns).filter("speaker_id <> if(idx % 2 = 0, 'A', 'B')").count() == 0
 
 
-def test_a_long_island_is_folded_in_pieces(spark):
+def test_a_long_island_streams_by(spark):
+    """One video without a gap: merging makes groups of ten seconds, as a loop does, across Arrow batches."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("1 as video_id", "cast(id as int) as idx", "cast(id as double) as start", "id + 0.9d as end", "if(id % 50 = 0, 'Stop.', 'word') as text_src", "'A' as speaker_id", "'' as detected_lang")
+    got = shape.merge_segments(rows.repartition(8)).orderBy("idx").collect()
+    loose = [(1, i, float(i), i + 0.9, "Stop." if i % 50 == 0 else "word", "A", "") for i in range(n)]
+    assert [tuple(r) for r in got] == loop(loose, "merge")
+
+
+def test_folds_of_times_that_are_missing(spark):
+    rows = [(1, 0, None, 1.0, "a", "A", ""), (1, 1, 1.0, float("nan"), "b", "A", "en"), (1, 2, 1.0, 1.5, "c", "A", ""), (1, 3, 1.6, 2.0, "d", None, None), (1, 4, 2.1, 2.2, "e", "", "fr"), (None, 0, 0.0, 1.0, "x", "A", ""), (None, 1, 1.0, 2.0, "y", "A", "de")]
+    got = {(r.video_id, r.idx): (r.text_src, r.detected_lang) for r in shape.merge_segments(spark.createDataFrame(rows, SEGMENTS)).collect()}
+    assert got == {(1, 0): ("a", ""), (1, 1): ("b", "en"), (1, 2): ("c", ""), (1, 3): ("d e", "fr"), (None, 0): ("x y", "de")}
+
+
+def test_chunks_of_a_long_island(spark):
     rows = [(1, i, i * 1.0, i + 0.9, "word" if i % 50 else "Stop.", "A", "") for i in range(3000)]
     got = shape.chunk_segments(spark.createDataFrame(rows, SEGMENTS), max_sec=10.0).orderBy("idx").collect()
     assert [(r.start, r.end) for r in got] == [(k * 10.0, k * 10 + 9.9) for k in range(300)]
