@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from segflow.operators import language
 from segflow.operators.shape import with_segno
 from segflow.sources.shared import stage
 
+#: Characters (padded) and texts that go to a model at once.
+BATCH_CHARS, BATCH_TEXTS = 8192, 64
 #: (texts: DataFrame with text, source, target, engine) -> the same with ``out`` and, where a call may fail, ``error`` (null: none)
 Translator = Callable[[DataFrame], DataFrame]
 
@@ -97,38 +101,74 @@ def column_translator(body: Callable[[Column], Column]) -> Translator:
 
 
 def model_translator(load: Callable[[str], Callable[[str, str, str], str]], retries: int = params.TRANSLATE_RETRIES, backoff_sec: float = params.TRANSLATE_BACKOFF_SEC, partitions: int | None = None) -> Translator:
-    """A translator around models: ``load(engine)`` gives (text, source, target) -> text, once for each task and engine.
-
-    A call that fails is tried again after a growing wait; the last failure becomes the text's
-    ``error``. A model that does not load fails the task, which Spark then repeats elsewhere.
+    """A translator around models that take one text: ``load(engine)`` gives (text, source, target) -> text. See batch_translator."""
+
+    def load_one(engine: str) -> Callable[[list[str], str, str], list[str]]:
+        model = load(engine)
+        return lambda texts, source, target: [model(x, source, target) for x in texts]
+
+    return batch_translator(load_one, retries, backoff_sec, partitions, most=1)
+
+
+def batch_translator(
+    load: Callable[[str], Callable[[list[str], str, str], list[str]]],
+    retries: int = params.TRANSLATE_RETRIES,
+    backoff_sec: float = params.TRANSLATE_BACKOFF_SEC,
+    partitions: int | None = None,
+    budget: int = BATCH_CHARS,
+    most: int = BATCH_TEXTS,
+) -> Translator:
+    """A translator around models that take many texts: ``load(engine)`` gives (texts, source, target) -> texts, once for each task and engine.
+
+    A task's texts of one engine, source and target go to the model in order of their length, as
+    many at once as stay below ``budget`` characters when each is padded to the longest, ``most`` at
+    most. If such a call fails, or answers with another number of texts, its texts are tried
+    one by one. A single text is tried ``retries`` times with a growing wait in between; its last failure becomes
+    its ``error``, and stops no other. A model that does not load fails the task, which Spark then repeats elsewhere.
     """
 
-    def run(batches):
-        import time
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: dict[str, Callable] = {}
-        for pdf in batches:
-            out, errors = [], []
-            for text, source, target, engine in zip(pdf["text"], pdf["source"], pdf["target"], pdf["engine"]):
-                if engine not in models:
-                    models.clear()  # one model at a time fits in memory
-                    models[engine] = load(engine)
-                said = error = None
-                for attempt in range(1, retries + 1):
-                    try:
-                        said, error = models[engine](text, source, target), None
-                        break
-                    except Exception as e:  # one text must not stop the others
-                        error = f"{type(e).__name__}: {e}"
-                        if attempt < retries:
-                            time.sleep(backoff_sec * attempt)
-                out.append(said)
-                errors.append(error)
-            yield pdf.assign(out=out, error=errors)
+
+        def ask(engine: str, source: str, target: str, texts: list[str]) -> list[tuple[str | None, str | None]]:
+            if engine not in models:
+                models.clear()  # one model at a time fits in memory
+                models[engine] = load(engine)
+            error = None
+            for attempt in range(1, (retries if len(texts) == 1 else 1) + 1):
+                try:
+                    said = list(models[engine](texts, source, target))
+                    if len(said) != len(texts):
+                        raise ValueError(f"{len(said)} answers to {len(texts)} texts")
+                    return [(x, None) for x in said]
+                except Exception as e:  # one text must not stop the others
+                    error = f"{type(e).__name__}: {e}"
+                    if len(texts) == 1 and attempt < retries:
+                        time.sleep(backoff_sec * attempt)
+            return [(None, error)] if len(texts) == 1 else [x for t in texts for x in ask(engine, source, target, [t])]
+
+        def answered(kind: tuple[str, str, str], texts: list[str]) -> pa.RecordBatch:
+            source, target, engine = kind
+            out = ask(engine, source, target, texts)
+            columns = [texts, [source] * len(texts), [target] * len(texts), [engine] * len(texts), [x for x, _ in out], [e for _, e in out]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["text", "source", "target", "engine", "out", "error"])
+
+        kind, texts = None, []
+        for batch in batches:
+            for text, *now in zip(*(c.to_pylist() for c in batch.columns)):
+                # texts come by length, so the new one is the longest
+                if texts and (tuple(now) != kind or len(texts) == most or len(text) * (len(texts) + 1) > budget):
+                    yield answered(kind, texts)
+                    texts = []
+                kind = tuple(now)
+                texts.append(text)
+        if texts:
+            yield answered(kind, texts)
 
     def translator(asked: DataFrame) -> DataFrame:
         columns = ["engine", F.pmod(F.xxhash64("text"), F.lit(64))]
-        dealt = (asked.repartition(partitions, *columns) if partitions else asked.repartition(*columns)).sortWithinPartitions("engine")
-        return dealt.select("text", "source", "target", "engine").mapInPandas(run, "text string, source string, target string, engine string, out string, error string")
+        dealt = asked.repartition(partitions, *columns) if partitions else asked.repartition(*columns)
+        dealt = dealt.sortWithinPartitions("engine", "source", "target", F.length("text"))
+        return dealt.select("text", "source", "target", "engine").mapInArrow(run, "text string, source string, target string, engine string, out string, error string")
 
     return translator

@@ -255,6 +255,33 @@ def test_a_failing_text_stops_no_other(spark):
     assert sorted(map(tuple, errors.collect())) == [("1", "RuntimeError: no words"), ("3", "RuntimeError: no words"), ("4", "not a list")]
 
 
+def test_models_are_called_by_batches(spark, tmp_path):
+    """Texts alike in length go together; a batch that fails is tried text by text, and only what fails alone has an error."""
+    log = str(tmp_path / "calls")
+
+    def load(engine):
+        def model(texts, source, target):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)} {max(map(len, texts)) * len(texts)}\n")
+            if any("bad" in x for x in texts):
+                raise RuntimeError("boom")
+            return [f"{source}-{target}:{x}" for x in texts if x != "odd"]
+
+        return model
+
+    texts = [f"t{i} " + "x" * (i * 7 % 300) for i in range(400)] + ["bad one", "odd", ""]
+    asked = spark.createDataFrame([(x, s, "ja", "e" + s) for x in texts for s in ("en", "fr")], "text string, source string, target string, engine string")
+    got = {(r.text, r.source): (r.out, r.error) for r in translate.batch_translator(load, retries=2, backoff_sec=0, partitions=2, budget=4000, most=32)(asked).collect()}
+    assert len(got) == 2 * len(texts)
+    for (text, source), (out, error) in got.items():
+        want = "RuntimeError: boom" if text == "bad one" else "ValueError: 0 answers to 1 texts" if text == "odd" else None
+        assert error == want and out == (None if want else f"{source}-ja:{text}")
+    calls = [tuple(map(int, line.split())) for line in open(log)]
+    whole = [c for c in calls if c[0] > 1]
+    assert all(n <= 32 and size <= 4000 for n, size in whole)
+    assert len(whole) <= 2 * len(texts) / 8
+
+
 def test_source_language_chain(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     profiles = language.train_profiles(docs)
