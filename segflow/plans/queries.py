@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segflow import params
 from segflow.functions import text as T
@@ -487,26 +488,61 @@ _SAID = f"(src || ':' || lower({S.strip('text_src')}))"
 _AGAIN = f"({S.repeats('y', 4)} AND len(y) > 2)"
 
 
-@query(
-    f"""WITH {_F5P}, l AS (SELECT *, CASE WHEN segno % 5 = 0 THEN 'fr' WHEN video_id % 3 = 0 THEN 'de' ELSE 'en' END AS src FROM f5p),
-a AS (SELECT *, regexp_extract_all({S.strip('text_src')}, '"([^"]+)"', 1) AS q, {S.sentences('text_src')} AS z, {_PHRASES.replace('text', _SAID)} AS pu FROM l),
-b AS (SELECT *, list_transform(CASE WHEN len(q) > 0 THEN q ELSE z END, lambda x: lower({S.strip('x')})) AS y FROM a),
-c AS (SELECT *, {_PENDING} AND NOT {_AGAIN} AND length({S.strip('text_src')}) % 17 = 0 AS failed FROM b)
-SELECT video_id, segno, CASE WHEN NOT {_PENDING} OR failed THEN text_tgt WHEN {_AGAIN} THEN '（繰り返し音声）' WHEN {S.repeats('pu', 3)} THEN '翻訳エラー' ELSE {_SAID} END AS text_tgt, CASE WHEN failed THEN 'boom' END AS error FROM c"""
-)
+_M1 = f"""m_a AS (SELECT *, regexp_extract_all({S.strip('text_src')}, '"([^"]+)"', 1) AS q, {S.sentences('text_src')} AS z, {_PHRASES.replace('text', _SAID)} AS pu FROM l),
+m_b AS (SELECT *, list_transform(CASE WHEN len(q) > 0 THEN q ELSE z END, lambda x: lower({S.strip('x')})) AS y FROM m_a),
+m_c AS (SELECT *, {_PENDING} AND NOT {_AGAIN} AND length({S.strip('text_src')}) % 17 = 0 AS failed FROM m_b)
+SELECT video_id, segno, CASE WHEN NOT {_PENDING} OR failed THEN text_tgt WHEN {_AGAIN} THEN '（繰り返し音声）' WHEN {S.repeats('pu', 3)} THEN '翻訳エラー' ELSE {_SAID} END AS text_tgt, CASE WHEN failed THEN 'boom' END AS error FROM m_c"""
+
+
+@query(f"WITH {_F5P}, l AS (SELECT *, CASE WHEN segno % 5 = 0 THEN 'fr' WHEN video_id % 3 = 0 THEN 'de' ELSE 'en' END AS src FROM f5p), {_M1}")
 def m1_translate_segments(spark, d):
     """Every fifth segment and every third video has a language; each seventeenth length of a text fails."""
+    return _translated(spark, d, None)
 
+
+def _translated(spark, d, profiles):
     def translator(asked):
         bad = F.length("text") % 17 == 0
         return asked.withColumn("out", F.when(~bad, F.concat("source", F.lit(":"), F.lower("text")))).withColumn("error", F.when(bad, F.lit("boom")))
 
     s = X.translated(spark, d).withColumn("detected_lang", F.when(F.col("segno") % 5 == 0, F.lit("fr")).otherwise(F.lit("")))
     videos = s.filter("video_id % 3 = 0").select("video_id", F.lit("de").alias("video_lang")).distinct()
-    out = translate.translate_segments(s, translator, videos=videos)
+    out = translate.translate_segments(s, translator, videos=videos, profiles=profiles)
     return out.select("video_id", F.col("segno").cast("long").alias("segno"), "text_tgt", "error")
 
 
+@query(
+    f"""WITH {_F5P}, {_M3},
+sq AS (SELECT video_id, segno, {S.strip('text_src')} AS s, ' ' || lower({S.spaces('text_src')}) || ' ' AS x FROM f5p),
+sg AS (SELECT video_id, segno, substring(x, i, 3) AS gram, count(*) AS n FROM (SELECT *, unnest(range(1, length(x) - 1)) AS i FROM sq WHERE length(s) >= 3) GROUP BY 1, 2, 3),
+sgain AS (SELECT video_id, segno, p.lang, sum(sg.n * (ln((p.n + 0.5) / (total + 200.0)) - ln(0.5 / (total + 200.0)))) AS gain FROM sg JOIN p USING (gram) JOIN tot ON tot.lang = p.lang GROUP BY 1, 2, 3),
+ssz AS (SELECT video_id, segno, sum(n) AS size FROM sg GROUP BY 1, 2),
+ssc AS (SELECT video_id, segno, sgain.lang, round(gain + size * ln(0.5 / (total + 200.0)), 6) AS score FROM sgain JOIN ssz USING (video_id, segno) JOIN tot ON tot.lang = sgain.lang),
+sbest AS (SELECT video_id, segno, arg_min(lang, row(-score, lang)) AS told FROM ssc GROUP BY 1, 2),
+l AS (SELECT f5p.*, CASE WHEN segno % 5 = 0 THEN 'fr' WHEN video_id % 3 = 0 THEN 'de' ELSE coalesce(told, 'en') END AS src FROM f5p LEFT JOIN sbest USING (video_id, segno)), {_M1}"""
+)
+def m1_translate_detected(spark, d):
+    """As m1_translate_segments, but the language of a text that no label tells is detected, by profiles trained on documents."""
+    docs = X.read(spark, d, "documents").select("doc_id", "text", "lang")
+    return _translated(spark, d, stage(language.train_profiles(docs), "profiles"))
+
+
+_AT_LIMIT = f"rpad({S.strip('text')}, 1999 + CAST(doc_id % 3 AS INTEGER), 'abc. ') || 'z'"
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, {_AT_LIMIT} AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, k - 1 AS part_no, parts[k] AS part, "long" FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, length(s) > 2000 AS "long", CASE WHEN length(s) > 2000 THEN z ELSE [s] END AS parts
+  FROM (SELECT doc_id, {S.strip('text')} AS s, {S.sentences('text')} AS z FROM x)))"""
+)
+def e3_split_at_limit(spark, d):
+    """Texts of exactly 2,000, 2,001 and 2,002 characters."""
+    docs = X.read(spark, d, "documents").filter("text is not null")
+    text = F.concat(F.rpad(T.strip(F.col("text")), (F.col("doc_id") % 3 + 1999).cast("int"), F.lit("abc. ")), F.lit("z"))
+    out = translate.split_long_text(docs.select("doc_id", text.alias("text")), ["doc_id"], "text")
+    return out.select("doc_id", F.col("part_no").cast("long").alias("part_no"), "part", "long")
+
+
 @query(f"SELECT doc_id, k - 1 AS part_no, parts[k] AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM (SELECT doc_id, CASE WHEN length(s) > 2000 THEN z ELSE [s] END AS parts FROM (SELECT doc_id, {S.strip('text')} AS s, {S.sentences('text')} AS z FROM documents)))")
 def e3_split_long_text(spark, d):
     out = translate.split_long_text(X.read(spark, d, "documents"), ["doc_id"], "text")
@@ -621,6 +657,20 @@ def s1_scan_media(spark, d):
     return media.groupBy("folder").agg(F.sum("size").alias("size"))
 
 
+@query(f"WITH {S.F7} SELECT 'v' || video_id AS video_id, true AS in_order FROM media")
+def o1_media_order(spark, d):
+    """Whether each listed file comes after the one before it, by path; one file for each video."""
+    path = shared_path(spark, "media")
+    m = X.media(spark, d).select(F.concat(F.lit("v"), "video_id").alias("video_id"), "path")
+    keyed.write_documents(m.withColumnRenamed("path", "chunk"), path, ".mp4", "", "", "", [], folders=8)
+    listed = stage(io.scan_media(spark, path).select("video_id", "path", F.monotonically_increasing_id().alias("at")), "listed")
+    # places within each of the listing's partitions, and the last path of those before
+    listed = listed.withColumn("part", F.shiftright("at", 33))
+    ends = listed.groupBy("part").agg(F.max("path").alias("most")).withColumn("before", F.max("most").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
+    last = F.coalesce(F.lag("path").over(Window.partitionBy("part").orderBy("at")), "before", F.lit(""))
+    return listed.join(ends, "part").select("video_id", (F.col("path") > last).alias("in_order"))
+
+
 @query(
     f"""WITH {S.F1} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS idx, {S.rounded('start')}, round("end", 6) AS "end", {S.strip('text_src')} AS text_src,
 CASE video_id % 3 WHEN 0 THEN 'de' WHEN 1 THEN 'kl' ELSE '' END AS detected_lang FROM f1 WHERE idx % 9 <> 4 AND idx % 11 <> 5"""
@@ -635,8 +685,23 @@ def s2_whisper_json(spark, d):
 FROM f1 WHERE idx % 7 <> 3 AND idx % 8 <> 5"""
 )
 def s3_diarized_rows(spark, d):
+    _, turns = io.read_diarized(_diarized(spark, d))
+    return _r(turns.withColumn("turn_no", F.col("turn_no").cast("long")), "start", "end")
+
+
+@query(
+    f"""WITH {S.F1} SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1 AS idx, {S.rounded('start')}, round("end", 6) AS "end", {S.strip('text_src')} AS text_src, '' AS text_tgt,
+printf('SPEAKER_%02d', CASE WHEN idx % 5 = 0 THEN 0 ELSE idx % 5 END) AS speaker_id, '' AS detected_lang FROM f1 WHERE idx % 7 <> 3 AND idx % 8 <> 5"""
+)
+def s3_diarized_segments(spark, d):
+    segments, _ = io.read_diarized(_diarized(spark, d))
+    return _r(segments.withColumn("idx", F.col("idx").cast("long")), "start", "end")
+
+
+def _diarized(spark, d):
+    """Recogniser rows with remarks, missing speakers and speakers that are no numbers."""
     k = F.col("idx")
-    rows = X.segments(spark, d).select(
+    return X.segments(spark, d).select(
         "video_id",
         k.alias("pos"),
         F.when(k % 7 == 3, F.lit(" [music] ")).otherwise(F.col("text_src")).alias("text"),
@@ -644,8 +709,6 @@ def s3_diarized_rows(spark, d):
         "start",
         "end",
     )
-    _, turns = io.read_diarized(rows)
-    return _r(turns.withColumn("turn_no", F.col("turn_no").cast("long")), "start", "end")
 
 
 @query(

@@ -81,3 +81,9 @@ def test_names(spark):
     assert values(spark, ["Irodori", "voxcpm2 ", "zz"], T.normalize_tts_engine) == ["irodori", "voxcpm2", "omnivoice"]
     prompt = values(spark, [" hi "], lambda c: T.gemma_prompt(c, F.lit("fr"), F.lit("ja")))[0]
     assert prompt.startswith("<start_of_turn>user\nYou are a professional French (fr) to Japanese (ja) translator.") and prompt.endswith("Japanese:\n\n\nhi<end_of_turn>\n<start_of_turn>model\n")
+
+
+def test_control_tokens_of_both_models_go(spark):
+    d = spark.createDataFrame([("<start_of_turn>model\n Hallo <end_of_turn>\n", "<|im_start|>Hi<|im_end|> <end_of_turn>"), (None, " ")], "g string, c string")
+    got = d.select(T.clean_model_output(F.col("g"), T.GEMMA_TOKENS), T.clean_model_output(F.col("c"), T.CAT_TOKENS)).collect()
+    assert [tuple(r) for r in got] == [("model\n Hallo", "Hi <end_of_turn>"), ("", "")]

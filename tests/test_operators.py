@@ -307,6 +307,13 @@ def test_reconciled_attempts(spark):
     assert got == {1: ("b", 2, None), 2: ("b", 2, "duration")}
 
 
+def test_without_a_check_the_first_attempt_counts(spark):
+    plan = spark.createDataFrame([("v", 1, "hi", 1.0), ("v", 2, "", 1.0), ("v", 3, "x", 1.0)], "video_id string, segno int, text string, target_sec double")
+    tries = spark.createDataFrame([("v", 1, 1, "a", 9.0), ("v", 1, 2, "b", 1.0), ("v", 2, 1, "c", 1.0), ("v", 3, 1, "d", 0.0), ("v", 3, 2, "e", 1.0)], "video_id string, segno int, attempt int, flac_path string, duration_sec double")
+    got = {r.segno: (r.flac_path, r.attempts, r.quality_reason) for r in synth.reconcile(plan, tries, check=False).collect()}
+    assert got == {1: ("a", 1, None), 2: ("c", 1, None)}
+
+
 def test_ledger_entries(spark):
     docs = spark.createDataFrame([("1", {"a": "x", "b": "y"}), ("2", None)], "video_id string, steps map<string,string>")
     new = spark.createDataFrame([("1", {"b": "z", "c": "w"}), ("2", {"q": "r"})], "video_id string, entries map<string,string>")
