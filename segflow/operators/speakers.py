@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from segflow import params
 from segflow.functions import text as T
 from segflow.operators.intervals import overlapping
+from segflow.operators.scan import scan
 from segflow.operators.shape import with_segno
 
 
@@ -23,17 +24,20 @@ def overlap_totals(segments: DataFrame, turns: DataFrame) -> DataFrame:
     return met.groupBy("video_id", "idx", "speaker").agg(F.round(F.sum("shared"), 6).alias("overlap"), F.min("turn_no").alias("first_turn"))
 
 
-def assign_speakers(segments: DataFrame, turns: DataFrame) -> DataFrame:
+def assign_speakers(segments: DataFrame, turns: DataFrame, block: int | None = None) -> DataFrame:
     """Segments with the speaker whose turns overlap most (ties: met first).
 
     Without overlap the previous segment's speaker carries on; at a video's start the turn
     nearest to the segment's middle decides, and without turns the speaker is UNKNOWN.
-    idx must be unique within a video.
+    idx must be unique within a video. ``block``: speakers carry on in blocks of so many segments (see scan).
     """
     totals = overlap_totals(segments, turns)
     best = totals.groupBy("video_id", "idx").agg(F.min_by("speaker", F.struct(-F.col("overlap"), "first_turn")).alias("best"))
-    w = Window.partitionBy("video_id").orderBy("idx")
-    carried = segments.drop("speaker_id").join(best, ["video_id", "idx"], "left").withColumn("held", F.last("best", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = segments.drop("speaker_id").join(best, ["video_id", "idx"], "left")
+    if block:
+        carried = scan(found, ("idx",), block, held=("last", F.col("best")))
+    else:
+        carried = found.withColumn("held", F.last("best", True).over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     # only videos that start without an overlap need the nearest turn, and for their first segment only
     first = carried.groupBy("video_id").agg(F.min_by(F.struct("held", ((F.col("start") + F.col("end")) / 2).alias("mid")), "idx").alias("x")).filter("x.held is null").select("video_id", "x.mid")
     near = first.join(turns, "video_id").withColumn("gap", F.least(F.abs(F.col("start") - F.col("mid")), F.abs(F.col("end") - F.col("mid"))))

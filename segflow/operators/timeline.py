@@ -9,22 +9,27 @@ from pyspark.sql.window import Window
 from segflow import params
 from segflow.functions import text as T
 from segflow.functions import timing
+from segflow.operators.scan import scan
 from segflow.operators.shape import with_segno
 
 _EPS = params.EPSILON
 
 
-def accepted_segments(segments: DataFrame, durations: DataFrame) -> DataFrame:
+def accepted_segments(segments: DataFrame, durations: DataFrame, block: int | None = None) -> DataFrame:
     """Segments that a cursor sweep accepts: (video_id, segno, start, end, cursor, vd), clamped into the video.
 
     ``durations``: video_id, video_dur. The cursor is the end of what came before; segments
-    that end at or before it are dropped. A running maximum stands for the sweep.
+    that end at or before it are dropped. A running maximum stands for the sweep. ``block``: in
+    blocks of so many segments (see scan).
     """
-    s = with_segno(segments).join(durations.select("video_id", F.greatest(F.lit(0.0), "video_dur").alias("vd")), "video_id")
+    s = with_segno(segments, block).join(durations.select("video_id", F.greatest(F.lit(0.0), "video_dur").alias("vd")), "video_id")
     start = F.greatest(F.lit(0.0), F.col("start"))
     s = s.select("video_id", "segno", "vd", F.least(start, "vd").alias("start"), F.least(F.greatest(start, "end"), "vd").alias("end"))
-    before = Window.partitionBy("video_id").orderBy("segno").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("cursor", F.coalesce(F.max("end").over(before), F.lit(0.0)))
+    if block:
+        s = scan(s, ("segno",), block, cursor=("max", F.col("end")))
+    else:
+        s = s.withColumn("cursor", F.max("end").over(Window.partitionBy("video_id").orderBy("segno").rowsBetween(Window.unboundedPreceding, -1)))
+    s = s.withColumn("cursor", F.coalesce("cursor", F.lit(0.0)))
     return s.filter((F.col("cursor") < F.col("vd") - _EPS) & (F.col("end") > F.col("cursor") + _EPS))
 
 
@@ -70,8 +75,10 @@ def retimed_totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("video_id").agg(F.count("*").cast("long").alias("n_parts"), F.round(F.sum("out_duration"), 6).alias("total_out"))
 
 
-def place(parts: DataFrame) -> DataFrame:
-    """Parts with out_start: where each begins on the new timeline."""
+def place(parts: DataFrame, block: int | None = None) -> DataFrame:
+    """Parts with out_start: where each begins on the new timeline. ``block``: in blocks of so many parts (see scan)."""
+    if block:
+        return scan(parts, ("part_no",), block, out_start=("sum", F.col("out_duration")))
     before = Window.partitionBy("video_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("out_start", F.coalesce(F.sum("out_duration").over(before), F.lit(0.0)))
 

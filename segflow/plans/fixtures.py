@@ -69,6 +69,15 @@ def long_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timed(d.select("video_id", "idx", F.concat(F.lit("S"), F.pmod(F.floor(F.col("idx") / 25), F.lit(3)).cast("string")).alias("speaker_id"), "text_src"))
 
 
+def source_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 as one video for each source, of which one may be most of the corpus; idx has gaps, times go on from document to document."""
+    s = long_segments(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("")).alias("source"))
+    s = s.withColumnRenamed("video_id", "doc").join(docs, "doc")
+    late = F.col("doc") * 100_000.0
+    return s.select(F.col("source").alias("video_id"), (F.col("doc") * 100_000 + F.col("idx")).alias("idx"), (F.col("start") + late).alias("start"), (F.col("end") + late).alias("end"), "text_src", "text_tgt", "speaker_id", "detected_lang")
+
+
 def tts_meta(spark: SparkSession, sf_dir: str, base=segments) -> DataFrame:
     """durations of synthesised clips, missing for every fourth segment."""
     s = with_segno(base(spark, sf_dir)).filter("segno % 4 <> 0")

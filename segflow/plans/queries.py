@@ -242,6 +242,49 @@ def m6_render_plan(spark, d):
     return _r(plan, "trim_start", "trim_end", "speed")
 
 
+# one video for each source, in blocks (F10)
+
+_F10 = f"""{S.F3}, f10 AS (SELECT coalesce(source, '') AS video_id, video_id * 100000 + idx AS idx, start + CAST(video_id * 100000 AS DOUBLE) AS start, "end" + CAST(video_id * 100000 AS DOUBLE) AS "end", text_src, speaker_id FROM f3 JOIN documents ON doc_id = video_id)"""
+_BLOCK = 4096
+
+
+@query(f"WITH {_F10} SELECT video_id, idx, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS segno FROM f10")
+def w8_blocked_places(spark, d):
+    return shape.with_segno(X.source_segments(spark, d), _BLOCK).select("video_id", "idx", F.col("segno").cast("long").alias("segno"))
+
+
+@query(
+    f"""WITH {_F10}, n1 AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS segno FROM f10), dur AS (SELECT video_id, max("end") - 30 AS video_dur FROM f10 GROUP BY 1), {S.ACCEPTED}
+SELECT video_id, segno, {S.rounded('start')}, round("end", 6) AS "end", round(cur, 6) AS cursor FROM acc"""
+)
+def w3_blocked_cursor(spark, d):
+    s = X.source_segments(spark, d)
+    out = timeline.accepted_segments(s, s.groupBy("video_id").agg((F.max("end") - 30).alias("video_dur")), _BLOCK)
+    return _r(out.select("video_id", F.col("segno").cast("long").alias("segno"), "start", "end", "cursor"), "start", "end", "cursor")
+
+
+@query(
+    f"""WITH {_F10}, p AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS part_no, round(("end" - start) * 1000) AS out_duration FROM f10)
+SELECT video_id, part_no, CAST(coalesce(sum(out_duration) OVER (PARTITION BY video_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start FROM p"""
+)
+def w6_blocked_placement(spark, d):
+    """Durations in whole milliseconds, so that sums do not depend on their order."""
+    parts = shape.with_segno(X.source_segments(spark, d), _BLOCK).select("video_id", F.col("segno").cast("long").alias("part_no"), F.round((F.col("end") - F.col("start")) * 1000).alias("out_duration"))
+    return timeline.place(parts, _BLOCK).select("video_id", "part_no", F.col("out_start").cast("long").alias("out_start"))
+
+
+@query(
+    f"""WITH {_F10}, f2 AS (SELECT video_id, idx AS turn_no, start - 0.3 AS start, "end" - 0.2 AS "end", speaker_id AS speaker FROM f10 WHERE idx % 50 < 3), {S.OVERLAP.replace('FROM f1 s', 'FROM f10 s')},
+best AS (SELECT video_id, idx, arg_min(speaker, row(-overlap, first_turn)) AS best FROM ov GROUP BY 1, 2)
+SELECT video_id, idx, coalesce(last_value(best IGNORE NULLS) OVER (PARTITION BY video_id ORDER BY idx), 'UNKNOWN') AS speaker_id FROM f10 LEFT JOIN best USING (video_id, idx)"""
+)
+def w1_blocked_speakers(spark, d):
+    """Three of fifty segments have a turn, the first of each document among them; the others carry on across blocks."""
+    s = X.source_segments(spark, d)
+    turns = s.filter("idx % 50 < 3").select("video_id", F.col("idx").alias("turn_no"), (F.col("start") - 0.3).alias("start"), (F.col("end") - 0.2).alias("end"), F.col("speaker_id").alias("speaker"))
+    return speakers.assign_speakers(s, turns, _BLOCK).select("video_id", "idx", "speaker_id")
+
+
 # the same on awkward rows (F8)
 
 
