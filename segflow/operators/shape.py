@@ -2,8 +2,7 @@
 
 All take and return segments: video_id, idx, start, end, text_src, speaker_id,
 detected_lang. Order within a video is that of idx (ties: start, end, text). Greedy groups
-depend on all that came before, so a video's rows stream by in order, in one task; an exchange
-deals them by video.
+depend on all that came before, so a video's rows stream by in order, in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from dataclasses import dataclass
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
@@ -99,7 +98,7 @@ def _closed(g: _Group) -> _Group:
 def _folding(rules: list[_Rule], kind: pa.DataType) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, _Group]]:
         for batch in batches:
-            for video, start, end, text, speaker, lang, n, stop in zip(*(c.to_pylist() for c in batch.columns)):
+            for video, start, end, text, speaker, lang, n, stop, _ in zip(*(c.to_pylist() for c in batch.columns)):
                 yield video, _Group(start, end, n, stop, speaker, lang, [text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +123,9 @@ def _folding(rules: list[_Rule], kind: pa.DataType) -> Callable:
 def _folded(segments: DataFrame, clean: Callable[[Column], Column], rules: list[_Rule], order: tuple[str, ...] = _ORDER) -> DataFrame:
     """Segments grouped by the rules one after the other, in one pass over each video's rows in order.
 
-    One exchange deals the rows by video and sorts them; then they stream by, and only the group
-    at hand is kept, so neither a video nor an island of it is ever held as a whole.
+    A window numbers the rows, which come dealt by video and sorted by it (without an exchange, if
+    they were dealt so before); then they stream by, and only the group at hand is kept, so
+    neither a video nor an island of it is ever held as a whole.
     """
     s = segments.select(
         "video_id",
@@ -136,8 +136,8 @@ def _folded(segments: DataFrame, clean: Callable[[Column], Column], rules: list[
         T.text_or_empty(F.col("detected_lang")).alias("detected_lang"),
         *(F.col(c) for c in order if c not in ("start", "end", "text_src")),
     ).filter("text_src <> ''")
-    dealt = s.repartition("video_id").sortWithinPartitions("video_id", *order)
-    rows = dealt.select("video_id", "start", "end", "text_src", "speaker_id", "detected_lang", F.length("text_src").alias("n"), T.ends_sentence(F.col("text_src")).alias("stop"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy(*order)).alias("place")
+    rows = s.select("video_id", "start", "end", "text_src", "speaker_id", "detected_lang", F.length("text_src").alias("n"), T.ends_sentence(F.col("text_src")).alias("stop"), place)
     video_type = segments.schema["video_id"].dataType
     schema = f"video_id {video_type.simpleString()}, idx int, start double, end double, text_src string, speaker_id string, detected_lang string"
     return rows.mapInArrow(_folding(rules, to_arrow_type(video_type)), schema)
@@ -225,6 +225,20 @@ def shape(segments: DataFrame) -> DataFrame:
     return _folded(_sentences(_folded(segments, T.strip, [merge, chunk])), T.normalize_spaces, [unite], ("old", "k"))
 
 
+def observed_shape(segments: DataFrame) -> tuple[DataFrame, dict[str, Observation]]:
+    """``shape``, and the rows after each step, counted as they pass: read them (``.get["n"]``) once an action has run over the units."""
+    seen: dict[str, Observation] = {}
+
+    def counted(d: DataFrame, name: str) -> DataFrame:
+        seen[name] = Observation(name)
+        return d.observe(seen[name], F.count(F.lit(1)).alias("n"))
+
+    merged = counted(merge_segments(counted(segments, "raw")), "merged")
+    split = counted(_sentences(counted(chunk_segments(merged), "chunked")), "split")
+    units = _folded(split, T.normalize_spaces, [_unit_rule(params.UNIT_MAX_SENTENCES, params.UNIT_MAX_CHARS, params.UNIT_GAP_SEC)], ("old", "k"))
+    return counted(units, "units"), seen
+
+
 def stage_funnel(segments: DataFrame) -> DataFrame:
     """(video_id, stage, n): rows after each step of ``shape``; each step is staged, so that none runs twice."""
     merged = stage(merge_segments(segments), "merged")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from segflow.functions import timing
 from segflow.operators import language, ledger, shape, speakers, synth, timeline, translate
 from segflow.plans import fixtures as X
 from segflow.plans import sql as S
-from segflow.sources import io, keyed, ledger_log
+from segflow.sources import io, keyed, ledger_log, tables
 from segflow.sources.shared import shared_path, stage
 from segflow.streaming import resume
 
@@ -754,6 +755,23 @@ def _diarized(spark, d):
     )
 
 
+@query(f"WITH RECURSIVE {S.F1}, {S.G1} SELECT video_id, idx, text_src, (SELECT CAST(0 AS BIGINT)) AS late FROM g1")
+def o1_bucketed_merge(spark, d):
+    """Segments stored by video and order, merged without an exchange, beside the stored rows that are out of order."""
+    name = f"segments_{uuid.uuid4().hex}"
+    table = tables.save_by_video(X.segments(spark, d), name, shared_path(spark, "bucketed"), ("idx",), 8)
+    late = tables.out_of_order(table, ("idx",)).agg(F.sum("n").alias("late"))  # one row
+    return shape.merge_segments(table).select("video_id", F.col("idx").cast("long").alias("idx"), "text_src").crossJoin(F.broadcast(late))
+
+
+@query(f"WITH RECURSIVE {S.F1}, {S.G1}, {S.G2}, {S.E1}, {S.G3} SELECT stage, sum(n) AS n FROM ({_FUNNEL}) GROUP BY stage")
+def a7_observed_funnel(spark, d):
+    """Counts of all steps from one run over the units, which are written; one row a step."""
+    units, seen = shape.observed_shape(X.segments(spark, d))
+    stage(units, "units")
+    return spark.createDataFrame([(name, o.get["n"]) for name, o in seen.items()], "stage string, n bigint")
+
+
 @query(
     f"""WITH {S.F1} SELECT CAST(video_id AS VARCHAR) AS video_id, idx, {S.rounded('start')}, round("end", 6) AS "end", text_src, CASE WHEN idx % 2 = 0 THEN '' ELSE 't' || idx END AS text_tgt, speaker_id FROM f1"""
 )

@@ -4,9 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from segflow import params
-from segflow.operators import language, ledger, shape, speakers, synth, timeline, translate
+from segflow.operators import language, ledger, scan, shape, speakers, synth, timeline, translate
 
 SEGMENTS = "video_id int, idx int, start double, end double, text_src string, speaker_id string, detected_lang string"
 
@@ -113,6 +114,37 @@ def test_a_long_island_streams_by(spark):
     assert [tuple(r) for r in got] == loop(loose, "merge")
 
 
+def test_steps_are_counted_as_they_pass(spark):
+    segs = spark.createDataFrame(videos(5), SEGMENTS)
+    units, seen = shape.observed_shape(segs)
+    want = {r.stage: r.n for r in shape.stage_funnel(segs).groupBy("stage").agg(F.sum("n").alias("n")).collect()}
+    assert sorted(map(tuple, units.collect())) == sorted(map(tuple, shape.shape(segs).collect()))
+    assert {name: o.get["n"] for name, o in seen.items()} == want
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_running_values_in_blocks(spark, block):
+    r = random.Random(block)
+    rows = [(v, None if r.random() < 0.03 else r.randint(-20, 40), k, r.choice([None, float(r.randint(-9, 9))])) for v in (1, 2, None) for k in range(60)]
+    d = spark.createDataFrame(rows, "video_id int, idx int, k int, x double")
+    got = scan.scan(d, ("idx", "k"), block, place=("count", F.lit(1)), total=("sum", F.col("x")), most=("max", F.col("x")), held=("last", F.col("x")))
+    w = Window.partitionBy("video_id").orderBy("idx", "k")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = d.select("*", F.row_number().over(w).alias("place"), F.coalesce(F.sum("x").over(before), F.lit(0.0)).alias("total"), F.max("x").over(before).alias("most"), F.last("x", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("held"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_operators_in_blocks_equal_those_by_video(spark):
+    segs = spark.createDataFrame(videos(9), SEGMENTS)
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    turns = segs.filter("idx % 6 = 2").selectExpr("video_id", "idx as turn_no", "start", "end", "speaker_id as speaker")
+    assert same(speakers.assign_speakers(segs, turns, 4), speakers.assign_speakers(segs, turns))
+    assert same(shape.with_segno(segs, 4), shape.with_segno(segs))
+    assert same(shape.renumber(segs, "idx", "start", "end", block=4), shape.renumber(segs, "idx", "start", "end"))
+    long = segs.groupBy("video_id").agg(F.max("end").alias("video_dur"))
+    assert same(timeline.accepted_segments(segs, long, 4), timeline.accepted_segments(segs, long))
+
+
 def test_folds_of_times_that_are_missing(spark):
     rows = [(1, 0, None, 1.0, "a", "A", ""), (1, 1, 1.0, float("nan"), "b", "A", "en"), (1, 2, 1.0, 1.5, "c", "A", ""), (1, 3, 1.6, 2.0, "d", None, None), (1, 4, 2.1, 2.2, "e", "", "fr"), (None, 0, 0.0, 1.0, "x", "A", ""), (None, 1, 1.0, 2.0, "y", "A", "de")]
     got = {(r.video_id, r.idx): (r.text_src, r.detected_lang) for r in shape.merge_segments(spark.createDataFrame(rows, SEGMENTS)).collect()}

@@ -8,9 +8,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from segflow.operators import ledger
+from segflow.operators import ledger, shape
 from segflow.plans import queries
-from segflow.sources import io, keyed, ledger_log
+from segflow.sources import io, keyed, ledger_log, tables
 from segflow.streaming import resume
 
 
@@ -244,3 +244,18 @@ def test_a_run_knows_its_videos_without_the_ledger(spark, tmp_path):
     # two states of a video at once: the newest counts
     assert run(("d", 3, "old"), ("d", 5, "new"), ("d", 5, "er"), ("c", 1, "v")) == [("d", "ernew")]
     assert run(("d", 5, "again"), ("d", 3, "older")) == [("d", "older")]
+
+
+def test_tables_by_video_need_no_exchange(spark, tmp_path):
+    rows = [(f"v{i % 7}", (i * 31) % 50, float(i), i + 0.5, "word", "", "S", "") for i in range(350)]
+    table = tables.save_by_video(spark.createDataFrame(rows, SEGMENTS), "by_video", str(tmp_path / "t"), ("idx",), 4)
+    try:
+        assert sorted(map(tuple, table.collect())) == sorted(rows)
+        assert len(list((tmp_path / "t").glob("part-*"))) <= 4
+        assert {r.n for r in tables.out_of_order(table, ("idx",)).collect()} == {0}
+        assert any(r.n for r in tables.out_of_order(table, ("text_tgt", "start")).collect())
+        for d in (shape.merge_segments(table), shape.with_segno(table), table.groupBy("video_id").count(), table.join(table.select("video_id", F.col("idx").alias("j")).hint("merge"), "video_id")):
+            assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in shape.with_segno(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        tables.drop(spark, "by_video")
