@@ -24,24 +24,25 @@ def _own_level(lo: str, hi: str, bin_sec: float, factor: int) -> Column:
     return F.when(far, _levels(bin_sec, factor)).otherwise(level)
 
 
-def _spread(d: DataFrame, lo: str, hi: str, used: list[int], home_meets: bool, bin_sec: float, factor: int) -> DataFrame:
-    """Rows by (level, bin, role): an interval is at home at its own level, and calls at each higher one.
+def _spread(d: DataFrame, lo: str, hi: str, used: Column, home_meets: bool, bin_sec: float, factor: int) -> DataFrame:
+    """Rows by (level, bin, role): an interval is at home at its own level, and calls at each higher one in use (a bit of ``used``).
 
     Role 0 is where ``a`` is at home and meets all of ``b``, role 1 where ``a`` calls and meets
     only those of ``b`` that are at home, so that callers never meet each other.
     """
     top = _levels(bin_sec, factor)
+    width = F.array(*(F.lit(float(bin_sec * factor**k)) for k in range(top)))
+    at = lambda c, k: F.when(k < top, F.floor(F.col(c) / F.get(width, k))).otherwise(0)
 
-    def bins(level: int) -> Column:
-        at = lambda c: F.floor(F.col(c) / (bin_sec * factor**level)) if level < top else F.lit(0).cast("long")
-        home = F.col("__own") == level
+    def bins(level: Column) -> Column:
+        home = level == F.col("__own")
         roles = F.when(home, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))) if home_meets else F.array(F.when(home, 0).otherwise(1))
-        item = lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin"), at(lo).alias("first"), roles.alias("roles"))
-        return F.when(F.col("__own") <= level, F.transform(F.sequence(at(lo), at(hi)), item))
+        each = lambda role: F.transform(F.sequence(at(lo, level), at(hi, level)), lambda b: F.struct(level.alias("level"), b.alias("bin"), at(lo, level).alias("first"), role.alias("role")))
+        return F.flatten(F.transform(roles, each))
 
-    each = [F.coalesce(bins(level), F.array().cast("array<struct<level: int, bin: bigint, first: bigint, roles: array<int>>>")) for level in used]
-    rows = d.withColumn("__at", F.explode(F.flatten(F.array(*each)))).drop("__own")
-    return rows.withColumn("__role", F.explode("__at.roles")).withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin"), "__first": F.col("__at.first")}).drop("__at")
+    higher = F.filter(F.sequence(F.col("__own"), F.lit(top)), lambda k: F.call_function("shiftright", F.col("__used"), k).bitwiseAND(F.lit(1)) == 1)
+    rows = d.withColumn("__used", used).withColumn("__at", F.explode(F.flatten(F.transform(higher, bins)))).drop("__own", "__used")
+    return rows.withColumns({f"__{x}": F.col(f"__at.{x}") for x in ("role", "level", "bin", "first")}).drop("__at")
 
 
 def overlapping(a: DataFrame, b: DataFrame, bin_sec: float = BIN_SEC, factor: int = FACTOR) -> DataFrame:
@@ -51,13 +52,12 @@ def overlapping(a: DataFrame, b: DataFrame, bin_sec: float = BIN_SEC, factor: in
     wide as the one before. An interval is at home at the level that fits its length, where it
     touches two bins at most, and calls at the higher levels; a pair meets at the higher home of
     the two. So an interval of any length is a few rows: two for each level that is in use,
-    which one pass over both sides finds out (a number of bits to the driver). Intervals that
-    are empty, reversed, null or NaN at an end meet nothing; infinite ends are as good as others.
+    which a subquery over both sides finds out. Intervals that are empty, reversed, null or NaN
+    at an end meet nothing; infinite ends are as good as others.
     """
     fit = lambda d, lo, hi: d.filter(~F.isnan(lo) & ~F.isnan(hi) & (F.col(hi) > F.col(lo))).withColumn("__own", _own_level(lo, hi, bin_sec, factor))
     left, right = fit(a, "a0", "a1"), fit(b, "b0", "b1")
-    bits = left.select("__own").unionAll(right.select("__own")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__own")))).first()[0] or 1
-    used = [k for k in range(_levels(bin_sec, factor) + 1) if bits >> k & 1]
+    used = left.select("__own").unionAll(right.select("__own")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__own")))).scalar()
     left = _spread(left, "a0", "a1", used, False, bin_sec, factor)
     right = _spread(right, "b0", "b1", used, True, bin_sec, factor)
     names = {c: f"__b{c}" for c in ("video_id", "__role", "__level", "__bin", "__first")}

@@ -49,8 +49,8 @@ def test_one_endless_segment_beside_a_thousand_videos(spark):
     left, right = spark.createDataFrame(a, A), spark.createDataFrame(b, B)
     assert sorted((x.i, x.j) for x in intervals.overlapping(left, right).collect()) == brute(a, b)
     own = left.withColumn("__own", intervals._own_level("a0", "a1", 60.0, 8))
-    used = sorted(x[0] for x in own.select("__own").distinct().collect())
-    assert intervals._spread(own, "a0", "a1", used, False, 60.0, 8).count() <= 2 * len(used) * len(a)
+    used = [x[0] for x in own.select("__own").distinct().collect()]
+    assert intervals._spread(own, "a0", "a1", F.lit(sum(1 << k for k in used)), False, 60.0, 8).count() <= 2 * len(used) * len(a)
 
 
 def test_speakers_and_references_of_endless_segments(spark):
