@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from segflow.functions import text as T
 
-#: Rows whose trigrams a task holds at once.
-ROWS = 512
+#: Rows whose trigrams a task holds at once; rows of all profiles that go with a function (some 250 languages).
+ROWS, PROFILE_ROWS = 512, 100_000
 
 
 def _padded(text: str) -> str:
@@ -66,7 +66,7 @@ def train_profiles(labelled: DataFrame, most: int = 400) -> DataFrame:
     counts = texts.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= most)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = top.join(F.broadcast(total), "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * most)).alias("logp"))
+    kept = top.join(total, "lang").select("lang", "gram", F.log((F.col("n") + 0.5) / (F.col("total") + 0.5 * most)).alias("logp"))
     floor = total.select("lang", F.lit("").alias("gram"), F.log(F.lit(0.5) / (F.col("total") + 0.5 * most)).alias("logp"))
     return kept.unionByName(floor)
 
@@ -75,9 +75,12 @@ def detected_language(c: Column, profiles: DataFrame) -> Column:
     """The language whose trigram profile makes the text likeliest (ties: the first by name); '' under 3 characters or without a known trigram.
 
     The profiles, some hundred rows for each language, come to the driver and go with the
-    function; a text is scored in its own row, without a shuffle.
+    function; a text is scored in its own row, without a shuffle. Profiles of over PROFILE_ROWS
+    rows are an error: so many languages are labels gone wrong.
     """
-    rows = profiles.collect()
+    rows = profiles.limit(PROFILE_ROWS + 1).collect()
+    if len(rows) > PROFILE_ROWS:
+        raise ValueError(f"language profiles of over {PROFILE_ROWS} rows; are the labels languages?")
     floors = {r.lang: r.logp for r in rows if not r.gram}
     langs = sorted(floors)
     grams = sorted({_key(r.gram) for r in rows if r.gram})

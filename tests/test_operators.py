@@ -242,6 +242,14 @@ def test_language_detection_on_labelled_documents(spark):
     assert {r.detected for r in language.detect_language(short, language.train_profiles(train), "doc_id").collect()} == {""}
 
 
+def test_labels_that_are_no_languages_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"text number {i}", f"l{i}") for i in range(40)], "text string, lang string")
+    profiles = language.train_profiles(docs)
+    monkeypatch.setattr(language, "PROFILE_ROWS", profiles.count() - 1)
+    with pytest.raises(ValueError, match="labels"):
+        language.detected_language(F.col("text"), profiles)
+
+
 def test_translation_states(spark):
     long = "Say it. " * 3 + "End. " * 500
     rows = [(1, 1, "hello", "", "en"), (1, 2, "hello", "done", "en"), (1, 3, "hello", params.ERROR_MARK, "en"), (1, 4, "x. X. x. x.", "", "en"), (1, 5, "make glitch", "", ""), (1, 6, " ", "", "en"), (1, 7, "One two. " + "Word goes on. Other words. " * 100, "", "en")]
