@@ -38,7 +38,8 @@ def expand_replies(conversations: DataFrame) -> DataFrame:
     ends with the header of the reply's turn. The example without loss has a null reply and
     mask. Input columns: conv_id, turn, role, text; others are ignored. Null role or text:
     empty. Turns are ordered by turn (nulls first), then role and text; repeated rows stay.
-    A null conv_id is a conversation of its own. Only the role ``assistant`` is trained on.
+    All rows with a null conv_id are one conversation; like any other it is held in one row, so
+    give such rows ids first where they are many. Only the role ``assistant`` is trained on.
     """
     c = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),

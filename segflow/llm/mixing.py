@@ -116,7 +116,7 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     budget that no weights could keep within it is a ValueError).
     ``budget``: tokens of the mixture, by default those of the input. With a mixture already
     past the target the exponent is 1, and every copy count is 1. A source misses its quota by
-    less than one document. Null source: the source ''. Rows without words (null or empty
+    less than one document, or by less than the rows that share an id (null ones count as one) do together. Null source: the source ''. Rows without words (null or empty
     text) take no budget: they keep one copy. Rows that share an id share their fate.
     """
     if (target_entropy is None) == (max_repetition is None):

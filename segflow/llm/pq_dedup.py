@@ -90,12 +90,12 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float | None) -> Callable:
+def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float | None, kind: str) -> Callable:
     gaps = {dim: np.sqrt(squared(q.centres, q.centres)) for dim, q in fitted.items()}
 
     def visits(part: pa.RecordBatch, dim: int) -> pa.RecordBatch:
         q, border = fitted[dim], 1e-9 + (radius if deviations is None else min(radius, deviations * radius / math.sqrt(dim)))
-        x = _unit(np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(len(part), dim))
+        x = _unit(np.frombuffer(b"".join(part.column(1).to_pylist()), kind).astype(np.float64).reshape(len(part), dim))
         home, d = q.nearest(x)
         codes, error = q.encode(x - q.centres[home])
         own = d[np.arange(len(x)), home]
@@ -135,14 +135,14 @@ def _visit(fitted: dict[int, Quantiser], radius: float, deviations: float | None
     return run
 
 
-def _match(fitted: dict[int, Quantiser], threshold: float, radius: float) -> Callable:
+def _match(fitted: dict[int, Quantiser], threshold: float, radius: float, kind: str) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         q = fitted[table.column("dim")[0].as_py()]
         ids = table.column("vec_id").to_numpy()
         copies = table.column("copies").to_numpy()
         side = table.column("side").to_numpy()
-        x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
+        x = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), kind).astype(np.float64).reshape(len(ids), -1))
         members = np.flatnonzero(side == 0)
         visitors = np.flatnonzero(side != 0)
         cell = table.column("list")[0].as_py()
@@ -213,12 +213,15 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
         fitted[dim] = fit(_unit(own) if len(own) else np.zeros((1, dim)), max(1, min(MAX_LISTS, int(alike) // PER_LIST)))
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
 
+    # vectors of floats travel as such; all arithmetic is in doubles
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.set_column(1, "vector", pa.array([np.array(x, np.float64).tobytes() for x in batch.column(1).to_pylist()], pa.binary()))
+            yield batch.set_column(1, "vector", pa.array([np.array(x, kind).tobytes() for x in batch.column(1).to_pylist()], pa.binary()))
 
     packed = one.select("vec_id", "e", "label", "dim", "copies").mapInArrow(to_bytes, "vec_id long, vector binary, label string, dim int, copies long")
-    visits = stage(packed.mapInArrow(lean(_visit(fitted, radius, deviations)), _VISITS), "visits")
+    visits = stage(packed.mapInArrow(lean(_visit(fitted, radius, deviations, kind)), _VISITS), "visits")
     # chunks of members x chunks of visitors; members also visit their own list
     chunks = lambda k: F.greatest(F.lit(1), F.ceil(k / CHUNK)).cast("int")
     sizes_ = stage(visits.groupBy("label", "dim", "list").agg(chunks(F.sum((F.col("side") == 0).cast("int"))).alias("n_met"), chunks(F.count("*")).alias("n_own")), "sizes")
@@ -228,7 +231,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, deviatio
     fields = ["vec_id", "copies", "vector", "code", "error"]
     as_member = placed.filter("side = 0").select("label", "dim", "list", dealt("n_met").alias("met"), every("n_own").alias("own"), F.lit(0).alias("side"), *fields)
     as_visitor = placed.select("label", "dim", "list", every("n_met").alias("met"), dealt("n_own").alias("own"), F.when(F.col("side") == 0, 2).otherwise(1).alias("side"), *fields)
-    found = stage(as_member.unionByName(as_visitor).groupBy("label", "dim", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius), "vec_id long, n long, root long"), "matches")
+    found = stage(as_member.unionByName(as_visitor).groupBy("label", "dim", "list", "met", "own").applyInArrow(_match(fitted, threshold, radius, kind), "vec_id long, n long, root long"), "matches")
     discard(visits, sizes_)
     counts_ = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     comps = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
