@@ -246,7 +246,7 @@ WITH v AS (
 ), p AS (
   SELECT anchor_id, id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
 )
-SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
 WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) QUALIFY rank <= 5""",
     "op10_bayes_minhash": r"""
