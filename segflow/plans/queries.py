@@ -764,7 +764,7 @@ def o1_bucketed_merge(spark, d):
     return shape.merge_segments(table).select("video_id", F.col("idx").cast("long").alias("idx"), "text_src").crossJoin(F.broadcast(late))
 
 
-@query(f"WITH RECURSIVE {S.F1}, {S.G1}, {S.G2}, {S.E1}, {S.G3} SELECT stage, sum(n) AS n FROM ({_FUNNEL}) GROUP BY stage")
+@query(f"WITH RECURSIVE {S.F1}, {S.G1}, {S.G2}, {S.E1}, {S.G3} SELECT stage, CAST(sum(n) AS BIGINT) AS n FROM ({_FUNNEL}) GROUP BY stage")
 def a7_observed_funnel(spark, d):
     """Counts of all steps from one run over the units, which are written; one row a step."""
     units, seen = shape.observed_shape(X.segments(spark, d))
