@@ -259,7 +259,7 @@ def w8_blocked_places(spark, d):
 SELECT video_id, segno, {S.rounded('start')}, round("end", 6) AS "end", round(cur, 6) AS cursor FROM acc"""
 )
 def w3_blocked_cursor(spark, d):
-    s = X.source_segments(spark, d)
+    s = stage(X.source_segments(spark, d), "by_source")
     out = timeline.accepted_segments(s, s.groupBy("video_id").agg((F.max("end") - 30).alias("video_dur")), _BLOCK)
     return _r(out.select("video_id", F.col("segno").cast("long").alias("segno"), "start", "end", "cursor"), "start", "end", "cursor")
 
@@ -281,7 +281,7 @@ SELECT video_id, idx, coalesce(last_value(best IGNORE NULLS) OVER (PARTITION BY
 )
 def w1_blocked_speakers(spark, d):
     """Three of fifty segments have a turn, the first of each document among them; the others carry on across blocks."""
-    s = X.source_segments(spark, d)
+    s = stage(X.source_segments(spark, d), "by_source")
     turns = s.filter("idx % 50 < 3").select("video_id", F.col("idx").alias("turn_no"), (F.col("start") - 0.3).alias("start"), (F.col("end") - 0.2).alias("end"), F.col("speaker_id").alias("speaker"))
     return speakers.assign_speakers(s, turns, _BLOCK).select("video_id", "idx", "speaker_id")
 
