@@ -11,8 +11,9 @@
 
 First each member of a band bucket is held against the bucket's smallest one, which joins
 most of a group in a number of pairs linear in its size. Then every pair of a bucket that is
-not yet connected is compared, without leaving any out, in tiles that hold the full sets:
-only links between components leave a tile, for links inside one cannot change it.
+not yet connected is compared, without leaving any out, in tiles: by signatures first, then by
+full sets, which go only to the tile pairs where they have a likely partner. Only links
+between components leave a tile, for links inside one cannot change it.
 """
 
 from __future__ import annotations
@@ -161,6 +162,39 @@ def _stars(least: np.ndarray) -> Callable:
     return run
 
 
+#: One tile, or two, of a bucket.
+PAIR = ["band", "bucket", "t1", "t2"]
+_LIKELY = "band int, bucket long, t1 int, t2 int, side int, rep long, component long, sig binary"
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Sides, ids, components and signatures of a tile pair's rows, and the places of those that look for partners and of those they look among."""
+    side, ids, comps = (table.column(c).to_numpy() for c in ("side", "rep", "component"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+    return side, ids, comps, sig, np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _candidates(i: int, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, sig: np.ndarray, second: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places in ``second`` of other components that member i is to be compared with and that no batch of the signatures prunes."""
+    js = second[(comps[second] != comps[i]) & ((ids[second] > ids[i]) | (side[i] == 0))]
+    return js[likely_pairs(sig, sig, np.full(len(js), i), js, least)]
+
+
+def _partners(least: np.ndarray) -> Callable:
+    """The rows of one tile pair that have a likely partner there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, ids, comps, sig, first, second = _members(table)
+        found = np.zeros(len(ids), bool)
+        for i in first.tolist():
+            js = _candidates(i, side, ids, comps, sig, second, least)
+            found[js] = True
+            found[i] |= len(js) > 0
+        return table.select([x.split()[0] for x in _LIKELY.split(", ")]).filter(pa.array(found))
+
+    return run
+
+
 def _tiles(least: np.ndarray, percent: int) -> Callable:
     """Links within one tile, or between two tiles, of a bucket: pairs in different components that no batch prunes, verified on their full sets.
 
@@ -169,9 +203,7 @@ def _tiles(least: np.ndarray, percent: int) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        side = table.column("side").to_numpy()
-        ids, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        side, ids, comps, sig, first, second = _members(table)
         own = [np.frombuffer(x, U) for x in table.column("shingles").to_pylist()]
         del table
         sizes = np.array([len(x) for x in own])
@@ -179,11 +211,9 @@ def _tiles(least: np.ndarray, percent: int) -> Callable:
         distinct, tokens = np.unique(np.concatenate(own), return_inverse=True)
         del own
         mark = np.zeros(len(distinct), bool)
-        first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in first.tolist():  # one set against the other tile at a time: memory stays small
-            js = second[(comps[second] != comps[i]) & ((ids[second] > ids[i]) | (side[i] == 0))]
-            js = js[likely_pairs(sig, sig, np.full(len(js), i), js, least)]
+            js = _candidates(i, side, ids, comps, sig, second, least)
             if not len(js):
                 continue
             mine = tokens[at[i] : at[i] + sizes[i]]
@@ -300,22 +330,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     placed = members.join(comps, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     placed = stage(placed, "placed")
     open_ = stage(placed.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("band", "bucket", F.ceil(F.col("n") / TILE).cast("int").alias("n_tiles")), "open")
-    rest = placed.join(open_, ["band", "bucket"]).select("band", "bucket", "rep", "component", "n_tiles", F.expr("cast(pmod(xxhash64(rep), n_tiles) as int)").alias("tile"))
-    rest = stage(rest, "rest")
-    rest = rest.join(sigs, "rep").join(full_sets(rest.select(F.col("rep").alias("id")), texts, size), "rep")
-    dealt = rest.select("band", "bucket", "rep", "component", "sig", "shingles", "tile", F.explode(F.expr("sequence(0, n_tiles - 1)")).alias("met")).select(
-        "band",
-        "bucket",
-        F.least("tile", "met").alias("t1"),
-        F.greatest("tile", "met").alias("t2"),
-        F.expr("case when tile < met then 0 when tile > met then 1 else 2 end").alias("side"),
-        "rep",
-        "component",
-        "sig",
-        "shingles",
-    )
-    more = stage(dealt.groupBy("band", "bucket", "t1", "t2").applyInArrow(_tiles(least, percent), "u long, v long"), "links")
-    if more.limit(1).count():
+    more = None
+    if open_.limit(1).count():
+        rest = stage(placed.join(open_, ["band", "bucket"]).select("band", "bucket", "rep", "component", "n_tiles", F.expr("cast(pmod(xxhash64(rep), n_tiles) as int)").alias("tile")), "rest")
+        met = rest.join(sigs, "rep").select("*", F.explode(F.expr("sequence(0, n_tiles - 1)")).alias("met"))
+        sides = F.expr("case when tile < met then 0 when tile > met then 1 else 2 end").alias("side")
+        dealt = met.select("band", "bucket", F.least("tile", "met").alias("t1"), F.greatest("tile", "met").alias("t2"), sides, "rep", "component", "sig")
+        # signatures alone meet everywhere; sets follow only into the tile pairs where they have a likely partner
+        likely = stage(dealt.groupBy(*PAIR).applyInArrow(_partners(least), _LIKELY), "likely")
+        if likely.limit(1).count():
+            sets = full_sets(likely.select(F.col("rep").alias("id")), texts, size)
+            more = stage(likely.join(sets, "rep").groupBy(*PAIR).applyInArrow(_tiles(least, percent), "u long, v long"), "links")
+    if more is not None and more.limit(1).count():
         comps = stage(connected_components(links.unionByName(more)), "components")
 
     named = stage(classes.join(comps, F.col("rep") == F.col("node"), "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id")), "named")

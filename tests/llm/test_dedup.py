@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -174,6 +175,17 @@ def test_near_copies_in_small_tiles(spark, monkeypatch):
     assert Counter(map(tuple, got)) == brute_near(rows, 85)
 
 
+def test_sets_go_only_where_signatures_have_a_partner():
+    least = minhash_dedup.least_matches(0.85, 1e-9, 120)
+    r = np.random.default_rng(3)
+    sigs = r.integers(0, 1 << 32, (40, 120), dtype=np.uint32)
+    sigs[7, :110], sigs[21, :110] = sigs[3, :110], sigs[20, :110]
+    comps = [20 if k == 21 else k for k in range(40)]  # 20 and 21 are connected already
+    row = lambda k: {"band": 0, "bucket": 1, "t1": 0, "t2": 0, "side": 2, "rep": k, "component": comps[k], "sig": sigs[k].tobytes()}
+    got = minhash_dedup._partners(least)(pa.Table.from_pylist([row(k) for k in range(40)]))
+    assert sorted(got.column("rep").to_pylist()) == [3, 7]
+
+
 def test_near_copies_awkward_rows(spark):
     text = "a b c d e f g h"
     rows = [(5, text), (5, text), (3, text.upper()), (8, None), (9, ""), (None, text), (1, "one two"), (2, "ONE\ntwo"), (7, "one two three")]
