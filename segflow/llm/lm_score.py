@@ -14,7 +14,8 @@ Each sums to 1 over the vocabulary and the unseen word, for every v.
 No task holds a model. Texts are cut into batches; a batch sends its distinct words and
 bigrams once, with their counts, packed by hash bucket. A bucket sums them over both corpora
 and tells each batch the counts of what it sent, in the order sent; with them the batch
-scores its documents. A frequent word or bigram is thus one entry for each batch.
+scores its documents. A bucket with a word or bigram that nearly every batch sends is summed
+in parts first, whose sums are then added up and told part by part.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ from segflow.llm.wordhash import U, lean, mix, release, text_batches, words_of
 
 #: Bytes of text whose n-grams are packed together, and whose n-grams share a bucket; they bound the memory of a task.
 BATCH_BYTES, BUCKET_BYTES = 3 << 20, 4 << 20
+#: Bytes of entries, each with ENTRY_BYTES beside its hashes, that a task sums at once; a bucket with more of them is hot.
+HOT_BYTES, ENTRY_BYTES = 64 << 20, 64
+#: Hot buckets (12 bytes each) up to which their list is broadcast.
+BROADCAST_BUCKETS = 1_000_000
 #: Share of the bigram estimate where the previous word has successors; pseudo-count of each vocabulary word.
 BIGRAM, PSEUDO = 0.7, 0.5
 #: What the texts of a batch are: part of a corpus, or only to be scored.
@@ -126,46 +131,148 @@ def _pack(corpus: int, n_buckets: int) -> Callable:
 
 _SENT = "bucket long, kind int, corpus int, origin long, hashes binary, counts binary, ends binary"
 #: Counts in either corpus and, of words, how many of them have a successor; a row without origin holds the bucket's words and tokens.
-_TOLD = "origin long, kind int, bucket long, in_target binary, in_background binary, before_target binary, before_background binary, n_words long, target long, background long"
-_NAMES = [x.split()[0] for x in _TOLD.split(", ")]
+_SUMS = ["in_target", "in_background", "before_target", "before_background"]
+_STATS = ["n_words", "target", "background"]
+_TOLD = "origin long, kind int, bucket long, " + ", ".join([f"{x} binary" for x in _SUMS] + [f"{x} long" for x in _STATS])
+_TOTALS = "bucket long, kind int, hashes binary, " + ", ".join([f"{x} binary" for x in _SUMS] + [f"{x} long" for x in _STATS])
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _of(table: pa.Table, column: str, value: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column(column), value))
+
+
+def _read(own: pa.Table, column: str, dtype: type, rising: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(_values(x, dtype, rising) for x in own.column(column).to_pylist())])
+
+
+def _sizes(own: pa.Table) -> np.ndarray:
+    return pa.compute.binary_length(own.column("hashes")).to_numpy() // 8
+
+
+def _sum(hashes: np.ndarray, columns: Iterator[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct hashes, ascending, and the sums of their values in each column."""
+    values, place = np.unique(hashes, return_inverse=True)
+    return values, [np.bincount(place, x, len(values)).astype(np.int64) for x in columns]
+
+
+def _sum_sent(own: pa.Table, kind: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums (the first columns of _SUMS, two for bigrams) of the entries of one kind that batches sent."""
+    side = np.repeat(own.column("corpus").to_numpy(), _sizes(own))
+    n = _read(own, "counts", np.int32).astype(np.float64)
+
+    def columns() -> Iterator[np.ndarray]:
+        yield from (n * (side == of) for of in (TARGET, BACKGROUND))
+        if kind == 0:
+            before = n - _read(own, "ends", np.int32)
+            yield from (before * (side == of) for of in (TARGET, BACKGROUND))
+
+    return _sum(_read(own, "hashes", U, True), columns())
+
+
+def _stats(words: list[np.ndarray]) -> list[int]:
+    """Words that either corpus holds, and the tokens of each."""
+    return [int(((words[0] > 0) | (words[1] > 0)).sum()), int(words[0].sum()), int(words[1].sum())]
+
+
+def _tell(own: pa.Table, bucket: int, kind: int, values: np.ndarray, sums: list[np.ndarray]) -> pa.Table:
+    """For each entry the counts of what it sent, in the order sent."""
+    place = np.searchsorted(values, _read(own, "hashes", U, True))
+    cuts = np.cumsum([0, *_sizes(own)])
+    k = len(own)
+    counts = [pa.array([_planes(x[place[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in sums] + [pa.array([b""] * k, pa.binary())] * (len(_SUMS) - len(sums))
+    none = [pa.array(np.zeros(k, np.int64))] * len(_STATS)
+    return pa.Table.from_arrays([own.column("origin").combine_chunks(), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *none], names=_names(_TOLD))
 
 
 def _sum_bucket(asking: int) -> Callable:
     """Of one bucket: for each batch of ``asking`` the counts of what it sent."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, out = table.column("bucket")[0].as_py(), []
-        stats = np.zeros(3, np.int64)
+        bucket, out, stats = table.column("bucket")[0].as_py(), [], [0, 0, 0]
         for kind in (0, 1):
-            own = table.filter(pa.compute.equal(table.column("kind"), kind))
+            own = _of(table, "kind", kind)
             if not len(own):
                 continue
-            read = lambda c, t, rising=False: np.concatenate([_values(x, t, rising) for x in own.column(c).to_pylist()])
-            sizes = pa.compute.binary_length(own.column("hashes")).to_numpy() // 8
-            n, corpus = read("counts", np.int32).astype(np.float64), own.column("corpus").to_numpy()
-            side = np.repeat(corpus, sizes)
-            values, place = np.unique(read("hashes", U, True), return_inverse=True)
-            add = lambda x, of: np.bincount(place, x * (side == of), len(values)).astype(np.int64)
-            sums = [add(n, TARGET), add(n, BACKGROUND)]
+            values, sums = _sum_sent(own, kind)
             if kind == 0:
-                stats[:] = [((sums[0] > 0) | (sums[1] > 0)).sum(), sums[0].sum(), sums[1].sum()]
-                n -= read("ends", np.int32)
-                sums += [add(n, TARGET), add(n, BACKGROUND)]
-            told = place[side == asking]
-            cuts = np.cumsum([0, *sizes[corpus == asking]])
-            k = len(cuts) - 1
-            none = [pa.array(np.zeros(k, np.int64))] * 3
-            counts = [pa.array([_planes(x[told[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in sums] + [pa.array([b""] * k, pa.binary())] * (4 - len(sums))
-            out.append(pa.Table.from_arrays([pa.array(own.column("origin").to_numpy()[corpus == asking]), pa.array(np.full(k, kind, np.int32)), pa.array(np.full(k, bucket, np.int64)), *counts, *none], names=_NAMES))
-            del n, side, values, place, sums, told
+                stats = _stats(sums)
+            out.append(_tell(_of(own, "corpus", asking), bucket, kind, values, sums))
+            del values, sums
             release()
-        empty = [pa.array([b""], pa.binary())] * 4
-        out.append(pa.Table.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket]), *empty, *(pa.array([x]) for x in stats.tolist())], names=_NAMES))
+        empty = [pa.array([b""], pa.binary())] * len(_SUMS)
+        out.append(pa.Table.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket]), *empty, *(pa.array([x]) for x in stats)], names=_names(_TOLD)))
         return pa.concat_tables(out)
 
     return run
 
 
+def _total(sent: bool) -> Callable:
+    """Sums of a hot bucket, one row for each kind: of a part of its entries (``sent``), or of the sums of its parts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, out = table.column("bucket")[0].as_py(), []
+        for kind in (0, 1):
+            own = _of(table, "kind", kind)
+            if not len(own):
+                continue
+            columns = _SUMS if kind == 0 else _SUMS[:2]
+            values, sums = _sum_sent(own, kind) if sent else _sum(_read(own, "hashes", U, True), (_read(own, c, np.int64) for c in columns))
+            packed = [_planes(x) for x in sums] + [b""] * (len(_SUMS) - len(sums))
+            out.append((bucket, kind, _planes(values, True), *packed, *(_stats(sums) if kind == 0 else [0, 0, 0])))
+        types = [pa.int64(), pa.int32()] + [pa.binary()] * (1 + len(_SUMS)) + [pa.int64()] * len(_STATS)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=_names(_TOTALS))
+
+    return run
+
+
+def _tell_part(entries: pa.Table, totals: pa.Table) -> pa.Table:
+    """What the entries of a part of a hot bucket are told."""
+    out = []
+    for kind in (0, 1):
+        own, total = _of(entries, "kind", kind), _of(totals, "kind", kind)
+        if len(own):
+            sums = [_read(total, c, np.int64) for c in (_SUMS if kind == 0 else _SUMS[:2])]
+            out.append(_tell(own, own.column("bucket")[0].as_py(), kind, _read(total, "hashes", U, True), sums))
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.binary() if c in _SUMS else pa.int32() if c == "kind" else pa.int64()) for c in _names(_TOLD)})
+
+
+def _hot_buckets(sent: DataFrame) -> DataFrame:
+    """(bucket, n_parts) of the buckets whose entries are too many for one task; counts are summed in the tasks first."""
+    size = F.sum(F.octet_length("hashes") + ENTRY_BYTES)
+    return sent.groupBy("bucket").agg(size.alias("size")).filter(F.col("size") > HOT_BYTES).select("bucket", F.ceil(F.col("size") / HOT_BYTES).cast("int").alias("n_parts"))
+
+
+def _parts(sent: DataFrame, hot: DataFrame) -> DataFrame:
+    """The entries of hot buckets, dealt to parts by their batch."""
+    return sent.join(hot, "bucket").withColumn("part", F.expr("cast(pmod(xxhash64(origin), n_parts) as int)")).drop("n_parts")
+
+
+def _sum_all(sent: DataFrame, asking: int) -> tuple[DataFrame, DataFrame]:
+    """What the batches of ``asking`` are told, and (n_words, target, background) to be summed.
+
+    A bucket is summed in one task; a hot one, which holds what nearly every batch sends, in
+    parts, then over its parts, and each part tells its own entries.
+    """
+    hot = stage(_hot_buckets(sent), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        told = stage(sent.groupBy("bucket").applyInArrow(_sum_bucket(asking), _TOLD), "told")
+        return told.filter("origin is not null").drop(*_STATS), told.filter("origin is null").select(*_STATS)
+    near = F.broadcast(hot) if n_hot <= BROADCAST_BUCKETS else hot
+    told = stage(sent.join(near, "bucket", "left_anti").groupBy("bucket").applyInArrow(_sum_bucket(asking), _TOLD), "told")
+    sums = _parts(sent, near).groupBy("bucket", "part").applyInArrow(_total(True), _TOTALS)
+    totals = stage(sums.groupBy("bucket").applyInArrow(_total(False), _TOTALS), "totals")
+    copies = totals.join(hot, "bucket").withColumn("part", F.explode(F.expr("sequence(0, n_parts - 1)"))).drop("n_parts")
+    asked = _parts(sent.filter(F.col("corpus") == asking), near)
+    more = asked.groupBy("bucket", "part").cogroup(copies.groupBy("bucket", "part")).applyInArrow(_tell_part, _TOLD)
+    stats = told.filter("origin is null").select(*_STATS).unionByName(totals.select(*_STATS))
+    return told.filter("origin is not null").drop(*_STATS).unionByName(more.drop(*_STATS)), stats
+
+
 def _own(rows: np.ndarray, items: np.ndarray) -> np.ndarray:
     """For each place, how often its row holds its item."""
     key = rows * (int(items.max(initial=0)) + 1) + items
@@ -239,8 +346,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, background: Dat
     for corpus, d in parts.items():
         own = d.select("origin", "rows").mapInArrow(lean(_pack(corpus, n_buckets)), _SENT)
         sent = own if sent is None else sent.unionByName(own)
-    told = stage(sent.groupBy("bucket").applyInArrow(_sum_bucket(asking), _TOLD), "told")
-    stats = told.filter("origin is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", "target", "background"))).first()
-    answers = told.filter("origin is not null").drop("n_words", "target", "background")
+    answers, counted = _sum_all(sent, asking)
+    stats = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in _STATS)).first()
     run = _score_batch(stats[0], (stats[1], stats[2]), background is None)
     return parts[asking].select("origin", "rows").groupBy("origin").cogroup(answers.groupBy("origin")).applyInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")

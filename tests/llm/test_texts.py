@@ -418,8 +418,10 @@ def small_corpora(seed):
     return docs, [" ".join(r.choice(vocab[:8]) for _ in range(40)) for _ in range(10)] + [None, "rare target only"]
 
 
-@pytest.mark.parametrize("apart", [False, True])
-def test_losses_match_brute_force(spark, monkeypatch, apart):
+@pytest.mark.parametrize(("apart", "hot"), [(False, None), (True, None), (False, 1 << 9), (True, 1 << 8)])
+def test_losses_match_brute_force(spark, monkeypatch, apart, hot):
+    if hot:  # many buckets are summed in parts
+        monkeypatch.setattr(lm_score, "HOT_BYTES", hot)
     monkeypatch.setattr(lm_score, "BATCH_BYTES", 1 << 9)  # many batches and buckets
     monkeypatch.setattr(lm_score, "BUCKET_BYTES", 1 << 9)
     docs, target = small_corpora(9)
@@ -442,6 +444,15 @@ def test_losses_match_brute_force(spark, monkeypatch, apart):
     assert all(x.difference is None if x.target_loss is None else x.difference == pytest.approx(x.target_loss - x.background_loss) for x in got)
 
 
+def test_a_word_of_every_batch_is_summed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HOT_BYTES", 1 << 14)
+    sent = spark.range(40_000).select(F.when(F.col("id") % 4 == 0, 7).otherwise(F.col("id") % 997 + 8).alias("bucket"), F.col("id").alias("origin"), F.lit(bytes(8)).alias("hashes"))
+    hot = lm_score._hot_buckets(sent)
+    assert [x.bucket for x in hot.collect()] == [7]
+    sizes = [x.n * (8 + lm_score.ENTRY_BYTES) for x in lm_score._parts(sent, hot).groupBy("bucket", "part").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 * 72 and len(sizes) == 44 and max(sizes) < 2 << 14
+
+
 def test_model_probabilities_sum_to_one(spark):
     docs, target = small_corpora(11)
     vocabulary = sorted({w for t in [*(t for _, t in docs), *target] for w in lower_words(t)})
