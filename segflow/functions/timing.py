@@ -21,9 +21,9 @@ def tempo_chain(speed: Column) -> Column:
     # halving and doubling are exact, so the remainder is that of step-by-step division
     rest = s * F.pow(F.lit(2.0), (down - up).cast("double"))
     chain = F.concat(F.array_repeat(F.lit(2.0), up), F.array_repeat(F.lit(0.5), down), F.array(rest))
-    # format_string rounds half up, C and its kin half to even
-    even = lambda x: F.when(x < 1e9, F.rint(x * 1e6) / 1e6).otherwise(x)
-    return F.array_join(F.transform(chain, lambda x: F.format_string("atempo=%.6f", even(x))), ",")
+    # as C's %.6f: the exact binary value decides, and only a true tie goes to even; format_string rounds the shortest decimal half up
+    fixed = lambda x: F.when(x < 1e9, F.translate(F.format_number(x, 6), ",", "")).otherwise(F.format_string("%.6f", x))
+    return F.array_join(F.transform(chain, lambda x: F.concat(F.lit("atempo="), fixed(x))), ",")
 
 
 def safe_trim(start: Column, end: Column, least: float = params.MIN_TRIM_SEC) -> Column:

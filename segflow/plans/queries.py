@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in columns})
+    """Six decimals by the rule of SQL's round: the product with a million goes to the nearest whole number. F.round would round the shortest decimal, which differs near ties."""
+    return df.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in columns})
 
 
 _SEG = f'video_id, idx, {S.rounded("start")}, round("end", 6) AS "end", text_src, speaker_id, detected_lang'

@@ -87,3 +87,25 @@ def test_control_tokens_of_both_models_go(spark):
     d = spark.createDataFrame([("<start_of_turn>model\n Hallo <end_of_turn>\n", "<|im_start|>Hi<|im_end|> <end_of_turn>"), (None, " ")], "g string, c string")
     got = d.select(T.clean_model_output(F.col("g"), T.GEMMA_TOKENS), T.clean_model_output(F.col("c"), T.CAT_TOKENS)).collect()
     assert [tuple(r) for r in got] == [("model\n Hallo", "Hi <end_of_turn>"), ("", "")]
+
+
+def near_ties():
+    """Speeds of whole milliseconds over 3.2 s and its like: halves in the seventh decimal, a little above or below in binary."""
+    return [(a / 1000 + n / 1000 - a / 1000) / (m / 1000) for a in (8895, 7389, 27252, 5) for n in range(1601, 6400, 6) for m in (3200, 640, 1600)]
+
+
+def test_tempo_near_ties_is_written_as_c_does(spark):
+    speeds = near_ties()
+    assert values(spark, speeds, timing.tempo_chain, "double") == [brute_tempo(x) for x in speeds]
+
+
+def test_query_decimals_equal_those_of_sql(spark):
+    import duckdb
+
+    from segflow.plans.queries import _r
+
+    rows = [*near_ties(), 0.0, -1.0059375, -0.0000005, 1.7e12, 1700000000.1234565, float("inf"), float("nan"), None]
+    got = _r(spark.createDataFrame(list(enumerate(rows)), "i int, x double"), "x").orderBy("i").collect()
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(CAST(? AS DOUBLE), 6)", [x]).fetchone()[0] for x in rows]
+    assert [str(r.x) for r in got] == [str(x) for x in want]
