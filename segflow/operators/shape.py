@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from segflow import params
 from segflow.functions import text as T
 from segflow.operators.scan import scan
-from segflow.sources.shared import stage
+from segflow.sources.shared import stage, staged
 
 COLUMNS = ["video_id", "idx", "start", "end", "text_src", "speaker_id", "detected_lang"]
 _ORDER = ("idx", "start", "end", "text_src")
@@ -39,16 +39,21 @@ def drop_empty_intervals(segments: DataFrame) -> DataFrame:
 def renumber(segments: DataFrame, *order: str, block: int | None = None) -> DataFrame:
     """idx 0, 1, ... within each video in the given order; ``block``: in blocks of so many places (see scan)."""
     if block:
-        numbered = scan(segments.drop("idx") if "idx" not in order else segments, order, block, __place=("count", F.lit(1)))
+        numbered = scan(staged(segments.drop("idx") if "idx" not in order else segments, "scan"), order, block, __place=("count", F.lit(1)))
         return numbered.withColumn("idx", (F.col("__place") - 1).cast("int")).drop("__place")
     return segments.withColumn("idx", (F.row_number().over(Window.partitionBy("video_id").orderBy(*order)) - 1).cast("int"))
 
 
+def place_order(segments: DataFrame) -> tuple[str, ...]:
+    """The columns that order a video's segments: idx, then those that break ties."""
+    return tuple(c for c in _ORDER if c in segments.columns)
+
+
 def with_segno(segments: DataFrame, block: int | None = None) -> DataFrame:
     """segno: place in the video, from 1; idx may have gaps. ``block``: in blocks of so many places (see scan)."""
-    order = tuple(c for c in _ORDER if c in segments.columns)
+    order = place_order(segments)
     if block:
-        return scan(segments, order, block, segno=("count", F.lit(1))).withColumn("segno", F.col("segno").cast("int"))
+        return scan(staged(segments, "scan"), order, block, segno=("count", F.lit(1))).withColumn("segno", F.col("segno").cast("int"))
     return segments.withColumn("segno", F.row_number().over(Window.partitionBy("video_id").orderBy(*order)).cast("int"))
 
 

@@ -11,6 +11,7 @@ from segflow.functions import text as T
 from segflow.operators.intervals import overlapping
 from segflow.operators.scan import scan
 from segflow.operators.shape import with_segno
+from segflow.sources.shared import staged
 
 
 def overlap_totals(segments: DataFrame, turns: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, block: int | None = N
     best = totals.groupBy("video_id", "idx").agg(F.min_by("speaker", F.struct(-F.col("overlap"), "first_turn")).alias("best"))
     found = segments.drop("speaker_id").join(best, ["video_id", "idx"], "left")
     if block:
-        carried = scan(found, ("idx",), block, held=("last", F.col("best")))
+        carried = scan(staged(found, "scan"), ("idx",), block, held=("last", F.col("best")))
     else:
         carried = found.withColumn("held", F.last("best", True).over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     # only videos that start without an overlap need the nearest turn, and for their first segment only

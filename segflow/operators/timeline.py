@@ -10,7 +10,8 @@ from segflow import params
 from segflow.functions import text as T
 from segflow.functions import timing
 from segflow.operators.scan import scan
-from segflow.operators.shape import with_segno
+from segflow.operators.shape import place_order, with_segno
+from segflow.sources.shared import staged
 
 _EPS = params.EPSILON
 
@@ -20,14 +21,20 @@ def accepted_segments(segments: DataFrame, durations: DataFrame, block: int | No
 
     ``durations``: video_id, video_dur. The cursor is the end of what came before; segments
     that end at or before it are dropped. A running maximum stands for the sweep. ``block``: in
-    blocks of so many segments (see scan).
+    blocks of so many segments (see scan); places and cursor then come from one pass, and the clamp at the
+    video's end, which keeps the order of ends, follows it.
     """
-    s = with_segno(segments, block).join(durations.select("video_id", F.greatest(F.lit(0.0), "video_dur").alias("vd")), "video_id")
+    limits = durations.select("video_id", F.greatest(F.lit(0.0), "video_dur").alias("vd"))
     start = F.greatest(F.lit(0.0), F.col("start"))
-    s = s.select("video_id", "segno", "vd", F.least(start, "vd").alias("start"), F.least(F.greatest(start, "end"), "vd").alias("end"))
+    end = F.greatest(start, "end")
+    clamped = [F.least(start, "vd").alias("start"), F.least(end, "vd").alias("end")]
     if block:
-        s = scan(s, ("segno",), block, cursor=("max", F.col("end")))
+        order = place_order(segments)
+        s = scan(staged(segments, "scan", *dict.fromkeys(("video_id", *order, "start", "end"))), order, block, limits, "inner", segno=("count", F.lit(1)), cursor=("max", end))
+        cursor = F.when(F.col("cursor").isNotNull(), F.least("cursor", "vd"))
+        s = s.select("video_id", F.col("segno").cast("int").alias("segno"), "vd", *clamped, cursor.alias("cursor"))
     else:
+        s = with_segno(segments).join(limits, "video_id").select("video_id", "segno", "vd", *clamped)
         s = s.withColumn("cursor", F.max("end").over(Window.partitionBy("video_id").orderBy("segno").rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("cursor", F.coalesce("cursor", F.lit(0.0)))
     return s.filter((F.col("cursor") < F.col("vd") - _EPS) & (F.col("end") > F.col("cursor") + _EPS))
@@ -78,7 +85,7 @@ def retimed_totals(parts: DataFrame) -> DataFrame:
 def place(parts: DataFrame, block: int | None = None) -> DataFrame:
     """Parts with out_start: where each begins on the new timeline. ``block``: in blocks of so many parts (see scan)."""
     if block:
-        return scan(parts, ("part_no",), block, out_start=("sum", F.col("out_duration")))
+        return scan(staged(parts, "scan"), ("part_no",), block, out_start=("sum", F.col("out_duration")))
     before = Window.partitionBy("video_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("out_start", F.coalesce(F.sum("out_duration").over(before), F.lit(0.0)))
 

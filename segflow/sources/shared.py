@@ -31,4 +31,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_at = path
+    return table
+
+
+def staged(df: DataFrame, label: str, *columns: str) -> DataFrame:
+    """``df`` itself if ``stage`` returned it, else these columns of it (none named: all), staged."""
+    if hasattr(df, "staged_at"):
+        return df
+    return stage(df.select(*columns) if columns else df, label)

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from segflow import params
 from segflow.operators import language, ledger, scan, shape, speakers, synth, timeline, translate
+from segflow.plans import queries
+from segflow.sources import shared
 
 SEGMENTS = "video_id int, idx int, start double, end double, text_src string, speaker_id string, detected_lang string"
 
@@ -378,3 +380,48 @@ def test_chunks_tile_the_media(spark):
     for r in shape.plan_chunks(m).orderBy("video_id", "chunk_no").collect():
         got.setdefault(r.video_id, []).append((r.start_sec, r.end_sec))
     assert got == {1: [(0.0, 480.0)], 2: [(0.0, 480.0), (480.0, 480.5)], 3: [(0.0, 480.0), (480.0, 960.0), (960.0, 1440.0), (1440.0, 1500.25)]}
+
+
+def tables_staged(query, spark, sf):
+    """The columns of each table that a query stages."""
+    kept, write = [], shared.stage
+
+    def stage(df, label):
+        kept.append(set(df.columns))
+        return write(df, label)
+
+    with pytest.MonkeyPatch.context() as m:
+        for module in (shared, scan, speakers, queries):
+            m.setattr(module, "stage", stage, raising=False)
+        query(spark, sf)
+    return kept
+
+
+def test_cursor_in_blocks_stages_times_once(spark, sf):
+    assert tables_staged(queries.w3_blocked_cursor, spark, sf) == [{"video_id", "idx", "start", "end"}]
+    assert tables_staged(queries.w8_blocked_places, spark, sf) == [{"video_id", "idx"}]
+
+
+def test_a_scan_exchanges_its_rows_once(spark, tmp_path):
+    d = spark.createDataFrame([("a", i, float(i)) for i in range(50)], "video_id string, idx long, x double")
+    d.write.parquet(f"{tmp_path}/rows")
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = scan.scan(spark.read.parquet(f"{tmp_path}/rows"), ("idx",), 7, most=("max", F.col("x")))
+        # rows by block; totals by block, by video, and by block again
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+        assert {(r.idx, r.most) for r in got.collect()} == {(i, float(i - 1) if i else None) for i in range(50)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_cursor_in_blocks_on_odd_times(spark):
+    r = random.Random(4)
+    odd = [None, float("nan"), float("inf"), -3.0]
+    rows = [(v, i * 3, *(r.choice(odd) if r.random() < 0.1 else i + r.random() * 4 for _ in "ab")) for v in ("a", "b", "c", "d", None) for i in range(40)]
+    segs = spark.createDataFrame(rows, "video_id string, idx long, start double, end double")
+    long = spark.createDataFrame([("a", 30.0), ("b", None), ("c", -2.0), (None, 9.0), ("e", 5.0)], "video_id string, video_dur double")
+    got, want = timeline.accepted_segments(segs, long, 4), timeline.accepted_segments(segs, long)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
