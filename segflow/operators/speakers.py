@@ -11,7 +11,7 @@ from segflow.functions import text as T
 from segflow.operators.intervals import overlapping
 from segflow.operators.scan import scan
 from segflow.operators.shape import with_segno
-from segflow.sources.shared import staged
+from segflow.sources.shared import stage, staged
 
 
 def overlap_totals(segments: DataFrame, turns: DataFrame) -> DataFrame:
@@ -34,17 +34,40 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, block: int | None = N
     """
     totals = overlap_totals(segments, turns)
     best = totals.groupBy("video_id", "idx").agg(F.min_by("speaker", F.struct(-F.col("overlap"), "first_turn")).alias("best"))
-    found = segments.drop("speaker_id").join(best, ["video_id", "idx"], "left")
     if block:
-        carried = scan(staged(found, "scan"), ("idx",), block, held=("last", F.col("best")))
-    else:
-        carried = found.withColumn("held", F.last("best", True).over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
+        return _carry_in_blocks(segments, turns, best, block)
+    found = segments.drop("speaker_id").join(best, ["video_id", "idx"], "left")
+    carried = found.withColumn("held", F.last("best", True).over(Window.partitionBy("video_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
     # only videos that start without an overlap need the nearest turn, and for their first segment only
     first = carried.groupBy("video_id").agg(F.min_by(F.struct("held", ((F.col("start") + F.col("end")) / 2).alias("mid")), "idx").alias("x")).filter("x.held is null").select("video_id", "x.mid")
+    named = carried.join(_nearest(first, turns), "video_id", "left")
+    return named.withColumn("speaker_id", _named()).select(*segments.columns)
+
+
+
+def _named() -> Column:
+    return F.coalesce("held", F.when(F.col("nearest") != "", F.col("nearest")), F.lit("UNKNOWN"))
+
+
+def _nearest(first: DataFrame, turns: DataFrame) -> DataFrame:
+    """(video_id, nearest): the speaker of the turn nearest to mid, of ``first`` (video_id, mid)."""
     near = first.join(turns, "video_id").withColumn("gap", F.least(F.abs(F.col("start") - F.col("mid")), F.abs(F.col("end") - F.col("mid"))))
-    near = near.groupBy("video_id").agg(F.min_by("speaker", F.struct("gap", "turn_no")).alias("nearest"))
-    named = carried.join(near, "video_id", "left")
-    return named.withColumn("speaker_id", F.coalesce("held", F.when(F.col("nearest") != "", F.col("nearest")), F.lit("UNKNOWN"))).drop("best", "held", "nearest").select(*segments.columns)
+    return near.groupBy("video_id").agg(F.min_by("speaker", F.struct("gap", "turn_no")).alias("nearest"))
+
+
+def _carry_in_blocks(segments: DataFrame, turns: DataFrame, best: DataFrame, block: int) -> DataFrame:
+    """Segments with the speaker carried on from ``best``, whose rows are marks just before those of their segments.
+
+    So segments are not joined by video and idx, and are exchanged once, by their blocks; what a
+    video's start falls back to comes with the blocks, too.
+    """
+    s = staged(segments, "scan")
+    best = stage(best.filter("video_id is not null and idx is not null and best is not null"), "best")
+    first = s.groupBy("video_id").agg(F.min("idx").alias("idx"), F.min_by((F.col("start") + F.col("end")) / 2, "idx").alias("mid"))
+    near = _nearest(first.join(best, ["video_id", "idx"], "left_anti").select("video_id", "mid"), turns)
+    rows = s.drop("speaker_id").withColumn("__row", F.lit(1)).unionByName(best.withColumn("__row", F.lit(0)), allowMissingColumns=True)
+    named = scan(rows, ("idx", "__row"), block, near, held=("last", F.col("best"))).filter("__row = 1")
+    return named.withColumn("speaker_id", _named()).select(*segments.columns)
 
 
 def speaker_inventory(segments: DataFrame) -> DataFrame:

@@ -282,7 +282,7 @@ SELECT video_id, idx, coalesce(last_value(best IGNORE NULLS) OVER (PARTITION BY
 )
 def w1_blocked_speakers(spark, d):
     """Three of fifty segments have a turn, the first of each document among them; the others carry on across blocks."""
-    s = stage(X.source_segments(spark, d), "by_source")
+    s = stage(X.source_segments(spark, d).select("video_id", "idx", "start", "end", "speaker_id"), "by_source")
     turns = s.filter("idx % 50 < 3").select("video_id", F.col("idx").alias("turn_no"), (F.col("start") - 0.3).alias("start"), (F.col("end") - 0.2).alias("end"), F.col("speaker_id").alias("speaker"))
     return speakers.assign_speakers(s, turns, _BLOCK).select("video_id", "idx", "speaker_id")
 

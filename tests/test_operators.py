@@ -425,3 +425,17 @@ def test_cursor_in_blocks_on_odd_times(spark):
     got, want = timeline.accepted_segments(segs, long, 4), timeline.accepted_segments(segs, long)
     assert got.columns == want.columns and got.dtypes == want.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_speakers_in_blocks_stage_no_text(spark, sf):
+    assert tables_staged(queries.w1_blocked_speakers, spark, sf) == [{"video_id", "idx", "start", "end", "speaker_id"}, {"video_id", "idx", "best"}]
+
+
+def test_speakers_in_blocks_on_odd_rows(spark):
+    rows = [(v, i * 2 if i else None, i * 1.0, i + 0.9, f"t{i}", "X") for v in ("a", "b", "c", "d", None) for i in range(30)]
+    segs = spark.createDataFrame(rows, "video_id string, idx long, start double, end double, text_src string, speaker_id string")
+    turns = [("a", 0, 5.0, 5.5, "A"), ("a", 1, 12.0, 12.5, None), ("a", 2, 20.0, 20.5, "B"), ("b", 0, 90.0, 91.0, "C"), ("b", 1, 60.0, 61.0, "D"), ("c", 0, 1.0, 2.0, None), ("c", 1, 0.0, 0.5, "E"), (None, 0, 3.0, 4.0, "F")]
+    turns = spark.createDataFrame(turns, "video_id string, turn_no int, start double, end double, speaker string")
+    got, want = speakers.assign_speakers(segs, turns, 4), speakers.assign_speakers(segs, turns)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
