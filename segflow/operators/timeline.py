@@ -82,10 +82,16 @@ def retimed_totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("video_id").agg(F.count("*").cast("long").alias("n_parts"), F.round(F.sum("out_duration"), 6).alias("total_out"))
 
 
-def place(parts: DataFrame, block: int | None = None) -> DataFrame:
-    """Parts with out_start: where each begins on the new timeline. ``block``: in blocks of so many parts (see scan)."""
+def place(parts: DataFrame, block: int | None = None, order: tuple[str, ...] = ()) -> DataFrame:
+    """Parts with out_start: where each begins on the new timeline. ``block``: in blocks of so many parts (see scan).
+
+    ``order``: columns that say the parts' order, where they have no part_no yet; it then comes from the same pass.
+    """
     if block:
-        return scan(staged(parts, "scan"), ("part_no",), block, out_start=("sum", F.col("out_duration")))
+        numbered = {"part_no": ("count", F.lit(1))} if order else {}
+        return scan(staged(parts, "scan"), order or ("part_no",), block, out_start=("sum", F.col("out_duration")), **numbered)
+    if order:
+        parts = parts.withColumn("part_no", F.row_number().over(Window.partitionBy("video_id").orderBy(*order)).cast("long"))
     before = Window.partitionBy("video_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("out_start", F.coalesce(F.sum("out_duration").over(before), F.lit(0.0)))
 

@@ -271,8 +271,8 @@ SELECT video_id, part_no, CAST(coalesce(sum(out_duration) OVER (PARTITION BY vid
 )
 def w6_blocked_placement(spark, d):
     """Durations in whole milliseconds, so that sums do not depend on their order."""
-    parts = shape.with_segno(X.source_segments(spark, d), _BLOCK).select("video_id", F.col("segno").cast("long").alias("part_no"), F.round((F.col("end") - F.col("start")) * 1000).alias("out_duration"))
-    return timeline.place(parts, _BLOCK).select("video_id", "part_no", F.col("out_start").cast("long").alias("out_start"))
+    parts = X.source_segments(spark, d).select("video_id", "idx", F.round((F.col("end") - F.col("start")) * 1000).alias("out_duration"))
+    return timeline.place(parts, _BLOCK, ("idx",)).select("video_id", F.col("part_no").cast("long").alias("part_no"), F.col("out_start").cast("long").alias("out_start"))
 
 
 @query(

@@ -439,3 +439,11 @@ def test_speakers_in_blocks_on_odd_rows(spark):
     got, want = speakers.assign_speakers(segs, turns, 4), speakers.assign_speakers(segs, turns)
     assert got.columns == want.columns and got.dtypes == want.dtypes
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_placement_in_blocks_numbers_and_places_in_one_pass(spark, sf):
+    assert tables_staged(queries.w6_blocked_placement, spark, sf) == [{"video_id", "idx", "out_duration"}]
+    parts = spark.createDataFrame([(v, i * 5, float(i % 7)) for v in ("a", "b") for i in range(40)], "video_id string, idx long, out_duration double")
+    got = timeline.place(parts, 4, ("idx",))
+    assert sorted(map(tuple, got.select("video_id", "part_no", "out_start").collect())) == sorted((v, i + 1, float(sum(k % 7 for k in range(i)))) for v in ("a", "b") for i in range(40))
+    assert sorted(map(str, timeline.place(parts, None, ("idx",)).select("video_id", "part_no", "out_start").collect())) == sorted(map(str, got.select("video_id", F.col("part_no").cast("long").alias("part_no"), "out_start").collect()))
