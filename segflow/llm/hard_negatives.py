@@ -6,6 +6,10 @@ dimension of a block, and of its labels; PAGE of them are a page. Interval arith
 the inner product of an anchor with every vector of a block, and so chooses the blocks that it
 reads: once for its positives (the fifth best of the anchor's own block is a bound to start
 from), and once for the windows that these open. Scores are exact integers.
+
+What is chosen is a table of numbers only: a block, a pack of anchors, and places in the pack.
+Vectors and windows of a pack go once to each page that it reads from; there a task holds the
+packs of a lot, streams the blocks of the page by them, and keeps the best of each window.
 """
 
 from __future__ import annotations
@@ -23,17 +27,19 @@ from segflow.llm.staging import discard, stage
 from segflow.llm.wordhash import lean
 
 #: Vectors of a block, zone maps of a page, anchors of a pack.
-BLOCK, PAGE, PACK = 128, 256, 256
+BLOCK, PAGE, PACK = 128, 64, 256
+#: Pages that a task holds to choose from, and anchors of the packs that it holds to score, about; tasks at most.
+SHELF, LOT, TASKS = 8, 8192, 10_000
 #: Label buckets; bits of each dimension on the curve; vectors that the curve's grid is fitted on, about (it only sets the order).
 BUCKETS, BITS, SAMPLE = 64, 4, 8192
 #: Sum of squared components up to which a vector takes part: beyond it scores times 100 may not fit in a long.
 MOST = 1 << 56
-_NONE = np.iinfo(np.int64).min
+_NONE, _ANY = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 _ITEMS = "array<struct<id: long, label: long, q: binary, tau: long, wins: array<struct<positive_id: long, lo: long, hi: long>>>>"
 _PAGES = "array<struct<block: long, low: binary, high: binary, label_low: long, label_high: long>>"
-_BLOCKS = f"block long, dim int, ids binary, labels binary, data binary, page {_PAGES}, pack {_ITEMS}"
-_READS = f"block long, dim int, asked {_ITEMS}"
+_BLOCKS = f"block long, page_no long, dim int, ids binary, labels binary, data binary, page {_PAGES}, pack {_ITEMS}"
+_READS = "page_no long, block long, home long, asked array<short>"
 _WIN = pa.list_(pa.struct([("positive_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())]))
 _PACK = pa.struct([("id", pa.int64()), ("label", pa.int64()), ("q", pa.binary()), ("tau", pa.int64()), ("wins", _WIN)])
 _PAGE = pa.struct([("block", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("label_low", pa.int64()), ("label_high", pa.int64())])
@@ -105,12 +111,12 @@ def _form(every: int, n_positives: int) -> Callable:
     """Sorted rows to blocks; pages of zone maps and packs of anchors go with the block that fills them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, base = 0, TaskContext.get().partitionId() << 33
+        number, page_no, base = 0, 0, TaskContext.get().partitionId() << 33
         page: list[dict] = []
         pack: list[dict] = []
 
         def block_of(rows: list[tuple], dim: int, last: bool) -> pa.RecordBatch:
-            nonlocal number, page, pack
+            nonlocal number, page_no, page, pack
             rows.sort(key=lambda r: r[0])
             ids, labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
             q = _matrix([r[2] for r in rows], dim)
@@ -124,12 +130,12 @@ def _form(every: int, n_positives: int) -> Callable:
                     tau = int(own[-n_positives]) if len(own) >= n_positives else _NONE
                     pack.append({"id": int(ids[i]), "label": int(labels[i]), "q": q[i].tobytes(), "tau": tau, "wins": []})
             full_page, full_pack = (page if last or len(page) >= PAGE else None), (pack if pack and (last or len(pack) >= PACK) else None)
-            page, pack = ([] if full_page else page), ([] if full_pack else pack)
-            values = [at, dim, ids.tobytes(), labels.tobytes(), q.tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            values = [at, base | page_no, dim, ids.tobytes(), labels.tobytes(), q.tobytes()]
+            page, pack, page_no = ([] if full_page else page), ([] if full_pack else pack), page_no + bool(full_page)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             columns = [pa.array([v], k) for v, k in zip(values, kinds)]
             columns += [pa.array([full_page], pa.list_(_PAGE)), pa.array([full_pack], pa.list_(_PACK))]
-            return pa.RecordBatch.from_arrays(columns, ["block", "dim", "ids", "labels", "data", "page", "pack"])
+            return pa.RecordBatch.from_arrays(columns, ["block", "page_no", "dim", "ids", "labels", "data", "page", "pack"])
 
         rows: list[tuple] = []
         place = None
@@ -148,17 +154,29 @@ def _form(every: int, n_positives: int) -> Callable:
 
 
 def _choose(windows: bool) -> Callable:
-    """Pairs of a pack and a page to the blocks that anchors of the pack must read."""
+    """Pages, then packs of each place (dim, salt): to the blocks that anchors of a pack must read, and the anchors' places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
         for batch in batches:
             for k in range(len(batch)):
-                dim = batch.column(0)[k].as_py()
-                pack, page = batch.column(1)[k].values, batch.column(2)[k].values
+                dim, salt, page_no, home = (batch.column(i)[k].as_py() for i in (0, 1, 2, 4))
+                if place != (dim, salt):
+                    place, held = (dim, salt), []
+                if page_no is not None:
+                    page = batch.column(3)[k].values
+                    numbers = [page.field(x).to_numpy(zero_copy_only=False).copy() for x in ("block", "label_low", "label_high")]
+                    held.append([np.full(len(page), page_no), *numbers, *(_matrix(page.field(x).to_pylist(), dim) for x in ("low", "high"))])
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    held = [[np.concatenate(x) for x in zip(*held)]]
+                page_nos, blocks, low, high, zone_low, zone_high = held[0]
+                pack = batch.column(5)[k].values
                 a = _matrix(pack.field("q").to_pylist(), dim)
-                least, most = score_bounds(a, _matrix(page.field("low").to_pylist(), dim), _matrix(page.field("high").to_pylist(), dim))
+                least, most = score_bounds(a, zone_low, zone_high)
                 label = pack.field("label").to_numpy(zero_copy_only=False)[:, None]
-                low, high = (page.field(x).to_numpy(zero_copy_only=False)[None, :] for x in ("label_low", "label_high"))
                 if windows:
                     wins = pack.field("wins")
                     whose = np.repeat(np.arange(len(a)), wins.value_lengths().to_numpy(zero_copy_only=False))
@@ -176,63 +194,110 @@ def _choose(windows: bool) -> Callable:
                 if not len(block):
                     continue
                 at, first = np.unique(block, return_index=True)
-                asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(block)).astype(np.int32)), pack.take(pa.array(who)))
-                yield pa.RecordBatch.from_arrays([page.field("block").take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), asked], ["block", "dim", "asked"])
+                asked = pa.ListArray.from_arrays(pa.array(np.append(first, len(block)).astype(np.int32)), pa.array(who.astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(page_nos[at]), pa.array(blocks[at]), pa.array(np.full(len(at), home)), asked], ["page_no", "block", "home", "asked"])
 
     return run
 
 
-def _best(scores: np.ndarray, fits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``most`` greatest fitting scores of each row; ties: the earlier column."""
-    many = fits.sum(1) > most
-    row, column = np.nonzero(fits & ~many[:, None])
-    full = np.flatnonzero(many)
-    if len(full):
-        order = np.argsort(np.where(fits[full], -scores[full], np.iinfo(np.int64).max), axis=1, kind="stable")[:, :most]
-        row, column = np.concatenate([row, np.repeat(full, most)]), np.concatenate([column, order.ravel()])
-    return row, column
+class _Best:
+    """The windows of a pack's anchors, and the ``most`` best of each among the blocks met so far; ties: the smaller id."""
+
+    def __init__(self, pack: pa.StructArray, dim: int, windows: bool, most: int) -> None:
+        self.q, self.windows, self.most = _matrix(pack.field("q").to_pylist(), dim), windows, most
+        self.id, self.label, tau = (pack.field(x).to_numpy(zero_copy_only=False).copy() for x in ("id", "label", "tau"))
+        if windows:
+            self.n = pack.field("wins").value_lengths().to_numpy(zero_copy_only=False)
+            flat = pack.field("wins").flatten()
+            self.positive, self.lo, self.hi = (flat.field(x).to_numpy(zero_copy_only=False).copy() for x in ("positive_id", "lo", "hi"))
+        else:
+            self.n, self.positive, self.lo, self.hi = np.ones(len(tau), int), np.zeros(len(tau), np.int64), tau, np.full(len(tau), _ANY)
+        self.start = np.cumsum(self.n) - self.n
+        self.least, self.greatest = np.minimum.reduceat(self.lo, self.start), np.maximum.reduceat(self.hi, self.start)
+        self.found, self.waiting = [np.zeros((3, 0), np.int64)], 0
+
+    def meet(self, asked: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray) -> None:
+        scores = exact_scores(self.q[asked], rows)
+        fits = (scores >= self.least[asked, None]) & (scores <= self.greatest[asked, None])
+        alike = self.label[asked, None] == labels[None, :]
+        fits &= ~alike if self.windows else alike & (self.id[asked, None] != ids[None, :])
+        i, j = np.nonzero(fits)
+        score, anchor = scores[i, j], asked[i]
+        n = self.n[anchor]
+        each = np.repeat(np.arange(len(i)), n)
+        win = np.arange(len(each)) + np.repeat(self.start[anchor] - (np.cumsum(n) - n), n)
+        keep = (score[each] >= self.lo[win]) & (score[each] <= self.hi[win])
+        each, win = each[keep], win[keep]
+        self.found.append(np.stack([win, score[each], ids[j[each]]]))
+        self.waiting += len(win)
+        if self.waiting > 4 * self.most * len(self.lo):
+            self.cut()
+
+    def cut(self) -> None:
+        """Leave the best of each window; whoever comes later must score as much as the last of a full one."""
+        win, score, ids = np.concatenate(self.found, 1)
+        order = np.lexsort((ids, -score, win))
+        win, score, ids = win[order], score[order], ids[order]
+        rank = np.arange(len(win)) - np.searchsorted(win, win)
+        last = rank == self.most - 1
+        self.lo[win[last]] = score[last]
+        self.least = np.minimum.reduceat(self.lo, self.start)
+        self.found, self.waiting = [np.stack([win, score, ids])[:, rank < self.most]], 0
 
 
 def _score(windows: bool, most: int) -> Callable:
-    """Blocks beside the anchors that read them to the best rows of each anchor, or of each of its windows."""
+    """Packs, then blocks of each place (page, lot): to the best rows of each anchor, or of each of its windows, on that page."""
+
+    def told(packs: dict[int, _Best]) -> Iterator[pa.RecordBatch]:
+        for x in packs.values():
+            x.cut()
+            win, score, ids = x.found[0]
+            anchor = np.repeat(x.id, x.n)[win]
+            positive_score = x.hi[win] if windows else np.zeros(len(win), np.int64)
+            if len(win):
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (anchor, x.positive[win], positive_score, ids, score)], ["anchor_id", "positive_id", "positive_score", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, packs = None, {}
         for batch in batches:
             for k in range(len(batch)):
-                dim, asked = batch.column(0)[k].as_py(), batch.column(4)[k].values
-                ids, labels = (np.frombuffer(batch.column(i)[k].as_py(), np.int64) for i in (1, 2))
-                rows = np.frombuffer(batch.column(3)[k].as_py(), np.int32).reshape(len(ids), dim)
-                scores = exact_scores(_matrix(asked.field("q").to_pylist(), dim), rows)
-                anchor, label = (asked.field(x).to_numpy(zero_copy_only=False) for x in ("id", "label"))
-                alike = label[:, None] == labels[None, :]
-                if windows:
-                    wins = asked.field("wins")
-                    whose = np.repeat(np.arange(len(anchor)), wins.value_lengths().to_numpy(zero_copy_only=False))
-                    flat = wins.flatten()
-                    positive, lo, hi = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("positive_id", "lo", "hi"))
-                    s = scores[whose]
-                    w, j = _best(s, ~alike[whose] & (s >= lo[:, None]) & (s <= hi[:, None]), most)
-                    out = [anchor[whose[w]], positive[w], hi[w], ids[j], s[w, j]]
-                else:
-                    tau = asked.field("tau").to_numpy(zero_copy_only=False)
-                    i, j = _best(scores, alike & (ids[None, :] != anchor[:, None]) & (scores >= tau[:, None]), most)
-                    none = np.zeros(len(i), np.int64)
-                    out = [anchor[i], none, none, ids[j], scores[i, j]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["anchor_id", "positive_id", "positive_score", "id", "score"])
+                page_no, lot, dim, home = (batch.column(i)[k].as_py() for i in range(4))
+                if place != (page_no, lot):
+                    yield from told(packs)
+                    place, packs = (page_no, lot), {}
+                if home is not None:
+                    packs[home] = _Best(batch.column(4)[k].values, dim, windows, most)
+                    continue
+                ids, labels = (np.frombuffer(batch.column(i)[k].as_py(), np.int64) for i in (5, 6))
+                rows = np.frombuffer(batch.column(7)[k].as_py(), np.int32).reshape(len(ids), dim)
+                asks = batch.column(8)[k].values
+                for home, asked in zip(asks.field("home").to_pylist(), asks.field("asked")):
+                    packs[home].meet(asked.values.to_numpy(zero_copy_only=False), ids, labels, rows)
+        yield from told(packs)
 
     return run
 
 
-def _read(blocks: DataFrame, packs: DataFrame, pages: DataFrame, n_pages: int, windows: bool, most: int) -> DataFrame:
+def _read(blocks: DataFrame, packs: DataFrame, n_pages: int, n_anchors: int, windows: bool, most: int) -> DataFrame:
     """(anchor_id, positive_id, positive_score, id, score, rank): the best rows of the blocks that the bounds choose."""
-    # every pack meets every page of its dimension, in bounded tiles: pages are dealt to salts, packs go to each
-    salts = max(1, -(-n_pages // 4))
-    left = packs.select("dim", "pack", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = pages.select("dim", "page", F.pmod(F.xxhash64(F.col("page")[0]["block"]), F.lit(salts)).cast("int").alias("salt"))
-    tiles = left.join(right, ["dim", "salt"]).select("dim", "pack", "page")
-    reads = stage(tiles.mapInArrow(lean(_choose(windows)), _READS), "reads")
-    met = reads.join(blocks.select("block", "ids", "labels", "data"), "block").select("dim", "ids", "labels", "data", "asked")
-    found = met.mapInArrow(lean(_score(windows, most)), "anchor_id long, positive_id long, positive_score long, id long, score long")
+    # every pack meets every page of its dimension: pages are dealt to salts, packs stream by the pages of each
+    salts = max(1, -(-n_pages // SHELF))
+    pages = blocks.filter("page is not null").select("dim", F.pmod(F.xxhash64("page_no"), F.lit(salts)).alias("salt"), F.lit(0).alias("kind"), "page_no", "page")
+    sent = packs.select("dim", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")).alias("salt"), F.lit(1).alias("kind"), "home", "pack")
+    tiles = pages.unionByName(sent, allowMissingColumns=True).repartition(min(salts, TASKS), "dim", "salt").sortWithinPartitions("dim", "salt", "kind")
+    reads = stage(tiles.select("dim", "salt", "page_no", "page", "home", "pack").mapInArrow(lean(_choose(windows)), _READS), "reads")
+
+    # a page meets the packs of a lot in one task: packs first, then blocks. Small files may be large tables here, so nothing is broadcast
+    lots = max(1, -(-n_anchors // LOT))
+    asked = reads.withColumn("lot", F.pmod(F.xxhash64("home"), F.lit(lots)))
+    sent = packs.join(asked.groupBy("home", "lot").agg(F.collect_set("page_no").alias("to")).hint("merge"), "home")
+    sent = sent.repartition(max(1, min(-(-n_anchors // PACK), TASKS)), "home")  # few rows so far, many from here on
+    sent = sent.select(F.explode("to").alias("page_no"), "lot", F.lit(-1).cast("long").alias("block"), "dim", "home", "pack")
+    asks = asked.groupBy("page_no", "lot", "block").agg(F.collect_list(F.struct("home", "asked")).alias("asks"))  # LOT anchors, about
+    met = asks.join(blocks.select("block", "dim", "ids", "labels", "data").hint("merge"), "block").unionByName(sent, allowMissingColumns=True)
+    tiles = met.repartition(max(1, min(n_pages * lots, TASKS)), "page_no", "lot").sortWithinPartitions("page_no", "lot", "block")
+    tiles = tiles.select("page_no", "lot", "dim", "home", "pack", "ids", "labels", "data", "asks")
+    found = tiles.mapInArrow(lean(_score(windows, most)), "anchor_id long, positive_id long, positive_score long, id long, score long")
     w = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("score"), "id")
     best = stage(found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most), "best")
     discard(reads)
@@ -273,17 +338,16 @@ def hard_negatives(vectors: DataFrame, anchors_every: int = 100, n_positives: in
     order = ["bucket", "dim", "key", "vec_id"]  # the id splits equal vectors among tasks
     blocks = stage(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lean(_form(anchors_every, n_positives)), _BLOCKS), "blocks")
     discard(keyed)
-    pages = blocks.filter("page is not null").select("dim", "page")
     packs = blocks.filter("pack is not null").select("dim", "pack", F.col("block").alias("home"))
-    n_pages = pages.count()
+    n_pages, n_anchors = blocks.agg(F.count("page"), F.coalesce(F.sum(F.when(F.col("pack").isNotNull(), F.size("pack"))), F.lit(0))).first()
 
-    positives = _read(blocks, packs, pages, n_pages, False, n_positives)
+    positives = _read(blocks, packs, n_pages, n_anchors, False, n_positives)
     # 80 * positive <= 100 * negative: the least whole number that keeps it
     window = F.struct(F.col("id").alias("positive_id"), F.expr("(4 * score + 4) div 5").alias("lo"), F.col("score").alias("hi"))
     wins = positives.filter("score >= 0").groupBy("anchor_id").agg(F.collect_list(window).alias("wins"))  # n_positives at most
     anchors = packs.select("dim", "home", F.explode("pack").alias("x")).select("dim", "home", "x.id", "x.label", "x.q", "x.tau")
     again = anchors.join(wins, F.col("id") == F.col("anchor_id")).groupBy("dim", "home").agg(F.collect_list(F.struct("id", "label", "q", "tau", "wins")).alias("pack"))
     again = stage(again, "packs")
-    found = _read(blocks, again, pages, n_pages, True, n_negatives)
+    found = _read(blocks, again, n_pages, n_anchors, True, n_negatives)
     discard(positives)
     return found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

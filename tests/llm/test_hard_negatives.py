@@ -115,3 +115,24 @@ def test_bounds_leave_most_blocks_unread(spark, monkeypatch):
     reads = [d.agg(F.sum(F.size("asked"))).first()[0] for label, d in seen if label == "reads"]
     assert blocks >= 6000 / 16
     assert reads[0] < 0.25 * 60 * blocks and reads[1] < 0.5 * 60 * blocks
+
+
+@pytest.mark.parametrize("kind", ["ties", "random"])
+def test_pages_and_lots_together_give_the_best(spark, monkeypatch, kind):
+    for name, n in {"BLOCK": 32, "PAGE": 4, "PACK": 2, "SHELF": 3, "LOT": 12}.items():
+        monkeypatch.setattr(H, name, n, raising=False)
+    rows = vectors(7, 2400, 6, kind)
+    assert mined(spark, rows) == brute(rows)
+
+
+def test_chosen_blocks_are_numbers_and_not_broadcast(spark, monkeypatch):
+    """What an anchor asks for is a few bytes, whatever its vector and windows, and no join that a small file feeds holds it in one piece."""
+    seen = []
+    own = H.stage
+    monkeypatch.setattr(H, "stage", lambda df, label: seen.append((label, df._jdf.queryExecution().executedPlan().toString(), own(df, label))) or seen[-1][2])
+    monkeypatch.setattr(H, "discard", lambda *tables: None)
+    H.hard_negatives(spark.createDataFrame(vectors(8, 3000, 16, "random"), SCHEMA)).count()
+    reads = [d.select(F.sum(F.length(F.to_json("asked"))), F.sum(F.size("asked"))).first() for label, _, d in seen if label == "reads"]
+    assert len(reads) == 2 and all(n and chars <= 8 * n for chars, n in reads)
+    plans = [plan for label, plan, _ in seen if label == "best"]
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
